@@ -7,6 +7,8 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from skeinlog.functions import strings
+
 # fixed values: characters kept before and after the first match of a snippet
 SNIPPET_BEFORE = 40
 SNIPPET_AFTER = 100
@@ -32,7 +34,7 @@ def strip_terminal(text: Column) -> Column:
 
 def readable_title(value: Column) -> Column:
     """Trimmed title, or null when it is empty or visibly mis-decoded."""
-    t = F.trim(value)
+    t = strings.trim(value)
     marks = F.length(F.regexp_replace(t, r"[^?]", ""))
     broken = (t == "") | t.contains("�") | ((marks >= 3) & (marks * 5 >= F.length(t)))
     return F.when(~broken, t)
@@ -42,8 +44,8 @@ def fallback_title(thread_id: Column, *bodies: Column) -> Column:
     """First usable line of the bodies in order, else a short id."""
 
     def candidate(line: Column) -> Column:
-        bare = F.regexp_replace(F.trim(line), r"^#+", "")
-        return F.trim(F.regexp_replace(bare, r"^[-*]+", ""))
+        bare = F.regexp_replace(strings.trim(line), r"^#+", "")
+        return strings.trim(F.regexp_replace(bare, r"^[-*]+", ""))
 
     def usable(line: Column) -> Column:
         return (line != "") & (line != "---") & ~line.startswith("<") & (F.octet_length(line) <= 300)
@@ -154,7 +156,7 @@ def human_usd(x: Column) -> Column:
 
 
 def display_title(agent_title: Column, first_prompt: Column, placeholder: str = "(untitled)") -> Column:
-    return F.coalesce(F.nullif(F.trim(agent_title), F.lit("")), F.nullif(F.trim(first_prompt), F.lit("")), F.lit(placeholder))
+    return F.coalesce(F.nullif(strings.trim(agent_title), F.lit("")), F.nullif(strings.trim(first_prompt), F.lit("")), F.lit(placeholder))
 
 
 # --- paths and hosts -------------------------------------------------------------------------------
@@ -209,10 +211,10 @@ def shell_output(raw: Column) -> Column:
     norm = F.replace(raw, F.lit("\r\n"), F.lit("\n"))
     head = r"^Exit code:([^\n]*)\n(?:Wall time:)?([^\n]*)\n\s*Output:[^\n]*(?:\n|\z)"
     lifted = norm.rlike(head)
-    seconds = F.trim(F.regexp_replace(F.trim(F.regexp_extract(norm, head, 2)), r"(seconds)+$", ""))
+    seconds = strings.trim(F.regexp_replace(strings.trim(F.regexp_extract(norm, head, 2)), r"(seconds)+$", ""))
     return F.struct(
         F.when(lifted, F.regexp_replace(norm, head, "")).otherwise(raw).alias("body"),
-        F.when(lifted, F.trim(F.regexp_extract(norm, head, 1)).try_cast("bigint")).alias("exit_code"),
+        F.when(lifted, strings.trim(F.regexp_extract(norm, head, 1)).try_cast("bigint")).alias("exit_code"),
         F.when(lifted, (seconds.try_cast("double") * 1000).cast("bigint")).alias("duration_ms"),
         lifted.alias("lifted"),
     )
@@ -227,7 +229,7 @@ def fetch_ok(code: Column) -> Column:
 
 
 def file_list(text: Column) -> Column:
-    return F.filter(F.transform(F.split(text, "\n"), F.trim), lambda p: p != "")
+    return F.filter(F.transform(F.split(text, "\n"), strings.trim), lambda p: p != "")
 
 
 def patch_line_kind(line: Column) -> Column:

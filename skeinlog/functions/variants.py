@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from skeinlog.functions import strings
+
 
 def parse(line: Column | str) -> Column:
     return F.try_parse_json(line)
@@ -46,7 +48,7 @@ def text_or_json(v: Column, path: str) -> Column:
 
 
 def blank_to_null(c: Column) -> Column:
-    trimmed = F.trim(c)
+    trimmed = strings.trim(c)
     return F.when(trimmed != "", trimmed)
 
 

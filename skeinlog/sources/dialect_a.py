@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from skeinlog.functions import strings
 from skeinlog.functions import times
 from skeinlog.functions import variants as V
 from skeinlog.functions.text import snippet
@@ -154,7 +155,7 @@ def level(kind: Column, has_content: Column, v: Column, body: Column, tur: Colum
     return (
         F.when(
             kind == "user",
-            F.when(~has_content | F.coalesce(F.ltrim(body).startswith("<"), F.lit(False)), "debug").otherwise("content"),
+            F.when(~has_content | F.coalesce(strings.ltrim(body).startswith("<"), F.lit(False)), "debug").otherwise("content"),
         )
         .when(kind == "assistant", F.when(has_content, "content").otherwise("debug"))
         .when(kind == "tool_result", F.when(V.sub(tur, "$.answers").isNotNull(), "content").otherwise("tool"))
@@ -272,7 +273,7 @@ def tool_hook(v: Column) -> Column:
         .when(name.startswith(event), F.concat(name, tag))
         .otherwise(F.concat(event, tag, F.lit(" · "), name)),
     )
-    out = F.trim(F.coalesce(V.text(v, "$.attachment.stdout"), F.lit("")))
+    out = strings.trim(F.coalesce(V.text(v, "$.attachment.stdout"), F.lit("")))
     text = F.when(out == "", head).otherwise(F.concat(head, F.lit("\n"), out))
     fits = kind.isin(TOOL_HOOK_TYPES) & event.isin(TOOL_HOOK_EVENTS) & call.isNotNull()
     return F.when(fits, F.struct(text.alias("text"), call.alias("call_id")))
@@ -287,7 +288,7 @@ def meta_label(v: Column, kind: Column) -> Column:
 
     shown_path = F.coalesce(at("displayPath"), at("path"), F.lit(""))
     memory = F.coalesce(V.text(v, "$.attachment.content.content"), F.lit(""))
-    out = F.trim(F.coalesce(at("stdout"), F.lit("")))
+    out = strings.trim(F.coalesce(at("stdout"), F.lit("")))
     event = F.coalesce(at("hookEvent"), F.lit("Hook"))
     attachment = (
         F.when(sub == "queued_command", F.concat(F.lit("queued command: "), at("prompt")))
@@ -490,7 +491,7 @@ def texts(lines: DataFrame) -> DataFrame:
     think = F.array_join(_texts_of("thinking", "thinking"), " ")
 
     def entry(seq: int, kind: str, cond: Column, text: Column) -> Column:
-        keep = F.coalesce(cond & (F.trim(text) != ""), F.lit(False))
+        keep = F.coalesce(cond & (strings.trim(text) != ""), F.lit(False))
         return F.when(keep, F.struct(F.lit(seq).alias("seq"), F.lit(kind).alias("kind"), text.alias("text")))
 
     entries = F.array(
@@ -620,7 +621,7 @@ def search_hits(lines: DataFrame, query: str) -> DataFrame:
         return F.struct(t.alias("text"), (label if isinstance(label, Column) else F.lit(label)).alias("record_type"))
 
     found = F.coalesce(
-        F.when(match(body) & ~F.ltrim(body).startswith("<"), hit(body, kind)),
+        F.when(match(body) & ~strings.ltrim(body).startswith("<"), hit(body, kind)),
         F.when(match(think), hit(think, "thinking")),
         F.when(match(result), hit(result, "tool_result")),
     )
@@ -633,7 +634,7 @@ def search_hits(lines: DataFrame, query: str) -> DataFrame:
 
 def bad_lines(lines: DataFrame) -> DataFrame:
     """Failure accounting: lines read and lines that are not JSON, per session."""
-    blank = F.trim(F.translate("line", "\r\n\t", "   ")) == ""
+    blank = strings.trim(F.translate("line", "\r\n\t", "   ")) == ""
     bad = V.parse("line").isNull() & ~blank
     return lines.groupBy("session_id").agg(
         F.count("*").alias("lines"), F.sum(bad.cast("bigint")).alias("failed")

@@ -7,7 +7,7 @@ import importlib
 
 from pyspark.sql import DataFrame, SparkSession
 
-AREAS = ["area_a"]
+AREAS = ["area_a", "area_b", "area_cd"]
 
 
 class Area:
@@ -33,6 +33,16 @@ class Area:
         return wrap
 
 
+def snippet_sql(text: str, query: str) -> str:
+    """DuckDB expression of a snippet around the first match."""
+    start = f"greatest(strpos(lower({text}), '{query}') - 41, 0)"
+    end = f"least(greatest(strpos(lower({text}), '{query}') - 1, 0) + {len(query) + 100}, length({text}))"
+    return (
+        f"CASE WHEN {start} > 0 THEN '...' ELSE '' END || substr({text}, {start} + 1, {end} - {start}) "
+        f"|| CASE WHEN {end} < length({text}) THEN '...' ELSE '' END"
+    )
+
+
 def _areas() -> list[Area]:
     return [importlib.import_module(f"workload.{a}").area for a in AREAS]
 
