@@ -7,7 +7,7 @@ import importlib
 
 from pyspark.sql import DataFrame, SparkSession
 
-AREAS = ["area_a", "area_b", "area_cd", "area_usage"]
+AREAS = ["area_a", "area_b", "area_cd", "area_usage", "area_search"]
 
 
 class Area:
