@@ -639,3 +639,24 @@ def bad_lines(lines: DataFrame) -> DataFrame:
     return lines.groupBy("session_id").agg(
         F.count("*").alias("lines"), F.sum(bad.cast("bigint")).alias("failed")
     )
+
+
+def sidecar_subagents(metas: DataFrame, transcripts: DataFrame) -> DataFrame:
+    """Sub-agents of a session from their metadata files, with an estimated record count.
+
+    ``metas(path, content)``, ``transcripts(path, size)``; the estimate is one record per 400 bytes.
+    """
+    v = F.col("v")
+    home = r"([^/]+)/subagents/([^/]+?)(?:\.meta)?\.json$"
+    stem = r"([^/]+)/subagents/([^/]+)\.jsonl$"
+    rows = metas.select(
+        F.regexp_extract("path", home, 1).alias("session_id"), F.regexp_extract("path", home, 2).alias("agent_id"), V.parse("content").alias("v")
+    ).where("v is not null")
+    named = rows.select(
+        "session_id", "agent_id", V.text(v, "$.agentType").alias("agent_type"), V.text(v, "$.description").alias("description"), V.text(v, "$.toolUseId").alias("tool_use_id")
+    ).where("agent_type is not null and description is not null and tool_use_id is not null")
+    sizes = transcripts.select(
+        F.regexp_extract("path", stem, 1).alias("session_id"), F.regexp_extract("path", stem, 2).alias("agent_id"), F.col("size").cast("bigint").alias("size")
+    )
+    estimate = F.when(F.col("size").isNull(), F.lit(0)).otherwise(F.greatest(F.floor(F.col("size") / 400), F.lit(1))).cast("bigint")
+    return named.join(sizes, ["session_id", "agent_id"], "left").withColumn("record_count", estimate).drop("size")

@@ -376,22 +376,16 @@ def project_context(spark, sf_dir):
     SELECT shard, off, strlen(t) AS bytes, md5(t) AS digest FROM o""",
 )
 def line_byte_offsets(spark, sf_dir):
-    """Texts written as line files, then scanned with their byte offsets over many small splits."""
+    """Texts written as line files, then scanned with their byte offsets."""
     root = scratch_path(spark, "lines")
     shard = F.floor(F.col("doc_id") / 50).cast("bigint")
     rows = table(spark, sf_dir, "documents").select(shard.alias("shard"), "doc_id", F.col("text").alias("value"))
     rows.repartition("shard").sortWithinPartitions("shard", "doc_id").drop("doc_id").write.partitionBy("shard").text(root)
-    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
-    spark.conf.set("spark.sql.files.maxPartitionBytes", "64k" if sf_dir.endswith("0.01") else old)
-    try:
-        scanned = files.scan_lines(spark, root, "*.txt")
-        shown = scanned.select(
-            F.regexp_extract("file_path", r"shard=(\d+)/", 1).cast("bigint").alias("shard"), "off", F.octet_length("line").alias("bytes"),
-            F.md5(F.encode("line", "UTF-8")).alias("digest"),
-        )
-        return shown
-    finally:
-        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    scanned = files.scan_lines(spark, root, "*.txt")
+    return scanned.select(
+        F.regexp_extract("file_path", r"shard=(\d+)/", 1).cast("bigint").alias("shard"), "off", F.octet_length("line").alias("bytes"),
+        F.md5(F.encode("line", "UTF-8")).alias("digest"),
+    )
 
 
 @area.query(
