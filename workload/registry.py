@@ -7,7 +7,7 @@ import importlib
 
 from pyspark.sql import DataFrame, SparkSession
 
-AREAS = ["area_a", "area_b", "area_cd", "area_usage", "area_search", "area_corpus", "area_text"]
+AREAS = ["area_a", "area_b", "area_cd", "area_usage", "area_search", "area_corpus", "area_text", "area_stream"]
 
 
 class Area:
