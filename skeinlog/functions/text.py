@@ -215,7 +215,7 @@ def shell_output(raw: Column) -> Column:
     return F.struct(
         F.when(lifted, F.regexp_replace(norm, head, "")).otherwise(raw).alias("body"),
         F.when(lifted, strings.trim(F.regexp_extract(norm, head, 1)).try_cast("bigint")).alias("exit_code"),
-        F.when(lifted, (seconds.try_cast("double") * 1000).cast("bigint")).alias("duration_ms"),
+        F.when(lifted, (seconds.try_cast("double") * 1000).try_cast("bigint")).alias("duration_ms"),
         lifted.alias("lifted"),
     )
 

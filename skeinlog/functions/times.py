@@ -9,6 +9,7 @@ SECOND = "yyyy-MM-dd HH:mm:ss"
 MINUTE = "yyyy-MM-dd HH:mm"
 # fixed value: epoch numbers above this are milliseconds, others seconds
 EPOCH_MS_FLOOR = 10_000_000_000
+MAX_MS = 253_402_300_799_999
 
 
 def has_offset(raw: Column) -> Column:
@@ -27,9 +28,10 @@ def local_text(raw: Column) -> Column:
 
 def epoch_text(value: Column, fmt: str = SECOND) -> Column:
     """Epoch seconds or milliseconds, told apart by size."""
-    ms = F.when(F.abs(value) > EPOCH_MS_FLOOR, value).otherwise(value * 1000)
-    return F.date_format(F.timestamp_millis(ms), fmt)
+    value = value.cast("bigint")
+    return millis_text(F.when(F.abs(value) > EPOCH_MS_FLOOR, value).otherwise(value * 1000), fmt)
 
 
 def millis_text(value: Column, fmt: str = SECOND) -> Column:
-    return F.date_format(F.timestamp_millis(value), fmt)
+    """Text of epoch milliseconds; values beyond the year 9999 are unreadable and give null."""
+    return F.date_format(F.timestamp_millis(F.when(F.abs(value) <= MAX_MS, value)), fmt)

@@ -29,8 +29,11 @@ def text(v: Column, path: str) -> Column:
     return F.when(F.schema_of_variant(sub(v, path)) == "STRING", get(v, path))
 
 
-def number(v: Column, path: str) -> Column:
-    return F.coalesce(get(v, path, "bigint"), F.lit(0).cast("bigint"))
+def number(v: Column, path: str, signed: bool = False) -> Column:
+    """Whole number, 0 when missing, of another type, or negative where only counts make sense."""
+    value = F.when(F.schema_of_variant(sub(v, path)) == "BIGINT", get(v, path, "bigint"))
+    kept = value if signed else F.when(value >= 0, value)
+    return F.coalesce(kept, F.lit(0).cast("bigint"))
 
 
 def array(v: Column, path: str) -> Column:

@@ -11,7 +11,8 @@ from skeinlog.operators.ordered import LastValue, RunningSum, first_per_group, o
 AGENT_CALLS = ["Agent", "spawn_agent"]
 QUESTION_CALL = "AskUserQuestion"
 
-UNIT_ORDER = F.struct("unit", "seq")
+def unit_order() -> Column:
+    return F.struct("unit", "seq")
 
 
 def pair_calls(records: DataFrame) -> DataFrame:
@@ -24,12 +25,12 @@ def pair_calls(records: DataFrame) -> DataFrame:
     calls = (
         named.where(F.coalesce(F.col("tool_name"), F.lit("")) != "")
         .groupBy("session_id", "tool_use_id")
-        .agg(F.max_by(F.struct("unit", "tool_name", "tool_input", "ts", "group_id"), UNIT_ORDER).alias("c"))
+        .agg(F.max_by(F.struct("unit", "tool_name", "tool_input", "ts", "group_id"), unit_order()).alias("c"))
     )
     results = (
         named.where("record_type = 'tool_result'")
         .groupBy("session_id", "tool_use_id")
-        .agg(F.max_by(F.struct("unit", "content", "ts", "result_meta", "diff"), UNIT_ORDER).alias("r"))
+        .agg(F.max_by(F.struct("unit", "content", "ts", "result_meta", "diff"), unit_order()).alias("r"))
     )
     return calls.join(results, ["session_id", "tool_use_id"], "left").select(
         "session_id",
@@ -55,7 +56,7 @@ def hooks(records: DataFrame) -> DataFrame:
     return (
         rows.where("phase is not null")
         .groupBy("session_id", "tool_use_id", "phase", "label")
-        .agg(F.min("unit").alias("unit"), F.min_by("content", UNIT_ORDER).alias("content"))
+        .agg(F.min("unit").alias("unit"), F.min_by("content", unit_order()).alias("content"))
     )
 
 

@@ -421,12 +421,20 @@ def _turn_records(lines: DataFrame) -> DataFrame:
         ).alias("line"),
     )
     rows = ordered_scan(rows, ["session_id"], ["off"], [RunningSum("island", F.col("closes").cast("bigint"), inclusive=False)])
-    piece = F.when(F.col("content") != "", F.struct("off", "content"))
-    islands = rows.groupBy("session_id", "island").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(piece)), lambda p: p["content"]), "").alias("text"),
-        F.min_by("ts", F.when(F.col("content") != "", F.col("off"))).alias("text_ts"),
+    # first per chunk, on the partitioning the scan left behind, so that no task holds a long island's pieces
+    has_text = F.col("content") != ""
+    piece = F.when(has_text, F.struct("off", "content"))
+    pieces = rows.groupBy("session_id", "chunk", "island").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(piece)), lambda p: p["content"]), "").alias("part"),
+        F.min(F.when(has_text, F.struct("off", "ts"))).alias("first"),
         F.first(F.when(F.col("closes"), F.col("line")), ignorenulls=True).alias("end"),
     )
+    islands = pieces.groupBy("session_id", "island").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk", "part"))), lambda p: p["part"]), "").alias("text"),
+        F.min("first").alias("first"),
+        F.first("end", ignorenulls=True).alias("end"),
+    )
+    islands = islands.select("session_id", "island", "text", F.col("first.ts").alias("text_ts"), "end")
     # text still open at the end of the session belongs to the session's last line
     last = lines.groupBy("session_id").agg(F.max(F.struct("off", "chunk")).alias("last"))
     open_islands = (

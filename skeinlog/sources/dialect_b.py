@@ -277,13 +277,19 @@ def _quoted(c: Column) -> Column:
 def records(lines: DataFrame, min_level: str = "debug") -> DataFrame:
     """Timeline records; outputs of asking calls carry re-keyed answers."""
     v, t, pt = F.col("v"), F.col("t"), F.col("pt")
-    rows = parsed(lines)
     item, event = t == "response_item", t == "event_msg"
     call_id = V.text(v, "$.payload.call_id")
     is_output = item & pt.isin("function_call_output", "custom_tool_call_output")
-    rows = rows.withColumn("call_id", F.when(is_output, call_id))
-    asked = asked_questions(lines).withColumnsRenamed({"session_id": "q_session", "call_id": "q_call"})
-    rows = rows.join(asked, (F.col("session_id") == F.col("q_session")) & (F.col("call_id") == F.col("q_call")), "left")
+    # only lines that mention an output can need the join with the questions; the others stay a pure projection
+    mentions = F.col("line").contains("_call_output")
+    question_type = "array<struct<id:string,question:string>>"
+    plain = parsed(lines.where(~mentions)).withColumn("questions", F.lit(None).cast(question_type))
+    maybe = parsed(lines.where(mentions)).withColumn(
+        # rows without a call id get a key of their own, so they spread instead of meeting in one partition
+        "call_key", F.when(is_output & call_id.isNotNull(), call_id).otherwise(F.concat(F.lit("\u0000"), F.col("off").cast("string")))
+    )
+    asked = asked_questions(lines).withColumnRenamed("call_id", "call_key")
+    rows = plain.unionByName(maybe.join(asked, ["session_id", "call_key"], "left").drop("call_key"))
 
     def rec(record_type, level, content, **extra) -> Column:
         cols = {
@@ -299,7 +305,7 @@ def records(lines: DataFrame, min_level: str = "debug") -> DataFrame:
         return F.coalesce(V.text(v, f"$.payload.{path}"), F.lit(""))
 
     def num(path: str) -> Column:
-        return V.number(v, f"$.payload.{path}").cast("string")
+        return V.number(v, f"$.payload.{path}", signed=True).cast("string")
 
     message = block_text(v, "$.payload.content")
     role = V.get(v, "$.payload.role")

@@ -115,7 +115,7 @@ def records(messages: DataFrame, parts: DataFrame, min_level: str = "debug") ->
     files = F.coalesce(F.try_variant_get(v, "$.files", "array<string>"), F.expr("cast(array() as array<string>)"))
 
     def tok(path: str) -> Column:
-        return V.number(v, f"$.tokens.{path}").cast("string")
+        return V.number(v, f"$.tokens.{path}", signed=True).cast("string")
 
     usage = F.concat(
         F.lit("tokens · input "), tok("input"), F.lit(" · output "), tok("output"), F.lit(" · reasoning "), tok("reasoning"),

@@ -56,10 +56,13 @@ def file_listing(spark: SparkSession, root: str, pattern: str = "*") -> DataFram
 def group_manifest(members: DataFrame) -> DataFrame:
     """Composite version of a thread group: any change of a member changes the root's version.
 
-    ``members(root_key, path, version)``. A group's list holds one short entry per file.
+    ``members(root_key, path, version)``. The version is a count and an order-free digest sum, so a group
+    of any size folds map-side into one number.
     """
-    part = F.concat_ws("@", "path", "version")
-    return members.groupBy(F.col("root_key").alias("key")).agg(F.array_join(F.array_sort(F.collect_list(part)), "|").alias("version"))
+    part = F.md5(F.encode(F.concat_ws("@", "path", "version"), "UTF-8"))
+    number = F.conv(F.substring(part, 1, 12), 16, 10).cast("decimal(20,0)")
+    folded = members.groupBy(F.col("root_key").alias("key")).agg(F.count("*").alias("n"), F.sum(number).alias("digest"))
+    return folded.select("key", F.concat_ws(":", F.col("n").cast("string"), F.col("digest").cast("string")).alias("version"))
 
 
 def host_union(parts: list[tuple[str | None, DataFrame]], tagged: tuple[str, ...] = ("project", "key", "archive_name")) -> DataFrame:

@@ -245,7 +245,7 @@ def file_manifest(spark, sf_dir):
 
 @area.query(
     "group_manifest",
-    LISTING + "SELECT '-w-p' || (doc_id % 13) || '/' || (doc_id // 100) AS key, string_agg(path || '@' || size || ':' || secs, '|' ORDER BY path || '@' || size || ':' || secs) AS version FROM l GROUP BY 1",
+    LISTING + "SELECT '-w-p' || (doc_id % 13) || '/' || (doc_id // 100) AS key, count(*) || ':' || sum(('0x' || substr(md5(path || '@' || size || ':' || secs), 1, 12))::BIGINT) AS version FROM l GROUP BY 1",
 )
 def group_manifest(spark, sf_dir):
     rows = listing(spark, sf_dir)
