@@ -207,15 +207,17 @@ def unwrap_read(text: Column) -> Column:
 
 
 def shell_output(raw: Column) -> Column:
-    """(body, exit_code, duration_ms, lifted) of a shell result that starts with the status header."""
-    norm = F.replace(raw, F.lit("\r\n"), F.lit("\n"))
-    head = r"^Exit code:([^\n]*)\n(?:Wall time:)?([^\n]*)\n\s*Output:[^\n]*(?:\n|\z)"
-    lifted = norm.rlike(head)
-    seconds = strings.trim(F.regexp_replace(strings.trim(F.regexp_extract(norm, head, 2)), r"(seconds)+$", ""))
+    """(body, exit_code, duration_ms, lifted) of a shell result that starts with its status lines."""
+    parts = F.split(F.replace(raw, F.lit("\r\n"), F.lit("\n")), "\n", 4)
+    marked = strings.ltrim(F.coalesce(F.get(parts, F.lit(2)), F.lit(""))).startswith("Output:")
+    # the plain prefix test comes first: other results are never split
+    lifted = F.when(raw.startswith("Exit code:"), marked).otherwise(False)
+    code = strings.trim(F.replace(F.get(parts, F.lit(0)), F.lit("Exit code:"), F.lit("")))
+    wall = strings.trim(F.replace(F.replace(F.get(parts, F.lit(1)), F.lit("Wall time:"), F.lit("")), F.lit("seconds"), F.lit("")))
     return F.struct(
-        F.when(lifted, F.regexp_replace(norm, head, "")).otherwise(raw).alias("body"),
-        F.when(lifted, strings.trim(F.regexp_extract(norm, head, 1)).try_cast("bigint")).alias("exit_code"),
-        F.when(lifted, (seconds.try_cast("double") * 1000).try_cast("bigint")).alias("duration_ms"),
+        F.when(lifted, F.coalesce(F.get(parts, F.lit(3)), F.lit(""))).otherwise(raw).alias("body"),
+        F.when(lifted, code.try_cast("bigint")).alias("exit_code"),
+        F.when(lifted, (wall.try_cast("double") * 1000).try_cast("bigint")).alias("duration_ms"),
         lifted.alias("lifted"),
     )
 

@@ -6,7 +6,7 @@ binary value, so no field costs a second JSON parse.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skeinlog.functions import strings
@@ -16,6 +16,29 @@ def parse(line: Column | str) -> Column:
     return F.try_parse_json(line)
 
 
+def with_parsed(rows: DataFrame, column: str = "line") -> DataFrame:
+    """Replace a JSON text column by its variant ``v``; rows that are not JSON drop out.
+
+    The value passes through a generator before the null test: a filter directly on the parsed value
+    would be pushed below the projection and parse every line a second time.
+    """
+    keep = [c for c in rows.columns if c != column]
+    return rows.select(*keep, F.explode(F.array(parse(F.col(column)))).alias("v")).where("v is not null")
+
+
+def expand(rows: DataFrame, keep: list[Column | str], *entries: Column) -> DataFrame:
+    """One output row per non-null entry struct, next to the kept columns.
+
+    The entries are computed once, in a projection that stays inside generated code; generation and null
+    test follow on their attributes.
+    """
+    names = [f"__e{i}" for i in range(len(entries))]
+    staged = rows.select(*keep, *[e.alias(n) for e, n in zip(entries, names, strict=True)])
+    kept = [c for c in staged.columns if c not in names]
+    tagged = F.array(*[F.struct(F.col(n).isNotNull().alias("__ok"), F.col(n).alias("__v")) for n in names])
+    return staged.select(*kept, F.inline(tagged)).where("__ok").select(*kept, "__v.*")
+
+
 def get(v: Column, path: str, kind: str = "string") -> Column:
     return F.try_variant_get(v, path, kind)
 

@@ -15,6 +15,8 @@ RECOMMENDED_CONF = {
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # the JVM does not compile methods beyond 8000 bytes; wide CASE projections then run faster split up
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 
@@ -31,6 +33,12 @@ def build_session(cpus: int | str = "*", app: str = "skeinlog", shuffle_partitio
     )
 
 
+def tune(spark: SparkSession) -> None:
+    """Apply the recommended settings to a running session."""
+    for key, value in RECOMMENDED_CONF.items():
+        spark.conf.set(key, value)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach: ``spark.checkpoint.dir``, or a temporary one in local mode only."""
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()

@@ -72,7 +72,7 @@ def _content_text(c: Column) -> Column:
 def parsed(lines: DataFrame) -> DataFrame:
     """Parse every valid line once and name the parts the rest of the dialect works on."""
     v = F.col("v")
-    base = lines.withColumn("v", V.parse("line")).where("v is not null").drop("line")
+    base = V.with_parsed(lines)
     base = base.select(
         "*",
         F.coalesce(V.get(v, "$.type"), F.lit("")).alias("rtype"),
@@ -370,13 +370,7 @@ def _line_records(lines: DataFrame) -> DataFrame:
             )
         )
     )
-    return rows.select(
-        "session_id",
-        "chunk",
-        F.col("off").alias("unit"),
-        "group_id",
-        F.inline(F.filter(F.array(per_line), lambda r: r.isNotNull())),
-    )
+    return V.expand(rows, ["session_id", "chunk", F.col("off").alias("unit"), "group_id"], per_line)
 
 
 def _turn_records(lines: DataFrame) -> DataFrame:
@@ -446,7 +440,7 @@ def _turn_records(lines: DataFrame) -> DataFrame:
         "session_id", F.col("end.chunk").alias("chunk"), F.col("end.off").alias("unit"), "text", "text_ts", "end"
     )
     ts = F.coalesce(F.col("text_ts"), F.col("end.ts"))
-    entries = F.array(
+    entries = [
         F.when(F.col("text") != "", _record(1, "assistant", "content", F.col("text"), ts)),
         F.when(
             F.col("end.tool_name").isNotNull(),
@@ -462,14 +456,9 @@ def _turn_records(lines: DataFrame) -> DataFrame:
                 diff=F.col("end.diff"),
             ),
         ),
-    )
-    return closed.unionByName(open_islands).select(
-        "session_id",
-        "chunk",
-        "unit",
-        F.col("end.group_id").alias("group_id"),
-        F.inline(F.filter(entries, lambda r: r.isNotNull())),
-    )
+    ]
+    keep = ["session_id", "chunk", "unit", F.col("end.group_id").alias("group_id")]
+    return V.expand(closed.unionByName(open_islands), keep, *entries)
 
 
 def records(lines: DataFrame, min_level: str = "debug") -> DataFrame:
@@ -502,14 +491,12 @@ def texts(lines: DataFrame) -> DataFrame:
         keep = F.coalesce(cond & (strings.trim(text) != ""), F.lit(False))
         return F.when(keep, F.struct(F.lit(seq).alias("seq"), F.lit(kind).alias("kind"), text.alias("text")))
 
-    entries = F.array(
+    entries = [
         entry(0, "content", F.col("rtype").isin("user", "assistant"), index_text()),
         entry(1, "reasoning", F.col("rtype") == "assistant", think),
         entry(2, "tool", tur.isNotNull(), tool),
-    )
-    return rows.select(
-        "session_id", "chunk", F.col("off").alias("unit"), F.inline(F.filter(entries, lambda e: e.isNotNull()))
-    ).select(*TEXT_COLUMNS)
+    ]
+    return V.expand(rows, ["session_id", "chunk", F.col("off").alias("unit")], *entries).select(*TEXT_COLUMNS)
 
 
 def usage_columns() -> list[Column]:
@@ -634,9 +621,8 @@ def search_hits(lines: DataFrame, query: str) -> DataFrame:
         F.when(match(result), hit(result, "tool_result")),
     )
     return (
-        rows.select("session_id", F.col("off").alias("unit"), found.alias("h"), "ts")
-        .where("h is not null")
-        .select("session_id", "unit", "h.record_type", snippet(F.col("h.text"), q).alias("snippet"), "ts")
+        V.expand(rows, ["session_id", F.col("off").alias("unit"), "ts"], found)
+        .select("session_id", "unit", "record_type", snippet(F.col("text"), q).alias("snippet"), "ts")
     )
 
 

@@ -25,7 +25,7 @@ ASK_CALLS = ["request_user_input", "ask_user_question"]
 
 def parsed(lines: DataFrame) -> DataFrame:
     v = F.col("v")
-    base = lines.withColumn("v", V.parse("line")).where("v is not null").drop("line")
+    base = V.with_parsed(lines)
     return base.select(
         "*",
         F.coalesce(V.get(v, "$.type"), F.lit("")).alias("t"),
@@ -218,8 +218,7 @@ def texts(lines: DataFrame) -> DataFrame:
         .when((t == "event_msg") & (pt == "agent_reasoning"), entry("reasoning", V.text(v, "$.payload.text")))
     )
     return (
-        rows.select("session_id", "chunk", F.col("off").alias("unit"), F.lit(0).alias("seq"), found.alias("e"))
-        .select("session_id", "chunk", "unit", "seq", "e.kind", "e.text")
+        V.expand(rows, ["session_id", "chunk", F.col("off").alias("unit"), F.lit(0).alias("seq")], found)
         .where(strings.trim("text") != "")
         .select(*TEXT_COLUMNS)
     )
@@ -228,7 +227,10 @@ def texts(lines: DataFrame) -> DataFrame:
 def asked_questions(lines: DataFrame) -> DataFrame:
     """(session, call id, question id and text list) of calls that ask the user."""
     v = F.col("v")
-    rows = parsed(lines.where(F.col("line").contains('"function_call"'))).where("t = 'response_item' and pt = 'function_call'")
+    gate = F.lit(False)
+    for name in ASK_CALLS:
+        gate = gate | F.col("line").contains(name)
+    rows = parsed(lines.where(gate)).where("t = 'response_item' and pt = 'function_call'")
     args = V.parse(V.text(v, "$.payload.arguments"))
     asks = rows.where(V.get(v, "$.payload.name").isin(ASK_CALLS)).select(
         "session_id", "off", V.text(v, "$.payload.call_id").alias("call_id"), args.alias("args")
@@ -410,11 +412,13 @@ def records(lines: DataFrame, min_level: str = "debug") -> DataFrame:
         )
     )
     return (
-        rows.select("session_id", "chunk", F.col("off").alias("unit"), "ts", found.alias("r"))
-        .where("r is not null")
-        .select(
-            "session_id", "chunk", "unit", F.lit(0).alias("seq"), "r.*", "ts",
-            F.lit(None).cast("string").alias("group_id"), F.lit(None).cast("string").alias("diff"),
+        V.expand(
+            rows,
+            [
+                "session_id", "chunk", F.col("off").alias("unit"), "ts", F.lit(0).alias("seq"),
+                F.lit(None).cast("string").alias("group_id"), F.lit(None).cast("string").alias("diff"),
+            ],
+            found,
         )
         .where(visible(F.col("level"), min_level))
         .select(*RECORD_COLUMNS)
@@ -516,9 +520,9 @@ def search_hits(lines: DataFrame, query: str) -> DataFrame:
         .when((t == "event_msg") & (pt == "agent_reasoning"), hit("thinking", V.text(v, "$.payload.text")))
     )
     return (
-        rows.select("session_id", F.col("off").alias("unit"), found.alias("h"), "ts")
-        .where(F.contains(F.lower("h.text"), F.lit(q)))
-        .select("session_id", "unit", "h.record_type", snippet(F.col("h.text"), q).alias("snippet"), "ts")
+        V.expand(rows, ["session_id", F.col("off").alias("unit"), "ts"], found)
+        .where(F.contains(F.lower("text"), F.lit(q)))
+        .select("session_id", "unit", "record_type", snippet(F.col("text"), q).alias("snippet"), "ts")
     )
 
 

@@ -77,8 +77,7 @@ def records(messages: DataFrame, parts: DataFrame, min_level: str = "debug") ->
     )
     v = F.col("v")
     rows = (
-        parts.select("message_id", "session_id", F.col("id").alias("part_id"), "time_created", V.parse("data").alias("v"))
-        .where("v is not null")
+        V.with_parsed(parts.select("message_id", "session_id", F.col("id").alias("part_id"), "time_created", "data"), "data")
         .join(positions, "message_id")
     )
     kind = F.coalesce(V.get(v, "$.type"), F.lit(""))
@@ -138,10 +137,10 @@ def records(messages: DataFrame, parts: DataFrame, min_level: str = "debug") ->
         .when(kind == "step-finish", F.array(rec("usage", "debug", usage)))
         .when(kind == "compaction", F.array(rec("meta", "content", F.lit("context compacted"))))
     )
-    emitted = rows.select(
-        "session_id", "chunk", "position", "message_id", "time_created", "part_id", "ts",
-        F.posexplode(F.filter(entries, lambda r: r.isNotNull())).alias("i", "r"),
-    ).where(visible(F.col("r.level"), min_level))
+    staged = rows.select("session_id", "chunk", "position", "message_id", "time_created", "part_id", "ts", entries.alias("entries"))
+    emitted = staged.select(
+        "session_id", "chunk", "position", "message_id", "time_created", "part_id", "ts", F.posexplode("entries").alias("i", "r")
+    ).where(F.col("r").isNotNull() & visible(F.col("r.level"), min_level))
     # record index inside its message: a message is the unit of a cursor and small
     inside = Window.partitionBy("session_id", "message_id").orderBy("time_created", "part_id", "i")
     return emitted.select(
@@ -190,15 +189,14 @@ def texts(parts: DataFrame) -> DataFrame:
     kind = V.get(v, "$.type")
     plain = F.coalesce(V.text(v, "$.text"), F.lit(""))
     tool = F.concat(F.coalesce(V.as_json(V.sub(v, "$.state.input")), F.lit("")), F.lit(" "), _as_text(V.sub(v, "$.state.output")))
-    rows = parts.withColumn("chunk", F.floor(F.col("time_created") / DAY_MS).cast("bigint")).withColumn("v", V.parse("data"))
+    rows = V.with_parsed(parts.withColumn("chunk", F.floor(F.col("time_created") / DAY_MS).cast("bigint")), "data")
     found = (
         F.when(kind == "text", F.struct(F.lit("content").alias("kind"), plain.alias("text")))
         .when(kind == "reasoning", F.struct(F.lit("reasoning").alias("kind"), plain.alias("text")))
         .when(kind == "tool", F.struct(F.lit("tool").alias("kind"), tool.alias("text")))
     )
     return (
-        rows.select("session_id", "chunk", F.col("time_created").alias("unit"), F.col("id").alias("seq"), found.alias("e"))
-        .select("session_id", "chunk", "unit", "seq", "e.kind", "e.text")
+        V.expand(rows, ["session_id", "chunk", F.col("time_created").alias("unit"), F.col("id").alias("seq")], found)
         .where(strings.trim("text") != "")
         .select(*TEXT_COLUMNS)
     )

@@ -17,7 +17,7 @@ SOURCE = "pi"
 
 def parsed(lines: DataFrame) -> DataFrame:
     v = F.col("v")
-    base = lines.withColumn("v", V.parse("line")).where("v is not null").drop("line")
+    base = V.with_parsed(lines)
     millis = F.coalesce(
         V.get(v, "$.message.timestamp", "bigint"), F.unix_millis(times.instant(V.text(v, "$.timestamp")))
     )
@@ -166,10 +166,9 @@ def records(lines: DataFrame, min_level: str = "debug") -> DataFrame:
     )
     return (
         rows.select(
-            "session_id", "chunk", F.col("off").alias("unit"), "ts",
-            V.blank_to_null(V.text(v, "$.id")).alias("group_id"),
-            F.posexplode(F.filter(entries, lambda r: r.isNotNull())).alias("seq", "r"),
+            "session_id", "chunk", F.col("off").alias("unit"), "ts", V.blank_to_null(V.text(v, "$.id")).alias("group_id"), entries.alias("entries")
         )
+        .select("session_id", "chunk", "unit", "ts", "group_id", F.posexplode(F.array_compact("entries")).alias("seq", "r"))
         .select("session_id", "chunk", "unit", "seq", "r.*", "ts", "group_id", F.lit(None).cast("string").alias("diff"))
         .where(visible(F.col("level"), min_level))
         .select(*RECORD_COLUMNS)
@@ -285,7 +284,8 @@ def texts(lines: DataFrame) -> DataFrame:
     return (
         parsed(lines)
         .join(opened, "session_id", "left_semi")
-        .select("session_id", "chunk", F.col("off").alias("unit"), F.posexplode(F.filter(entries, lambda x: x.isNotNull())).alias("seq", "e"))
+        .select("session_id", "chunk", F.col("off").alias("unit"), entries.alias("entries"))
+        .select("session_id", "chunk", "unit", F.posexplode(F.array_compact("entries")).alias("seq", "e"))
         .select("session_id", "chunk", "unit", "seq", "e.kind", "e.text")
         .where(strings.trim("text") != "")
         .select(*TEXT_COLUMNS)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from workload.tables import table
+from workload.tables import stored, table
 
 CHUNK_WIDTH = 40
 EPOCH_2026 = 1_767_225_600
@@ -16,6 +16,7 @@ def stamp(conv: Column, turn: Column) -> Column:
     return F.date_format(F.timestamp_seconds(seconds), "yyyy-MM-dd'T'HH:mm:ss'Z'")
 
 
+@stored
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     conv, turn, text, role = (F.col(c) for c in ("conv_id", "turn", "text", "role"))
     n = F.length(text)

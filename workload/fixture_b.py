@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from workload.tables import table
+from workload.tables import stored, table
 
 CHUNK_WIDTH = 4
 
 
+@stored
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = F.col("event_id")
     c = F.round(F.col("value") * 100).cast("bigint")

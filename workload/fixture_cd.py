@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from workload.fixture_a import EPOCH_2026, stamp
-from workload.tables import table
+from workload.tables import stored, table
 
 CHUNK_WIDTH = 5
 
@@ -15,6 +15,7 @@ def _obj(**fields: Column) -> Column:
     return F.struct(*[v.alias(k) for k, v in fields.items()])
 
 
+@stored
 def c_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chains of 20 sessions, so the deepest ones lie beyond the 16-step climb."""
     conv = F.col("conv_id")
@@ -38,6 +39,7 @@ def _time() -> Column:
     return (F.lit(EPOCH_2026) + F.col("conv_id") * 3600) * 1000 + F.floor(F.col("turn") / 2) * 60_000
 
 
+@stored
 def c_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     conv, turn = F.col("conv_id"), F.col("turn")
     rows = table(spark, sf_dir, "conversations")
@@ -49,6 +51,7 @@ def c_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@stored
 def c_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     conv, turn, text = F.col("conv_id"), F.col("turn"), F.col("text")
     n = F.length(text)
@@ -96,6 +99,7 @@ def c_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@stored
 def d_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Header, a level and a model change, then turns; every ninth file has no header."""
     conv, turn, text, role = (F.col(c) for c in ("conv_id", "turn", "text", "role"))

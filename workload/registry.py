@@ -7,6 +7,8 @@ import importlib
 
 from pyspark.sql import DataFrame, SparkSession
 
+from skeinlog.session import tune
+
 AREAS = ["area_a", "area_b", "area_cd", "area_usage", "area_search", "area_corpus", "area_text", "area_stream"]
 
 
@@ -21,7 +23,7 @@ class Area:
         def wrap(fn):
             @functools.wraps(fn)
             def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-                spark.conf.set("spark.sql.session.timeZone", "UTC")
+                tune(spark)
                 return fn(spark, sf_dir)
 
             assert name not in self.queries, name

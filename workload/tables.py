@@ -1,9 +1,37 @@
-"""Readers for the given tables."""
+"""Readers for the given tables, and for line and store tables derived from them."""
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 
+from skeinlog.session import scratch_path
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+_written: dict[tuple[str, str, str], tuple[str, object]] = {}
+
+
+def stored(build: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """Write a derived table once per application, into the shared folder, and read it from there.
+
+    It stands for the transcript store a deployment would already have.
+    """
+
+    @functools.wraps(build)
+    def read(spark: SparkSession, sf_dir: str) -> DataFrame:
+        key = (spark.sparkContext.applicationId, sf_dir, f"{build.__module__}.{build.__name__}")
+        if key not in _written:
+            df = build(spark, sf_dir)
+            path = scratch_path(spark, build.__name__.replace("_", "-"))
+            df.write.parquet(path)
+            _written[key] = (path, df.schema)
+        path, schema = _written[key]
+        return spark.read.schema(schema).parquet(path)
+
+    return read
