@@ -36,13 +36,10 @@ def _budget(values: list[int], code: str = "code") -> Column:
     return F.when(F.col(code) == 1, values[1]).when(F.col(code) == 2, values[2]).otherwise(values[0])
 
 
-_KEPT = "array<struct<unit:bigint,seq:bigint,text:string>>"
-
-
-def _fold(entries: Column, bytes_left: Column, chunks_left: Column) -> Column:
+def _fold(entries: Column, bytes_left: Column, chunks_left: Column, kept_type: str) -> Column:
     """Take texts in order while the budgets last; a text that is blank after its cut costs nothing."""
     start = F.struct(
-        bytes_left.cast("int").alias("bytes"), chunks_left.cast("int").alias("chunks"), F.expr(f"cast(array() as {_KEPT})").alias("kept")
+        bytes_left.cast("int").alias("bytes"), chunks_left.cast("int").alias("chunks"), F.expr(f"cast(array() as {kept_type})").alias("kept")
     )
 
     def step(acc: Column, e: Column) -> Column:
@@ -50,14 +47,14 @@ def _fold(entries: Column, bytes_left: Column, chunks_left: Column) -> Column:
         taken = F.struct(
             (acc["bytes"] - F.octet_length(cut)).alias("bytes"),
             (acc["chunks"] - 1).alias("chunks"),
-            F.concat(acc["kept"], F.array(F.struct(e["unit"].alias("unit"), e["seq"].alias("seq"), cut.alias("text")))).alias("kept"),
+            F.concat(acc["kept"], F.array(F.struct(e["pos"].alias("pos"), cut.alias("text")))).alias("kept"),
         )
         return F.when((acc["bytes"] > 0) & (acc["chunks"] > 0) & (strings.trim(cut) != ""), taken).otherwise(acc)
 
     return F.aggregate(entries, start, step)
 
 
-def bounded_texts(texts: DataFrame) -> DataFrame:
+def bounded_texts(texts: DataFrame, order: tuple[str, ...] = ("unit", "seq")) -> DataFrame:
     """Texts kept for the index: per session and kind, in order, within the byte and chunk budgets.
 
     Only the first rows that could still be taken reach a group: every map task keeps at most 128 of
@@ -66,54 +63,49 @@ def bounded_texts(texts: DataFrame) -> DataFrame:
     another round from where they stopped, until none is left.
     """
     keys = ["session_key", "code"]
-    rows = texts.select(
-        "session_key",
-        kind_code("kind").alias("code"),
-        F.col("unit").cast("bigint").alias("unit"),
-        F.col("seq").cast("bigint").alias("seq"),
-        "text",
-    ).where(strings.trim("text") != "")
-    rows = rows.withColumn("text", cut_bytes(F.col("text"), _budget(TEXT_BYTES)))
+    rows = texts.select("session_key", kind_code("kind").alias("code"), F.struct(*order).alias("pos"), "text")
+    rows = rows.where(strings.trim("text") != "").withColumn("text", cut_bytes(F.col("text"), _budget(TEXT_BYTES)))
+    kept_type = f"array<struct<pos:{rows.schema['pos'].dataType.simpleString()},text:string>>"
     start = rows.withColumns({"bytes": _budget(TEXT_BYTES), "chunks": _budget(TEXT_CHUNKS)})
     done: list[DataFrame] = []
     round_no = 0
     while True:
-        head = first_per_group(start, keys, ["unit", "seq"], max(TEXT_CHUNKS), "rank").where("rank <= chunks")
+        head = first_per_group(start, keys, ["pos"], max(TEXT_CHUNKS), "rank").where("rank <= chunks")
         grouped = head.groupBy(*keys).agg(
-            F.array_sort(F.collect_list(F.struct("unit", "seq", "text"))).alias("entries"),
+            F.array_sort(F.collect_list(F.struct("pos", "text"))).alias("entries"),
             F.first("bytes").alias("bytes"),
             F.first("chunks").alias("chunks"),
         )
         folded = grouped.select(
             *keys,
-            F.element_at("entries", -1).alias("last"),
+            F.element_at("entries", -1)["pos"].alias("last"),
             (F.size("entries") == F.col("chunks")).alias("full"),
-            _fold(F.col("entries"), F.col("bytes"), F.col("chunks")).alias("s"),
-        ).select(*keys, "last.unit", "last.seq", "full", "s.bytes", "s.chunks", "s.kept")
+            _fold(F.col("entries"), F.col("bytes"), F.col("chunks"), kept_type).alias("s"),
+        ).select(*keys, "last", "full", "s.bytes", "s.chunks", "s.kept")
         table = cut_lineage(folded, f"bounded-{round_no}")
         done.append(table.select(*keys, F.inline("kept")))
         open_groups = table.where("full and bytes > 0 and chunks > 0")
         if open_groups.isEmpty():
             break
-        state = open_groups.select(*keys, F.col("unit").alias("u0"), F.col("seq").alias("s0"), "bytes", "chunks")
-        later = (F.col("unit") > F.col("u0")) | ((F.col("unit") == F.col("u0")) & (F.col("seq") > F.col("s0")))
+        state = open_groups.select(*keys, "last", "bytes", "chunks")
         start = (
             rows.join(state, keys)
-            .where(later & (strings.trim(cut_bytes(F.col("text"), F.col("bytes"))) != ""))
-            .drop("u0", "s0")
+            .where((F.col("pos") > F.col("last")) & (strings.trim(cut_bytes(F.col("text"), F.col("bytes"))) != ""))
+            .drop("last")
         )
         round_no += 1
     result = done[0]
     for more in done[1:]:
         result = result.unionByName(more)
-    return result.select("session_key", "unit", "seq", "code", "text")
+    return result.select("session_key", "pos.*", "code", "text")
 
 
 def preview_texts(bounded: DataFrame) -> DataFrame:
     """Copy kept for snippets: 16 KiB per text, 64 KiB per session. Input is bounded, so groups are small."""
     entry = F.struct("unit", "seq", "code", cut_bytes(F.col("text"), F.lit(PREVIEW_TEXT_BYTES)).alias("text"))
     grouped = bounded.groupBy("session_key").agg(F.array_sort(F.collect_list(entry)).alias("entries"))
-    kept = "array<struct<unit:bigint,seq:bigint,code:int,text:string>>"
+    types = {c: bounded.schema[c].dataType.simpleString() for c in ("unit", "seq", "code")}
+    kept = f"array<struct<unit:{types['unit']},seq:{types['seq']},code:{types['code']},text:string>>"
     start = F.struct(F.lit(PREVIEW_SESSION_BYTES).alias("bytes"), F.expr(f"cast(array() as {kept})").alias("kept"))
 
     def step(acc: Column, e: Column) -> Column:
@@ -133,7 +125,9 @@ def index_tokens(docs: DataFrame, bounded: DataFrame) -> DataFrame:
         "session_key",
         F.posexplode(F.array(*[F.coalesce(f, F.lit("")) for f in fields])).alias("part", "text"),
     ).select("session_key", F.lit(0).alias("code"), F.lit(0).alias("tier"), F.col("part").cast("bigint").alias("unit"), F.lit(0).cast("bigint").alias("seq"), "text")
-    body = bounded.select("session_key", "code", F.lit(1).alias("tier"), "unit", "seq", "text")
+    body = bounded.select(
+        "session_key", "code", F.lit(1).alias("tier"), F.col("unit").cast("bigint").alias("unit"), F.col("seq").cast("bigint").alias("seq"), "text"
+    )
     seen = (
         meta.unionByName(body)
         .select("session_key", "code", "tier", "unit", "seq", F.posexplode(tokens(F.col("text"))).alias("pos", "token"))

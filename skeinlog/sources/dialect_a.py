@@ -10,7 +10,7 @@ from skeinlog.functions import times
 from skeinlog.functions import variants as V
 from skeinlog.functions.text import snippet
 from skeinlog.operators.ordered import RunningSum, first_per_group, ordered_scan
-from skeinlog.schemas import RECORD_COLUMNS, TEXT_COLUMNS
+from skeinlog.schemas import RECORD_COLUMNS, TEXT_COLUMNS, USAGE_COLUMNS
 
 SOURCE = "claude"
 
@@ -499,23 +499,19 @@ def texts(lines: DataFrame) -> DataFrame:
     return V.expand(rows, ["session_id", "chunk", F.col("off").alias("unit")], *entries).select(*TEXT_COLUMNS)
 
 
-def usage_columns() -> list[Column]:
+def turn_usage() -> Column:
+    """Counters of one assistant line; cache is read plus creation, the total is the sum of all."""
     v = F.col("v")
-    is_assistant = _is_turn("assistant")
-    inp, out = V.number(v, "$.message.usage.input_tokens"), V.number(v, "$.message.usage.output_tokens")
-    cache = V.number(v, "$.message.usage.cache_read_input_tokens") + V.number(
-        v, "$.message.usage.cache_creation_input_tokens"
-    )
+    base = "$.message.usage"
+    inp, out = V.number(v, f"{base}.input_tokens"), V.number(v, f"{base}.output_tokens")
+    cache = V.number(v, f"{base}.cache_read_input_tokens") + V.number(v, f"{base}.cache_creation_input_tokens")
+    counters = F.struct(*[c.alias(n) for n, c in zip(USAGE_COLUMNS, (inp, out, cache, inp + out + cache), strict=True)])
+    return F.when(_is_turn("assistant") & V.sub(v, base).isNotNull(), counters)
 
-    def total(c: Column) -> Column:
-        return F.coalesce(F.sum(F.when(is_assistant, c)), F.lit(0)).cast("bigint")
 
-    return [
-        total(inp).alias("input_tokens"),
-        total(out).alias("output_tokens"),
-        total(cache).alias("cache_tokens"),
-        total(inp + out + cache).alias("total_tokens"),
-    ]
+def summed_usage(column: str = "usage") -> list[Column]:
+    zero = F.lit(0).cast("bigint")
+    return [F.coalesce(F.sum(F.col(column)[c]), zero).cast("bigint").alias(c) for c in USAGE_COLUMNS]
 
 
 def model_turns(lines: DataFrame) -> DataFrame:
@@ -535,14 +531,16 @@ def model_turns(lines: DataFrame) -> DataFrame:
 
 def usage_by_turn_model(lines: DataFrame) -> DataFrame:
     """Usage attributed to the model named by each turn."""
-    turns = parsed(lines).where(_is_turn("assistant") & V.sub(F.col("v"), "$.message.usage").isNotNull())
-    return turns.groupBy(V.blank_to_null(V.text(F.col("v"), "$.message.model")).alias("model")).agg(
-        F.count("*").alias("turns"), *usage_columns()
-    )
+    model = V.blank_to_null(V.text(F.col("v"), "$.message.model"))
+    turns = parsed(lines).select(model.alias("model"), turn_usage().alias("usage")).where("usage is not null")
+    return turns.groupBy("model").agg(F.count("*").alias("turns"), *summed_usage())
 
 
 def sessions(lines: DataFrame) -> DataFrame:
-    """One row per session: title, first prompt, created / updated and usage, in one aggregation."""
+    """One row per session: title, first prompt, created / updated and usage, in one aggregation.
+
+    Only narrow columns reach the aggregation; the parsed line stays behind in the projection.
+    """
     v, off = F.col("v"), F.col("off")
     rtype = F.col("rtype")
     summary = F.when(rtype == "summary", V.blank_to_null(V.text(v, "$.summary")))
@@ -563,9 +561,7 @@ def sessions(lines: DataFrame) -> DataFrame:
     rows = parsed(lines).select(
         "session_id",
         "off",
-        "rtype",
-        "role",
-        "v",
+        turn_usage().alias("usage"),
         summary.alias("summary"),
         custom.alias("custom"),
         turn_ts.alias("turn_ts"),
@@ -580,7 +576,7 @@ def sessions(lines: DataFrame) -> DataFrame:
         F.min_by("turn_ts", at(F.col("turn_ts"))).alias("created_at"),
         F.max_by("turn_ts", at(F.col("turn_ts"))).alias("updated_at"),
         F.min_by("cwd", at(F.col("cwd"))).alias("project_path"),
-        *usage_columns(),
+        *summed_usage(),
     )
 
 

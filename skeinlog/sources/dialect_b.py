@@ -13,6 +13,7 @@ from skeinlog.functions.text import snippet
 from skeinlog.operators.ordered import LastValue, ordered_scan
 from skeinlog.operators.tree import next_pointers, resolve_roots
 from skeinlog.schemas import RECORD_COLUMNS, TEXT_COLUMNS, USAGE_COLUMNS
+from skeinlog.session import cut_lineage
 from skeinlog.sources.dialect_a import visible
 
 SOURCE = "codex"
@@ -80,7 +81,8 @@ def identities(lines: DataFrame, head_bytes: int | None = HEAD_BYTES) -> DataFra
 
 
 def threads(ident: DataFrame, label: str = "threads") -> DataFrame:
-    """Identities with their resolved root thread."""
+    """Identities with their resolved root thread. The identities are written once: every round reads them."""
+    ident = cut_lineage(ident, f"{label}-identities")
     nodes = ident.groupBy(F.col("thread_id").alias("id")).agg(
         F.min_by(F.struct("parent_id", "root_hint", "is_subagent"), "session_id").alias("n")
     )
@@ -224,6 +226,16 @@ def texts(lines: DataFrame) -> DataFrame:
     )
 
 
+def group_texts(texts_df: DataFrame, tree: DataFrame) -> DataFrame:
+    """Texts of a whole thread group on its root: root first, then the children by start time.
+
+    The order is carried in columns (``member``, ``unit``, ``seq``), so a group is never gathered to number it.
+    """
+    member = F.struct((F.col("thread_id") != F.col("root_id")).alias("is_child"), "started", "thread_id")
+    owners = tree.select("session_id", F.col("root_id").alias("session_key"), member.alias("member"))
+    return texts_df.join(owners, "session_id").select("session_key", "member", "unit", "seq", "kind", "text")
+
+
 def asked_questions(lines: DataFrame) -> DataFrame:
     """(session, call id, question id and text list) of calls that ask the user."""
     v = F.col("v")

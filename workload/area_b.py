@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from skeinlog.functions import text as X
 from skeinlog.operators import models
-from skeinlog.session import cut_lineage
+from skeinlog.plans import index as I
 from skeinlog.sources import dialect_b as B
 from workload import fixture_b
 from workload.registry import Area, snippet_sql
@@ -47,7 +47,7 @@ def lines(spark, sf_dir) -> DataFrame:
 
 
 def tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return B.threads(cut_lineage(B.identities(lines(spark, sf_dir)), "identities"))
+    return B.threads(B.identities(lines(spark, sf_dir)))
 
 
 @area.query(
@@ -288,3 +288,28 @@ def thread_memories(spark, sf_dir):
 def readable_titles(spark, sf_dir):
     info = fixture_b.thread_info(spark, sf_dir)
     return info.select(F.col("thread_id").cast("bigint").alias("event_id"), X.readable_title(F.col("title")).alias("title"))
+
+
+@area.query(
+    "thread_group_texts",
+    BASE
+    + """, t AS (
+      SELECT id, 5 AS unit, 0 AS code, 'Prompt ' || id AS text FROM e WHERE e % 6 <> 0
+      UNION ALL SELECT id, 11, 1, '{"agent_id":"' || (3*e+1) || '"}' FROM e WHERE e % 2 = 1
+      UNION ALL SELECT id, 13, 1, 'ls ' || id FROM e
+      UNION ALL SELECT id, 14, 1, 'Exit code: ' || (e % 4) || chr(10) || 'Wall time: ' || ((e % 30) // 10) || '.' || (e % 10) || ' seconds' || chr(10) || 'Output:' || chr(10) || 'line ' || id FROM e
+      UNION ALL SELECT id, 16, 2, 'Think ' || id FROM e
+      UNION ALL SELECT id, 17, 0, 'Answer ' || id FROM e
+      UNION ALL SELECT id, 19, 1, '{"answers":{"q1":{"answers":["A","B"]},"q2":["C"]}}' FROM e WHERE e % 9 = 0),
+    o AS (SELECT root_id, code, text, row_number() OVER (PARTITION BY root_id, code ORDER BY (id <> root_id), ts, id, unit) AS rn
+      FROM t JOIN roots USING (id) JOIN e USING (id))
+    SELECT root_id, code, count(*) AS texts, sum(strlen(text))::BIGINT AS bytes, min(text) AS first_text, max(text) AS last_text FROM o
+    WHERE rn <= CASE code WHEN 0 THEN 128 ELSE 64 END GROUP BY 1, 2""",
+)
+def thread_group_texts(spark, sf_dir):
+    """Index texts of whole groups: the budgets hold for the root, whatever the number of children."""
+    src = lines(spark, sf_dir)
+    kept = I.bounded_texts(B.group_texts(B.texts(src), tree(spark, sf_dir)), ("member", "unit", "seq"))
+    return kept.groupBy(F.col("session_key").alias("root_id"), "code").agg(
+        F.count("*").alias("texts"), F.sum(F.octet_length("text")).cast("bigint").alias("bytes"), F.min("text").alias("first_text"), F.max("text").alias("last_text")
+    )

@@ -9,7 +9,6 @@ from skeinlog.functions import markdown as M
 from skeinlog.functions import text as X
 from skeinlog.functions import times, tools
 from skeinlog.plans import unified
-from skeinlog.session import cut_lineage
 from skeinlog.sources import dialect_a as A
 from skeinlog.sources import dialect_b as B
 from skeinlog.sources import dialect_c as C
@@ -382,7 +381,7 @@ def export_json(spark, sf_dir):
 def all_source_usage(spark, sf_dir):
     """One relation over all four dialects, rolled up by source."""
     src_b = fixture_b.lines(spark, sf_dir)
-    threads = B.own_usage(src_b, cut_lineage(B.identities(src_b), "identities"))
+    threads = B.own_usage(src_b, B.identities(src_b))
     sessions, parts = fixture_cd.c_sessions(spark, sf_dir), fixture_cd.c_parts(spark, sf_dir)
     all_rows = unified.union_sources(
         {
