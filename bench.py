@@ -10,6 +10,7 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from skeinlog.session import build_session  # noqa: E402
+from workload import fixture_a, fixture_b, fixture_cd  # noqa: E402
 from workload.registry import queries  # noqa: E402
 
 HEADLINE = [
@@ -55,6 +56,11 @@ def main() -> None:
     # start the Python workers and the code generator once, outside of the timings
     spark.read.parquet(f"{sf_dir}/nation.parquet").groupBy("n_regionkey").count().write.format("noop").mode("overwrite").save()
     times: dict[str, float] = {}
+    # the line and store tables the queries read stand for existing transcript stores; their build is timed apart
+    start = time.perf_counter()
+    for build in (fixture_a.lines, fixture_b.lines, fixture_cd.c_sessions, fixture_cd.c_messages, fixture_cd.c_parts, fixture_cd.d_lines):
+        build(spark, sf_dir)
+    times["store_build"] = round(time.perf_counter() - start, 3)
     for name in wanted:
         start = time.perf_counter()
         registered[name](spark, sf_dir).write.format("noop").mode("overwrite").save()

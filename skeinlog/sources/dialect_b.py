@@ -455,31 +455,39 @@ def subagent_links(lines: DataFrame, tree: DataFrame) -> DataFrame:
     parents = children.select("root_id", F.col("parent_id").alias("thread_id")).unionByName(
         tree.where("thread_id = root_id").select("root_id", "thread_id")
     )
-    scanned = member.join(parents.distinct(), ["root_id", "thread_id"], "left_semi")
+    scanned = member.join(parents.distinct(), ["root_id", "thread_id"], "left_semi").drop("thread_id")
     gate = F.col("line").contains('"spawn_agent"') | F.col("line").contains('"sub_agent_activity"') | F.col("line").contains("agent_id")
-    rows = parsed(lines.where(gate)).join(scanned, "session_id")
     call_id = V.text(v, "$.payload.call_id")
-    order = F.struct("rank", "off")
-    spawns = (
-        rows.where((t == "response_item") & (pt == "function_call") & (V.get(v, "$.payload.name") == "spawn_agent"))
-        .select("root_id", "rank", "off", call_id.alias("call_id"), V.as_json(V.parse(V.text(v, "$.payload.arguments"))).alias("args"))
-        .where("call_id is not null")
-        .groupBy("root_id", "call_id")
-        .agg(F.min(order).alias("at"), F.min_by("args", order).alias("args"))
-    )
-    started = rows.where((t == "event_msg") & (pt == "sub_agent_activity") & (V.get(v, "$.payload.kind") == "started")).select(
-        "root_id", order.alias("at"), V.text(v, "$.payload.agent_thread_id").alias("child"), V.text(v, "$.payload.event_id").alias("call_id")
-    )
+    item = t == "response_item"
     raw = V.text(v, "$.payload.output")
     output = F.coalesce(V.parse(raw), F.when(raw.isNull(), V.sub(v, "$.payload.output")))
-    answered = rows.where((t == "response_item") & (pt == "function_call_output")).select(
-        "root_id", order.alias("at"), V.text(output, "$.agent_id").alias("child"), call_id.alias("call_id")
+
+    def fact(role: str, call: Column, child: Column, args: Column) -> Column:
+        return F.struct(F.lit(role).alias("role"), call.alias("call_id"), child.alias("child"), args.alias("args"))
+
+    none = F.lit(None).cast("string")
+    found = (
+        F.when(
+            item & (pt == "function_call") & (V.get(v, "$.payload.name") == "spawn_agent"),
+            fact("spawn", call_id, none, V.as_json(V.parse(V.text(v, "$.payload.arguments")))),
+        )
+        .when(item & (pt == "function_call_output"), fact("answer", call_id, V.text(output, "$.agent_id"), none))
+        .when(
+            (t == "event_msg") & (pt == "sub_agent_activity") & (V.get(v, "$.payload.kind") == "started"),
+            fact("start", V.text(v, "$.payload.event_id"), V.text(v, "$.payload.agent_thread_id"), none),
+        )
     )
+    # the few facts of the gated lines are written once; every step below reads them
+    facts = V.expand(parsed(lines.where(gate)), ["session_id", "off"], found).where("call_id is not null")
+    facts = cut_lineage(facts.join(scanned, "session_id").select("root_id", F.struct("rank", "off").alias("at"), "role", "call_id", "child", "args"), "spawn-facts")
+    spawns = facts.where("role = 'spawn'").groupBy("root_id", "call_id").agg(F.min("at").alias("at"), F.min_by("args", "at").alias("args"))
+    started = facts.where("role = 'start'").select("root_id", "at", "child", "call_id")
     earlier = spawns.select("root_id", "call_id", F.col("at").alias("spawned"))
+    answered = facts.where("role = 'answer' and child is not null").select("root_id", "at", "child", "call_id")
     answered = answered.join(earlier, ["root_id", "call_id"]).where("spawned < at").drop("spawned")
     named = (
         started.unionByName(answered)
-        .where("child is not null and call_id is not null")
+        .where("child is not null")
         .groupBy("root_id", F.col("child").alias("thread_id"))
         .agg(F.min_by("call_id", "at").alias("named_call"))
     )
