@@ -167,8 +167,8 @@ def subagent_timelines(spark, sf_dir):
     sum(length('line ' || id))::BIGINT AS body_chars FROM e GROUP BY 1""",
 )
 def shell_output_profile(spark, sf_dir):
-    recs = B.records(lines(spark, sf_dir), "tool").where("tool_use_id like 'sh-%' and record_type = 'tool_result'")
     meta = F.try_parse_json("result_meta")
+    recs = B.records(lines(spark, sf_dir), "tool").where(F.try_variant_get(meta, "$.terminal", "variant").isNotNull())
     return recs.groupBy(F.try_variant_get(meta, "$.terminal.exit_code", "bigint").alias("exit_code")).agg(
         F.count("*").alias("results"),
         F.sum(F.try_variant_get(meta, "$.terminal.duration_ms", "bigint")).alias("duration_ms"),
@@ -182,8 +182,8 @@ def shell_output_profile(spark, sf_dir):
     WHERE e % 9 = 0""",
 )
 def question_answers(spark, sf_dir):
-    recs = B.records(lines(spark, sf_dir), "content").where("tool_use_id like 'ask-%' and record_type = 'tool_result'")
-    answers = F.try_variant_get(F.parse_json("result_meta"), "$.answers", "map<string,array<string>>")
+    recs = B.records(lines(spark, sf_dir), "content")
+    answers = F.try_variant_get(F.try_parse_json("result_meta"), "$.answers", "map<string,array<string>>")
     return recs.select("session_id", F.explode(answers).alias("question", "labels")).select(
         "session_id", "question", F.array_join("labels", "|").alias("answers")
     )

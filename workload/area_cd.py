@@ -31,7 +31,8 @@ roots AS (SELECT id AS session_id, arg_max(cur, d) AS root_id FROM up GROUP BY 1
 C_RECORDS = C_BASE + """
 , t AS (  -- tool parts with their text forms
   SELECT *, CASE turn % 8 WHEN 1 THEN 'read' WHEN 3 THEN 'bash' WHEN 5 THEN 'write' WHEN 7 THEN 'edit' WHEN 2 THEN 'question' END AS tool,
-    CASE turn % 8 WHEN 1 THEN '{"file_path":"/a/b.py"}' WHEN 7 THEN '{"input":"+x"}'
+    CASE turn % 8 WHEN 1 THEN '{"file_path":"/a/b.py"}' WHEN 3 THEN '{"command":' || to_json(left(text, 12)) || '}'
+      WHEN 5 THEN '{"content":' || to_json(left(text, 8)) || ',"file_path":"/a/c.py"}' WHEN 7 THEN '{"input":"+x"}'
       WHEN 2 THEN '{"questions":[{"question":"Go on?"},{"question":"Why?"}]}' END AS tool_input,
     CASE turn % 8 WHEN 1 THEN regexp_replace(regexp_replace(text, '^\\n+', ''), '\\n+$', '') WHEN 3 THEN text WHEN 5 THEN left(text, 8) WHEN 7 THEN 'ok' WHEN 2 THEN 'answered' END AS output
   FROM b WHERE a AND turn % 8 IN (1, 3, 5, 7, 2)),
@@ -70,14 +71,12 @@ def message_cursors(spark, sf_dir):
 @area.query(
     "relational_records",
     C_RECORDS
-    + """SELECT session_id, cursor, record_type, level, content, ts, tool_name, tool_use_id,
-      CASE WHEN tool_name IN ('bash', 'write') THEN NULL ELSE tool_input END AS tool_input, result_meta FROM r""",
+    + "SELECT session_id, cursor, record_type, level, content, ts, tool_name, tool_use_id, tool_input, result_meta FROM r",
 )
 def relational_records(spark, sf_dir):
     _, messages, parts = _c(spark, sf_dir)
     recs = C.records(messages, parts).withColumn("cursor", C.record_cursor())
-    shown = F.when(~F.coalesce(F.col("tool_name").isin("bash", "write"), F.lit(False)), F.col("tool_input"))
-    return recs.withColumn("tool_input", shown).select(
+    return recs.select(
         "session_id", "cursor", "record_type", "level", "content", "ts", "tool_name", "tool_use_id", "tool_input", "result_meta"
     )
 
@@ -192,14 +191,18 @@ def relational_model_contexts(spark, sf_dir):
     "session_search_relational",
     C_RECORDS
     + """, h AS (SELECT session_id, position AS unit, 'message' AS record_type, text AS t FROM b
-      UNION ALL SELECT session_id, position, 'thinking', left(text, 30) FROM b WHERE a AND n % 3 = 0)
+      UNION ALL SELECT session_id, position, 'thinking', left(text, 30) FROM b WHERE a AND n % 3 = 0
+      UNION ALL SELECT session_id, position, 'tool_result', CASE tool WHEN 'read' THEN '{"filePath":"/a/b.py"} <path>x</path><content>' || chr(10) || text || chr(10) || '</content>'
+         WHEN 'bash' THEN tool_input || ' ' || text WHEN 'write' THEN replace(tool_input, '"file_path"', '"filePath"') || ' Wrote file'
+         WHEN 'edit' THEN '{"filePath":"/a/d.py"} ok' ELSE tool_input || ' answered' END FROM t
+      UNION ALL SELECT session_id, position, 'tool_result', '{"subagent_type":"explore"} done' FROM b WHERE a AND turn IN (1, 2))
     SELECT session_id, unit, record_type, """
     + snippet_sql("t", "the")
     + " AS snippet FROM h WHERE contains(lower(t), 'the')",
 )
 def session_search_relational(spark, sf_dir):
     _, messages, parts = _c(spark, sf_dir)
-    return C.search_hits(messages, parts, "the").where("record_type <> 'tool_result'")
+    return C.search_hits(messages, parts, "the")
 
 
 # --- dialect D ---------------------------------------------------------------------------------------
@@ -278,6 +281,7 @@ def tree_model_contexts(spark, sf_dir):
     + """, t AS (
       SELECT session_id, turn*10+4 AS unit, 'content' AS kind, text, conv_id FROM b WHERE role = 'user' OR a
       UNION ALL SELECT session_id, turn*10+4, 'reasoning', left(text, 30), conv_id FROM b WHERE a
+      UNION ALL SELECT session_id, turn*10+4, 'tool', 'bash {"command":' || to_json(left(text, 12)) || '}', conv_id FROM b WHERE a AND turn % 4 = 3
       UNION ALL SELECT session_id, turn*10+5, 'tool', 'bash ' || text, conv_id FROM b WHERE a AND turn % 4 = 3
       UNION ALL SELECT session_id, turn*10+6, 'tool', 'ls', conv_id FROM b WHERE a AND turn % 4 = 1
       UNION ALL SELECT session_id, turn*10+6, 'tool', left(text, 9), conv_id FROM b WHERE a AND turn % 4 = 1
@@ -285,9 +289,7 @@ def tree_model_contexts(spark, sf_dir):
     SELECT session_id, unit, kind, text FROM t WHERE conv_id % 9 <> 8""",
 )
 def index_texts_tree(spark, sf_dir):
-    """Call texts (name and arguments) are checked in the unit tests; their JSON form is not repeated in SQL."""
-    rows = D.texts(fx.d_lines(spark, sf_dir))
-    return rows.where("not (kind = 'tool' and unit % 10 = 4)").select("session_id", "unit", "kind", "text")
+    return D.texts(fx.d_lines(spark, sf_dir)).select("session_id", "unit", "kind", "text")
 
 
 @area.query(
@@ -297,6 +299,7 @@ def index_texts_tree(spark, sf_dir):
       SELECT session_id, turn*10+4 AS unit, 0 AS seq, 'user' AS record_type, text AS t, ts FROM b WHERE role = 'user'
       UNION ALL SELECT session_id, turn*10+4, 0, 'thinking', left(text, 30), ts FROM b WHERE a
       UNION ALL SELECT session_id, turn*10+4, 1, 'assistant', text, ts FROM b WHERE a
+      UNION ALL SELECT session_id, turn*10+4, 2, 'tool', ' bash {"command":' || to_json(left(text, 12)) || '}', ts FROM b WHERE a AND turn % 4 = 3
       UNION ALL SELECT session_id, turn*10+5, 0, 'tool', text || ' bash', ts FROM b WHERE a AND turn % 4 = 3
       UNION ALL SELECT session_id, turn*10+6, 1, 'tool', left(text, 9) || ' bash', ts FROM b WHERE a AND turn % 4 = 1
       UNION ALL SELECT session_id, turn*10+7, 0, 'meta', text, ts FROM b WHERE role = 'system')
@@ -305,4 +308,4 @@ def index_texts_tree(spark, sf_dir):
     + " AS snippet FROM t WHERE contains(lower(t), 'the')",
 )
 def session_search_tree(spark, sf_dir):
-    return D.search_hits(fx.d_lines(spark, sf_dir), "the").where("not (record_type = 'tool' and unit % 10 = 4)")
+    return D.search_hits(fx.d_lines(spark, sf_dir), "the")

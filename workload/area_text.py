@@ -318,13 +318,19 @@ EXPORT = (
       CASE WHEN count(*) FILTER (role = 'user') > 0 THEN '/work/p' || (conv_id % 17) END AS project_path FROM x GROUP BY session_id, conv_id)
 """
 )
+# calls with their input, which the record rows of the statement do not carry
+CALLS = """, calls AS (SELECT session_id, turn*10+1 AS unit, ts, 'Bash' AS tool_name, '{"command":' || to_json(left(text, 20)) || '}' AS input FROM b WHERE tool
+  UNION ALL SELECT session_id, turn*10+2, ts, 'Read', '{"file_path":"/work/src/f' || (n % 5) || '.py"}' FROM b WHERE tool AND conv_id % 3 = 0)
+"""
 ESC = "replace(replace(replace({0}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
 
 
 @area.query(
     "export_markdown",
     EXPORT
-    + """SELECT session_id, unit, seq, CASE WHEN record_type = 'user' THEN '## 🧑 User' || chr(10) || chr(10) || content || chr(10)
+    + CALLS
+    + """SELECT session_id, unit, 2 AS seq, '### 🔧 ' || tool_name || chr(10) || chr(10) || '```json' || chr(10) || input || chr(10) || '```' || chr(10) AS text FROM calls
+    UNION ALL SELECT session_id, unit, seq, CASE WHEN record_type = 'user' THEN '## 🧑 User' || chr(10) || chr(10) || content || chr(10)
         WHEN record_type = 'assistant' THEN '## 🤖 Assistant' || chr(10) || chr(10) || content || chr(10)
         WHEN record_type = 'thinking' THEN '> 💭 ' || replace(content, chr(10), chr(10) || '> ') || chr(10)
         WHEN record_type = 'tool_result' THEN '```' || chr(10) || content || chr(10) || '```' || chr(10)
@@ -334,14 +340,15 @@ ESC = "replace(replace(replace({0}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
       coalesce(chr(10) || '- Updated: ' || updated_at, '') || chr(10) FROM sess""",
 )
 def export_markdown(spark, sf_dir):
-    """Calls (with their JSON input) are checked in the unit tests."""
-    return _export(spark, sf_dir, "md").where("not startswith(text, '### 🔧')")
+    return _export(spark, sf_dir, "md")
 
 
 @area.query(
     "export_html",
     EXPORT
-    + f"""SELECT session_id, unit, seq, '<div class="msg ' || s || '"><div class="role">' || h || '</div>' ||
+    + CALLS
+    + f"""SELECT session_id, unit, 2 AS seq, '<div class="msg tool"><div class="role">🔧 ' || tool_name || '</div><pre>' || {ESC.format('input')} || '</pre></div>' AS text FROM calls
+    UNION ALL SELECT session_id, unit, seq, '<div class="msg ' || s || '"><div class="role">' || h || '</div>' ||
         CASE WHEN s IN ('user', 'assistant') THEN '<div class="ts">' || ts || '</div>' ELSE '' END || '<pre>' || {ESC.format('content')} || '</pre></div>' AS text
       FROM (SELECT *, CASE record_type WHEN 'user' THEN 'user' WHEN 'assistant' THEN 'assistant' WHEN 'thinking' THEN 'think' WHEN 'tool_result' THEN 'result' ELSE 'other' END AS s,
         CASE record_type WHEN 'user' THEN '🧑 User' WHEN 'assistant' THEN '🤖 Assistant' WHEN 'thinking' THEN '💭 Thinking' WHEN 'tool_result' THEN '↳ Result' ELSE record_type END AS h
@@ -350,16 +357,18 @@ def export_markdown(spark, sf_dir):
       coalesce(project_path, '') || coalesce(' · Updated ' || updated_at, '') || '</div>' FROM sess""",
 )
 def export_html(spark, sf_dir):
-    return _export(spark, sf_dir, "html").where("not contains(text, 'class=\"msg tool\"')")
+    return _export(spark, sf_dir, "html")
 
 
 @area.query(
     "export_json",
-    EXPORT + "SELECT session_id, unit, seq, record_type, content AS content_preview, ts AS timestamp, tool_name FROM r WHERE level <> 'debug'",
+    EXPORT
+    + """SELECT session_id, unit, seq, record_type, content AS content_preview, ts AS timestamp, tool_name, NULL AS agent_title, NULL AS first_prompt FROM r WHERE level <> 'debug'
+    UNION ALL SELECT session_id, -1, 0, NULL, NULL, NULL, NULL, agent_title, first_prompt FROM sess""",
 )
 def export_json(spark, sf_dir):
-    rows = _export(spark, sf_dir, "json").where("unit >= 0")
-    parsed = F.from_json("text", "record_type string, content_preview string, timestamp string, tool_name string")
+    rows = _export(spark, sf_dir, "json")
+    parsed = F.from_json("text", "record_type string, content_preview string, timestamp string, tool_name string, agent_title string, first_prompt string")
     return rows.select("session_id", "unit", "seq", parsed.alias("p")).select("session_id", "unit", "seq", "p.*")
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skeinlog.plans import index as I
-from workload.tables import table
+from workload.tables import exists, table
 
 DOCS_PER_SESSION = 40
 
@@ -62,6 +62,6 @@ _built: dict[tuple[str, str], str] = {}
 
 def index(spark: SparkSession, sf_dir: str) -> I.Index:
     key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _built:
+    if key not in _built or not exists(spark, f"{_built[key]}/postings"):
         _built[key] = I.write_index(docs(spark, sf_dir), texts(spark, sf_dir))
     return I.read_index(spark, _built[key])

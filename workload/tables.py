@@ -5,6 +5,7 @@ from __future__ import annotations
 import functools
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 from skeinlog.session import scratch_path
@@ -14,6 +15,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a written table is still there; scratch folders may be cleared between queries."""
+    try:
+        spark.read.parquet(path)
+        return True
+    except AnalysisException:
+        return False
+
+
 _written: dict[tuple[str, str, str], tuple[str, object]] = {}
 
 
@@ -26,7 +36,7 @@ def stored(build: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSe
     @functools.wraps(build)
     def read(spark: SparkSession, sf_dir: str) -> DataFrame:
         key = (spark.sparkContext.applicationId, sf_dir, f"{build.__module__}.{build.__name__}")
-        if key not in _written:
+        if key not in _written or not exists(spark, _written[key][0]):
             df = build(spark, sf_dir)
             path = scratch_path(spark, build.__name__.replace("_", "-"))
             df.write.parquet(path)
