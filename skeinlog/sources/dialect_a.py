@@ -373,12 +373,8 @@ def _line_records(lines: DataFrame) -> DataFrame:
     return V.expand(rows, ["session_id", "chunk", F.col("off").alias("unit"), "group_id"], per_line)
 
 
-def _turn_records(lines: DataFrame) -> DataFrame:
-    """Assistant texts merged over their streamed chunks, and the calls that close them.
-
-    Every assistant line up to and including a closing one (a call, or a stop reason) forms one island;
-    one aggregation per island yields the merged text and the facts of its closing line together.
-    """
+def turn_rows(lines: DataFrame) -> DataFrame:
+    """Assistant lines with their text, whether they close a message, and the facts of a closing line."""
     v = F.col("v")
     # raw-text gate below the parse: only lines that can be assistant turns are parsed here
     rows = parsed(lines.where(F.col("line").contains('"assistant"'))).where("kind = 'assistant'")
@@ -395,7 +391,7 @@ def _turn_records(lines: DataFrame) -> DataFrame:
         diff(F.col("tur")).alias("diff"),
         V.get(v, "$.message.stop_reason").isNotNull().alias("stops"),
     )
-    rows = rows.select(
+    return rows.select(
         "session_id",
         "chunk",
         "off",
@@ -414,6 +410,13 @@ def _turn_records(lines: DataFrame) -> DataFrame:
             "diff",
         ).alias("line"),
     )
+
+
+def merge_turns(rows: DataFrame) -> DataFrame:
+    """One row per message: every line up to and including a closing one (a call, or a stop reason).
+
+    ``end`` holds the facts of the closing line; it is null for text that is still open.
+    """
     rows = ordered_scan(rows, ["session_id"], ["off"], [RunningSum("island", F.col("closes").cast("bigint"), inclusive=False)])
     # first per chunk, on the partitioning the scan left behind, so that no task holds a long island's pieces
     has_text = F.col("content") != ""
@@ -421,18 +424,33 @@ def _turn_records(lines: DataFrame) -> DataFrame:
     pieces = rows.groupBy("session_id", "chunk", "island").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(piece)), lambda p: p["content"]), "").alias("part"),
         F.min(F.when(has_text, F.struct("off", "ts"))).alias("first"),
+        F.max("off").alias("last_off"),
         F.first(F.when(F.col("closes"), F.col("line")), ignorenulls=True).alias("end"),
     )
     islands = pieces.groupBy("session_id", "island").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk", "part"))), lambda p: p["part"]), "").alias("text"),
         F.min("first").alias("first"),
+        F.max(F.struct("last_off", "chunk")).alias("last"),
         F.first("end", ignorenulls=True).alias("end"),
     )
-    islands = islands.select("session_id", "island", "text", F.col("first.ts").alias("text_ts"), "end")
+    return islands.select(
+        "session_id",
+        F.col("last.last_off").alias("off"),
+        F.col("last.chunk").alias("chunk"),
+        "text",
+        F.col("first.ts").alias("text_ts"),
+        "end",
+    )
+
+
+def _turn_records(lines: DataFrame) -> DataFrame:
+    """Assistant texts merged over their streamed chunks, and the calls that close them."""
+    islands = merge_turns(turn_rows(lines))
     # text still open at the end of the session belongs to the session's last line
     last = lines.groupBy("session_id").agg(F.max(F.struct("off", "chunk")).alias("last"))
     open_islands = (
         islands.where("end is null")
+        .drop("off", "chunk")
         .join(last, "session_id")
         .select("session_id", F.col("last.chunk").alias("chunk"), F.col("last.off").alias("unit"), "text", "text_ts", "end")
     )

@@ -1,59 +1,58 @@
 """Merging streamed assistant chunks across micro-batches.
 
-The batch operator merges chunks with windows; a stream has to remember the text a session left open at
-the end of a batch. That memory is the open text of one message per session, kept as keyed state.
+A micro-batch may end in the middle of a message. The text a session left open is the only memory a stream
+needs: it is the row without an end in the previous batch's folder, and joins the next batch as its first
+piece. The merge itself is the batch operator, so a hot session spreads over many tasks here as well.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from skeinlog.functions import variants as V
 from skeinlog.sources import dialect_a as A
 
-OUTPUT = "session_id string, unit bigint, kind string, content string, tool_use_id string"
-STATE = "text string"
-
 
-def chunk_rows(lines: DataFrame) -> DataFrame:
-    """Assistant lines of a stream, parsed on the JVM side to the few columns merging needs."""
-    rows = A.parsed(lines.where(F.col("line").contains('"assistant"'))).where("kind = 'assistant'")
-    call = A.first_call()
-    return rows.select(
+def _open_texts(spark: SparkSession, path: str, batch_id: int, like: DataFrame) -> DataFrame | None:
+    try:
+        turns = spark.read.parquet(f"{path}/batch={batch_id}")
+    except AnalysisException:
+        return None
+    return turns.where("end is null").select(
         "session_id",
+        "chunk",
         "off",
-        A.assistant_text().alias("content"),
-        call["name"].alias("tool_name"),
-        call["id"].alias("tool_use_id"),
-        V.get(F.col("v"), "$.message.stop_reason").isNotNull().alias("stops"),
+        F.col("text_ts").alias("ts"),
+        F.col("text").alias("content"),
+        F.lit(False).alias("closes"),
+        F.lit(None).cast(like.schema["line"].dataType).alias("line"),
     )
 
 
-def _merge(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    open_text = state.get[0] if state.exists else ""
-    out: list[tuple] = []
-    # the rows of one session in one micro-batch, which the trigger's file limit keeps bounded
-    for row in pd.concat(list(batches)).sort_values("off").itertuples():
-        open_text += row.content or ""
-        has_call = isinstance(row.tool_name, str)
-        if has_call or row.stops:
-            if open_text:
-                out.append((key[0], row.off, "text", open_text, None))
-            if has_call:
-                out.append((key[0], row.off, "call", "", row.tool_use_id))
-            open_text = ""
-    if open_text:
-        state.update((open_text,))
-    elif state.exists:
-        state.remove()
-    yield pd.DataFrame(out, columns=[c.split()[0] for c in OUTPUT.split(", ")])
-
-
-def merged_turns(lines: DataFrame) -> DataFrame:
-    """Merged texts and calls of every session, emitted when a line closes them."""
-    return chunk_rows(lines).groupBy("session_id").applyInPandasWithState(_merge, OUTPUT, STATE, "append", GroupStateTimeout.NoTimeout)
+def merge_into(path: str):
+    """foreachBatch writer: messages of a batch, closed and open, in one folder per batch.
+
+    A retried batch reads the same predecessor and overwrites its own folder.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        rows = A.turn_rows(batch)
+        carried = _open_texts(batch.sparkSession, path, batch_id - 1, rows) if batch_id else None
+        if carried is not None:
+            rows = rows.unionByName(carried)
+        A.merge_turns(rows).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    return write
+
+
+def closed_turns(spark: SparkSession, path: str) -> DataFrame:
+    """Every finished message: its text, and the call that ended it."""
+    turns = spark.read.parquet(path).where("end is not null")
+    end = F.col("end")
+    text = F.when(F.col("text") != "", F.struct(F.lit("text").alias("kind"), F.col("text").alias("content"), F.lit(None).cast("string").alias("tool_use_id")))
+    call = F.when(
+        end["tool_name"].isNotNull(), F.struct(F.lit("call").alias("kind"), F.lit("").alias("content"), end["tool_use_id"].alias("tool_use_id"))
+    )
+    rows = turns.select("session_id", end["off"].alias("unit"), F.explode(F.array(text, call)).alias("t"))
+    return rows.where("t is not null").select("session_id", "unit", "t.*")

@@ -113,14 +113,14 @@ def stream_deduplicated_lines(spark, sf_dir):
     UNION ALL SELECT session_id, turn*10+2, 'call', '', call_id || '-b' FROM b WHERE tool AND conv_id % 3 = 0""",
 )
 def stream_merged_turns(spark, sf_dir):
-    """The lines are cut in the middle of a message; the open text is carried to the next run as state."""
+    """The lines are cut in the middle of a message; the open text is carried into the next run."""
     path = scratch_path(spark, "turns")
     lines = fixture_a.lines(spark, sf_dir)
     for part in (lines.where("off <= 30"), lines.where("off > 30")):
         part.write.mode("append").parquet(f"{path}/in")
-        stream = turns.merged_turns(ingest.read_deltas(spark, f"{path}/in", lines.schema))
-        sinks.drain(stream.writeStream.outputMode("append").format("parquet").option("path", f"{path}/out"), f"{path}/checkpoint")
-    return spark.read.schema(turns.OUTPUT).parquet(f"{path}/out")
+        stream = ingest.read_deltas(spark, f"{path}/in", lines.schema)
+        sinks.drain(stream.writeStream.foreachBatch(turns.merge_into(f"{path}/turns")), f"{path}/checkpoint")
+    return turns.closed_turns(spark, f"{path}/turns")
 
 
 @area.query(
