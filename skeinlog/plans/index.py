@@ -160,9 +160,9 @@ def write_index(docs: DataFrame, texts: DataFrame, path: str | None = None) -> s
     bounded = cut_lineage(bounded_texts(texts), "bounded")
     preview_texts(bounded).write.parquet(f"{path}/texts")
     stored = spark.read.parquet(f"{path}/docs")
-    index_tokens(stored, bounded).repartitionByRange("token", "session_key").sortWithinPartitions("token", "session_key").write.parquet(
-        f"{path}/postings"
-    )
+    # written before it is ranged: finding the range bounds samples its input, which must not mean tokenising twice
+    seen = cut_lineage(index_tokens(stored, bounded), "tokens")
+    seen.repartitionByRange("token", "session_key").sortWithinPartitions("token", "session_key").write.parquet(f"{path}/postings")
     return path
 
 

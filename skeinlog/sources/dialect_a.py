@@ -668,3 +668,27 @@ def sidecar_subagents(metas: DataFrame, transcripts: DataFrame) -> DataFrame:
     )
     estimate = F.when(F.col("size").isNull(), F.lit(0)).otherwise(F.greatest(F.floor(F.col("size") / 400), F.lit(1))).cast("bigint")
     return named.join(sizes, ["session_id", "agent_id"], "left").withColumn("record_count", estimate).drop("size")
+
+
+def with_files(session_rows: DataFrame, files: DataFrame, sidecars: DataFrame) -> DataFrame:
+    """Sessions with the facts of their file: size, version, sub-agent count; file times fill missing ones.
+
+    ``files(session_id, path, size, created, mtime)``, ``sidecars(session_id, agent_id, ...)``.
+    """
+    counts = sidecars.groupBy("session_id").agg(F.count("*").alias("subagent_count"))
+    facts = files.select(
+        "session_id",
+        F.col("path").alias("key"),
+        F.concat_ws(":", F.col("size").cast("string"), F.unix_timestamp("mtime").cast("string")).alias("version"),
+        F.col("size").cast("bigint").alias("file_size_bytes"),
+        F.date_format("created", times.SECOND).alias("file_created"),
+        F.date_format("mtime", times.SECOND).alias("file_updated"),
+    )
+    joined = session_rows.join(facts, "session_id", "left").join(counts, "session_id", "left")
+    return joined.withColumns(
+        {
+            "created_at": F.coalesce("created_at", "file_created"),
+            "updated_at": F.coalesce("updated_at", "file_updated"),
+            "subagent_count": F.coalesce("subagent_count", F.lit(0).cast("bigint")),
+        }
+    ).drop("file_created", "file_updated")

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skeinlog.functions.text import escape_html
+from skeinlog.session import cut_lineage
 
 # fixed value: unit of the head row, before every record
 HEAD_UNIT = -1
@@ -112,7 +113,11 @@ def export_rows(sessions: DataFrame, records: DataFrame, fmt: str, source_label:
 
 
 def write_export(rows: DataFrame, path: str, partitions: int | None = None) -> None:
-    """Sorted text files; within and across part files the order is (session, unit, seq)."""
+    """Sorted text files; within and across part files the order is (session, unit, seq).
+
+    The rows are written once before they are ranged, because finding the range bounds samples its input.
+    """
     order = ["session_id", "unit", "seq"]
+    rows = cut_lineage(rows, "export-rows")
     ranged = rows.repartitionByRange(partitions, *order) if partitions else rows.repartitionByRange(*order)
     ranged.sortWithinPartitions(*order).select(F.to_json(F.struct("session_id", "unit", "text")).alias("value")).write.text(path)

@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skeinlog.operators import models
 from skeinlog.operators import timeline as T
 from skeinlog.schemas import USAGE_COLUMNS
 from skeinlog.session import cut_lineage
 from skeinlog.sources import dialect_a as A
 from workload import fixture_a
 from workload.registry import Area
+from workload.tables import table
 
 area = Area()
 
@@ -318,3 +320,37 @@ def index_texts_messages(spark, sf_dir):
 )
 def tool_profile_messages(spark, sf_dir):
     return T.tool_profile(T.pair_calls(record_table(spark, sf_dir)))
+
+
+@area.query(
+    "message_model_contexts",
+    BASE + "SELECT session_id, '-/claude-opus-4-' || (6 + conv_id % 2) || '/-' AS contexts FROM b WHERE role = 'assistant' GROUP BY session_id, conv_id",
+)
+def message_model_contexts(spark, sf_dir):
+    arrays = models.context_arrays(A.model_turns(fixture_a.lines(spark, sf_dir)))
+    return arrays.select("session_id", models.context_text(F.col("model_contexts")).alias("contexts"))
+
+
+@area.query(
+    "session_documents",
+    BASE
+    + """SELECT session_id, '/h/projects/p/' || session_id || '.jsonl' AS key, sum(strlen(text)) || ':' || (1767312000 + conv_id * 3600) AS version,
+      sum(strlen(text))::BIGINT AS file_size_bytes,
+      coalesce(arg_min(ts, turn) FILTER (role <> 'system'), strftime(TIMESTAMP '2026-01-01' + to_hours(conv_id), '%Y-%m-%d %H:%M:%S')) AS created_at,
+      coalesce(arg_max(ts, turn) FILTER (role <> 'system'), strftime(TIMESTAMP '2026-01-02' + to_hours(conv_id), '%Y-%m-%d %H:%M:%S')) AS updated_at,
+      CASE WHEN conv_id < 5 THEN (SELECT count(DISTINCT k.conv_id) FROM b k WHERE k.conv_id % 5 = b.conv_id) ELSE 0 END AS subagent_count
+    FROM b GROUP BY session_id, conv_id""",
+)
+def session_documents(spark, sf_dir):
+    """Sessions with file size, version, times and number of sub-agents."""
+    conv = F.col("conv_id")
+    rows = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.sum(F.octet_length("text")).alias("size"))
+    sid = F.concat(F.lit("c"), conv.cast("string"))
+    born = F.timestamp_seconds(F.lit(fixture_a.EPOCH_2026) + conv * 3600)
+    files = rows.select(
+        sid.alias("session_id"), F.concat(F.lit("/h/projects/p/"), sid, F.lit(".jsonl")).alias("path"), "size", born.alias("created"),
+        (born + F.expr("interval 1 day")).alias("mtime"),
+    )
+    sidecars = rows.select(F.concat(F.lit("c"), (conv % 5).cast("string")).alias("session_id"), conv.alias("agent_id"))
+    docs = A.with_files(A.sessions(fixture_a.lines(spark, sf_dir)), files, sidecars)
+    return docs.select("session_id", "key", "version", "file_size_bytes", "created_at", "updated_at", "subagent_count")
