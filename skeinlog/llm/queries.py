@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, packing, token_counts
+from . import language_id, packing, quality, spotsigs, token_counts
 from .common import documents, fold
 
 VOCABULARY, RANKS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -27,5 +27,17 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir), VOCABULARY, RANKS, end_id=2, capacity=1024)
 
 
-QUERIES = {f.__name__: f for f in (op2_token_counts, op3_language_id, op6_best_fit_packing)}
+def op7_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    learn = labels.where(F.col("quality").isNotNull() & F.coalesce(fold("doc_id", 3) != 1, F.lit(False))).select("doc_id", "quality")
+    model = quality.train(docs.select("doc_id", "text").join(learn, "doc_id"))
+    found = quality.score(docs, model)
+    return found.select("doc_id", F.coalesce(fold("doc_id", 3) == 1, F.lit(False)).alias("held_out"), "score", "predicted", "n_lines")
+
+
+def op9_spotsigs_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spotsigs.compare_with_next(documents(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op2_token_counts, op3_language_id, op6_best_fit_packing, op7_quality_crf, op9_spotsigs_fingerprints)}
 ORACLES: dict[str, str] = {}
