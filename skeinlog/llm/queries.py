@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, packing, quality, spotsigs, token_counts
+from . import decontamination, language_id, packing, quality, spotsigs, surrogates, token_counts
 from .common import documents, fold
 
 VOCABULARY, RANKS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -39,5 +39,17 @@ def op9_spotsigs_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spotsigs.compare_with_next(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op2_token_counts, op3_language_id, op6_best_fit_packing, op7_quality_crf, op9_spotsigs_fingerprints)}
+# The key of the registered query; a deployment passes its own secret.
+KEY = b"registered query"
+
+
+def op1_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return surrogates.replace_personal_data(documents(spark, sf_dir), KEY)
+
+
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminated(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+QUERIES = {f.__name__: f for f in (op1_pii_surrogates, op2_token_counts, op3_language_id, op4_decontamination, op6_best_fit_packing, op7_quality_crf, op9_spotsigs_fingerprints)}
 ORACLES: dict[str, str] = {}
