@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -95,3 +96,9 @@ def signed(x: np.ndarray) -> np.ndarray:
 def written(df: DataFrame, label: str) -> DataFrame:
     """``df`` as a table in the shared folder, so that it is computed once and survives lost executors."""
     return cut_lineage(df, f"llm-{label}")
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark remove shuffle files whose tables are no longer referenced; it does so only when the driver's JVM collects garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, language_id, packing, quality, spotsigs, surrogates, token_counts
+from . import debruijn, decontamination, language_id, packing, quality, spotsigs, suffixes, surrogates, token_counts
 from .common import documents, fold
 
 VOCABULARY, RANKS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -30,7 +30,7 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
     learn = labels.where(F.col("quality").isNotNull() & F.coalesce(fold("doc_id", 3) != 1, F.lit(False))).select("doc_id", "quality")
-    model = quality.train(docs.select("doc_id", "text").join(learn, "doc_id"))
+    model = quality.train(docs, learn)
     found = quality.score(docs, model)
     return found.select("doc_id", F.coalesce(fold("doc_id", 3) == 1, F.lit(False)).alias("held_out"), "score", "predicted", "n_lines")
 
@@ -51,5 +51,13 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contaminated(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii_surrogates, op2_token_counts, op3_language_id, op4_decontamination, op6_best_fit_packing, op7_quality_crf, op9_spotsigs_fingerprints)}
+def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.repeated_spans(documents(spark, sf_dir), min_length=200).drop("spans")
+
+
+def op10_debruijn_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return debruijn.repeated_words(documents(spark, sf_dir), k=13).drop("spans")
+
+
+QUERIES = {f.__name__: f for f in (op1_pii_surrogates, op2_token_counts, op3_language_id, op4_decontamination, op5_suffix_array_dedup, op6_best_fit_packing, op7_quality_crf, op9_spotsigs_fingerprints, op10_debruijn_dedup)}
 ORACLES: dict[str, str] = {}
