@@ -168,15 +168,17 @@ def _long_chain(emit: np.ndarray, pair: np.ndarray) -> np.ndarray:
     return out
 
 
-def train(labelled: DataFrame, text_col: str = "text", label_col: str = "quality", max_documents: int = TRAIN_DOCUMENTS, max_lines: int = TRAIN_LINES) -> tuple[np.ndarray, np.ndarray]:
-    """Fit on the labelled rows, at most ``max_documents`` of them, chosen by a hash of the text; longer ones than ``max_lines`` are not chosen.
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_documents: int = TRAIN_DOCUMENTS, max_lines: int = TRAIN_LINES) -> tuple[np.ndarray, np.ndarray]:
+    """Fit on a bounded sample: the labels of ``max_documents`` ids, chosen by a hash of the id, and their texts of up to ``max_lines`` lines.
 
-    Rows with a null label are ignored, null texts are empty. With no row the model is neutral: it scores 0.5.
+    Rows with a null id or label are ignored, null texts are empty. With no row the model is neutral: it scores 0.5. The sampled labels
+    go to the texts, so that no text is shuffled.
     """
     lines = F.size(F.split(F.coalesce(text_col, F.lit("")), "\n"))
-    rows = labelled.where(F.col(label_col).isNotNull() & (lines <= max_lines)).select(F.coalesce(text_col, F.lit("")).alias("text"), F.col(label_col).cast("int").alias("label"))
-    keyed = rows.select("text", "label", F.xxhash64("text").alias("_h"))
-    sample = keyed.orderBy("_h", "label").limit(max_documents)
+    known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("label"))
+    chosen = known.orderBy(F.xxhash64("_id"), "_id", "label").limit(max_documents)
+    rows = docs.where(lines <= max_lines).select(F.col(id_col).alias("_id"), F.coalesce(text_col, F.lit("")).alias("text"))
+    sample = rows.join(F.broadcast(chosen), "_id")
 
     def start():
         kinds = char_kinds()
