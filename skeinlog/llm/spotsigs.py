@@ -13,6 +13,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -136,17 +137,27 @@ def edited(text: str, following: str) -> str:
 def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) for every row.
 
-    The next document has the next larger id (null ids first, equal ids in order of their texts); after the last comes the first. A
+    The next document has the next larger id (null ids first, equal ids in order of a hash of their texts); after the last comes the first. A
     single document is its own next one. Null texts are empty. Other columns are not read; an empty table gives an empty result.
 
-    Texts are range-partitioned by id and read in order. What a partition's last document needs is the first one of the next
+    Texts, each compressed, are range-partitioned by id and read in order. What a partition's last document needs is the first one of the next
     partition: these two rows per partition are joined afterwards.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     fields = ["n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
     schema = f"_id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    source = docs.select(F.col(id_col).alias("_id"), F.coalesce(text_col, F.lit("")).alias("_text"))
-    ordered = source.repartitionByRange("_id", F.xxhash64("_text")).sortWithinPartitions("_id", F.xxhash64("_text"), "_text").withColumn("_part", F.spark_partition_id())
+    source = docs.select(F.col(id_col).alias("_id"), F.xxhash64(F.coalesce(text_col, F.lit(""))).alias("_tie"), F.coalesce(text_col, F.lit("")).alias("_text"))
+
+    def shrink():
+        press = zstandard.ZstdCompressor(level=3).compress
+
+        def pressed(batch: pa.RecordBatch) -> dict:
+            return {"_id": batch.column("_id"), "_tie": batch.column("_tie"), "_text": [press(t.encode()) for t in batch.column("_text").to_pylist()]}
+
+        return pressed
+
+    pressed = map_batches(source, f"_id {kind}, _tie long, _text binary", shrink)
+    ordered = pressed.repartitionByRange("_id", "_tie").sortWithinPartitions("_id", "_tie").withColumn("_part", F.spark_partition_id())
 
     def row(spots: Spots, text: str, own: np.ndarray, following: str, next_spots: np.ndarray) -> list:
         changed = edited(text, following)
@@ -154,7 +165,7 @@ def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         return [len(text), hashlib.sha256(changed.encode()).hexdigest(), packed(own), packed(new), likeness(own, new), likeness(own, next_spots)]
 
     def start():
-        spots, held = Spots(), None
+        spots, held, unpress = Spots(), None, zstandard.ZstdDecompressor().decompress
 
         def made(batch: pa.RecordBatch | None) -> dict:
             nonlocal held
@@ -168,7 +179,8 @@ def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
                 if held:
                     add(held[0], [None] * 6, held[3], "last", held[1])
                 return out
-            for doc, text, part in zip(batch.column("_id").to_pylist(), batch.column("_text").to_pylist(), batch.column("_part").to_pylist(), strict=True):
+            for doc, data, part in zip(batch.column("_id").to_pylist(), batch.column("_text").to_pylist(), batch.column("_part").to_pylist(), strict=True):
+                text = unpress(data).decode()
                 own = spots.of(text)
                 if held is None:
                     add(None, [None] * 6, part, "first", text)
