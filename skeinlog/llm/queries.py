@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import debruijn, decontamination, language_id, packing, quality, spotsigs, suffixes, surrogates, token_counts
+from . import chosen_path, debruijn, decontamination, language_id, packing, quality, spotsigs, suffixes, surrogates, token_counts
 from .common import documents, fold
 
 VOCABULARY, RANKS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -55,9 +55,13 @@ def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.repeated_spans(documents(spark, sf_dir), min_length=200).drop("spans")
 
 
+def op8_chosen_path_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chosen_path.near_duplicates(documents(spark, sf_dir), threshold=0.8, shingle=5)
+
+
 def op10_debruijn_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return debruijn.repeated_words(documents(spark, sf_dir), k=13).drop("spans")
 
 
-QUERIES = {f.__name__: f for f in (op1_pii_surrogates, op2_token_counts, op3_language_id, op4_decontamination, op5_suffix_array_dedup, op6_best_fit_packing, op7_quality_crf, op9_spotsigs_fingerprints, op10_debruijn_dedup)}
+QUERIES = {f.__name__: f for f in (op1_pii_surrogates, op2_token_counts, op3_language_id, op4_decontamination, op5_suffix_array_dedup, op6_best_fit_packing, op7_quality_crf, op8_chosen_path_join, op9_spotsigs_fingerprints, op10_debruijn_dedup)}
 ORACLES: dict[str, str] = {}
