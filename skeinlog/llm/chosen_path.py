@@ -180,18 +180,21 @@ def joined(docs: DataFrame, threshold: float = THRESHOLD, shingle: int = SHINGLE
     size = nodes.groupBy("path").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     shared = written(nodes.join(size, "path"), "shared-1")
     ref = keyed.select("k", "_ref").groupBy("k").agg(F.min("_ref").alias("_ref"))
-    active = shared.select("k").distinct().join(ref, "k")
+    active = shared.groupBy("k").agg(F.max(F.col("n") > bucket).alias("deep")).join(ref, "k")
 
     def sets_of():
         hashes = WordHashes()
 
         def made(batch: pa.RecordBatch) -> dict:
             found = [shingles(hashes.of(t.split()), shingle) for t in batch.column("_text").to_pylist()]
-            return {"k": batch.column("k"), "tokens": [x.astype("<u8").tobytes() for x in found], "sketch": [sketch(x) for x in found]}
+            return {"k": batch.column("k"), "deep": batch.column("deep"), "tokens": [x.astype("<u8").tobytes() for x in found], "sketch": [sketch(x) for x in found]}
 
         return made
 
-    sets = written(map_batches(source.select("_ref", "_text").join(active, "_ref").select("k", "_text"), "k binary, tokens binary, sketch binary", sets_of), "sets")
+    # joined in the same way at every size: what is broadcast on small tables would not be on large ones
+    texts = source.select("_ref", "_text").join(active.hint("merge"), "_ref").select("k", "deep", "_text")
+    sets = written(map_batches(texts, "k binary, deep boolean, tokens binary, sketch binary", sets_of), "sets")
+    del nodes, texts, active, size
     release(docs.sparkSession)
 
     leaves = shared.where(F.col("n") <= bucket).select("path", "k")
@@ -210,7 +213,7 @@ def joined(docs: DataFrame, threshold: float = THRESHOLD, shingle: int = SHINGLE
 
             return split
 
-        by_set = large.groupBy("k").agg(F.collect_set("path").alias("paths")).join(sets.select("k", "tokens"), "k").select("k", "paths", "tokens")
+        by_set = large.groupBy("k").agg(F.collect_set("path").alias("paths")).join(sets.where("deep").select("k", "tokens"), "k").select("k", "paths", "tokens")
         nodes = written(map_batches(by_set, "path long, k binary", deeper).distinct(), f"paths-{level}")
         shared = nodes.join(nodes.groupBy("path").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "path")
         leaves = leaves.unionByName(shared.where(F.col("n") <= bucket).select("path", "k"))
@@ -232,7 +235,7 @@ def joined(docs: DataFrame, threshold: float = THRESHOLD, shingle: int = SHINGLE
 
     blocks = near.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).cast("int").alias("blocks"))
     placed = near.join(blocks, "root").withColumn("own", F.pmod(F.xxhash64("k"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = placed.select("root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "k").join(sets.select("k", "tokens"), "k").select("root", "i", "j", "own", "k", "tokens")
+    dealt = placed.select("root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "k").join(sets.select("k", "tokens").hint("merge"), "k").select("root", "i", "j", "own", "k", "tokens")
 
     def exact(rows: list[tuple]) -> Iterator[tuple]:
         tokens = [np.frombuffer(r[5], "<u8") for r in rows]
