@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import time
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -99,6 +100,11 @@ def written(df: DataFrame, label: str) -> DataFrame:
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark remove shuffle files whose tables are no longer referenced; it does so only when the driver's JVM collects garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Let Spark remove shuffle files whose tables are no longer referenced; it does so only when the driver's JVM collects garbage.
+
+    Python's proxies of these tables must be gone first, and both clean up in the background, so it is asked for more than once.
+    """
+    for _ in range(3):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)

@@ -7,7 +7,7 @@ sides settles these bytes at once. Where they differ, the suffixes between the s
 substring reaches a sample of such a name is named by that whole substring, sorted and compared with its neighbours.
 
 With period 3 the cover is that of the triples of the classic construction; a perfect cover of period 133 samples 12 of 133 places
-instead of two of three. Names are 64-bit digests of prefixes (with 32 bits of surroundings), of whole substrings 128 bits.
+instead of two of three. Names are 64-bit digests of prefixes (with 32 bits of surroundings), of whole substrings 96 bits.
 """
 
 from __future__ import annotations
@@ -146,22 +146,23 @@ def repeated_spans(docs: DataFrame, min_length: int = MIN_LENGTH, period: int =
 
     def merge():
         def merged(batch: pa.RecordBatch) -> dict:
-            refs, first, second, starts = [], [], [], []
+            refs, first, second = [], [], []
             for ref, text, places in zip(batch.column("_ref").to_pylist(), batch.column("_text").to_pylist(), batch.column("places").to_pylist(), strict=True):
                 data = text.encode()
                 last = len(data) - min_length
                 i = np.flatnonzero(covered(last + 1, [(max(0, p - reach), min(p, last) + 1) for p in places if p - reach <= last]))
                 first.append(Digests(data, BASES[0]).of(i, min_length))
-                second.append(Digests(data, BASES[1]).of(i, min_length))
-                starts.append(i)
+                # one number holds the start and 32 bits of a second digest
+                second.append((i << 32) | (Digests(data, BASES[1]).of(i, min_length) & np.uint64(0xFFFFFFFF)).astype(np.int64))
                 refs.append(np.full(len(i), ref))
-            return {"_ref": np.concatenate(refs), "x": np.concatenate(first).view(np.int64), "y": np.concatenate(second).view(np.int64), "start": np.concatenate(starts)}
+            return {"_ref": np.concatenate(refs), "x": np.concatenate(first).view(np.int64), "place": np.concatenate(second)}
 
         return merged
 
-    substrings = map_batches(texts.select("_ref", "_text").join(open_places, "_ref"), "_ref long, x long, y long, start int", merge)
-    repeated = substrings.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("x", "y"))).where("n > 1")
-    runs = found.where("settled").select("_ref", (F.col("place") * 2).alias("mark")).unionByName(repeated.select("_ref", (F.col("start").cast("long") * 2 + 1).alias("mark")))
+    substrings = map_batches(texts.select("_ref", "_text").join(open_places, "_ref"), "_ref long, x long, place long", merge)
+    equal = Window.partitionBy("x", F.col("place").bitwiseAND(F.lit(0xFFFFFFFF)))
+    repeated = substrings.repartition("x").withColumn("n", F.count(F.lit(1)).over(equal)).where("n > 1")
+    runs = found.where("settled").select("_ref", (F.col("place") * 2).alias("mark")).unionByName(repeated.select("_ref", (F.shiftright("place", 32) * 2 + 1).alias("mark")))
     marks = runs.groupBy("_ref").agg(F.collect_list("mark").alias("marks"))
 
     def cut():
