@@ -156,7 +156,10 @@ def overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
 
 
 def joined(docs: DataFrame, threshold: float = THRESHOLD, shingle: int = SHINGLE, recall: float = RECALL, id_col: str = "doc_id", text_col: str = "text", bucket: int = BUCKET, depth: int = DEPTH) -> DataFrame:
-    """(_ref, id, k, group, n_links): one row per row of ``docs``; _ref numbers the rows of the scan, k is the text's digest."""
+    """(_ref, id, k, group, n_links): one row per row of ``docs``; k is the text's digest.
+
+    _ref numbers the rows within their input splits; ``docs`` must be a table read from files, whose rows come in the same order each time.
+    """
     seeds = [int(x) for x in mix(np.arange(1, runs_needed(threshold, recall, depth) + 1).astype(np.uint64))]
     source = docs.select(F.monotonically_increasing_id().alias("_ref"), F.col(id_col).alias("_id"), F.coalesce(text_col, F.lit("")).alias("_text"))
     keyed = source.withColumn("k", F.unhex(F.md5("_text")))
@@ -283,4 +286,5 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     found = joined(docs, id_col=id_col, text_col=text_col, **settings)
     order = F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("_ref").alias("ref"))
     kept = found.groupBy("group").agg(F.min(order).alias("first")).select(F.col("first.ref").alias("_ref"))
-    return docs.withColumn("_ref", F.monotonically_increasing_id()).join(kept, "_ref", "left_semi").select(*[docs[c] for c in docs.columns])
+    row = "_chosen_path_row"
+    return docs.withColumn(row, F.monotonically_increasing_id()).join(kept.withColumnRenamed("_ref", row), row, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -90,7 +90,8 @@ def repeated_spans(docs: DataFrame, min_length: int = MIN_LENGTH, period: int =
 
     A run is the union of ``min_length``-byte strings that start anywhere else too, in another row or in the same one. A null text is empty; texts
     shorter than ``min_length`` keep all their bytes. Rows with equal or null ids are separate documents, so a repeated row loses what it shares with
-    its copy. Other columns are not read. An empty table gives an empty result.
+    its copy. Other columns are not read. ``docs`` must be a table read from files: its rows are numbered within
+    their input splits, and have to come in the same order each time. An empty table gives an empty result.
     """
     spark = docs.sparkSession
     cover = np.array(difference_cover(period))
