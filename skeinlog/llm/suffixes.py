@@ -3,11 +3,12 @@
 Suffixes that start at the places of a difference cover are sampled: for any two places of the corpus some shift below the period brings
 both to sampled ones. The sampled suffixes are sorted by a prefix that is short enough to lie within every repeat of the wanted length
 after the shift; equal neighbours get one name. A name whose occurrences agree in all the bytes that a repeat can reach on both
-sides settles these bytes at once. Where they differ, the suffixes between the samples are merged in: every place whose
-substring reaches a sample of such a name is named by that whole substring, sorted and compared with its neighbours.
+sides settles these bytes at once. Where they differ, the suffixes between the samples are merged in by two steps. The places before such a sample
+are dealt into four runs, and each run gets a longer name, of the bytes that all its wanted substrings hold; most of these names occur once. Where
+one repeats with different bytes around it, every place of the run is named by its whole substring, sorted and compared with its neighbours.
 
 With period 3 the cover is that of the triples of the classic construction; a perfect cover of period 133 samples 12 of 133 places
-instead of two of three. Names are 64-bit digests of prefixes (with 32 bits of surroundings), of whole substrings 96 bits.
+instead of two of three. Names are 64-bit digests, with 64 bits of surroundings; whole substrings have 96 bits.
 """
 
 from __future__ import annotations
@@ -23,6 +24,9 @@ from .common import map_batches, mix, release, written
 
 PERIOD = 133
 MIN_LENGTH = 200
+# parts of a period whose strings are named by what all of them hold, before any string is named as a whole
+PARTS = 4
+SAMPLE = "_ref long, name long, around long, place int"
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
 
@@ -85,6 +89,53 @@ def covered(n: int, runs: list[tuple[int, int]]) -> np.ndarray:
     return np.cumsum(step[:n]) > 0
 
 
+def cover_places(n: int, period: int, cover: np.ndarray) -> np.ndarray:
+    return (np.arange(0, n, period)[:, None] + cover).ravel()
+
+
+def sampler(length: int, min_length: int, places_of):
+    """Names and surroundings of the substrings of ``length`` bytes at chosen places of every text.
+
+    A string of ``min_length`` bytes that holds such a substring reaches ``min_length - length`` bytes to the left of its place.
+    """
+    reach = min_length - length
+
+    def sampled(batch: pa.RecordBatch) -> dict:
+        refs, names, around, at = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+        given = batch.column("places").to_pylist() if "places" in batch.schema.names else [()] * batch.num_rows
+        for ref, text, places in zip(batch.column("_ref").to_pylist(), batch.column("_text").to_pylist(), given, strict=True):
+            data = text.encode()
+            n = len(data)
+            if n < min_length:
+                continue
+            p = places_of(n, np.array(places, np.int64))
+            p = p[(p >= 0) & (p <= n - length)]
+            digests = Digests(data, BASES[0])
+            low, high = np.maximum(p - reach, 0), np.minimum(p + min_length, n)
+            names.append(digests.of(p, length))
+            around.append(digests.of(low, high - low) ^ mix((p - low).astype(np.uint64)))
+            at.append(p)
+            refs.append(np.full(len(p), ref))
+        return {"_ref": np.concatenate(refs), "name": np.concatenate(names).view(np.int64), "around": np.concatenate(around).view(np.int64), "place": np.concatenate(at)}
+
+    return sampled
+
+
+def named(samples: DataFrame) -> DataFrame:
+    """(_ref, place, settled, open) of the samples whose name occurs again.
+
+    Settled ones have the same surroundings as another; where a name has different surroundings, one sample of each kind is open.
+    """
+    sides, same = Window.partitionBy("name", "around"), Window.partitionBy("name")
+    return (
+        samples.repartition("name")
+        .withColumns({"alike": F.count(F.lit(1)).over(sides), "nth": F.row_number().over(sides.orderBy("_ref", "place"))})
+        .withColumns({"low": F.min("around").over(same), "high": F.max("around").over(same)})
+        .select("_ref", "place", (F.col("alike") > 1).alias("settled"), ((F.col("low") != F.col("high")) & (F.col("nth") == 1)).alias("open"))
+        .where("settled OR open")
+    )
+
+
 def repeated_spans(docs: DataFrame, min_length: int = MIN_LENGTH, period: int = PERIOD, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, kept_sha256, spans) for every row; spans are the (start, end) byte runs that repeat.
 
@@ -101,49 +152,23 @@ def repeated_spans(docs: DataFrame, min_length: int = MIN_LENGTH, period: int =
     kind = docs.schema[id_col].dataType.simpleString()
     # the number of a row within its input split: the same whenever the split is read again
     source = docs.select(F.monotonically_increasing_id().alias("_ref"), F.col(id_col).alias("_id"), F.coalesce(text_col, F.lit("")).alias("_text"))
-    reach = period - 1
+    reach, inner = period - 1, -(-period // PARTS) - 1
 
-    def sample():
-        def sampled(batch: pa.RecordBatch) -> dict:
-            refs, names, around, places = [], [], [], []
-            for ref, text in zip(batch.column("_ref").to_pylist(), batch.column("_text").to_pylist(), strict=True):
-                data = text.encode()
-                n = len(data)
-                if n < min_length:
-                    continue
-                p = (np.arange(0, n - prefix + 1, period)[:, None] + cover).ravel()
-                p = p[p <= n - prefix]
-                digests = Digests(data, BASES[0])
-                low, high = np.maximum(p - reach, 0), np.minimum(p + min_length, n)
-                sides = digests.of(low, high - low) ^ mix((p - low).astype(np.uint64))
-                names.append(digests.of(p, prefix))
-                around.append((sides & np.uint64(0xFFFFFFFF)).astype(np.int64))
-                places.append(p)
-                refs.append(np.full(len(p), ref))
-            if not refs:
-                return {"_ref": [], "name": [], "place": []}
-            # one number holds the place and the 32-bit digest of what is around it
-            return {"_ref": np.concatenate(refs), "name": np.concatenate(names).view(np.int64), "place": (np.concatenate(places) << 32) | np.concatenate(around)}
-
-        return sampled
-
-    samples = map_batches(source.select("_ref", "_text"), "_ref long, name long, place long", sample)
-    around = F.col("place").bitwiseAND(F.lit(0xFFFFFFFF))
-    sides, same = Window.partitionBy("name", "around"), Window.partitionBy("name")
-    named = (
-        samples.repartition("name")
-        .withColumn("around", around)
-        .withColumns({"alike": F.count(F.lit(1)).over(sides), "nth": F.row_number().over(sides.orderBy("_ref", "place"))})
-        .withColumns({"low": F.min("around").over(same), "high": F.max("around").over(same)})
-        .select("_ref", F.shiftright("place", 32).alias("place"), (F.col("alike") > 1).alias("settled"), ((F.col("low") != F.col("high")) & (F.col("nth") == 1)).alias("open"))
-        .where("settled OR open")
-    )
-    found = written(named, "samples")
-    del named, samples
+    found = written(named(map_batches(source.select("_ref", "_text"), SAMPLE, lambda: sampler(prefix, min_length, lambda n, _: cover_places(n, period, cover)))), "samples")
     release(spark)
 
-    texts = source.repartition("_ref")
-    open_places = found.where("open").groupBy("_ref").agg(F.collect_list("place").alias("places"))
+    def texts_at(places: DataFrame) -> DataFrame:
+        # joined in the same way at every size: what is broadcast on small tables would not be on large ones
+        grouped = places.groupBy("_ref").agg(F.collect_list("place").alias("places"))
+        return source.select("_ref", "_text").join(grouped.hint("merge"), "_ref").select("_ref", "_text", "places")
+
+    def narrower(n: int, places: np.ndarray) -> np.ndarray:
+        return np.unique(places[:, None] - (inner + 1) * np.arange(PARTS))
+
+    cores = map_batches(texts_at(found.where("open")), SAMPLE, lambda: sampler(min_length - inner, min_length, narrower))
+    closer = written(named(cores), "cores")
+    del cores
+    release(spark)
 
     def merge():
         def merged(batch: pa.RecordBatch) -> dict:
@@ -151,7 +176,7 @@ def repeated_spans(docs: DataFrame, min_length: int = MIN_LENGTH, period: int =
             for ref, text, places in zip(batch.column("_ref").to_pylist(), batch.column("_text").to_pylist(), batch.column("places").to_pylist(), strict=True):
                 data = text.encode()
                 last = len(data) - min_length
-                i = np.flatnonzero(covered(last + 1, [(max(0, p - reach), min(p, last) + 1) for p in places if p - reach <= last]))
+                i = np.flatnonzero(covered(last + 1, [(max(0, p - inner), min(p, last) + 1) for p in places if p - inner <= last]))
                 first.append(Digests(data, BASES[0]).of(i, min_length))
                 # one number holds the start and 32 bits of a second digest
                 second.append((i << 32) | (Digests(data, BASES[1]).of(i, min_length) & np.uint64(0xFFFFFFFF)).astype(np.int64))
@@ -160,11 +185,14 @@ def repeated_spans(docs: DataFrame, min_length: int = MIN_LENGTH, period: int =
 
         return merged
 
-    substrings = map_batches(texts.select("_ref", "_text").join(open_places, "_ref"), "_ref long, x long, place long", merge)
+    substrings = map_batches(texts_at(closer.where("open")), "_ref long, x long, place long", merge)
     equal = Window.partitionBy("x", F.col("place").bitwiseAND(F.lit(0xFFFFFFFF)))
-    repeated = substrings.repartition("x").withColumn("n", F.count(F.lit(1)).over(equal)).where("n > 1")
-    runs = found.where("settled").select("_ref", (F.col("place") * 2).alias("mark")).unionByName(repeated.select("_ref", (F.shiftright("place", 32) * 2 + 1).alias("mark")))
-    marks = runs.groupBy("_ref").agg(F.collect_list("mark").alias("marks"))
+    repeated = substrings.repartition("x").withColumn("n", F.count(F.lit(1)).over(equal)).where("n > 1").select("_ref", F.shiftright("place", 32).alias("place"))
+    # a mark is a place times three, plus the position of its reach to the left in this list
+    reaches = (reach, inner, 0)
+    whole = [found.where("settled"), closer.where("settled"), repeated]
+    marked = [rows.select("_ref", (F.col("place") * 3 + i).alias("mark")) for i, rows in enumerate(whole)]
+    marks = marked[0].unionByName(marked[1]).unionByName(marked[2]).groupBy("_ref").agg(F.collect_list("mark").alias("marks"))
 
     def cut():
         def removed(batch: pa.RecordBatch) -> dict:
@@ -172,8 +200,7 @@ def repeated_spans(docs: DataFrame, min_length: int = MIN_LENGTH, period: int =
             for text, marks in zip(batch.column("_text").to_pylist(), batch.column("marks").to_pylist(), strict=True):
                 data = text.encode()
                 n = len(data)
-                own = [(m >> 1, m & 1) for m in marks or ()]
-                bounds = [(p, p + min_length) if whole else (max(0, p - reach), min(n, p + min_length)) for p, whole in own]
+                bounds = [(max(0, m // 3 - reaches[m % 3]), min(n, m // 3 + min_length)) for m in marks or ()]
                 gone = covered(n, [(s, e) for s, e in bounds if e - s >= min_length])
                 edges = np.flatnonzero(np.diff(np.concatenate(([False], gone, [False])).astype(np.int8)))
                 spans = edges.reshape(-1, 2)
@@ -184,5 +211,5 @@ def repeated_spans(docs: DataFrame, min_length: int = MIN_LENGTH, period: int =
 
         return removed
 
-    joined = texts.join(marks, "_ref", "left").select("_id", "_text", "marks")
+    joined = source.join(marks.hint("merge"), "_ref", "left").select("_id", "_text", "marks")
     return map_batches(joined, f"_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>", cut).withColumnRenamed("_id", id_col)
