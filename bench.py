@@ -32,7 +32,7 @@ HEADLINE = [
     "usage_summary",
     "cost_by_model",
     "dashboard_projects",
-    "bounded_texts",
+    "session_texts",
     "search_tokens",
     "search_fused",
     "search_deep",

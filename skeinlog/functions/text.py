@@ -12,8 +12,6 @@ from skeinlog.functions import strings
 # fixed values: characters kept before and after the first match of a snippet
 SNIPPET_BEFORE = 40
 SNIPPET_AFTER = 100
-# fixed value: longest token kept by the index, in bytes
-TOKEN_BYTES = 128
 
 # fixed patterns: CSI, OSC (ended by BEL or ESC backslash), short ESC, 8-bit CSI, carriage return
 TERMINAL_CONTROLS = (
@@ -48,13 +46,13 @@ def fallback_title(thread_id: Column, *bodies: Column) -> Column:
         return strings.trim(F.regexp_replace(bare, r"^[-*]+", ""))
 
     def usable(line: Column) -> Column:
-        return (line != "") & (line != "---") & ~line.startswith("<") & (F.octet_length(line) <= 300)
+        return (line != "") & (line != "---") & ~line.startswith("<")
 
     firsts = [
         F.get(F.filter(F.transform(F.split(body, r"\r?\n"), candidate), usable), F.lit(0)) for body in bodies
     ]
     short = F.concat(F.lit("session "), F.left(thread_id, F.lit(8)))
-    return F.coalesce(*[F.left(f, F.lit(100)) for f in firsts], short)
+    return F.coalesce(*firsts, short)
 
 
 def snippet(text: Column, query: str) -> Column:
@@ -76,22 +74,32 @@ def is_literal_query(query: Column) -> Column:
 
 
 def raw_tokens(text: Column) -> Column:
-    """Word runs in order; a run with Han characters becomes its characters and bigrams."""
+    """Word runs in order, Han and other letters apart; a Han run becomes its characters and bigrams."""
 
     def expand(run: Column) -> Column:
-        chars = F.split(run, "(?!^)")
-        pairs = F.transform(
-            F.sequence(F.lit(1), F.greatest(F.length(run) - 1, F.lit(1))), lambda i: F.substring(run, i, F.lit(2))
-        )
+        places = F.sequence(F.lit(1), F.length(run))
+        chars = F.transform(places, lambda i: F.substring(run, i, F.lit(1)))
+        pairs = F.transform(places, lambda i: F.substring(run, i, F.lit(2)))
         return F.when(run.rlike(HAN), F.concat(chars, F.filter(pairs, lambda p: F.length(p) == 2))).otherwise(F.array(run))
 
-    return F.flatten(F.transform(F.regexp_extract_all(text, F.lit(WORD_RUN), F.lit(0)), expand))
+    apart = F.regexp_replace(text, f"({HAN}+)", " $1 ")
+    return F.flatten(F.transform(F.regexp_extract_all(apart, F.lit(WORD_RUN), F.lit(0)), expand))
 
 
 def tokens(text: Column) -> Column:
-    """Lower-cased index tokens in order: at least 2 bytes, at most 128 bytes."""
-    kept = F.filter(raw_tokens(text), lambda t: (F.octet_length(t) >= 2) & (F.octet_length(F.lower(t)) <= TOKEN_BYTES))
-    return F.transform(kept, F.lower)
+    """Lower-cased index tokens in order."""
+    return F.transform(raw_tokens(text), F.lower)
+
+
+def may_hold(line: Column, query: str) -> Column:
+    """False only for JSON lines none of whose strings can hold the query, decided before parsing.
+
+    A run of ASCII letters stands in the raw line as in the decoded text, unless the line has Unicode escapes.
+    """
+    runs = re.findall("[a-z]{2,}", query.lower())
+    if not runs:
+        return F.lit(True)
+    return F.contains(F.lower(line), F.lit(max(runs, key=len))) | F.contains(line, F.lit("\\u"))
 
 
 def cut_bytes(text: Column, budget: Column) -> Column:

@@ -62,17 +62,3 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
-
-
-def climb_16(edges: DataFrame, label: str = "climb") -> DataFrame:
-    """(id, root_id) after at most 16 parent steps over ``(id, parent_id)``.
-
-    A parent that has no row ends the climb on its id. Four doublings are exactly 16 steps, so a longer
-    chain or a cycle stops on whatever the 16th step reaches.
-    """
-    step = edges.select("id", F.coalesce("parent_id", "id").alias("to"))
-    for round_no in range(4):
-        ahead = step.select(F.col("id").alias("to"), F.col("to").alias("ahead"))
-        joined = step.join(ahead, "to", "left")
-        step = cut_lineage(joined.select("id", F.coalesce("ahead", "to").alias("to")), f"{label}-{round_no}")
-    return step.select("id", F.col("to").alias("root_id"))

@@ -7,12 +7,8 @@ from pyspark.sql import functions as F
 
 from skeinlog.plans.scope import in_scope
 
-# fixed values: rows shown by the dashboard
-RECENT = 10
-TOP_PROJECTS = 8
+# fixed value: days shown by the dashboard
 ACTIVITY_DAYS = 30
-# fixed value: rows of a plain list
-BROWSE_LIMIT = 500
 
 
 def recency() -> list[Column]:
@@ -20,7 +16,7 @@ def recency() -> list[Column]:
     return [F.col("modified").desc_nulls_last(), F.col("source"), F.col("session_id")]
 
 
-def recent(sessions: DataFrame, limit: int = RECENT) -> DataFrame:
+def recent(sessions: DataFrame, limit: int) -> DataFrame:
     return in_scope(sessions).orderBy(*recency()).limit(limit)
 
 
@@ -41,7 +37,7 @@ def source_health(sources: DataFrame, sessions: DataFrame) -> DataFrame:
     )
 
 
-def top_projects(sessions: DataFrame, limit: int = TOP_PROJECTS) -> DataFrame:
+def top_projects(sessions: DataFrame, limit: int) -> DataFrame:
     path = F.when(F.col("project_path") == "", F.col("project")).otherwise(F.col("project_path"))
     return (
         in_scope(sessions)
@@ -63,7 +59,7 @@ def activity(sessions: DataFrame, today: Column, days: int = ACTIVITY_DAYS) -> D
     )
 
 
-def browse(sessions: DataFrame, scope: str | None = None, source: str | None = None, limit: int | None = BROWSE_LIMIT) -> DataFrame:
+def browse(sessions: DataFrame, scope: str | None = None, source: str | None = None, limit: int | None = None) -> DataFrame:
     """Recency order; the snippet is the first prompt, else the project path."""
     rows = in_scope(sessions, scope, source).orderBy(*recency())
     rows = rows if limit is None else rows.limit(limit)

@@ -32,9 +32,10 @@ def merge(previous: DataFrame, parsed: DataFrame, current: DataFrame, keys: tupl
 
 
 def fingerprint(files: DataFrame) -> DataFrame:
-    """Cheap change mark over ``files(path, size, mtime)``; paths count because a move keeps size and time."""
+    """Cheap change mark over ``files(path, size, mtime)``, and ``host`` if there; a sum, so that equal files of two hosts do not cancel."""
+    facts = [c for c in ("host", "path", "size", "mtime") if c in files.columns]
     return files.agg(
         F.count("*").alias("files"),
         F.max("mtime").alias("latest"),
-        F.expr("bit_xor(xxhash64(path, size))").alias("paths"),
+        F.sum(F.xxhash64(*facts).cast("decimal(20,0)")).alias("paths"),
     )

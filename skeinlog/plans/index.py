@@ -1,4 +1,4 @@
-"""The bounded search index: texts kept per session, preview texts, first-seen tokens and postings.
+"""The search index: whole texts of every session, and postings of their distinct tokens.
 
 ``docs(session_key, source, session_id, archive_name, project_path, agent_title, first_prompt, modified)``,
 ``texts(session_key, unit, seq, kind, text)``.
@@ -8,134 +8,30 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skeinlog.functions import strings
-from skeinlog.functions.text import TOKEN_BYTES, cut_bytes, tokens
-from skeinlog.operators.ordered import first_per_group
+from skeinlog.functions.text import tokens
 from skeinlog.session import cut_lineage, scratch_path
 
-KINDS = ["content", "tool", "reasoning"]
-# fixed values: bytes, chunks and distinct tokens kept per session and kind (content, tool, reasoning)
-TEXT_BYTES = [64 * 1024, 32 * 1024, 32 * 1024]
-TEXT_CHUNKS = [128, 64, 64]
-TOKEN_BUDGETS = [1024, 512, 512]
-# fixed values: preview bytes per text and per session
-PREVIEW_TEXT_BYTES = 16 * 1024
-PREVIEW_SESSION_BYTES = 64 * 1024
-
-
 def kind_code(kind: Column | str) -> Column:
     """content 0 (also for unknown kinds), tool 1, reasoning 2."""
     k = F.col(kind) if isinstance(kind, str) else kind
     return F.when(k == "tool", 1).when(k == "reasoning", 2).otherwise(0)
 
 
-def _budget(values: list[int], code: str = "code") -> Column:
-    return F.when(F.col(code) == 1, values[1]).when(F.col(code) == 2, values[2]).otherwise(values[0])
-
-
-def _fold(entries: Column, bytes_left: Column, chunks_left: Column, kept_type: str) -> Column:
-    """Take texts in order while the budgets last; a text that is blank after its cut costs nothing."""
-    start = F.struct(
-        bytes_left.cast("int").alias("bytes"), chunks_left.cast("int").alias("chunks"), F.expr(f"cast(array() as {kept_type})").alias("kept")
-    )
-
-    def step(acc: Column, e: Column) -> Column:
-        cut = cut_bytes(e["text"], acc["bytes"])
-        taken = F.struct(
-            (acc["bytes"] - F.octet_length(cut)).alias("bytes"),
-            (acc["chunks"] - 1).alias("chunks"),
-            F.concat(acc["kept"], F.array(F.struct(e["pos"].alias("pos"), cut.alias("text")))).alias("kept"),
-        )
-        return F.when((acc["bytes"] > 0) & (acc["chunks"] > 0) & (strings.trim(cut) != ""), taken).otherwise(acc)
+def session_texts(texts: DataFrame, order: tuple[str, ...] = ("unit", "seq")) -> DataFrame:
+    """Every text of every session that is not blank, whole."""
+    return texts.where(strings.trim("text") != "").select("session_key", *order, kind_code("kind").alias("code"), "text")
 
-    return F.aggregate(entries, start, step)
 
-
-def bounded_texts(texts: DataFrame, order: tuple[str, ...] = ("unit", "seq")) -> DataFrame:
-    """Texts kept for the index: per session and kind, in order, within the byte and chunk budgets.
-
-    Only the first rows that could still be taken reach a group: every map task keeps at most 128 of
-    them, each cut to the byte budget before the shuffle, so a group is small whatever the session's
-    size. A text that became blank by its cut frees a place; the few sessions where that happened go
-    another round from where they stopped, until none is left.
-    """
-    keys = ["session_key", "code"]
-    rows = texts.select("session_key", kind_code("kind").alias("code"), F.struct(*order).alias("pos"), "text")
-    rows = rows.where(strings.trim("text") != "").withColumn("text", cut_bytes(F.col("text"), _budget(TEXT_BYTES)))
-    kept_type = f"array<struct<pos:{rows.schema['pos'].dataType.simpleString()},text:string>>"
-    start = rows.withColumns({"bytes": _budget(TEXT_BYTES), "chunks": _budget(TEXT_CHUNKS)})
-    done: list[DataFrame] = []
-    round_no = 0
-    while True:
-        head = first_per_group(start, keys, ["pos"], max(TEXT_CHUNKS), "rank").where("rank <= chunks")
-        grouped = head.groupBy(*keys).agg(
-            F.array_sort(F.collect_list(F.struct("pos", "text"))).alias("entries"),
-            F.first("bytes").alias("bytes"),
-            F.first("chunks").alias("chunks"),
-        )
-        folded = grouped.select(
-            *keys,
-            F.element_at("entries", -1)["pos"].alias("last"),
-            (F.size("entries") == F.col("chunks")).alias("full"),
-            _fold(F.col("entries"), F.col("bytes"), F.col("chunks"), kept_type).alias("s"),
-        ).select(*keys, "last", "full", "s.bytes", "s.chunks", "s.kept")
-        table = cut_lineage(folded, f"bounded-{round_no}")
-        done.append(table.select(*keys, F.inline("kept")))
-        open_groups = table.where("full and bytes > 0 and chunks > 0")
-        if open_groups.isEmpty():
-            break
-        state = open_groups.select(*keys, "last", "bytes", "chunks")
-        start = (
-            rows.join(state, keys)
-            .where((F.col("pos") > F.col("last")) & (strings.trim(cut_bytes(F.col("text"), F.col("bytes"))) != ""))
-            .drop("last")
-        )
-        round_no += 1
-    result = done[0]
-    for more in done[1:]:
-        result = result.unionByName(more)
-    return result.select("session_key", "pos.*", "code", "text")
-
-
-def preview_texts(bounded: DataFrame) -> DataFrame:
-    """Copy kept for snippets: 16 KiB per text, 64 KiB per session. Input is bounded, so groups are small."""
-    entry = F.struct("unit", "seq", "code", cut_bytes(F.col("text"), F.lit(PREVIEW_TEXT_BYTES)).alias("text"))
-    grouped = bounded.groupBy("session_key").agg(F.array_sort(F.collect_list(entry)).alias("entries"))
-    types = {c: bounded.schema[c].dataType.simpleString() for c in ("unit", "seq", "code")}
-    kept = f"array<struct<unit:{types['unit']},seq:{types['seq']},code:{types['code']},text:string>>"
-    start = F.struct(F.lit(PREVIEW_SESSION_BYTES).alias("bytes"), F.expr(f"cast(array() as {kept})").alias("kept"))
-
-    def step(acc: Column, e: Column) -> Column:
-        cut = cut_bytes(e["text"], acc["bytes"])
-        row = F.struct(e["unit"].alias("unit"), e["seq"].alias("seq"), e["code"].alias("code"), cut.alias("text"))
-        taken = F.struct((acc["bytes"] - F.octet_length(cut)).alias("bytes"), F.concat(acc["kept"], F.array(row)).alias("kept"))
-        return F.when((acc["bytes"] > 0) & (cut != ""), taken).otherwise(acc)
-
-    folded = grouped.select("session_key", F.aggregate("entries", start, step)["kept"].alias("kept"))
-    return folded.select("session_key", F.inline("kept"))
-
-
-def index_tokens(docs: DataFrame, bounded: DataFrame) -> DataFrame:
-    """First-seen distinct tokens per session and kind; path, id, prompt and title come before the texts."""
+def index_tokens(docs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Distinct (token, code, session_key); path, id, prompt and title count as content."""
     fields = ["project_path", "session_id", "first_prompt", "agent_title"]
-    meta = docs.select(
-        "session_key",
-        F.posexplode(F.array(*[F.coalesce(f, F.lit("")) for f in fields])).alias("part", "text"),
-    ).select("session_key", F.lit(0).alias("code"), F.lit(0).alias("tier"), F.col("part").cast("bigint").alias("unit"), F.lit(0).cast("bigint").alias("seq"), "text")
-    body = bounded.select(
-        "session_key", "code", F.lit(1).alias("tier"), F.col("unit").cast("bigint").alias("unit"), F.col("seq").cast("bigint").alias("seq"), "text"
-    )
-    seen = (
-        meta.unionByName(body)
-        .select("session_key", "code", "tier", "unit", "seq", F.posexplode(tokens(F.col("text"))).alias("pos", "token"))
-        .groupBy("session_key", "code", "token")
-        .agg(F.min(F.struct("tier", "unit", "seq", "pos")).alias("at"))
-    )
-    ranked = seen.withColumn("rank", F.row_number().over(Window.partitionBy("session_key", "code").orderBy("at")))
-    return ranked.where(F.col("rank") <= _budget(TOKEN_BUDGETS)).select("token", "code", "session_key")
+    meta = docs.select("session_key", F.lit(0).alias("code"), F.explode(F.array(*fields)).alias("text"))
+    parts = meta.unionByName(texts.select("session_key", "code", "text"))
+    return parts.select(F.explode(F.array_distinct(tokens(F.col("text")))).alias("token"), "code", "session_key").distinct()
 
 
 # --- persisted index ---------------------------------------------------------------------------------
@@ -151,17 +47,17 @@ class Index:
 def write_index(docs: DataFrame, texts: DataFrame, path: str | None = None) -> str:
     """Build and write the index tables.
 
-    Postings are range-partitioned and sorted by (token, session): a token look-up reads the row groups
+    Texts are clustered by session. Postings are range-partitioned and sorted by (token, session): a token look-up reads the row groups
     that hold it, and a token found in most sessions is spread over many files.
     """
     spark = docs.sparkSession
     path = path or scratch_path(spark, "index")
     docs.write.parquet(f"{path}/docs")
-    bounded = cut_lineage(bounded_texts(texts), "bounded")
-    preview_texts(bounded).write.parquet(f"{path}/texts")
-    stored = spark.read.parquet(f"{path}/docs")
-    # written before it is ranged: finding the range bounds samples its input, which must not mean tokenising twice
-    seen = cut_lineage(index_tokens(stored, bounded), "tokens")
+    # written before they are ranged: finding the range bounds samples its input, which must not mean parsing or tokenising twice
+    kept = cut_lineage(session_texts(texts), "texts")
+    order = ["session_key", "unit", "seq"]
+    kept.repartitionByRange(*order).sortWithinPartitions(*order).write.parquet(f"{path}/texts")
+    seen = cut_lineage(index_tokens(spark.read.parquet(f"{path}/docs"), kept), "tokens")
     seen.repartitionByRange("token", "session_key").sortWithinPartitions("token", "session_key").write.parquet(f"{path}/postings")
     return path
 
@@ -182,19 +78,11 @@ def token_frequencies(postings: DataFrame) -> DataFrame:
 
 
 def violations(index: Index) -> DataFrame:
-    """Bound checks of a stored index, one row per check; every count should be zero."""
+    """Checks of a stored index, one row per check: things checked and things broken, which should be none."""
 
     def check(rows: DataFrame, name: str, broken: Column) -> DataFrame:
-        return rows.agg(F.count_if(broken).alias("broken")).select(F.lit(name).alias("bound"), "broken")
-
-    per_kind = index.postings.groupBy("session_key", "code").agg(F.count("*").alias("n"))
-    sizes = index.texts.groupBy("session_key").agg(
-        F.sum(F.octet_length("text")).alias("total"), F.max(F.octet_length("text")).alias("largest")
-    )
-    size = F.octet_length("token")
-    return (
-        check(per_kind, "token_budget", F.col("n") > _budget(TOKEN_BUDGETS))
-        .unionByName(check(index.postings, "token_form", (size < 2) | (size > TOKEN_BYTES) | ~F.col("token").rlike(r"[\p{L}\p{N}]")))
-        .unionByName(check(sizes, "preview_session", F.col("total") > PREVIEW_SESSION_BYTES))
-        .unionByName(check(sizes, "preview_text", F.col("largest") > PREVIEW_TEXT_BYTES))
-    )
+        return rows.agg(F.count_if(broken).alias("broken"), F.count("*").alias("checked")).select(F.lit(name).alias("bound"), "broken", "checked")
+
+    known = index.docs.select("session_key", F.lit(True).alias("known"))
+    posted = index.postings.select("session_key").distinct().join(known, "session_key", "left")
+    return check(index.postings, "token_form", ~F.col("token").rlike(r"[\p{L}\p{N}]")).unionByName(check(posted, "known_session", F.col("known").isNull()))

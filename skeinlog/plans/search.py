@@ -12,10 +12,6 @@ from skeinlog.plans.dashboard import browse
 from skeinlog.plans.index import Index, kind_code
 from skeinlog.plans.scope import in_scope
 
-# fixed values: result limits of a query and of exhaustive search
-QUERY_LIMIT = 200
-DEEP_LIMIT = 300
-
 DOC_COLUMNS = ["session_key", "source", "session_id", "archive_name", "modified"]
 
 
@@ -34,13 +30,17 @@ def is_literal(query: str) -> bool:
     return any(not c.isalnum() and not c.isspace() for c in query)
 
 
+def _first(rows: DataFrame, limit: int | None) -> DataFrame:
+    return rows if limit is None else rows.limit(limit)
+
+
 def _has(c: Column | str, query: str) -> Column:
     return F.coalesce(F.contains(F.lower(c), F.lit(query)), F.lit(False))
 
 
-def _first_text(index: Index, query: str, codes: list[int]) -> DataFrame:
-    """First kept text of a session that holds the whole query, as its snippet."""
-    hits = index.texts.where(F.col("code").isin(codes) & _has("text", query))
+def _first_text(index: Index, query: str, codes: list[int], among: DataFrame) -> DataFrame:
+    """First text of a session that holds the whole query, as its snippet; only sessions of ``among`` are read."""
+    hits = index.texts.where(F.col("code").isin(codes) & _has("text", query)).join(among.select("session_key"), "session_key", "left_semi")
     return (
         hits.select("session_key", "unit", "seq", X.snippet(F.col("text"), query).alias("snippet"))
         .groupBy("session_key")
@@ -55,19 +55,20 @@ def token_scores(index: Index, docs: DataFrame, tokens: list[str], codes: list[i
     return docs.join(scores, "session_key")
 
 
-def token_search(index: Index, query: str, scopes=None, source=None, archive_scope=None, limit: int = QUERY_LIMIT) -> DataFrame:
-    """Any token matches; more distinct tokens rank higher, then newer sessions."""
+def token_search(index: Index, query: str, scopes=None, source=None, archive_scope=None, limit: int | None = None) -> DataFrame:
+    """Any token matches; more distinct tokens rank higher, then newer sessions. Without a limit every match is returned."""
     codes = scope_codes(scopes)
     q = query.strip().lower()
     docs = in_scope(index.docs, archive_scope, source)
     scored = token_scores(index, docs, query_tokens(index.docs, q), codes)
-    top = scored.orderBy(F.col("score").desc(), F.col("modified").desc_nulls_last(), "source", "session_id").limit(limit)
-    return _with_snippet(index, top, q, codes)
+    order = [F.col("score").desc(), F.col("modified").desc_nulls_last(), F.col("source"), F.col("session_id")]
+    top = scored if limit is None else scored.orderBy(*order).limit(limit)
+    return _with_snippet(index, top, q, codes).orderBy(*order)
 
 
 def _with_snippet(index: Index, top: DataFrame, q: str, codes: list[int]) -> DataFrame:
     """Snippet of a token hit: a text with the whole query, else the path, title or prompt."""
-    shown = top.join(_first_text(index, q, codes), "session_key", "left")
+    shown = top.join(_first_text(index, q, codes, top), "session_key", "left")
     snippet = F.coalesce(
         "text_snippet",
         F.when(_has("project_path", q), F.col("project_path")),
@@ -81,7 +82,7 @@ def _with_snippet(index: Index, top: DataFrame, q: str, codes: list[int]) -> Dat
 def substring_matches(index: Index, q: str, codes: list[int], docs: DataFrame) -> DataFrame:
     """Every in-scope session that holds the text; path, id, title and prompt count as content."""
     meta = F.lit(0 in codes)
-    joined = docs.join(_first_text(index, q, codes), "session_key", "left")
+    joined = docs.join(_first_text(index, q, codes, docs), "session_key", "left")
     snippet = F.coalesce(
         *[F.when(meta & _has(f, q), F.col(f)) for f in ("project_path", "session_id", "agent_title", "first_prompt")],
         F.col("text_snippet"),
@@ -89,19 +90,18 @@ def substring_matches(index: Index, q: str, codes: list[int], docs: DataFrame) -
     return joined.withColumn("snippet", snippet).where("snippet is not null").select(*DOC_COLUMNS, F.lit(0).cast("bigint").alias("score"), "snippet")
 
 
-def substring_search(index: Index, query: str, scopes=None, source=None, archive_scope=None, limit: int = QUERY_LIMIT) -> DataFrame:
+def substring_search(index: Index, query: str, scopes=None, source=None, archive_scope=None, limit: int | None = None) -> DataFrame:
     q = query.strip().lower()
     rows = substring_matches(index, q, scope_codes(scopes), in_scope(index.docs, archive_scope, source))
-    return rows.orderBy("source", "session_id", "session_key").limit(limit)
+    return _first(rows.orderBy("source", "session_id", "session_key"), limit)
 
 
 def search(index: Index, query: str, scopes=None, source=None, archive_scope=None, limit: int | None = None) -> DataFrame:
     """Blank queries browse, literal ones match substrings, others rank token hits and fill up with substrings."""
     q = query.strip().lower()
     if not q:
-        rows = browse(index.docs, archive_scope, source, limit or 500)
+        rows = browse(index.docs, archive_scope, source, limit)
         return rows.select(*DOC_COLUMNS, F.lit(0).cast("bigint").alias("score"), "snippet")
-    limit = limit or QUERY_LIMIT
     words = [] if is_literal(q) else query_tokens(index.docs, q)
     if not words:
         return substring_search(index, q, scopes, source, archive_scope, limit)
@@ -110,17 +110,17 @@ def search(index: Index, query: str, scopes=None, source=None, archive_scope=Non
     ranked = _with_snippet(index, token_scores(index, docs, words, codes), q, codes).withColumn("tier", F.lit(0))
     rest = substring_matches(index, q, codes, docs).join(ranked.select("session_key"), "session_key", "left_anti").withColumn("tier", F.lit(1))
     order = [F.col("tier"), F.col("score").desc(), F.when(F.col("tier") == 0, F.col("modified")).desc_nulls_last(), F.col("source"), F.col("session_id")]
-    return ranked.unionByName(rest).orderBy(*order).limit(limit).drop("tier")
+    return _first(ranked.unionByName(rest).orderBy(*order), limit).drop("tier")
 
 
-def deep_search(docs: DataFrame, hits: DataFrame, source=None, archive_scope=None, limit: int = DEEP_LIMIT) -> DataFrame:
+def deep_search(docs: DataFrame, hits: DataFrame, source=None, archive_scope=None, limit: int | None = None) -> DataFrame:
     """Exhaustive search: the first hit of every in-scope session, newest sessions first.
 
     ``hits(session_key, unit, seq, snippet)`` come from the whole texts, not from the index.
     """
     first = hits.groupBy("session_key").agg(F.min_by("snippet", F.struct("unit", "seq")).alias("snippet"))
     rows = in_scope(docs, archive_scope, source).join(first, "session_key")
-    return rows.select(*DOC_COLUMNS, "snippet").orderBy(F.col("modified").desc_nulls_last(), "source", "session_id").limit(limit)
+    return _first(rows.select(*DOC_COLUMNS, "snippet").orderBy(F.col("modified").desc_nulls_last(), "source", "session_id"), limit)
 
 
 def text_hits(texts: DataFrame, query: str, kinds: Sequence[str] | None = None) -> DataFrame:

@@ -10,8 +10,6 @@ from skeinlog.plans.scope import in_scope
 from skeinlog.schemas import USAGE_COLUMNS
 
 UNKNOWN_MODEL = "unknown"
-# fixed value: projects shown by the usage report
-TOP_PROJECTS = 12
 
 
 def first_model(contexts: Column | str = "model_contexts") -> Column:
@@ -45,8 +43,8 @@ def by_model(sessions: DataFrame) -> DataFrame:
     return _ranked(in_scope(sessions).groupBy(first_model().alias("key")).agg(*_sums()))
 
 
-def by_project(sessions: DataFrame, limit: int = TOP_PROJECTS) -> DataFrame:
-    return _ranked(in_scope(sessions).groupBy(F.col("project_path").alias("key")).agg(*_sums())).limit(limit)
+def by_project(sessions: DataFrame) -> DataFrame:
+    return _ranked(in_scope(sessions).groupBy(F.col("project_path").alias("key")).agg(*_sums()))
 
 
 def by_day(sessions: DataFrame) -> DataFrame:
@@ -55,10 +53,7 @@ def by_day(sessions: DataFrame) -> DataFrame:
 
 
 def summary(sessions: DataFrame) -> DataFrame:
-    """All five reports in one pass over the sessions (grouping sets), told apart by ``report``.
-
-    The project report is not cut here; a caller takes the first rows it wants.
-    """
+    """All five reports in one pass over the sessions (grouping sets), told apart by ``report``."""
     rows = in_scope(sessions).select(
         "source", first_model().alias("model"), "project_path", _day().alias("day"), *USAGE_COLUMNS
     )

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from skeinlog.functions import strings
 from skeinlog.functions import times
 from skeinlog.functions import variants as V
-from skeinlog.functions.text import snippet
-from skeinlog.operators.ordered import RunningSum, first_per_group, ordered_scan
+from skeinlog.functions.text import may_hold, snippet
+from skeinlog.operators.ordered import RunningSum, ordered_scan
 from skeinlog.schemas import RECORD_COLUMNS, TEXT_COLUMNS, USAGE_COLUMNS
 
 SOURCE = "claude"
@@ -33,16 +33,6 @@ SILENT_ATTACHMENTS = [
 INTERACTIVE_TOOL = "AskUserQuestion"
 
 
-def skippable_at_content(line: Column) -> Column:
-    """Raw-text gate: lines that cannot show anything in the content view, decided before parsing."""
-    return (
-        line.contains('"toolUseResult"')
-        | line.contains('"type":"tool_result"')
-        | line.contains('"type":"attachment"')
-        | (line.contains('"type":"tool_use"') & ~line.contains('"type":"text"'))
-    )
-
-
 def _block(b: Column) -> Column:
     return F.struct(
         V.get(b, "$.type").alias("type"),
@@ -481,8 +471,7 @@ def _turn_records(lines: DataFrame) -> DataFrame:
 
 def records(lines: DataFrame, min_level: str = "debug") -> DataFrame:
     """Timeline records at a visibility level, streamed assistant chunks merged into whole messages."""
-    gated = lines.where(~skippable_at_content(F.col("line"))) if min_level == "content" else lines
-    result = _line_records(gated).unionByName(_turn_records(gated))
+    result = _line_records(lines).unionByName(_turn_records(lines))
     return result.where(visible(F.col("level"), min_level)).select(*RECORD_COLUMNS)
 
 
@@ -583,7 +572,7 @@ def sessions(lines: DataFrame) -> DataFrame:
         summary.alias("summary"),
         custom.alias("custom"),
         turn_ts.alias("turn_ts"),
-        F.when(is_prompt, F.left(prompt, F.lit(200))).alias("prompt"),
+        F.when(is_prompt, prompt).alias("prompt"),
         F.when(cwd.startswith("/"), cwd).alias("cwd"),
     )
     return rows.groupBy("session_id").agg(
@@ -599,24 +588,22 @@ def sessions(lines: DataFrame) -> DataFrame:
 
 
 def lazy_first_prompt(lines: DataFrame) -> DataFrame:
-    """First string prompt among the first 101 lines of a session (no injected-context rule)."""
+    """First string prompt of a session (no injected-context rule)."""
     v = F.col("v")
-    head = lines.select("session_id", "off", "line")
-    head = first_per_group(head, ["session_id"], ["off"], 101, "rank").withColumn("v", V.parse("line"))
-    prompts = head.where(
+    prompts = V.with_parsed(lines.select("session_id", "off", "line")).where(
         (V.get(v, "$.type") == "user") & ~F.coalesce(V.get(v, "$.isCompactSummary", "boolean"), F.lit(False))
     ).select("session_id", "off", V.text(v, "$.message.content").alias("prompt"))
     return (
         prompts.where("prompt is not null")
         .groupBy("session_id")
-        .agg(F.min_by(F.left("prompt", F.lit(200)), "off").alias("first_prompt"))
+        .agg(F.min_by("prompt", "off").alias("first_prompt"))
     )
 
 
 def search_hits(lines: DataFrame, query: str) -> DataFrame:
     """All in-session hits: text first, then thinking, then tool output; at most one hit per line."""
     q = query.lower()
-    rows = parsed(lines.where(F.contains(F.lower("line"), F.lit(q))))
+    rows = parsed(lines.where(may_hold(F.col("line"), q)))
     kind = F.col("kind")
 
     def match(text: Column) -> Column:

@@ -18,8 +18,6 @@ from skeinlog.sources.dialect_a import visible
 
 SOURCE = "codex"
 
-# fixed values: the identity header is looked for in this many leading bytes of a file
-HEAD_BYTES = 131_072
 # fixed values: calls that ask the user
 ASK_CALLS = ["request_user_input", "ask_user_question"]
 
@@ -49,11 +47,10 @@ def effort(v: Column) -> Column:
     return F.coalesce(V.text(v, "$.payload.effort"), V.text(v, "$.payload.effort.effort"))
 
 
-def identities(lines: DataFrame, head_bytes: int | None = HEAD_BYTES) -> DataFrame:
+def identities(lines: DataFrame) -> DataFrame:
     """One row per file from its first header; later headers are inherited history and do not count."""
-    head = lines if head_bytes is None else lines.where(F.col("off") < head_bytes)
     v = F.col("v")
-    rows = parsed(head.where(F.col("line").contains('"session_meta"'))).where("t = 'session_meta'")
+    rows = parsed(lines.where(F.col("line").contains('"session_meta"'))).where("t = 'session_meta'")
     spawn = "$.payload.source.subagent.thread_spawn"
     logical = _clean(v, "$.payload.session_id")
     thread = F.coalesce(_clean(v, "$.payload.id"), logical)
@@ -187,7 +184,7 @@ def first_prompts(lines: DataFrame) -> DataFrame:
     rows = parsed(lines.where(F.col("line").contains('"message"'))).where("t = 'response_item' and pt = 'message'")
     rows = rows.where(V.get(v, "$.payload.role") == "user").select("session_id", "off", text.alias("text"))
     kept = rows.where((strings.trim("text") != "") & ~strings.ltrim("text").startswith("<"))
-    return kept.groupBy("session_id").agg(F.left(F.min_by("text", "off"), F.lit(200)).alias("first_prompt"))
+    return kept.groupBy("session_id").agg(F.min_by("text", "off").alias("first_prompt"))
 
 
 def activity(lines: DataFrame) -> DataFrame:
@@ -526,7 +523,7 @@ def child_timeline(records_df: DataFrame, tree: DataFrame) -> DataFrame:
 def search_hits(lines: DataFrame, query: str) -> DataFrame:
     q = query.lower()
     v, t, pt = F.col("v"), F.col("t"), F.col("pt")
-    rows = parsed(lines.where(F.contains(F.lower("line"), F.lit(q))))
+    rows = parsed(lines.where(X.may_hold(F.col("line"), q)))
     item = t == "response_item"
 
     def hit(label, text: Column) -> Column:
@@ -561,7 +558,7 @@ def with_thread_info(sessions: DataFrame, info: DataFrame, memories: DataFrame)
         times.epoch_text(F.col("updated_at")).alias("info_updated"),
     )
     titles = memories.select(
-        "thread_id", X.fallback_title(F.col("thread_id"), F.left("rollout_summary", F.lit(2000)), F.left("raw_memory", F.lit(2000))).alias("memory_title")
+        "thread_id", X.fallback_title(F.col("thread_id"), F.col("rollout_summary"), F.col("raw_memory")).alias("memory_title")
     )
     return (
         sessions.join(clean, "thread_id", "left")

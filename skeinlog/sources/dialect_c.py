@@ -12,17 +12,13 @@ from pyspark.sql import functions as F
 from skeinlog.functions import strings, times
 from skeinlog.functions import text as X
 from skeinlog.functions import variants as V
-from skeinlog.operators.ordered import first_per_group, row_position
-from skeinlog.operators.tree import climb_16
+from skeinlog.operators.ordered import row_position
+from skeinlog.operators.tree import resolve_roots
 from skeinlog.schemas import RECORD_COLUMNS, TEXT_COLUMNS
 from skeinlog.sources.dialect_a import visible
 
 SOURCE = "opencode"
 
-# fixed value: record cursors leave room for this many records per message
-CURSOR_STEP = 1000
-# fixed value: first-prompt lookup reads this many joined rows of a session
-PROMPT_ROWS = 100
 # messages per ordered chunk are bounded by time: one chunk per day of a session
 DAY_MS = 86_400_000
 
@@ -149,17 +145,16 @@ def records(messages: DataFrame, parts: DataFrame, min_level: str = "debug") ->
     ).select(*RECORD_COLUMNS)
 
 
-def record_cursor() -> Column:
-    """Cursor of one record: message position times 1000 plus its index."""
-    return F.col("unit") * CURSOR_STEP + F.col("seq")
-
-
 # --- session level -----------------------------------------------------------------------------------
 
 
 def roots(sessions: DataFrame, label: str = "c-roots") -> DataFrame:
-    """(session_id, root_id) after at most 16 parent steps."""
-    return climb_16(sessions.select("id", "parent_id"), label).withColumnRenamed("id", "session_id")
+    """(session_id, root_id) at any depth; below a parent that has no row, the root is that parent's id."""
+    known = sessions.select(F.col("id").alias("next"))
+    pointers = sessions.select("id", "parent_id").join(known, F.col("parent_id") == F.col("next"), "left")
+    missing = pointers.where("next is null and parent_id is not null").select(F.col("id").alias("root_id"), F.col("parent_id").alias("missing"))
+    tops = resolve_roots(pointers.select("id", "next"), label)
+    return tops.join(missing, "root_id", "left").select(F.col("id").alias("session_id"), F.coalesce("missing", "root_id").alias("root_id"))
 
 
 def usage(parts: DataFrame, session_roots: DataFrame) -> DataFrame:
@@ -312,22 +307,21 @@ def index_first_prompt(parts: DataFrame, session_roots: DataFrame) -> DataFrame:
     return (
         per_session.join(session_roots, "session_id")
         .groupBy(F.col("root_id").alias("session_id"))
-        .agg(F.left(F.min_by("f.text", F.struct("f.unit", "f.seq")), F.lit(200)).alias("first_prompt"))
+        .agg(F.min_by("f.text", F.struct("f.unit", "f.seq")).alias("first_prompt"))
     )
 
 
 def user_first_prompt(messages: DataFrame, parts: DataFrame) -> DataFrame:
-    """First user text among the first 100 joined rows of a session."""
+    """First user text of a session."""
     m = messages.select(F.col("id").alias("message_id"), F.col("time_created").alias("m_time"), F.col("data").alias("m_data"))
     joined = parts.join(m, "message_id")
-    head = first_per_group(joined, ["session_id"], ["m_time", "message_id", "time_created", "id"], PROMPT_ROWS, "rank")
     text = strings.trim(V.text(V.parse("data"), "$.text"))
-    rows = head.where((V.get(V.parse("m_data"), "$.role") == "user") & (V.get(V.parse("data"), "$.type") == "text"))
+    rows = joined.where((V.get(V.parse("m_data"), "$.role") == "user") & (V.get(V.parse("data"), "$.type") == "text"))
     return (
-        rows.select("session_id", "rank", text.alias("text"))
+        rows.select("session_id", F.struct("m_time", "message_id", "time_created", "id").alias("at"), text.alias("text"))
         .where("text <> ''")
         .groupBy("session_id")
-        .agg(F.left(F.min_by("text", "rank"), F.lit(200)).alias("first_prompt"))
+        .agg(F.min_by("text", "at").alias("first_prompt"))
     )
 
 
@@ -335,7 +329,7 @@ def search_hits(messages: DataFrame, parts: DataFrame, query: str) -> DataFrame:
     """In-session hits; the cursor is the message position."""
     q = query.lower()
     labels = F.when(F.col("kind") == "content", "message").when(F.col("kind") == "reasoning", "thinking").otherwise("tool_result")
-    found = texts(parts.where(F.contains(F.lower("data"), F.lit(q)))).where(F.contains(F.lower("text"), F.lit(q)))
+    found = texts(parts.where(X.may_hold(F.col("data"), q))).where(F.contains(F.lower("text"), F.lit(q)))
     owners = parts.select(F.col("id").alias("seq"), "message_id")
     positions = message_positions(messages).select(F.col("id").alias("message_id"), "position")
     return (

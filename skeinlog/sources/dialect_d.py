@@ -77,9 +77,9 @@ def _blocks() -> Column:
 
 
 def records(lines: DataFrame, min_level: str = "debug") -> DataFrame:
-    """Timeline records, one row per content block in block order, branches in file order."""
+    """Timeline records, one row per content block in block order, branches in file order; files without a header give none."""
     v, role = F.col("v"), F.col("role")
-    rows = parsed(lines)
+    rows = parsed(lines).join(headers(lines).select("session_id"), "session_id", "left_semi")
 
     def rec(record_type, level, content, **extra) -> Column:
         cols = {
@@ -193,7 +193,7 @@ def sessions(lines: DataFrame) -> DataFrame:
         entry.isin("compaction", "branch_summary"), _usage(v, "$.usage")
     )
     text = content_text(v, "$.message.content")
-    prompt = F.when(said & (role == "user") & (strings.trim(text) != ""), F.left(text, F.lit(200)))
+    prompt = F.when(said & (role == "user") & (strings.trim(text) != ""), text)
     active = F.when(said & role.isin("user", "assistant"), F.col("millis"))
     renamed = entry == "session_info"
     rows = parsed(lines).select(
@@ -295,7 +295,7 @@ def texts(lines: DataFrame) -> DataFrame:
 def search_hits(lines: DataFrame, query: str) -> DataFrame:
     """In-session hits over text, tool name and tool input; a line may give several."""
     q = query.lower()
-    rows = records(lines.where(F.contains(F.lower("line"), F.lit(q))))
+    rows = records(lines)
     # parts are joined by single blanks; missing ones leave nothing behind
     text = F.concat(
         "content",

@@ -29,10 +29,16 @@ def scan_lines(spark: SparkSession, root: str, pattern: str = "*.jsonl") -> Data
     return ordered_scan(rows, ["file_path"], ["row"], [RunningSum("off", width, inclusive=False)]).drop("row")
 
 
-def session_lines(scanned: DataFrame) -> DataFrame:
-    """Scanned lines in the shape the dialects read; the file stem is the session id."""
+def session_lines(scanned: DataFrame, host: str | None = None) -> DataFrame:
+    """Scanned lines in the shape the dialects read.
+
+    The session id is the file stem, behind the name of its snapshot if the file is archived, and tagged with a named host:
+    copies of a session in snapshots or on other hosts are sessions of their own.
+    """
     stem = F.regexp_replace(F.substring_index("file_path", "/", -1), r"\.jsonl$", "")
-    return scanned.select(stem.alias("session_id"), "chunk", "off", "line")
+    key = F.concat_ws("/", archive_of(F.col("file_path")), stem)
+    owner = tag_key(F.lit(host).cast("string"), F.lit(None).cast("string"), key)
+    return scanned.select(owner.alias("session_id"), "chunk", "off", "line")
 
 
 def archive_of(path: Column) -> Column:

@@ -26,8 +26,8 @@ def latest(log: DataFrame, keys: Sequence[str], order: Sequence[str] = ("batch",
 
 
 def compact(spark: SparkSession, log_path: str, keys: Sequence[str], out_path: str) -> None:
-    """Rewrite a log as its current rows, for a log that has grown many batches."""
-    latest(spark.read.parquet(log_path), keys).withColumnRenamed("batch", "as_of").write.parquet(out_path)
+    """Rewrite a log as its current rows, for a log that has grown many batches; with newer batches, ``latest`` reads them again."""
+    latest(spark.read.parquet(log_path), keys).write.parquet(out_path)
 
 
 def drain(writer: DataStreamWriter, checkpoint: str) -> None:

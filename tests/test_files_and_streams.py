@@ -1,3 +1,4 @@
+import json
 import os
 from urllib.parse import urlparse
 
@@ -7,6 +8,7 @@ from skeinlog.plans import incremental, pricing, scope
 from skeinlog.session import scratch_path
 from skeinlog.sources import dialect_a as A
 from skeinlog.sources import export, files
+from skeinlog.streaming import sinks
 from workload import fixture_a
 from workload.registry import queries
 
@@ -36,6 +38,31 @@ def test_offsets_over_many_splits(spark, tmp_path):
     assert got == want
 
 
+def test_an_archived_copy_is_a_session_of_its_own(spark, tmp_path):
+    line = json.dumps({"type": "assistant", "message": {"role": "assistant", "content": "x", "usage": {"input_tokens": 10}}})
+    for home in ("p", "archives/snap/p"):
+        (tmp_path / home).mkdir(parents=True)
+        (tmp_path / home / "s.jsonl").write_text(line + "\n")
+    scanned = files.scan_lines(spark, str(tmp_path))
+    assert {(r.session_id, r.input_tokens) for r in A.sessions(files.session_lines(scanned)).collect()} == {("s", 10), ("snap/s", 10)}
+    assert {r.session_id for r in files.session_lines(scanned, "box").collect()} == {"@wsl:box/s", "@wsl:box/snap/s"}
+
+
+def test_a_compacted_log_reads_on_with_newer_batches(spark, tmp_path):
+    write = sinks.append_log(str(tmp_path / "log"))
+    for batch, rows in enumerate([[("a", 1), ("b", 1)], [("a", 2)]]):
+        write(spark.createDataFrame(rows, "k string, n int"), batch)
+    sinks.compact(spark, str(tmp_path / "log"), ["k"], str(tmp_path / "base"))
+    newer = spark.createDataFrame([("b", 3, 2)], "k string, n int, batch int")
+    rows = sinks.latest(spark.read.parquet(str(tmp_path / "base")).unionByName(newer), ["k"]).collect()
+    assert {(r.k, r.n) for r in rows} == {("a", 2), ("b", 3)}
+
+
+def test_equal_files_do_not_cancel_in_the_fingerprint(spark):
+    one = spark.createDataFrame([("/a", 1, 5)], "path string, size int, mtime int")
+    assert incremental.fingerprint(one.union(one)).first().paths != 0
+
+
 def test_export_is_written_in_order(spark):
     lines = fixture_a.lines(spark, SMALL)
     rows = export.export_rows(A.sessions(lines), A.records(lines, "tool"), "md", "claude").cache()

@@ -1,77 +1,9 @@
-import random
-
 import pytest
-from pyspark.sql import functions as F
 
 from skeinlog.plans import index as I
 from skeinlog.plans import search as S
 
 
-def keep(texts):
-    """Plain re-statement of the budgets, row by row."""
-    left, chunks, out = dict(enumerate(I.TEXT_BYTES)), dict(enumerate(I.TEXT_CHUNKS)), []
-    codes = {"tool": 1, "reasoning": 2}
-    for unit, seq, kind, text in sorted(texts):
-        c = codes.get(kind, 0)
-        if not text.strip() or not left[c] or not chunks[c]:
-            continue
-        cut = text.encode()[: left[c]].decode("utf-8", "ignore")
-        if not cut.strip():
-            continue
-        left[c] -= len(cut.encode())
-        chunks[c] -= 1
-        out.append((unit, seq, c, cut))
-    return out
-
-
-def preview(bounded):
-    left, out = I.PREVIEW_SESSION_BYTES, []
-    for unit, seq, code, text in sorted(bounded):
-        cut = text.encode()[: min(I.PREVIEW_TEXT_BYTES, left)].decode("utf-8", "ignore")
-        if left and cut:
-            left -= len(cut.encode())
-            out.append((unit, seq, code, cut))
-    return out
-
-
-def sessions():
-    rnd = random.Random(3)
-    made = {}
-    for s in range(6):
-        rows = []
-        for i in range(400):
-            kind = rnd.choice(["content", "tool", "reasoning"])
-            body = rnd.choice(["é", "漢", "word ", " ", "😀"]) * rnd.choice([1, 3, 700, 3000])
-            rows.append((i, 0, kind, body))
-        made[f"s{s}"] = rows
-    # a cut that leaves blanks only frees a place, so later texts are still taken
-    made["blank"] = [(0, 0, "tool", "x" * (32 * 1024 - 5)), (1, 0, "tool", "     tail"), (2, 0, "tool", "漢漢漢漢"), *[(i, 0, "tool", "y") for i in range(3, 200)]]
-    made["multi"] = [(0, 0, "content", "x" * (64 * 1024 - 2)), *[(i, 0, "content", "漢") for i in range(1, 300)], (300, 0, "content", "ab")]
-    return made
-
-
-@pytest.fixture(scope="module")
-def texts(spark):
-    rows = [(s, *r) for s, rs in sessions().items() for r in rs]
-    return spark.createDataFrame(rows, "session_key string, unit bigint, seq bigint, kind string, text string").repartition(5)
-
-
-def test_budgets_are_exact(spark, texts):
-    got = {}
-    for r in I.bounded_texts(texts).collect():
-        got.setdefault(r.session_key, []).append((r.unit, r.seq, r.code, r.text))
-    for s, rows in sessions().items():
-        assert sorted(got[s]) == sorted(keep(rows)), s
-
-
-def test_preview_is_exact(spark, texts):
-    got = {}
-    for r in I.preview_texts(I.bounded_texts(texts)).collect():
-        got.setdefault(r.session_key, []).append((r.unit, r.seq, r.code, r.text))
-    for s, rows in sessions().items():
-        assert sorted(got[s]) == sorted(preview([(u, q, c, t) for u, q, c, t in keep(rows)])), s
-
-
 @pytest.fixture(scope="module")
 def index(spark):
     docs = spark.createDataFrame(
@@ -138,12 +70,12 @@ def test_scope_codes():
     assert S.scope_codes(None) == [0] and S.scope_codes(["tool", "reasoning"]) == [1, 2] and S.scope_codes(["other"]) == [0]
 
 
-def test_token_budget_keeps_the_first_seen(spark):
+def test_texts_and_tokens_are_kept_whole(spark):
     docs = spark.createDataFrame([("k", "claude", "sid", None, "/p", None, None, "m")], "session_key string, source string, session_id string, archive_name string, project_path string, agent_title string, first_prompt string, modified string")
-    words = " ".join(f"w{i:05d}" for i in range(3000))
-    bounded = spark.createDataFrame([("k", 0, 0, 0, words), ("k", 1, 0, 1, words)], "session_key string, unit bigint, seq bigint, code int, text string")
-    rows = I.index_tokens(docs, bounded)
-    counts = {r.code: r.n for r in rows.groupBy("code").agg(F.count("*").alias("n")).collect()}
-    assert counts == {0: 1024, 1: 512}
-    kept = {r.token for r in rows.where("code = 1").collect()}
-    assert kept == {f"w{i:05d}" for i in range(512)}
+    words = [f"w{i:05d}" for i in range(3000)]
+    rows = [("k", 0, 0, "content", " ".join(words)), ("k", 1, 0, "tool", "x" * 200_000), ("k", 2, 0, "tool", " "), *[("k", i, 0, "reasoning", f"abc中文 t{i}") for i in range(3, 300)]]
+    index = I.read_index(spark, I.write_index(docs, spark.createDataFrame(rows, "session_key string, unit bigint, seq bigint, kind string, text string")))
+    assert sorted((r.unit, r.text) for r in index.texts.collect()) == sorted((r[1], r[4]) for r in rows if r[4].strip())
+    got = {(r.code, r.token) for r in index.postings.collect()}
+    assert got == {(0, w) for w in [*words, "p", "sid"]} | {(1, "x" * 200_000)} | {(2, t) for t in ["abc", "中", "文", "中文", *[f"t{i}" for i in range(3, 300)]]}
+    assert keys(S.token_search(index, "abc", ["reasoning"])) == ["k"]

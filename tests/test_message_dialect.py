@@ -55,12 +55,15 @@ def test_thinking_comes_before_text(as_lines):
     assert shown(A.records(lines)) == [(0, "thinking", "why", None), (0, "assistant", "answer", None)]
 
 
-def test_content_view_skips_calls_before_merging(as_lines):
+def test_content_view_is_the_filtered_tool_view(as_lines):
     lines = as_lines({"s": [assistant("a"), assistant(call="c", stop="tool_use"), assistant("b", stop="end_turn")]}, 1)
-    assert shown(A.records(lines, "tool"))[0] == (1, "assistant", "a", None)
-    # json.dumps puts a blank after the colon, so the raw markers are compacted first
-    compact = lines.withColumn("line", F.regexp_replace("line", '": ', '":'))
-    assert shown(A.records(compact, "content")) == [(2, "assistant", "ab", None)]
+    assert shown(A.records(lines, "content")) == shown(A.records(lines, "tool").where("level = 'content'")) == [(1, "assistant", "a", None), (2, "assistant", "b", None)]
+
+
+def test_search_reads_the_decoded_text(as_lines):
+    lines = as_lines({"s": [user('say "hi" now'), user("one\ntwo"), json.dumps({"type": "user", "message": {"role": "user", "content": "café"}})]}, 1)
+    found = {q: [r.unit for r in A.search_hits(lines, q).collect()] for q in ('"hi"', "one\ntwo", "café", "absent")}
+    assert found == {'"hi"': [0], "one\ntwo": [1], "café": [2], "absent": []}
 
 
 def test_bad_lines_are_skipped_and_counted(as_lines):

@@ -12,11 +12,11 @@ def test_call_and_result_of_a_tool_part(spark):
     messages = spark.createDataFrame([("m2", "s", '{"role":"assistant"}', 5), ("m1", "s", '{"role":"user"}', 5)], "id string, session_id string, data string, time_created bigint")
     part = {"type": "tool", "tool": "bash", "callID": "c", "state": {"status": "completed", "input": {"command": "ls", "filePath": "/x"}, "output": {"a": 1}}}
     parts = spark.createDataFrame([("p1", "m2", "s", json.dumps(part), 5), ("p0", "m1", "s", '{"type":"text","text":"hi"}', 5)], "id string, message_id string, session_id string, data string, time_created bigint")
-    rows = C.records(messages, parts).withColumn("cursor", C.record_cursor()).orderBy("cursor").collect()
-    assert [(r.cursor, r.record_type, r.content, r.tool_input) for r in rows] == [
-        (0, "user", "hi", None),
-        (1000, "assistant", "", '{"command":"ls","file_path":"/x"}'),
-        (1001, "tool_result", '{"a":1}', None),
+    rows = C.records(messages, parts).orderBy("unit", "seq").collect()
+    assert [((r.unit, r.seq), r.record_type, r.content, r.tool_input) for r in rows] == [
+        ((0, 0), "user", "hi", None),
+        ((1, 0), "assistant", "", '{"command":"ls","file_path":"/x"}'),
+        ((1, 1), "tool_result", '{"a":1}', None),
     ]
 
 
@@ -80,3 +80,9 @@ def test_both_branches_stay_in_file_order_and_bash_is_paired(as_lines):
     lines = as_lines({"f": [entry("session", id="s"), message("a", "user", content="one"), message("b", "user", content="two"), message("x", "bashExecution", command="ls", output="o", exitCode=1)]}, 1)
     rows = D.records(lines, "tool").orderBy("unit", "seq").collect()
     assert [(r.content, r.tool_use_id) for r in rows] == [("one", None), ("two", None), ("", "pi-bash-x"), ("o", "pi-bash-x")]
+
+
+def test_files_without_a_header_give_no_records_and_no_hits(as_lines):
+    lines = as_lines({"f": session_file(), "nohead": session_file()[1:]}, 1)
+    assert {r.session_id for r in D.records(lines).collect()} == {"f"}
+    assert {r.session_id for r in D.search_hits(lines, "hello").collect()} == {"f"}

@@ -53,13 +53,6 @@ def test_query_tokens_reach_the_scan(spark):
     assert "In(token" in text and "ReadSchema: struct<token:string,code:int,session_key:string>" in text
 
 
-def test_texts_are_cut_in_the_map_tasks(spark):
-    texts = fixture_x.texts(spark, SMALL)
-    rows = texts.select("session_key", I.kind_code("kind").alias("code"), F.struct("unit", "seq").alias("pos"), "text")
-    text = plan(I.first_per_group(rows, ["session_key", "code"], ["pos"], 128, "rank"))
-    assert text.index("Final") < text.index("Exchange") < text.index("Partial")
-
-
 def test_one_open_island_over_many_chunks(as_lines):
     """A session that never closes its text: pieces are joined per chunk first, and the result stays whole."""
     line = [json.dumps({"type": "assistant", "message": {"content": [{"type": "text", "text": f"{i} "}]}}) for i in range(500)]
@@ -88,7 +81,7 @@ def test_group_texts_put_the_root_first(spark, as_lines):
             "early": [meta(id="b", parent_thread_id="a", timestamp="2026-01-01T07:00:00Z"), said("early")],
         }
     )
-    kept = I.bounded_texts(B.group_texts(B.texts(lines), B.threads(B.identities(lines))), ("member", "unit", "seq"))
+    kept = I.session_texts(B.group_texts(B.texts(lines), B.threads(B.identities(lines))), ("member", "unit", "seq"))
     assert [(r.session_key, r.text) for r in kept.orderBy("member", "unit").collect()] == [("r", "root text"), ("r", "early"), ("r", "late")]
 
 

@@ -1,7 +1,8 @@
 import json
 
-from skeinlog.operators.tree import climb_16, next_pointers, resolve_roots
+from skeinlog.operators.tree import next_pointers, resolve_roots
 from skeinlog.sources import dialect_b as B
+from skeinlog.sources import dialect_c as C
 
 
 def roots(spark, rows):
@@ -36,11 +37,11 @@ def test_long_chain_and_hot_parent(spark):
     assert set(got.values()) == {"n0"} and len(got) == 370
 
 
-def test_climb_stops_after_sixteen_steps(spark):
-    rows = [(f"s{i}", f"s{i - 1}" if i else None) for i in range(25)] + [("o", "nowhere"), ("p", "q"), ("q", "p")]
-    got = {r.id: r.root_id for r in climb_16(spark.createDataFrame(rows, "id string, parent_id string")).collect()}
-    assert got["s5"] == "s0" and got["s16"] == "s0" and got["s17"] == "s1" and got["s24"] == "s8"
-    assert got["o"] == "nowhere" and got["p"] == "p" and got["q"] == "q"
+def test_relational_chains_are_followed_to_their_end(spark):
+    rows = [(f"s{i}", f"s{i - 1}" if i else None) for i in range(25)] + [("o", "nowhere"), ("below", "o"), ("p", "q"), ("q", "p")]
+    got = {r.session_id: r.root_id for r in C.roots(spark.createDataFrame(rows, "id string, parent_id string")).collect()}
+    assert {got[f"s{i}"] for i in range(25)} == {"s0"}
+    assert got["o"] == "nowhere" and got["below"] == "nowhere" and got["p"] == "p" and got["q"] == "q"
 
 
 def env(envelope, **payload):

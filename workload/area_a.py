@@ -73,8 +73,20 @@ def message_records(spark, sf_dir):
     RECORDS + f"SELECT {RECORD_LIST} FROM r WHERE level = 'content' ",
 )
 def message_records_content(spark, sf_dir):
-    """Tool-only lines are skipped before parsing, so lead texts close at the next end of turn or at the end."""
-    return records(spark, sf_dir, "tool").where("level = 'content'").select(*RECORD_LIST.split(", "))
+    return records(spark, sf_dir, "content").select(*RECORD_LIST.split(", "))
+
+
+@area.query(
+    "content_view_equals_filter",
+    RECORDS + "SELECT session_id, count(*) AS viewed, count(*) AS filtered FROM r WHERE level = 'content' GROUP BY 1",
+)
+def content_view_equals_filter(spark, sf_dir):
+    """Rows of the content view, and those of them that the filtered tool view has as well."""
+    names = RECORD_LIST.split(", ")
+    view = records(spark, sf_dir, "content").select(*names)
+    tools = records(spark, sf_dir, "tool").where("level = 'content'").select(*names)
+    both = view.intersectAll(tools).groupBy("session_id").agg(F.count("*").alias("filtered"))
+    return view.groupBy("session_id").agg(F.count("*").alias("viewed")).join(both, "session_id", "left")
 
 
 @area.query(
@@ -87,23 +99,6 @@ def visibility_counts(spark, sf_dir):
     return T.visible_counts(records(spark, sf_dir))
 
 
-@area.query(
-    "gated_content_texts",
-    BASE
-    + """, m AS (  -- assistant lines that pass the raw-line gate, with their closing flag
-      SELECT session_id, turn*10 AS off, text AS t, true AS closes FROM b WHERE plain
-      UNION ALL SELECT session_id, turn*10, left(text, 10), false FROM b WHERE chunked
-      UNION ALL SELECT session_id, turn*10+1, substr(text, 11), true FROM b WHERE chunked
-      UNION ALL SELECT session_id, turn*10, text, false FROM b WHERE tool),
-    g AS (SELECT *, coalesce(sum(closes::INT) OVER (PARTITION BY session_id ORDER BY off ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS island FROM m)
-    SELECT session_id, string_agg(t, '' ORDER BY off) AS content FROM g GROUP BY session_id, island""",
-)
-def gated_content_texts(spark, sf_dir):
-    """Content view with the raw-line gate: calls are not seen, so lead texts run on to the next closing line."""
-    view = records(spark, sf_dir, "content")
-    return view.where("record_type = 'assistant'").select("session_id", "content")
-
-
 @area.query(
     "tool_call_pairs",
     BASE
@@ -227,7 +222,7 @@ SESSION_USAGE = """
     "session_summaries",
     BASE
     + f""", x AS (SELECT *, role = 'assistant' AS used,
-       CASE WHEN role = 'user' AND NOT (noisy AND conv_id % 2 = 0) THEN left(text, 200) END AS prompt FROM b)
+       CASE WHEN role = 'user' AND NOT (noisy AND conv_id % 2 = 0) THEN text END AS prompt FROM b)
     SELECT session_id,
       CASE WHEN conv_id % 7 = 0 THEN 'Title ' || session_id WHEN conv_id % 7 = 3 THEN 'Sum ' || session_id END AS agent_title,
       arg_min(prompt, turn) FILTER (prompt IS NOT NULL) AS first_prompt,
@@ -242,7 +237,7 @@ def session_summaries(spark, sf_dir):
 @area.query(
     "lazy_first_prompt",
     BASE
-    + """SELECT session_id, arg_min(left(CASE WHEN noisy THEN '<local-command>' || text ELSE text END, 200), turn) AS first_prompt
+    + """SELECT session_id, arg_min(CASE WHEN noisy THEN '<local-command>' || text ELSE text END, turn) AS first_prompt
     FROM b WHERE role = 'user' AND conv_id % 2 = 0 GROUP BY 1""",
 )
 def lazy_first_prompt(spark, sf_dir):

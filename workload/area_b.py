@@ -301,15 +301,13 @@ def readable_titles(spark, sf_dir):
       UNION ALL SELECT id, 16, 2, 'Think ' || id FROM e
       UNION ALL SELECT id, 17, 0, 'Answer ' || id FROM e
       UNION ALL SELECT id, 19, 1, '{"answers":{"q1":{"answers":["A","B"]},"q2":["C"]}}' FROM e WHERE e % 9 = 0),
-    o AS (SELECT root_id, code, text, row_number() OVER (PARTITION BY root_id, code ORDER BY (id <> root_id), ts, id, unit) AS rn
-      FROM t JOIN roots USING (id) JOIN e USING (id))
-    SELECT root_id, code, count(*) AS texts, sum(strlen(text))::BIGINT AS bytes, min(text) AS first_text, max(text) AS last_text FROM o
-    WHERE rn <= CASE code WHEN 0 THEN 128 ELSE 64 END GROUP BY 1, 2""",
+    o AS (SELECT root_id, code, text FROM t JOIN roots USING (id))
+    SELECT root_id, code, count(*) AS texts, sum(strlen(text))::BIGINT AS bytes, min(text) AS first_text, max(text) AS last_text FROM o GROUP BY 1, 2""",
 )
 def thread_group_texts(spark, sf_dir):
-    """Index texts of whole groups: the budgets hold for the root, whatever the number of children."""
+    """Index texts of whole groups, on their root."""
     src = lines(spark, sf_dir)
-    kept = I.bounded_texts(B.group_texts(B.texts(src), tree(spark, sf_dir)), ("member", "unit", "seq"))
+    kept = I.session_texts(B.group_texts(B.texts(src), tree(spark, sf_dir)), ("member", "unit", "seq"))
     return kept.groupBy(F.col("session_key").alias("root_id"), "code").agg(
         F.count("*").alias("texts"), F.sum(F.octet_length("text")).cast("bigint").alias("bytes"), F.min("text").alias("first_text"), F.max("text").alias("last_text")
     )

@@ -21,10 +21,10 @@ WITH RECURSIVE b AS (
     strftime(TIMESTAMP '2026-01-01' + to_hours(conv_id) + to_minutes(turn // 2), '%Y-%m-%d %H:%M:%S') AS ts,
     role = 'assistant' AS a FROM conversations),
 s AS (
-  SELECT DISTINCT session_id AS id, conv_id, CASE WHEN conv_id % 20 <> 0 THEN 'o' || (conv_id - 1) END AS parent_id FROM b),
+  SELECT DISTINCT session_id AS id, conv_id, CASE WHEN conv_id % 20 <> 0 THEN 'o' || (conv_id - 1) WHEN conv_id % 100 = 20 THEN 'gone-' || conv_id END AS parent_id FROM b),
 up(id, cur, d) AS (
   SELECT id, id, 0 FROM s UNION ALL
-  SELECT up.id, s.parent_id, d + 1 FROM up JOIN s ON s.id = up.cur WHERE s.parent_id IS NOT NULL AND d < 16),
+  SELECT up.id, s.parent_id, d + 1 FROM up JOIN s ON s.id = up.cur WHERE s.parent_id IS NOT NULL),
 roots AS (SELECT id AS session_id, arg_max(cur, d) AS root_id FROM up GROUP BY 1)
 """
 
@@ -55,7 +55,7 @@ p AS (
   UNION ALL SELECT session_id, position, ts, 5, 0, 'assistant', 'tool', '', 'patch', 'h' || conv_id || '-' || turn,
      '{"files":["a","b"],"hash":"h' || conv_id || '-' || turn || '"}', NULL FROM b WHERE a AND turn % 6 = 4
   UNION ALL SELECT session_id, position, ts, 6, 0, 'meta', 'content', 'context compacted', NULL, NULL, NULL, NULL FROM b WHERE role = 'system'),
-r AS (SELECT *, position * 1000 + row_number() OVER (PARTITION BY session_id, position ORDER BY k, i) - 1 AS cursor FROM p)
+r AS (SELECT *, position AS unit, row_number() OVER (PARTITION BY session_id, position ORDER BY k, i) - 1 AS seq FROM p)
 """
 
 
@@ -71,13 +71,12 @@ def message_cursors(spark, sf_dir):
 @area.query(
     "relational_records",
     C_RECORDS
-    + "SELECT session_id, cursor, record_type, level, content, ts, tool_name, tool_use_id, tool_input, result_meta FROM r",
+    + "SELECT session_id, unit, seq, record_type, level, content, ts, tool_name, tool_use_id, tool_input, result_meta FROM r",
 )
 def relational_records(spark, sf_dir):
     _, messages, parts = _c(spark, sf_dir)
-    recs = C.records(messages, parts).withColumn("cursor", C.record_cursor())
-    return recs.select(
-        "session_id", "cursor", "record_type", "level", "content", "ts", "tool_name", "tool_use_id", "tool_input", "result_meta"
+    return C.records(messages, parts).select(
+        "session_id", "unit", "seq", "record_type", "level", "content", "ts", "tool_name", "tool_use_id", "tool_input", "result_meta"
     )
 
 
@@ -95,8 +94,8 @@ def relational_tail_page(spark, sf_dir):
     return T.page_info(recs, T.backward_page(recs, 6))
 
 
-@area.query("session_roots_capped", C_BASE + "SELECT session_id, root_id FROM roots")
-def session_roots_capped(spark, sf_dir):
+@area.query("session_roots", C_BASE + "SELECT session_id, root_id FROM roots")
+def session_roots(spark, sf_dir):
     return C.roots(fx.c_sessions(spark, sf_dir))
 
 
@@ -129,7 +128,7 @@ def step_usage_rollup(spark, sf_dir):
     strftime(TIMESTAMP '2026-01-01' + to_hours(conv_id) + to_minutes(count(*)), '%Y-%m-%d %H:%M') AS updated_at,
     count(*) AS message_count, count(*) * 400 AS file_size_bytes,
     coalesce((SELECT count(*) FROM s k WHERE k.parent_id = 'o' || b.conv_id), 0) AS subagent_count
-    FROM b WHERE conv_id % 20 = 0 GROUP BY conv_id""",
+    FROM b WHERE conv_id % 20 = 0 AND conv_id % 100 <> 20 GROUP BY conv_id""",
 )
 def relational_sessions(spark, sf_dir):
     sessions, messages, _ = _c(spark, sf_dir)
@@ -153,7 +152,7 @@ def task_subagents(spark, sf_dir):
 @area.query(
     "relational_first_prompts",
     C_BASE
-    + """SELECT root_id AS session_id, left(arg_min(text, conv_id * 1000 + turn), 200) AS first_prompt FROM b JOIN roots USING (session_id) GROUP BY 1""",
+    + """SELECT root_id AS session_id, arg_min(text, conv_id * 1000 + turn) AS first_prompt FROM b JOIN roots USING (session_id) GROUP BY 1""",
 )
 def relational_first_prompts(spark, sf_dir):
     sessions, _, parts = _c(spark, sf_dir)
@@ -162,7 +161,7 @@ def relational_first_prompts(spark, sf_dir):
 
 @area.query(
     "relational_user_prompts",
-    C_BASE + "SELECT session_id, left(trim(arg_min(text, turn)), 200) AS first_prompt FROM b WHERE role = 'user' GROUP BY 1",
+    C_BASE + "SELECT session_id, trim(arg_min(text, turn)) AS first_prompt FROM b WHERE role = 'user' GROUP BY 1",
 )
 def relational_user_prompts(spark, sf_dir):
     _, messages, parts = _c(spark, sf_dir)
@@ -220,21 +219,21 @@ WITH b AS (
     D_BASE
     + """, r AS (
       SELECT session_id, turn*10 AS unit, 0 AS seq, 'meta' AS record_type, 'debug' AS level, 'session ' || session_id || ' · /work/p' || (conv_id % 17) AS content,
-         ts, NULL AS tool_name, NULL AS tool_use_id, session_id AS group_id, NULL AS result_meta FROM b WHERE turn = 0 AND conv_id % 9 <> 8
-      UNION ALL SELECT session_id, 1, 0, 'meta', 'debug', 'thinking level: low', NULL, NULL, NULL, 'x1', NULL FROM b WHERE turn = 0
-      UNION ALL SELECT session_id, 2, 0, 'meta', 'debug', 'model: openai/gpt-5.4', NULL, NULL, NULL, 'x2', NULL FROM b WHERE turn = 0
-      UNION ALL SELECT session_id, 23, 0, 'meta', 'debug', 'thinking level: high', NULL, NULL, NULL, 'x3', NULL FROM b WHERE turn = 2
-      UNION ALL SELECT session_id, turn*10+4, 0, 'user', 'content', text, ts, NULL, NULL, eid, NULL FROM b WHERE role = 'user'
-      UNION ALL SELECT session_id, turn*10+4, 0, 'thinking', 'content', left(text, 30), ts, NULL, NULL, eid, NULL FROM b WHERE a
-      UNION ALL SELECT session_id, turn*10+4, 1, 'assistant', 'content', text, ts, NULL, NULL, eid, NULL FROM b WHERE a
-      UNION ALL SELECT session_id, turn*10+4, 2, 'assistant', 'tool', '', ts, 'bash', 't-' || eid, eid, NULL FROM b WHERE a AND turn % 4 = 3
+         ts, NULL AS tool_name, NULL AS tool_use_id, session_id AS group_id, NULL AS result_meta FROM b WHERE conv_id % 9 <> 8 AND turn = 0 AND conv_id % 9 <> 8
+      UNION ALL SELECT session_id, 1, 0, 'meta', 'debug', 'thinking level: low', NULL, NULL, NULL, 'x1', NULL FROM b WHERE conv_id % 9 <> 8 AND turn = 0
+      UNION ALL SELECT session_id, 2, 0, 'meta', 'debug', 'model: openai/gpt-5.4', NULL, NULL, NULL, 'x2', NULL FROM b WHERE conv_id % 9 <> 8 AND turn = 0
+      UNION ALL SELECT session_id, 23, 0, 'meta', 'debug', 'thinking level: high', NULL, NULL, NULL, 'x3', NULL FROM b WHERE conv_id % 9 <> 8 AND turn = 2
+      UNION ALL SELECT session_id, turn*10+4, 0, 'user', 'content', text, ts, NULL, NULL, eid, NULL FROM b WHERE conv_id % 9 <> 8 AND role = 'user'
+      UNION ALL SELECT session_id, turn*10+4, 0, 'thinking', 'content', left(text, 30), ts, NULL, NULL, eid, NULL FROM b WHERE conv_id % 9 <> 8 AND a
+      UNION ALL SELECT session_id, turn*10+4, 1, 'assistant', 'content', text, ts, NULL, NULL, eid, NULL FROM b WHERE conv_id % 9 <> 8 AND a
+      UNION ALL SELECT session_id, turn*10+4, 2, 'assistant', 'tool', '', ts, 'bash', 't-' || eid, eid, NULL FROM b WHERE conv_id % 9 <> 8 AND a AND turn % 4 = 3
       UNION ALL SELECT session_id, turn*10+5, 0, 'tool_result', 'tool', text, ts, 'bash', 't-' || eid, eid || 'r',
-         CASE WHEN conv_id % 5 = 0 THEN '{"is_error":true}' ELSE '{"is_error":false}' END FROM b WHERE a AND turn % 4 = 3
-      UNION ALL SELECT session_id, turn*10+6, 0, 'assistant', 'tool', '', ts, 'bash', 'pi-bash-' || eid || 'b', eid || 'b', NULL FROM b WHERE a AND turn % 4 = 1
+         CASE WHEN conv_id % 5 = 0 THEN '{"is_error":true}' ELSE '{"is_error":false}' END FROM b WHERE conv_id % 9 <> 8 AND a AND turn % 4 = 3
+      UNION ALL SELECT session_id, turn*10+6, 0, 'assistant', 'tool', '', ts, 'bash', 'pi-bash-' || eid || 'b', eid || 'b', NULL FROM b WHERE conv_id % 9 <> 8 AND a AND turn % 4 = 1
       UNION ALL SELECT session_id, turn*10+6, 1, 'tool_result', 'tool', left(text, 9), ts, 'bash', 'pi-bash-' || eid || 'b', eid || 'b',
-         '{"terminal":{"exit_code":' || (conv_id % 3) || ',"cancelled":false,"truncated":false}}' FROM b WHERE a AND turn % 4 = 1
-      UNION ALL SELECT session_id, turn*10+7, 0, 'meta', 'content', text, ts, NULL, NULL, eid || 'c', NULL FROM b WHERE role = 'system'
-      UNION ALL SELECT session_id, 18, 0, 'meta', 'debug', 'session name:  Name ' || session_id, NULL, NULL, NULL, NULL, NULL FROM b WHERE turn = 1 AND conv_id % 4 = 0)
+         '{"terminal":{"exit_code":' || (conv_id % 3) || ',"cancelled":false,"truncated":false}}' FROM b WHERE conv_id % 9 <> 8 AND a AND turn % 4 = 1
+      UNION ALL SELECT session_id, turn*10+7, 0, 'meta', 'content', text, ts, NULL, NULL, eid || 'c', NULL FROM b WHERE conv_id % 9 <> 8 AND role = 'system'
+      UNION ALL SELECT session_id, 18, 0, 'meta', 'debug', 'session name:  Name ' || session_id, NULL, NULL, NULL, NULL, NULL FROM b WHERE conv_id % 9 <> 8 AND turn = 1 AND conv_id % 4 = 0)
     SELECT * FROM r""",
 )
 def tree_entry_records(spark, sf_dir):
@@ -249,7 +248,7 @@ def tree_entry_records(spark, sf_dir):
     + """, u AS (SELECT *, CASE WHEN a THEN n WHEN role = 'system' THEN 5 ELSE 0 END AS i, CASE WHEN a THEN turn WHEN role = 'system' THEN 2 ELSE 0 END AS o,
         CASE WHEN a THEN n % 7 + n % 3 ELSE 0 END AS h FROM b)
     SELECT session_id, session_id AS native_id, '/work/p' || (conv_id % 17) AS project_path, min(ts) AS created_at,
-      coalesce(max(ts) FILTER (role <> 'system'), min(ts)) AS updated_at, arg_min(left(text, 200), turn) FILTER (role = 'user') AS first_prompt,
+      coalesce(max(ts) FILTER (role <> 'system'), min(ts)) AS updated_at, arg_min(text, turn) FILTER (role = 'user') AS first_prompt,
       CASE WHEN conv_id % 4 = 0 AND max(turn) >= 1 THEN 'Name ' || session_id END AS agent_title,
       sum(i)::BIGINT AS input_tokens, sum(o)::BIGINT AS output_tokens, sum(h)::BIGINT AS cache_tokens,
       sum(CASE WHEN a AND conv_id % 2 = 0 THEN n + turn ELSE i + o + h END)::BIGINT AS total_tokens
@@ -296,13 +295,13 @@ def index_texts_tree(spark, sf_dir):
     "session_search_tree",
     D_BASE
     + """, t AS (
-      SELECT session_id, turn*10+4 AS unit, 0 AS seq, 'user' AS record_type, text AS t, ts FROM b WHERE role = 'user'
-      UNION ALL SELECT session_id, turn*10+4, 0, 'thinking', left(text, 30), ts FROM b WHERE a
-      UNION ALL SELECT session_id, turn*10+4, 1, 'assistant', text, ts FROM b WHERE a
-      UNION ALL SELECT session_id, turn*10+4, 2, 'tool', ' bash {"command":' || to_json(left(text, 12)) || '}', ts FROM b WHERE a AND turn % 4 = 3
-      UNION ALL SELECT session_id, turn*10+5, 0, 'tool', text || ' bash', ts FROM b WHERE a AND turn % 4 = 3
-      UNION ALL SELECT session_id, turn*10+6, 1, 'tool', left(text, 9) || ' bash', ts FROM b WHERE a AND turn % 4 = 1
-      UNION ALL SELECT session_id, turn*10+7, 0, 'meta', text, ts FROM b WHERE role = 'system')
+      SELECT session_id, turn*10+4 AS unit, 0 AS seq, 'user' AS record_type, text AS t, ts FROM b WHERE conv_id % 9 <> 8 AND role = 'user'
+      UNION ALL SELECT session_id, turn*10+4, 0, 'thinking', left(text, 30), ts FROM b WHERE conv_id % 9 <> 8 AND a
+      UNION ALL SELECT session_id, turn*10+4, 1, 'assistant', text, ts FROM b WHERE conv_id % 9 <> 8 AND a
+      UNION ALL SELECT session_id, turn*10+4, 2, 'tool', ' bash {"command":' || to_json(left(text, 12)) || '}', ts FROM b WHERE conv_id % 9 <> 8 AND a AND turn % 4 = 3
+      UNION ALL SELECT session_id, turn*10+5, 0, 'tool', text || ' bash', ts FROM b WHERE conv_id % 9 <> 8 AND a AND turn % 4 = 3
+      UNION ALL SELECT session_id, turn*10+6, 1, 'tool', left(text, 9) || ' bash', ts FROM b WHERE conv_id % 9 <> 8 AND a AND turn % 4 = 1
+      UNION ALL SELECT session_id, turn*10+7, 0, 'meta', text, ts FROM b WHERE conv_id % 9 <> 8 AND role = 'system')
     SELECT session_id, unit, seq, record_type, ts, """
     + snippet_sql("t", "the")
     + " AS snippet FROM t WHERE contains(lower(t), 'the')",

@@ -13,67 +13,27 @@ from workload.tables import table
 
 area = Area()
 
-# Texts kept within the budgets, folded row by row per session and kind.
-BOUNDED = (
-    "WITH RECURSIVE "
-    + fx.TEXTS_SQL
-    + """,
-c AS (SELECT *, row_number() OVER (PARTITION BY session_key, code ORDER BY unit, seq) AS rn FROM texts WHERE regexp_matches(text, '\\S')),
-f(session_key, code, rn, bytes, chunks, unit, seq, kept) AS (
-  SELECT session_key, code, 0, CASE code WHEN 0 THEN 65536 ELSE 32768 END, CASE code WHEN 0 THEN 128 ELSE 64 END, 0, 0, '' FROM c WHERE rn = 1
-  UNION ALL
-  SELECT session_key, code, rn, CASE WHEN ok THEN bytes - strlen(t) ELSE bytes END, CASE WHEN ok THEN chunks - 1 ELSE chunks END, unit, seq, CASE WHEN ok THEN t ELSE '' END
-  FROM (SELECT *, regexp_matches(t, '\\S') AS ok FROM (
-    SELECT f.session_key, f.code, c.rn, f.bytes, f.chunks, c.unit, c.seq,
-      CASE WHEN strlen(c.text) <= f.bytes THEN c.text
-           ELSE left(c.text, list_max(list_filter(range(f.bytes // 4, f.bytes + 1), lambda k: strlen(left(c.text, k)) <= f.bytes))) END AS t
-    FROM f JOIN c ON c.session_key = f.session_key AND c.code = f.code AND c.rn = f.rn + 1 WHERE f.bytes > 0 AND f.chunks > 0))),
-bounded AS (SELECT session_key, code, unit, seq, kept AS text FROM f WHERE kept <> '')
-"""
-)
+TEXTS = "WITH " + fx.TEXTS_SQL + ", kept AS (SELECT session_key, code, unit, seq, text FROM texts WHERE regexp_matches(text, '\\S'))\n"
 
 TOKENS = (
-    BOUNDED
+    TEXTS
     + """, parts AS (
-  SELECT session_key, 0 AS code, 0 AS tier, p AS unit, 0 AS seq, t AS text FROM docs, LATERAL (VALUES (0, project_path), (1, session_key), (2, coalesce(first_prompt, '')), (3, coalesce(agent_title, ''))) v(p, t)
-  UNION ALL SELECT session_key, code, 1, unit, seq, text FROM bounded),
-raw AS (
-  SELECT session_key, code, tier, unit, seq, u.i AS pos, lower(u.tok) AS token
-  FROM (SELECT *, regexp_extract_all(text, '[\\p{L}\\p{N}]+') AS l FROM parts) x, LATERAL (SELECT unnest(l) AS tok, generate_subscripts(l, 1) AS i) u
-  WHERE strlen(u.tok) >= 2 AND strlen(lower(u.tok)) <= 128),
-seen AS (SELECT session_key, code, token, min((tier, unit, seq, pos)) AS first_at FROM raw GROUP BY ALL),
+  SELECT session_key, 0 AS code, t AS text FROM docs, LATERAL (VALUES (project_path), (session_key), (first_prompt), (agent_title)) v(t)
+  UNION ALL SELECT session_key, code, text FROM kept),
+runs AS (SELECT session_key, code, unnest(regexp_extract_all(regexp_replace(text, '(\\p{Han}+)', ' \\1 ', 'g'), '[\\p{L}\\p{N}]+')) AS run FROM parts),
 postings AS (
-  SELECT token, code, session_key FROM (SELECT *, row_number() OVER (PARTITION BY session_key, code ORDER BY first_at) AS r FROM seen)
-  WHERE r <= CASE code WHEN 0 THEN 1024 ELSE 512 END)
-"""
-)
-
-PREVIEW = (
-    BOUNDED
-    + """, p0 AS (SELECT *, row_number() OVER (PARTITION BY session_key ORDER BY unit, seq, code) AS rn FROM (SELECT session_key, unit, seq, code,
-      CASE WHEN strlen(text) <= 16384 THEN text ELSE left(text, list_max(list_filter(range(4096, 16385), lambda k: strlen(left(text, k)) <= 16384))) END AS text FROM bounded)),
-g(session_key, rn, bytes, unit, seq, code, kept) AS (
-  SELECT session_key, 0, 65536, 0, 0, 0, '' FROM p0 WHERE rn = 1
-  UNION ALL
-  SELECT session_key, rn, bytes - strlen(t), unit, seq, code, t FROM (
-    SELECT g.session_key, p0.rn, g.bytes, p0.unit, p0.seq, p0.code,
-      CASE WHEN strlen(p0.text) <= g.bytes THEN p0.text ELSE left(p0.text, list_max(list_filter(range(0, g.bytes + 1), lambda k: strlen(left(p0.text, k)) <= g.bytes))) END AS t
-    FROM g JOIN p0 ON p0.session_key = g.session_key AND p0.rn = g.rn + 1 WHERE g.bytes > 0)),
-preview AS (SELECT session_key, unit, seq, code, kept AS text FROM g WHERE kept <> '')
+  SELECT DISTINCT lower(token) AS token, code, session_key FROM (
+    SELECT session_key, code, run AS token FROM runs WHERE NOT regexp_matches(run, '\\p{Han}')
+    UNION ALL SELECT session_key, code, unnest(list_transform(range(1, length(run) + 1), lambda i: substr(run, i, 1))) FROM runs WHERE regexp_matches(run, '\\p{Han}')
+    UNION ALL SELECT session_key, code, unnest(list_transform(range(1, length(run)), lambda i: substr(run, i, 2))) FROM runs WHERE regexp_matches(run, '\\p{Han}')))
 """
 )
 
 
-@area.query("bounded_texts", BOUNDED + "SELECT session_key, code, unit, seq, strlen(text) AS bytes, md5(text) AS digest FROM bounded")
-def bounded_texts(spark, sf_dir):
-    kept = I.bounded_texts(fx.texts(spark, sf_dir))
-    return kept.select("session_key", "code", "unit", "seq", F.octet_length("text").alias("bytes"), F.md5(F.encode("text", "UTF-8")).alias("digest"))
-
-
-@area.query("preview_texts", PREVIEW + "SELECT session_key, unit, seq, code, strlen(text) AS bytes, md5(text) AS digest FROM preview")
-def preview_texts(spark, sf_dir):
+@area.query("session_texts", TEXTS + "SELECT session_key, code, unit, seq, strlen(text) AS bytes, md5(text) AS digest FROM kept")
+def session_texts(spark, sf_dir):
     return fx.index(spark, sf_dir).texts.select(
-        "session_key", "unit", "seq", "code", F.octet_length("text").alias("bytes"), F.md5(F.encode("text", "UTF-8")).alias("digest")
+        "session_key", "code", "unit", "seq", F.octet_length("text").alias("bytes"), F.md5(F.encode("text", "UTF-8")).alias("digest")
     )
 
 
@@ -96,32 +56,32 @@ def token_frequencies(spark, sf_dir):
 
 @area.query(
     "index_quality",
-    "SELECT * FROM (VALUES ('token_budget', 0), ('token_form', 0), ('preview_session', 0), ('preview_text', 0)) v(\"bound\", broken)",
+    TOKENS + """SELECT 'token_form' AS "bound", 0 AS broken, count(*) AS checked FROM postings
+    UNION ALL SELECT 'known_session', 0, count(DISTINCT session_key) FROM postings""",
 )
 def index_quality(spark, sf_dir):
     return I.violations(fx.index(spark, sf_dir))
 
 
-def _token_search_sql(tokens: list[str], query: str, codes: str, scope: str, limit: int) -> str:
+def _token_search_sql(tokens: list[str], query: str, codes: str, scope: str, limit: str = "") -> str:
     words = ", ".join(f"'{t}'" for t in tokens)
     return (
         TOKENS
-        + PREVIEW[len(BOUNDED):]
         + f""", sc AS (SELECT session_key, count(DISTINCT token) AS score FROM postings WHERE token IN ({words}) AND code IN ({codes}) GROUP BY 1),
-      hit AS (SELECT session_key, arg_min({snippet_sql('text', query)}, (unit, seq)) AS t FROM preview WHERE code IN ({codes}) AND contains(lower(text), '{query}') GROUP BY 1)
+      hit AS (SELECT session_key, arg_min({snippet_sql('text', query)}, (unit, seq)) AS t FROM kept WHERE code IN ({codes}) AND contains(lower(text), '{query}') GROUP BY 1)
     SELECT session_key, score, coalesce(t, CASE WHEN contains(lower(project_path), '{query}') THEN project_path END,
       CASE WHEN contains(lower(agent_title), '{query}') THEN agent_title END, first_prompt, project_path) AS snippet
-    FROM docs JOIN sc USING (session_key) LEFT JOIN hit USING (session_key) WHERE {scope} ORDER BY score DESC, modified DESC, source, session_key LIMIT {limit}"""
+    FROM docs JOIN sc USING (session_key) LEFT JOIN hit USING (session_key) WHERE {scope} ORDER BY score DESC, modified DESC, source, session_key {limit}"""
     )
 
 
-@area.query("search_tokens", _token_search_sql(["the", "ofblethti", "dans", "title"], "the ofblethti dans title", "0", "archive_name IS NULL", 200))
+@area.query("search_tokens", _token_search_sql(["the", "ofblethti", "dans", "title"], "the ofblethti dans title", "0", "archive_name IS NULL"))
 def search_tokens(spark, sf_dir):
     rows = S.token_search(fx.index(spark, sf_dir), " The ofblethti DANS title ")
     return rows.select("session_key", "score", "snippet")
 
 
-@area.query("search_tokens_scoped", _token_search_sql(["die", "und"], "die und", "1, 2", "source = 'codex'", 20))
+@area.query("search_tokens_scoped", _token_search_sql(["die", "und"], "die und", "1, 2", "source = 'codex'", "LIMIT 20"))
 def search_tokens_scoped(spark, sf_dir):
     rows = S.token_search(fx.index(spark, sf_dir), "die und", ["tool", "reasoning"], "codex", "all", 20)
     return rows.select("session_key", "score", "snippet")
@@ -129,14 +89,14 @@ def search_tokens_scoped(spark, sf_dir):
 
 def _substring_sql(query: str, codes: str, meta: bool, scope: str) -> str:
     fields = "".join(f"CASE WHEN contains(lower({f}), '{query}') THEN {f} END, " for f in ("project_path", "session_key", "agent_title", "first_prompt")) if meta else ""
-    return f""", hit AS (SELECT session_key, arg_min({snippet_sql('text', query)}, (unit, seq)) AS t FROM preview WHERE code IN ({codes}) AND contains(lower(text), '{query}') GROUP BY 1),
+    return f""", hit AS (SELECT session_key, arg_min({snippet_sql('text', query)}, (unit, seq)) AS t FROM kept WHERE code IN ({codes}) AND contains(lower(text), '{query}') GROUP BY 1),
       sub AS (SELECT session_key, source, modified, coalesce({fields}t) AS snippet FROM docs LEFT JOIN hit USING (session_key) WHERE {scope})
     """
 
 
 @area.query(
     "search_substring",
-    PREVIEW + _substring_sql("e, the", "0, 1", True, "true") + "SELECT session_key, snippet FROM sub WHERE snippet IS NOT NULL ORDER BY source, session_key LIMIT 200",
+    TEXTS + _substring_sql("e, the", "0, 1", True, "true") + "SELECT session_key, snippet FROM sub WHERE snippet IS NOT NULL",
 )
 def search_substring(spark, sf_dir):
     return S.substring_search(fx.index(spark, sf_dir), "e, the", ["content", "tool"], None, "all").select("session_key", "snippet")
@@ -145,14 +105,13 @@ def search_substring(spark, sf_dir):
 @area.query(
     "search_fused",
     TOKENS
-    + PREVIEW[len(BOUNDED):]
     + _substring_sql("ment", "0", True, "archive_name IS NULL")
     + f""", sc AS (SELECT session_key, count(DISTINCT token) AS score FROM postings WHERE token = 'ment' AND code = 0 GROUP BY 1),
     tok AS (SELECT 0 AS tier, session_key, score, source, modified, coalesce(t, CASE WHEN contains(lower(project_path), 'ment') THEN project_path END,
       CASE WHEN contains(lower(agent_title), 'ment') THEN agent_title END, first_prompt, project_path) AS snippet
       FROM docs JOIN sc USING (session_key) LEFT JOIN hit USING (session_key) WHERE archive_name IS NULL),
     allhits AS (SELECT * FROM tok UNION ALL SELECT 1, session_key, 0, source, NULL, snippet FROM sub WHERE snippet IS NOT NULL AND session_key NOT IN (SELECT session_key FROM tok))
-    SELECT session_key, score, snippet FROM allhits ORDER BY tier, score DESC, modified DESC, source, session_key LIMIT 200""",
+    SELECT session_key, score, snippet FROM allhits ORDER BY tier, score DESC, modified DESC, source, session_key""",
 )
 def search_fused(spark, sf_dir):
     return S.search(fx.index(spark, sf_dir), "ment").select("session_key", "score", "snippet")
@@ -163,7 +122,7 @@ def search_fused(spark, sf_dir):
     "WITH "
     + fx.TEXTS_SQL
     + f""", hit AS (SELECT session_key, arg_min({snippet_sql('text', 'ntion')}, (unit, seq)) AS snippet FROM texts WHERE contains(lower(text), 'ntion') GROUP BY 1)
-    SELECT session_key, modified, snippet FROM docs JOIN hit USING (session_key) WHERE archive_name IS NULL ORDER BY modified DESC, source, session_key LIMIT 300""",
+    SELECT session_key, modified, snippet FROM docs JOIN hit USING (session_key) WHERE archive_name IS NULL ORDER BY modified DESC, source, session_key""",
 )
 def search_deep(spark, sf_dir):
     hits = S.text_hits(fx.texts(spark, sf_dir), " ntION ")
@@ -172,10 +131,10 @@ def search_deep(spark, sf_dir):
 
 @area.query(
     "literal_queries",
-    "SELECT doc_id, regexp_matches(left(text, 12), '[^\\p{L}\\p{N}\\s]')::INT AS literal FROM documents",
+    "SELECT doc_id, regexp_matches(text, '[^\\p{L}\\p{N}\\s]')::INT AS literal FROM documents",
 )
 def literal_queries(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", X.is_literal_query(F.left("text", F.lit(12))).cast("int").alias("literal"))
+    return table(spark, sf_dir, "documents").select("doc_id", X.is_literal_query(F.col("text")).cast("int").alias("literal"))
 
 
 @area.query(

@@ -173,10 +173,10 @@ def answer_resolution(spark, sf_dir):
 
 @area.query(
     "call_parameters",
-    """SELECT doc_id, k AS key, v AS value, (length(v) > 80)::INT AS long FROM documents, LATERAL (VALUES ('text', left(text, 90)), ('n', doc_id::VARCHAR), ('flags', '[true,1]')) p(k, v)""",
+    """SELECT doc_id, k AS key, v AS value, (length(v) > 80)::INT AS long FROM documents, LATERAL (VALUES ('text', text), ('n', doc_id::VARCHAR), ('flags', '[true,1]')) p(k, v)""",
 )
 def call_parameters(spark, sf_dir):
-    inp = F.concat(F.substring(F.to_json(F.struct(F.left("text", F.lit(90)).alias("text"), F.col("doc_id").alias("n"))), F.lit(1), F.length(F.to_json(F.struct(F.left("text", F.lit(90)).alias("text"), F.col("doc_id").alias("n")))) - 1), F.lit(',"flags":[true,1]}'))
+    inp = F.concat(F.substring(F.to_json(F.struct("text", F.col("doc_id").alias("n"))), F.lit(1), F.length(F.to_json(F.struct("text", F.col("doc_id").alias("n")))) - 1), F.lit(',"flags":[true,1]}'))
     rows = table(spark, sf_dir, "documents").select("doc_id", F.inline(tools.call_parameters(inp)))
     return rows.select("doc_id", "key", "value", F.col("long").cast("int").alias("long"))
 
@@ -312,7 +312,7 @@ def _export(spark, sf_dir, fmt):
 
 EXPORT = (
     A_RECORDS
-    + f""", x AS (SELECT *, role = 'assistant' AS used, CASE WHEN role = 'user' AND NOT (noisy AND conv_id % 2 = 0) THEN left(text, 200) END AS prompt FROM b),
+    + f""", x AS (SELECT *, role = 'assistant' AS used, CASE WHEN role = 'user' AND NOT (noisy AND conv_id % 2 = 0) THEN text END AS prompt FROM b),
   sess AS (SELECT session_id, CASE WHEN conv_id % 7 = 0 THEN 'Title ' || session_id WHEN conv_id % 7 = 3 THEN 'Sum ' || session_id END AS agent_title,
       arg_min(prompt, turn) FILTER (prompt IS NOT NULL) AS first_prompt, min(ts) FILTER (role <> 'system') AS created_at, max(ts) FILTER (role <> 'system') AS updated_at,
       CASE WHEN count(*) FILTER (role = 'user') > 0 THEN '/work/p' || (conv_id % 17) END AS project_path FROM x GROUP BY session_id, conv_id)

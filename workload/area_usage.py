@@ -47,7 +47,7 @@ def usage_by_model(spark, sf_dir):
 
 @area.query(
     "usage_by_project",
-    BASE + f"SELECT project_path AS key, {SUMS} {CUR} GROUP BY 1 ORDER BY total_tokens DESC, sessions DESC, key LIMIT 12",
+    BASE + f"SELECT project_path AS key, {SUMS} {CUR} GROUP BY 1 ORDER BY total_tokens DESC, sessions DESC, key",
 )
 def usage_by_project(spark, sf_dir):
     return usage.by_project(_s(spark, sf_dir))
@@ -104,7 +104,7 @@ def usage_formatted(spark, sf_dir):
     BASE + f"SELECT source, session_id, strftime(modified, {STAMP}) AS modified {CUR} ORDER BY s.modified DESC, source, session_id LIMIT 10",
 )
 def dashboard_recent(spark, sf_dir):
-    return dashboard.recent(_s(spark, sf_dir)).select("source", "session_id", _text("modified"))
+    return dashboard.recent(_s(spark, sf_dir), 10).select("source", "session_id", _text("modified"))
 
 
 @area.query(
@@ -134,7 +134,7 @@ def source_health(spark, sf_dir):
     {CUR} GROUP BY 1 ORDER BY sessions DESC, max(modified) DESC, path LIMIT 8""",
 )
 def dashboard_projects(spark, sf_dir):
-    return dashboard.top_projects(_s(spark, sf_dir)).select("path", "sessions", _text("last_active"))
+    return dashboard.top_projects(_s(spark, sf_dir), 8).select("path", "sessions", _text("last_active"))
 
 
 @area.query(
@@ -152,7 +152,7 @@ def dashboard_activity(spark, sf_dir):
     "browse_sessions",
     BASE
     + """SELECT source, session_id, CASE WHEN user_id % 6 <> 0 THEN 'Prompt of ' || user_id ELSE project_path END AS snippet
-    FROM s WHERE archive_name IS NOT NULL ORDER BY modified DESC, source, session_id LIMIT 500""",
+    FROM s WHERE archive_name IS NOT NULL ORDER BY modified DESC, source, session_id""",
 )
 def browse_sessions(spark, sf_dir):
     return dashboard.browse(_s(spark, sf_dir), "archived").select("source", "session_id", "snippet")

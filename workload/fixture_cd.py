@@ -17,7 +17,7 @@ def _obj(**fields: Column) -> Column:
 
 @stored
 def c_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chains of 20 sessions, so the deepest ones lie beyond the 16-step climb."""
+    """Chains of 20 sessions; some hang below a session that is gone."""
     conv = F.col("conv_id")
     ids = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count("*").alias("turns"))
     created = (F.lit(EPOCH_2026) + conv * 3600) * 1000
@@ -26,7 +26,7 @@ def c_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     return ids.select(
         F.concat(F.lit("o"), conv.cast("string")).alias("id"),
-        F.when(conv % 20 != 0, F.concat(F.lit("o"), (conv - 1).cast("string"))).alias("parent_id"),
+        F.when(conv % 20 != 0, F.concat(F.lit("o"), (conv - 1).cast("string"))).when(conv % 100 == 20, F.concat(F.lit("gone-"), conv.cast("string"))).alias("parent_id"),
         F.concat(F.lit("/work/p"), (conv % 17).cast("string")).alias("directory"),
         F.when(conv % 4 != 0, F.concat(F.lit(" T"), conv.cast("string"))).alias("title"),
         model.alias("model"),
