@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -56,6 +57,18 @@ def sketch(tokens: np.ndarray) -> bytes:
     return np.sort(mix(tokens) >> np.uint64(32)).astype("<u4")[:SKETCH].tobytes()
 
 
+def narrow(tokens: np.ndarray) -> bytes:
+    """Sorted distinct 40-bit parts of tokens, 5 bytes each; in two sets of n tokens about n * n / 2**40 differ unseen."""
+    return np.unique(tokens >> np.uint64(24)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+
+
+def widened(data: bytes) -> np.ndarray:
+    parts = np.frombuffer(data, np.uint8).reshape(-1, 5)
+    out = np.zeros((len(parts), 8), np.uint8)
+    out[:, :5] = parts
+    return out.view("<u8").ravel()
+
+
 def may_reach(a: np.ndarray, b: np.ndarray, threshold: float) -> bool:
     """Whether two bottom sketches leave a similarity over the threshold possible, by four standard deviations."""
     top = min(a[-1], b[-1]) if len(a) == SKETCH and len(b) == SKETCH else a[-1] if len(a) == SKETCH else b[-1] if len(b) == SKETCH else 2**32 - 1
@@ -168,59 +181,60 @@ def joined(docs: DataFrame, threshold: float = THRESHOLD, shingle: int = SHINGLE
         hashes = WordHashes()
 
         def split(batch: pa.RecordBatch) -> dict:
-            keys, paths = [], []
-            for k, text in zip(batch.column("k").to_pylist(), batch.column("_text").to_pylist(), strict=True):
+            paths = []
+            for text in batch.column("_text").to_pylist():
                 tokens = shingles(hashes.of(text.split()), shingle)
-                for seed in seeds:
-                    new = chosen(tokens, seed, threshold)
-                    paths.append(new)
-                    keys += [k] * len(new)
-            return {"path": np.concatenate(paths).view(np.int64) if paths else [], "k": keys}
+                paths.append(np.unique(np.concatenate([chosen(tokens, seed, threshold) for seed in seeds])).view(np.int64))
+            return {"k": batch.column("k"), "ref": batch.column("_ref"), "paths": paths}
 
         return split
 
-    nodes = written(map_batches(keyed.select("k", "_text"), "path long, k binary", first).distinct(), "paths-1")
-    size = nodes.groupBy("path").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    shared = written(nodes.join(size, "path"), "shared-1")
-    ref = keyed.select("k", "_ref").groupBy("k").agg(F.min("_ref").alias("_ref"))
-    active = shared.groupBy("k").agg(F.max(F.col("n") > bucket).alias("deep")).join(ref, "k")
+    # one row per text: equal texts choose equal paths, and the least of their rows stands for them from here on
+    unique = written(map_batches(keyed.select("k", "_ref", "_text"), "k binary, ref long, paths array<long>", first).groupBy("k").agg(F.min("ref").alias("ref"), F.first("paths").alias("paths")), "paths-1")
+    nodes = unique.select(F.explode("paths").alias("path"), "ref")
+    shared = written(nodes.join(nodes.groupBy("path").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "path"), "shared-1")
+    # a set has few paths, so the list of those that are split again is short
+    active = shared.groupBy("ref").agg(F.collect_list(F.when(F.col("n") > bucket, F.col("path"))).alias("large"))
+
+    def shrink():
+        press = zstandard.ZstdCompressor(level=3).compress
+        return lambda batch: {"_ref": batch.column("_ref"), "_text": [press(t.encode()) for t in batch.column("_text").to_pylist()]}
 
     def sets_of():
-        hashes = WordHashes()
+        hashes, unpress = WordHashes(), zstandard.ZstdDecompressor().decompress
 
         def made(batch: pa.RecordBatch) -> dict:
-            found = [shingles(hashes.of(t.split()), shingle) for t in batch.column("_text").to_pylist()]
-            return {"k": batch.column("k"), "deep": batch.column("deep"), "tokens": [x.astype("<u8").tobytes() for x in found], "sketch": [sketch(x) for x in found]}
+            tokens, sketches, deeper = [], [], []
+            for data, large in zip(batch.column("_text").to_pylist(), batch.column("large").to_pylist(), strict=True):
+                found = shingles(hashes.of(unpress(data).decode().split()), shingle)
+                tokens.append(narrow(found))
+                sketches.append(sketch(found))
+                paths, rows = large, []
+                for level in range(2, depth + 1):
+                    split = [(p, q) for p in paths for q in chosen(found, p & (2**64 - 1), threshold).view(np.int64).tolist()]
+                    rows += [{"level": level, "parent": p, "path": q} for p, q in split]
+                    paths = [q for _, q in split]
+                deeper.append(rows)
+            return {"ref": batch.column("_ref"), "tokens": tokens, "sketch": sketches, "deeper": deeper}
 
         return made
 
     # joined in the same way at every size: what is broadcast on small tables would not be on large ones
-    texts = source.select("_ref", "_text").join(active.hint("merge"), "_ref").select("k", "deep", "_text")
-    sets = written(map_batches(texts, "k binary, deep boolean, tokens binary, sketch binary", sets_of), "sets")
-    del nodes, texts, active, size
+    pressed = map_batches(source.select("_ref", "_text"), "_ref long, _text binary", shrink)
+    texts = pressed.join(active.withColumnRenamed("ref", "_ref").hint("merge"), "_ref").select("_ref", "_text", "large")
+    sets = written(map_batches(texts, "ref long, tokens binary, sketch binary, deeper array<struct<level: int, parent: long, path: long>>", sets_of), "sets")
+    del nodes, pressed, texts, active
     release(docs.sparkSession)
 
-    leaves = shared.where(F.col("n") <= bucket).select("path", "k")
-    large = shared.where(F.col("n") > bucket).select("path", "k")
+    # the paths of all deeper splits were made while the tokens were at hand; a level counts where its parent is still large
+    splits = sets.select("ref", F.explode("deeper").alias("d")).select("d.level", "d.parent", "d.path", "ref")
+    leaves = shared.where(F.col("n") <= bucket).select("path", "ref")
+    large = shared.where(F.col("n") > bucket).select("path", "ref")
     for level in range(2, depth + 1):
-        def deeper():
-            def split(batch: pa.RecordBatch) -> dict:
-                keys, paths = [], []
-                for k, old, data in zip(batch.column("k").to_pylist(), batch.column("paths").to_pylist(), batch.column("tokens").to_pylist(), strict=True):
-                    tokens = np.frombuffer(data, "<u8")
-                    for path in old:
-                        new = chosen(tokens, path & (2**64 - 1), threshold)
-                        paths.append(new)
-                        keys += [k] * len(new)
-                return {"path": np.concatenate(paths).view(np.int64), "k": keys}
-
-            return split
-
-        by_set = large.groupBy("k").agg(F.collect_set("path").alias("paths")).join(sets.where("deep").select("k", "tokens"), "k").select("k", "paths", "tokens")
-        nodes = written(map_batches(by_set, "path long, k binary", deeper).distinct(), f"paths-{level}")
-        shared = nodes.join(nodes.groupBy("path").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "path")
-        leaves = leaves.unionByName(shared.where(F.col("n") <= bucket).select("path", "k"))
-        large = shared.where(F.col("n") > bucket).select("path", "k")
+        nodes = splits.where(F.col("level") == level).join(large.select(F.col("path").alias("parent")).distinct(), "parent", "left_semi").select("path", "ref")
+        shared = written(nodes.join(nodes.groupBy("path").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "path"), f"shared-{level}")
+        leaves = leaves.unionByName(shared.where(F.col("n") <= bucket).select("path", "ref"))
+        large = shared.where(F.col("n") > bucket).select("path", "ref")
 
     def connect(rows: list[tuple]) -> Iterator[tuple]:
         sketches, links = [np.frombuffer(r[2], "<u4") for r in rows], Links(len(rows))
@@ -230,18 +244,18 @@ def joined(docs: DataFrame, threshold: float = THRESHOLD, shingle: int = SHINGLE
                     links.join(i, j)
         return ((r[1], rows[links.root(i)][1]) for i, r in enumerate(rows) if links.root(i) != i)
 
-    maybe = groups(leaves.join(sets.select("k", "sketch"), "k").select("path", "k", "sketch"), ["path"], "a binary, b binary", connect)
+    maybe = groups(leaves.join(sets.select("ref", "sketch"), "ref").select("path", "ref", "sketch"), ["path"], "a long, b long", connect)
     # what still is large after the last split is compared exactly as a whole, in blocks
-    rest = large.join(large.groupBy("path").agg(F.min("k").alias("b")), "path").where("k <> b").select(F.col("k").alias("a"), "b")
-    near = components(maybe.unionByName(rest).distinct(), "maybe")
+    rest = large.join(large.groupBy("path").agg(F.min("ref").alias("b")), "path").where("ref <> b").select(F.col("ref").alias("a"), "b")
+    near = components(maybe.unionByName(rest).distinct(), "maybe").withColumnRenamed("k", "ref")
     release(docs.sparkSession)
 
     blocks = near.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).cast("int").alias("blocks"))
-    placed = near.join(blocks, "root").withColumn("own", F.pmod(F.xxhash64("k"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = placed.select("root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "k").join(sets.select("k", "tokens").hint("merge"), "k").select("root", "i", "j", "own", "k", "tokens")
+    placed = near.join(blocks, "root").withColumn("own", F.pmod(F.xxhash64("ref"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = placed.select("root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "ref").join(sets.select("ref", "tokens").hint("merge"), "ref").select("root", "i", "j", "own", "ref", "tokens")
 
     def exact(rows: list[tuple]) -> Iterator[tuple]:
-        tokens = [np.frombuffer(r[5], "<u8") for r in rows]
+        tokens = [widened(r[5]) for r in rows]
         low = [n for n, r in enumerate(rows) if r[3] == r[1]]
         high = [n for n, r in enumerate(rows) if r[3] == r[2]]
         if not low or not high:
@@ -260,11 +274,12 @@ def joined(docs: DataFrame, threshold: float = THRESHOLD, shingle: int = SHINGLE
             if count[n]:
                 yield r[4], rows[links.root(n)][4], int(count[n])
 
-    linked = written(groups(dealt, ["root", "i", "j"], "a binary, b binary, n long", exact), "links")
-    number = linked.groupBy(F.col("a").alias("k")).agg(F.sum("n").alias("n_links"))
-    group = components(linked.select("a", "b").distinct(), "links").select("k", F.col("root").alias("group"))
-    found = keyed.select("_ref", "_id", "k").join(number.join(group, "k", "left"), "k", "left")
-    return found.select("_ref", "_id", "k", F.coalesce("group", "k").alias("group"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    linked = written(groups(dealt, ["root", "i", "j"], "a long, b long, n long", exact), "links")
+    number = linked.groupBy(F.col("a").alias("ref")).agg(F.sum("n").alias("n_links"))
+    group = components(linked.select("a", "b").distinct(), "links").select(F.col("k").alias("ref"), F.col("root").alias("group"))
+    of_text = unique.select("k", "ref").join(number.join(group, "ref", "left"), "ref", "left")
+    of_text = of_text.select("k", F.coalesce("group", "ref").alias("group"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    return keyed.select("_ref", "_id", "k").join(of_text, "k").select("_ref", "_id", "k", "group", "n_links")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
