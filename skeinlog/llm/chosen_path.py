@@ -5,7 +5,7 @@ and it chooses 1 / threshold tokens on average at every step, by a hash that dep
 only larger ones are split again. Runs are repeated until the chance to miss a pair at the threshold is below 1 - recall.
 
 Buckets are compared by small sketches first, which connects sets that may reach the threshold; the connected sets are then compared
-exactly with each other, in blocks, so that a large group is spread over many tasks and only counts and one link per set leave them.
+whole with each other, by 40-bit shingle hashes in blocks, so that a large group is spread over many tasks and only counts and one link per set leave them.
 """
 
 from __future__ import annotations
