@@ -120,6 +120,37 @@ def test_decontamination_finds_exact_and_edited_items_only(spark, odd, none):
     assert decontamination.contaminated(none, bench).count() == decontamination.contaminated(docs, bench.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("edit", ["1 in 4", "1 in 6", "inserted"])
+@pytest.mark.parametrize("beside_exact", [False, True])
+def test_decontamination_loses_no_edited_copy(spark, beside_exact, edit):
+    rng = np.random.default_rng(11)
+    common = [f"c{i}" for i in range(30)]
+    word = lambda i: common[rng.integers(30)] if rng.random() < 0.5 else f"r{i}-{rng.integers(500)}"
+    bench = [(i, [word(i) for _ in range(40 + i)]) for i in range(12)]
+    around = lambda: [common[k] for k in rng.integers(0, 30, 60)]
+    texts = []
+    for _, w in bench:
+        if edit == "inserted":  # no two words in a row stay together
+            changed = [x for k, v in enumerate(w) for x in ((v, f"y{k}") if k % 2 else (v,))]
+        else:
+            n = int(edit[-1])
+            changed = [f"x{k}" if k % n == n - 1 else v for k, v in enumerate(w)]
+        texts.append([*around(), *changed, *around()])
+        texts += [around() + w] if beside_exact else []
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    items = spark.createDataFrame([(i, " ".join(w)) for i, w in bench], "item_id long, text string")
+    number = {w: k + 1 for k, w in enumerate(sorted({x for t in [*texts, *(w for _, w in bench)] for x in decontamination.WORD.findall(" ".join(t))}))}
+    coded = lambda w: np.array([number[x] for x in decontamination.WORD.findall(" ".join(w))], np.uint32)
+    want = {}
+    for d, t in enumerate(texts):
+        for i, w in bench:
+            share = decontamination.align(coded(w), coded(t))[0] / (2 * len(coded(w)))
+            if share >= 0.5:
+                want[d, i] = share
+    got = {(r.doc_id, r.item_id): r.score for r in decontamination.contaminated(docs, items).collect()}
+    assert got == pytest.approx(want) and len(want) >= 12 * (1 + beside_exact)
+
+
 @pytest.mark.parametrize("period", [3, 13, 133])
 def test_repeated_bytes_equal_brute_force(spark, small, period):
     docs, count = [(d, t.encode()) for d, t in small], defaultdict(int)
