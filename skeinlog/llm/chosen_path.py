@@ -18,7 +18,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, gram_hashes, map_batches, mix, release, written
+from .common import WordHashes, gram_hashes, map_batches, mix, numbered, release, written
 
 THRESHOLD = 0.8
 SHINGLE = 5
@@ -168,13 +168,10 @@ def overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def joined(docs: DataFrame, threshold: float = THRESHOLD, shingle: int = SHINGLE, recall: float = RECALL, id_col: str = "doc_id", text_col: str = "text", bucket: int = BUCKET, depth: int = DEPTH) -> DataFrame:
-    """(_ref, id, k, group, n_links): one row per row of ``docs``; k is the text's digest.
-
-    _ref numbers the rows within their input splits; ``docs`` must be a table read from files, whose rows come in the same order each time.
+def joined(source: DataFrame, threshold: float = THRESHOLD, shingle: int = SHINGLE, recall: float = RECALL, bucket: int = BUCKET, depth: int = DEPTH) -> DataFrame:
+    """(_ref, id, k, group, n_links): one row per row of ``source``, a table (_ref, _id, _text) of numbered rows; k is the text's digest.
     """
     seeds = [int(x) for x in mix(np.arange(1, runs_needed(threshold, recall, depth) + 1).astype(np.uint64))]
-    source = docs.select(F.monotonically_increasing_id().alias("_ref"), F.col(id_col).alias("_id"), F.coalesce(text_col, F.lit("")).alias("_text"))
     keyed = source.withColumn("k", F.unhex(F.md5("_text")))
 
     def first():
@@ -224,7 +221,7 @@ def joined(docs: DataFrame, threshold: float = THRESHOLD, shingle: int = SHINGLE
     texts = pressed.join(active.withColumnRenamed("ref", "_ref").hint("merge"), "_ref").select("_ref", "_text", "large")
     sets = written(map_batches(texts, "ref long, tokens binary, sketch binary, deeper array<struct<level: int, parent: long, path: long>>", sets_of), "sets")
     del nodes, pressed, texts, active
-    release(docs.sparkSession)
+    release(source.sparkSession)
 
     # the paths of all deeper splits were made while the tokens were at hand; a level counts where its parent is still large
     splits = sets.select("ref", F.explode("deeper").alias("d")).select("d.level", "d.parent", "d.path", "ref")
@@ -248,7 +245,7 @@ def joined(docs: DataFrame, threshold: float = THRESHOLD, shingle: int = SHINGLE
     # what still is large after the last split is compared exactly as a whole, in blocks
     rest = large.join(large.groupBy("path").agg(F.min("ref").alias("b")), "path").where("ref <> b").select(F.col("ref").alias("a"), "b")
     near = components(maybe.unionByName(rest).distinct(), "maybe").withColumnRenamed("k", "ref")
-    release(docs.sparkSession)
+    release(source.sparkSession)
 
     blocks = near.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).cast("int").alias("blocks"))
     placed = near.join(blocks, "root").withColumn("own", F.pmod(F.xxhash64("ref"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -290,7 +287,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     than a shingle is one shingle. Rows with equal ids are separate rows; null ids are ignored for the least id, which is null if there
     is no other. Words are split at white space. Other columns are not read. An empty table gives an empty result.
     """
-    found = written(joined(docs, id_col=id_col, text_col=text_col, **settings), "classes")
+    found = written(joined(numbered(docs, F.col(id_col).alias("_id"), F.coalesce(text_col, F.lit("")).alias("_text")), **settings), "classes")
     classes = found.groupBy("group").agg(F.min("_id").alias("class_id"))
     texts = found.groupBy("k").agg(F.min("_id").alias("text_id"))
     return found.join(classes, "group").join(texts, "k").select(F.col("_id").alias(id_col), "class_id", "text_id", "n_links")
@@ -298,8 +295,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
     """The rows of ``docs``, all columns, that have the least id of their class (null ids last; of equal ids the first row read)."""
-    found = joined(docs, id_col=id_col, text_col=text_col, **settings)
+    rows = numbered(docs, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+    of_row = F.col("_row")
+    found = joined(rows.select("_ref", of_row[id_col].alias("_id"), F.coalesce(of_row[text_col], F.lit("")).alias("_text")), **settings)
     order = F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("_ref").alias("ref"))
     kept = found.groupBy("group").agg(F.min(order).alias("first")).select(F.col("first.ref").alias("_ref"))
-    row = "_chosen_path_row"
-    return docs.withColumn(row, F.monotonically_increasing_id()).join(kept.withColumnRenamed("_ref", row), row, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return rows.join(kept, "_ref", "left_semi").select("_row.*")

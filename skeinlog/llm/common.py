@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from skeinlog.session import cut_lineage
+from skeinlog.session import cut_lineage, scratch_path
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,6 +99,17 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return cut_lineage(df, f"llm-{label}")
 
 
+def numbered(docs: DataFrame, *columns: Column) -> DataFrame:
+    """``columns`` of every row and _ref, its number, as a table in the shared folder: a row has one number in all later jobs.
+
+    Numbers that each job would make again differ when its input splits do, as with executors lost or added between two jobs.
+    """
+    rows = docs.select(F.monotonically_increasing_id().alias("_ref"), *columns)
+    path = scratch_path(docs.sparkSession, "llm-numbered")
+    rows.write.option("compression", "zstd").parquet(path)
+    return docs.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark remove shuffle files whose tables are no longer referenced; it does so only when the driver's JVM collects garbage.
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WordHashes, gram_hashes, map_batches, mix, release, written
+from .common import WordHashes, gram_hashes, map_batches, mix, numbered, release, written
 from .suffixes import covered
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -48,12 +48,12 @@ def repeated_words(docs: DataFrame, k: int = K, gram: int = GRAM, id_col: str =
 
     A word goes if a run of k words that covers it also starts in a row with a smaller id. A null text has no word. Rows with equal ids don't take words from
     each other; a row with a null id has no place in the order: it keeps its words and takes none. Texts are split at ASCII white space, else
-    unchanged. Other columns are not read. ``docs`` must be a table read from files: its rows are numbered within
-    their input splits, and have to come in the same order each time. An empty table gives an empty result.
+    unchanged. Other columns are not read. Rows are numbered once, in a written table. An empty
+    table gives an empty result.
     """
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
-    source = docs.select(F.monotonically_increasing_id().alias("_ref"), F.col(id_col).alias("_id"), F.coalesce(text_col, F.lit("")).alias("_text"))
+    source = numbered(docs, F.col(id_col).alias("_id"), F.coalesce(text_col, F.lit("")).alias("_text"))
 
     def compact():
         hashes = WordHashes()

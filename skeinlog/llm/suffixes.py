@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_batches, mix, release, written
+from .common import map_batches, mix, numbered, release, written
 
 PERIOD = 133
 MIN_LENGTH = 200
@@ -141,8 +141,8 @@ def repeated_spans(docs: DataFrame, min_length: int = MIN_LENGTH, period: int =
 
     A run is the union of ``min_length``-byte strings that start anywhere else too, in another row or in the same one. A null text is empty; texts
     shorter than ``min_length`` keep all their bytes. Rows with equal or null ids are separate documents, so a repeated row loses what it shares with
-    its copy. Other columns are not read. ``docs`` must be a table read from files: its rows are numbered within
-    their input splits, and have to come in the same order each time. An empty table gives an empty result.
+    its copy. Other columns are not read. Rows are numbered once, in a
+    written table. An empty table gives an empty result.
     """
     spark = docs.sparkSession
     cover = np.array(difference_cover(period))
@@ -150,8 +150,7 @@ def repeated_spans(docs: DataFrame, min_length: int = MIN_LENGTH, period: int =
     if prefix < 8:
         raise ValueError("the period must be at least 7 below the length")
     kind = docs.schema[id_col].dataType.simpleString()
-    # the number of a row within its input split: the same whenever the split is read again
-    source = docs.select(F.monotonically_increasing_id().alias("_ref"), F.col(id_col).alias("_id"), F.coalesce(text_col, F.lit("")).alias("_text"))
+    source = numbered(docs, F.col(id_col).alias("_id"), F.coalesce(text_col, F.lit("")).alias("_text"))
     reach, inner = period - 1, -(-period // PARTS) - 1
 
     found = written(named(map_batches(source.select("_ref", "_text"), SAMPLE, lambda: sampler(prefix, min_length, lambda n, _: cover_places(n, period, cover)))), "samples")

@@ -188,6 +188,20 @@ def test_repeats_on_odd_rows(odd, none):
     assert debruijn.repeated_words(none).count() == 0
 
 
+@pytest.mark.parametrize("module, query", [(suffixes, suffixes.repeated_spans), (debruijn, debruijn.repeated_words), (chosen_path, chosen_path.near_duplicates), (chosen_path, chosen_path.one_of_each)])
+def test_rows_keep_their_number_when_splits_change(spark, monkeypatch, module, query):
+    def found():
+        return sorted(map(str, query(queries.documents(spark, SMALL)).collect()))
+
+    want, before = found(), spark.conf.get("spark.sql.files.maxPartitionBytes")
+    # between two jobs, as with other executors than before
+    monkeypatch.setattr(module, "release", lambda s: s.conf.set("spark.sql.files.maxPartitionBytes", "20000"))
+    try:
+        assert found() == want
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
 def test_join_equals_brute_force_with_large_groups(spark):
     rng = np.random.default_rng(5)
     base = [f"w{i}" for i in range(120)]
