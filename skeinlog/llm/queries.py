@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chosen_path, debruijn, decontamination, language_id, packing, quality, spotsigs, suffixes, surrogates, token_counts
+from . import chosen_path, debruijn, decontamination, language_id, license_scan, packing, periodic_runs, quality, ranked_search, spotsigs, suffixes, surrogates, token_counts
 from .common import documents, fold
 
 VOCABULARY, RANKS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -63,5 +63,41 @@ def op10_debruijn_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return debruijn.repeated_words(documents(spark, sf_dir), k=13).drop("spans")
 
 
-QUERIES = {f.__name__: f for f in (op1_pii_surrogates, op2_token_counts, op3_language_id, op4_decontamination, op5_suffix_array_dedup, op6_best_fit_packing, op7_quality_crf, op8_chosen_path_join, op9_spotsigs_fingerprints, op10_debruijn_dedup)}
-ORACLES: dict[str, str] = {}
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of the words of every text; of one id in ten, by crc32, the words from a place on are first made to repeat, as the contract says.
+
+    A null text has no word and no run; a null id leaves its text as it is. Other columns are not read.
+    """
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    docs = documents(spark, sf_dir).select("doc_id", "text", F.when(h % 10 == 0, words).alias("words"), F.floor(h / 10).alias("g"))
+    docs = docs.withColumn("n", F.size("words")).withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")))
+    period = F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8)) + 1
+    place = lambda i: F.when(i >= F.col("a"), F.col("a") + (i - F.col("a")) % F.col("period")).otherwise(i)
+    repeated = F.transform("words", lambda w, i: F.get("words", place(i).cast("int")))
+    docs = docs.withColumn("period", period).select("doc_id", F.when(F.col("n") > 0, F.array_join(repeated, " ")).otherwise(F.col("text")).alias("text"))
+    found = periodic_runs.periodic_runs(docs).withColumn("best", periodic_runs.densest(F.col("runs")))
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        "best.start",
+        "best.length",
+        "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(periodic_runs.listed(F.col("runs")), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licenses of every text. A null text has no word; rows are answered one by one; other columns are not read."""
+    return license_scan.license_scan(documents(spark, sf_dir)).drop("spans")
+
+
+def op13_nra_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best documents of every benchmark item. Null texts hold no term, so they neither ask nor answer; other columns are not read."""
+    return ranked_search.search(ranked_search.impact_lists(documents(spark, sf_dir)), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), k=20)
+
+
+QUERIES = {f.__name__: f for f in (op1_pii_surrogates, op2_token_counts, op3_language_id, op4_decontamination, op5_suffix_array_dedup, op6_best_fit_packing, op7_quality_crf, op8_chosen_path_join, op9_spotsigs_fingerprints, op10_debruijn_dedup, op11_periodic_runs, op12_license_scan, op13_nra_search)}
+ORACLES: dict[str, str] = {"op11_periodic_runs": periodic_runs.runs_sql(), "op12_license_scan": license_scan.scan_sql(), "op13_nra_search": ranked_search.search_sql(k=20)}
