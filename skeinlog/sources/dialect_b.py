@@ -193,6 +193,19 @@ def activity(lines: DataFrame) -> DataFrame:
     return rows.groupBy("session_id").agg(F.max_by("ts", F.when(F.col("ts").isNotNull(), F.col("off"))).alias("updated_at"))
 
 
+def session_facts(lines: DataFrame) -> DataFrame:
+    """(session_id, first_prompt, updated_at): what ``first_prompts`` and ``activity`` say, from one parse and one fold."""
+    text = block_text(F.col("v"), "$.payload.content")
+    rows = parsed(lines.where(F.col("line").contains('message"'))).where("t = 'response_item' and pt in ('message', 'agent_message')")
+    asked = (F.col("pt") == "message") & (V.get(F.col("v"), "$.payload.role") == "user") & (strings.trim(text) != "") & ~strings.ltrim(text).startswith("<")
+    rows = rows.select("session_id", "off", "ts", F.when(asked, text).alias("prompt"))
+
+    def at(c: str) -> Column:
+        return F.when(F.col(c).isNotNull(), F.col("off"))
+
+    return rows.groupBy("session_id").agg(F.min_by("prompt", at("prompt")).alias("first_prompt"), F.max_by("ts", at("ts")).alias("updated_at"))
+
+
 def output_text(v: Column) -> Column:
     return V.text_or_json(v, "$.payload.output")
 
