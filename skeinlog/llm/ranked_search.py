@@ -70,7 +70,8 @@ def impact_lists(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     spark = docs.sparkSession
     n = F.regexp_count(F.col(text_col), F.lit(PATTERN)).cast("long")
-    totals = docs.select(n.alias("n")).where("n > 0").agg(F.count("*").alias("docs"), F.coalesce(F.sum("n"), F.lit(0)).alias("terms")).first()
+    # no filter on the count: it would be pushed below and count every text twice
+    totals = docs.select(n.alias("n")).agg(F.count_if(F.col("n") > 0).alias("docs"), F.coalesce(F.sum("n"), F.lit(0)).alias("terms")).first()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
