@@ -14,6 +14,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skeinlog.session import cut_lineage
+
 CHUNK_ROWS = 65_536
 
 
@@ -38,58 +40,89 @@ class LastValue:
     inclusive: bool = True
 
 
+@dataclass(frozen=True)
+class SumSince:
+    """Sum of ``value`` over the rows before this one, back to the last earlier row for which ``event`` holds."""
+
+    out: str
+    value: Column
+    event: Column
+
+
+@dataclass(frozen=True)
+class Total:
+    """Sum of ``value`` over the whole key."""
+
+    out: str
+    value: Column
+
+
 def ordered_scan(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[str],
-    specs: Sequence[RunningSum | LastValue],
+    specs: Sequence[RunningSum | LastValue | SumSince | Total],
     chunk: str = "chunk",
 ) -> DataFrame:
-    """Append running sums and carried-forward values in ``order`` within ``keys``.
+    """Append running sums, carried-forward values, sums since an event and totals in ``order`` within ``keys``.
 
     ``keys`` and ``chunk`` must not be null and ``chunk`` must grow with ``order``.
     """
     keys = list(keys)
     full = keys + [chunk]
     inputs = {f"__in{i}": s.value for i, s in enumerate(specs)}
+    inputs |= {f"__ev{i}": s.event for i, s in enumerate(specs) if isinstance(s, SumSince)}
     staged = df.withColumns(inputs)
 
     ordered = Window.partitionBy(*full).orderBy(*order)
-    local, summary = {}, []
+    position = F.struct(*[F.col(c) for c in order])
+    here, past = (ordered.rowsBetween(Window.unboundedPreceding, end) for end in (0, -1))
+    zero = F.lit(0).cast("bigint")
+    first, second, summary, running = {}, {}, [], {}
     for i, spec in enumerate(specs):
-        span = ordered.rowsBetween(Window.unboundedPreceding, 0 if spec.inclusive else -1)
-        if isinstance(spec, RunningSum):
-            local[f"__loc{i}"] = F.sum(f"__in{i}").over(span)
-            summary.append(F.sum(f"__in{i}").alias(f"__tot{i}"))
+        value, total = F.col(f"__in{i}"), F.sum(f"__in{i}").alias(f"__tot{i}")
+        if isinstance(spec, SumSince):
+            # the running sum at the last event, counted from the start of the chunk; the summary needs it as well
+            running[f"__run{i}"] = F.sum(value).over(here)
+            at_event = F.when(F.col(f"__ev{i}"), F.col(f"__run{i}"))
+            second[f"__loc{i}"] = F.coalesce(F.col(f"__run{i}") - value, zero)
+            second[f"__at{i}"] = F.last(at_event, ignorenulls=True).over(past)
+            summary += [total, F.max_by(f"__run{i}", F.when(F.col(f"__ev{i}"), position)).alias(f"__evt{i}")]
+        elif isinstance(spec, Total):
+            summary.append(total)
+        elif isinstance(spec, RunningSum):
+            first[f"__loc{i}"] = F.sum(value).over(here if spec.inclusive else past)
+            summary.append(total)
         else:
-            local[f"__loc{i}"] = F.last(f"__in{i}", ignorenulls=True).over(span)
-            position = F.struct(*[F.col(c) for c in order])
-            summary.append(
-                F.max_by(f"__in{i}", F.when(F.col(f"__in{i}").isNotNull(), position)).alias(f"__tot{i}")
-            )
-    inside = staged.withColumns(local)
-
-    before = Window.partitionBy(*keys).orderBy(chunk).rowsBetween(Window.unboundedPreceding, -1)
-    carried = staged.groupBy(*full).agg(*summary)
-    carried = carried.select(
-        *full,
-        *[
-            (
-                F.sum(f"__tot{i}").over(before)
-                if isinstance(s, RunningSum)
-                else F.last(f"__tot{i}", ignorenulls=True).over(before)
-            ).alias(f"__car{i}")
-            for i, s in enumerate(specs)
-        ],
-    )
-    joined = inside.join(carried, full)
+            first[f"__loc{i}"] = F.last(value, ignorenulls=True).over(here if spec.inclusive else past)
+            summary.append(F.max_by(value, F.when(value.isNotNull(), position)).alias(f"__tot{i}"))
+    summed = staged.withColumns(running) if running else staged
+    inside = summed.withColumns(first) if first else summed
+    inside = inside.withColumns(second) if second else inside
+
+    whole = Window.partitionBy(*keys)
+    before = whole.orderBy(chunk).rowsBetween(Window.unboundedPreceding, -1)
+    carried = summed.groupBy(*full).agg(*summary)
+    sums = {f"__car{i}": F.sum(f"__tot{i}").over(whole if isinstance(s, Total) else before) for i, s in enumerate(specs) if not isinstance(s, LastValue)}
+    lasts = {f"__car{i}": F.last(f"__tot{i}", ignorenulls=True).over(before) for i, s in enumerate(specs) if isinstance(s, LastValue)}
+    carried = carried.withColumns(sums | lasts)
+    since = [i for i, s in enumerate(specs) if isinstance(s, SumSince)]
+    if since:
+        events = {f"__abs{i}": F.last(F.coalesce(F.col(f"__car{i}"), zero) + F.col(f"__evt{i}"), ignorenulls=True).over(before) for i in since}
+        carried = carried.withColumns(events)
+        carried = carried.withColumns({f"__car{i}": F.coalesce(F.col(f"__car{i}"), zero) - F.coalesce(F.col(f"__abs{i}"), zero) for i in since})
+    joined = inside.join(carried.select(*full, *[f"__car{i}" for i in range(len(specs))]), full)
     result = {}
     for i, spec in enumerate(specs):
-        if isinstance(spec, RunningSum):
-            zero = F.lit(0).cast("bigint")
-            result[spec.out] = F.coalesce(F.col(f"__car{i}"), zero) + F.coalesce(F.col(f"__loc{i}"), zero)
+        car, loc = F.col(f"__car{i}"), F.col(f"__loc{i}")
+        if isinstance(spec, SumSince):
+            result[spec.out] = F.coalesce(loc - F.col(f"__at{i}"), loc + car)
+        elif isinstance(spec, Total):
+            result[spec.out] = F.coalesce(car, zero)
+        elif isinstance(spec, RunningSum):
+            result[spec.out] = F.coalesce(car, zero) + F.coalesce(loc, zero)
         else:
-            result[spec.out] = F.coalesce(F.col(f"__loc{i}"), F.col(f"__car{i}"))
+            result[spec.out] = F.coalesce(loc, car)
     return joined.withColumns(result).select(*df.columns, *[s.out for s in specs])
 
 
@@ -98,6 +131,29 @@ def row_position(df: DataFrame, keys: Sequence[str], order: Sequence[str], out:
     return ordered_scan(df, keys, order, [RunningSum(out, F.lit(1).cast("bigint"), inclusive=False)], chunk)
 
 
+def equal_depth_chunk(df: DataFrame, keys: Sequence[str], position: str, rows: int = CHUNK_ROWS, label: str = "depth") -> DataFrame:
+    """Add ``chunk``: slices of about ``rows`` rows in the order of the number ``position``; a key with fewer rows is one slice.
+
+    Slices of equal width follow the values, not the rows: a session with all rows on one day would be one slice. Here the bounds are quantiles
+    of the key's own positions, from sketches that every task builds and Spark merges. A sketch may be merged in any order and the bounds
+    are used by several branches of a plan, so they are written once. Rows of equal position share a slice.
+    """
+    keys = list(keys)
+    counts = df.groupBy(*keys).agg(F.count("*").alias("__n"))
+    most = counts.agg(F.max("__n")).first()[0] or 0
+    if most <= rows:
+        return df.withColumn("chunk", F.lit(0).cast("bigint"))
+    hot = cut_lineage(counts.where(F.col("__n") > rows), f"{label}-counts")
+    slices = int(-(-most // rows))
+    marks = [k / slices for k in range(1, slices)]
+    some = df.select(*keys, position).join(hot.select(*keys), keys, "left_semi")
+    sketches = some.groupBy(*keys).agg(F.percentile_approx(position, marks, max(10_000, 20 * slices)).alias("__bounds"))
+    bounds = cut_lineage(sketches.join(hot, keys).select(*keys, F.array_distinct("__bounds").alias("__bounds")), f"{label}-bounds")
+    below = F.size(F.filter("__bounds", lambda b: b < F.col(position)))
+    chunk = F.when(F.col("__bounds").isNotNull(), below).otherwise(0).cast("bigint")
+    return df.join(bounds, keys, "left").withColumn("chunk", chunk).drop("__bounds")
+
+
 def first_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], n: int, rank: str) -> DataFrame:
     """First ``n`` rows per group.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skeinlog.operators.ordered import LastValue, RunningSum, first_per_group, ordered_scan
+from skeinlog.operators.ordered import LastValue, RunningSum, ordered_scan
 
 # fixed values: calls that open a sub-agent, and the interactive question call
 AGENT_CALLS = ["Agent", "spawn_agent"]
@@ -106,24 +106,27 @@ def parallel_batches(records: DataFrame) -> DataFrame:
 
 
 def _units(records: DataFrame) -> DataFrame:
-    return records.groupBy("session_id", "unit").agg(F.count("*").alias("n"))
+    return records.groupBy("session_id", "chunk", "unit").agg(F.count("*").alias("n"))
 
 
 def _whole_units(units: DataFrame, limit: int, ascending: bool) -> DataFrame:
-    """Units of a page: taken whole, one after another, until at least ``limit`` records are in."""
-    unit = F.col("unit")
-    order = unit.asc() if ascending else unit.desc()
-    head = first_per_group(units, ["session_id"], [order], limit, "rank")
-    before = Window.partitionBy("session_id").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return (
-        head.withColumn("taken", F.coalesce(F.sum("n").over(before), F.lit(0)))
-        .where(F.col("taken") < limit)
-        .drop("rank", "taken")
-    )
+    """Units of a page: taken whole, one after another, until at least ``limit`` records are in.
+
+    Two levels: the records of every chunk are counted, and sums over the chunks of a session tell which of them the page reaches.
+    Only there are units ranked, inside their chunk, so a page of any size never orders a session in one task.
+    """
+    order = (lambda c: F.col(c).asc()) if ascending else (lambda c: F.col(c).desc())
+    before = lambda *by: Window.partitionBy(*by).rowsBetween(Window.unboundedPreceding, -1)
+    zero = F.lit(0).cast("bigint")
+    chunks = units.groupBy("session_id", "chunk").agg(F.sum("n").alias("in_chunk"))
+    chunks = chunks.withColumn("ahead", F.coalesce(F.sum("in_chunk").over(before("session_id").orderBy(order("chunk"))), zero))
+    reached = units.join(chunks.where(F.col("ahead") < limit).select("session_id", "chunk", "ahead"), ["session_id", "chunk"])
+    inside = F.coalesce(F.sum("n").over(before("session_id", "chunk").orderBy(order("unit"))), zero)
+    return reached.withColumn("taken", F.col("ahead") + inside).where(F.col("taken") < limit).select("session_id", "chunk", "unit")
 
 
 def _page(records: DataFrame, chosen: DataFrame) -> DataFrame:
-    return records.join(chosen.select("session_id", "unit"), ["session_id", "unit"], "left_semi")
+    return records.join(chosen, ["session_id", "chunk", "unit"], "left_semi")
 
 
 def forward_page(records: DataFrame, limit: int, cursor: int = 0) -> DataFrame:

@@ -9,7 +9,7 @@ from skeinlog.functions import strings
 from skeinlog.functions import times
 from skeinlog.functions import variants as V
 from skeinlog.functions.text import may_hold, snippet
-from skeinlog.operators.ordered import RunningSum, ordered_scan
+from skeinlog.operators.ordered import RunningSum, SumSince, Total, ordered_scan
 from skeinlog.schemas import RECORD_COLUMNS, TEXT_COLUMNS, USAGE_COLUMNS
 
 SOURCE = "claude"
@@ -31,6 +31,8 @@ SILENT_ATTACHMENTS = [
     "ultra_effort_enter",
 ]
 INTERACTIVE_TOOL = "AskUserQuestion"
+# characters of one message that are put together; a longer one stays in pieces
+TEXT_LIMIT = 1 << 26
 
 
 def _block(b: Column) -> Column:
@@ -402,26 +404,37 @@ def turn_rows(lines: DataFrame) -> DataFrame:
     )
 
 
-def merge_turns(rows: DataFrame) -> DataFrame:
+def merge_turns(rows: DataFrame, limit: int = TEXT_LIMIT) -> DataFrame:
     """One row per message: every line up to and including a closing one (a call, or a stop reason).
 
-    ``end`` holds the facts of the closing line; it is null for text that is still open.
+    ``end`` holds the facts of the closing line; it is null for text that is still open (``tail``), and for the earlier pieces of a text of more than ``limit``
+    characters. Such a text stays in pieces, each at its own last line: a row that comes after ``limit`` characters of its message, or a multiple,
+    begins the next piece, so no task ever holds a message of any size.
     """
-    rows = ordered_scan(rows, ["session_id"], ["off"], [RunningSum("island", F.col("closes").cast("bigint"), inclusive=False)])
-    # first per chunk, on the partitioning the scan left behind, so that no task holds a long island's pieces
+    one = F.lit(1).cast("bigint")
+    specs = [
+        RunningSum("island", F.col("closes").cast("bigint"), inclusive=False),
+        SumSince("since", F.length("content").cast("bigint"), F.col("closes")),
+        RunningSum("place", one),
+        Total("places", one),
+    ]
+    rows = ordered_scan(rows, ["session_id"], ["off"], specs).withColumn("piece", F.floor(F.col("since") / limit))
+    # first per chunk, on the partitioning the scan left behind, so that no task holds a long piece's lines
     has_text = F.col("content") != ""
     piece = F.when(has_text, F.struct("off", "content"))
-    pieces = rows.groupBy("session_id", "chunk", "island").agg(
+    pieces = rows.groupBy("session_id", "chunk", "island", "piece").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(piece)), lambda p: p["content"]), "").alias("part"),
         F.min(F.when(has_text, F.struct("off", "ts"))).alias("first"),
         F.max("off").alias("last_off"),
         F.first(F.when(F.col("closes"), F.col("line")), ignorenulls=True).alias("end"),
+        F.max(F.col("place") == F.col("places")).alias("tail"),
     )
-    islands = pieces.groupBy("session_id", "island").agg(
+    islands = pieces.groupBy("session_id", "island", "piece").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk", "part"))), lambda p: p["part"]), "").alias("text"),
         F.min("first").alias("first"),
         F.max(F.struct("last_off", "chunk")).alias("last"),
         F.first("end", ignorenulls=True).alias("end"),
+        F.max("tail").alias("tail"),
     )
     return islands.select(
         "session_id",
@@ -430,6 +443,7 @@ def merge_turns(rows: DataFrame) -> DataFrame:
         "text",
         F.col("first.ts").alias("text_ts"),
         "end",
+        (F.col("tail") & F.col("end").isNull()).alias("tail"),
     )
 
 
@@ -439,14 +453,12 @@ def _turn_records(lines: DataFrame) -> DataFrame:
     # text still open at the end of the session belongs to the session's last line
     last = lines.groupBy("session_id").agg(F.max(F.struct("off", "chunk")).alias("last"))
     open_islands = (
-        islands.where("end is null")
+        islands.where("tail")
         .drop("off", "chunk")
         .join(last, "session_id")
         .select("session_id", F.col("last.chunk").alias("chunk"), F.col("last.off").alias("unit"), "text", "text_ts", "end")
     )
-    closed = islands.where("end is not null").select(
-        "session_id", F.col("end.chunk").alias("chunk"), F.col("end.off").alias("unit"), "text", "text_ts", "end"
-    )
+    closed = islands.where("not tail").select("session_id", "chunk", F.col("off").alias("unit"), "text", "text_ts", "end")
     ts = F.coalesce(F.col("text_ts"), F.col("end.ts"))
     entries = [
         F.when(F.col("text") != "", _record(1, "assistant", "content", F.col("text"), ts)),

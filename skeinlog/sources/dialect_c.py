@@ -12,20 +12,23 @@ from pyspark.sql import functions as F
 from skeinlog.functions import strings, times
 from skeinlog.functions import text as X
 from skeinlog.functions import variants as V
-from skeinlog.operators.ordered import row_position
+from skeinlog.operators.ordered import CHUNK_ROWS, equal_depth_chunk, row_position
 from skeinlog.operators.tree import resolve_roots
 from skeinlog.schemas import RECORD_COLUMNS, TEXT_COLUMNS
 from skeinlog.sources.dialect_a import visible
 
 SOURCE = "opencode"
 
-# messages per ordered chunk are bounded by time: one chunk per day of a session
+# texts of a session in slices of a day
 DAY_MS = 86_400_000
 
 
-def message_positions(messages: DataFrame) -> DataFrame:
-    """Messages with their zero-based position in (time_created, id) order of the session."""
-    chunked = messages.withColumn("chunk", F.floor(F.col("time_created") / DAY_MS).cast("bigint"))
+def message_positions(messages: DataFrame, rows: int = CHUNK_ROWS) -> DataFrame:
+    """Messages with their zero-based position in (time_created, id) order of the session.
+
+    Sessions with more than ``rows`` messages are cut into slices of about as many, however close in time they lie.
+    """
+    chunked = equal_depth_chunk(messages, ["session_id"], "time_created", rows, "positions")
     return row_position(chunked, ["session_id"], ["time_created", "id"], "position")
 
 

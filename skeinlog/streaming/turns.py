@@ -1,8 +1,8 @@
 """Merging streamed assistant chunks across micro-batches.
 
 A micro-batch may end in the middle of a message. The text a session left open is the only memory a stream
-needs: it is the row without an end in the previous batch's folder, and joins the next batch as its first
-piece. The merge itself is the batch operator, so a hot session spreads over many tasks here as well.
+needs: it is the tail row in the previous batch's folder, and joins the next batch as its first piece; earlier
+pieces of a long text are final and not written again. The merge itself is the batch operator, so a hot session spreads over many tasks here as well.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ def _open_texts(spark: SparkSession, path: str, batch_id: int, like: DataFrame)
         turns = spark.read.parquet(f"{path}/batch={batch_id}")
     except AnalysisException:
         return None
-    return turns.where("end is null").select(
+    return turns.where("tail").select(
         "session_id",
         "chunk",
         "off",
@@ -47,12 +47,12 @@ def merge_into(path: str):
 
 
 def closed_turns(spark: SparkSession, path: str) -> DataFrame:
-    """Every finished message: its text, and the call that ended it."""
-    turns = spark.read.parquet(path).where("end is not null")
+    """Every finished message or piece of one: its text, and the call that ended it."""
+    turns = spark.read.parquet(path).where("not tail")
     end = F.col("end")
     text = F.when(F.col("text") != "", F.struct(F.lit("text").alias("kind"), F.col("text").alias("content"), F.lit(None).cast("string").alias("tool_use_id")))
     call = F.when(
         end["tool_name"].isNotNull(), F.struct(F.lit("call").alias("kind"), F.lit("").alias("content"), end["tool_use_id"].alias("tool_use_id"))
     )
-    rows = turns.select("session_id", end["off"].alias("unit"), F.explode(F.array(text, call)).alias("t"))
+    rows = turns.select("session_id", F.col("off").alias("unit"), F.explode(F.array(text, call)).alias("t"))
     return rows.where("t is not null").select("session_id", "unit", "t.*")

@@ -184,6 +184,40 @@ def page_tail_records(spark, sf_dir):
     return T.backward_page(record_table(spark, sf_dir), 4).select(*RECORD_LIST.split(", "))
 
 
+HOT_RECORDS = """WITH r AS (
+  SELECT CASE WHEN event_id % 3 = 0 THEN 'hot' ELSE 's' || (event_id % 41) END AS session_id, event_id // 5 AS unit, event_id % 5 AS seq FROM events)
+"""
+
+
+def hot_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of which one session holds a third, in chunks of 100 units."""
+    e = F.col("event_id")
+    session = F.when(e % 3 == 0, "hot").otherwise(F.concat(F.lit("s"), (e % 41).cast("string")))
+    unit = F.floor(e / 5).cast("bigint")
+    return table(spark, sf_dir, "events").select(session.alias("session_id"), F.floor(unit / 100).cast("bigint").alias("chunk"), unit.alias("unit"), (e % 5).alias("seq"))
+
+
+@area.query("page_of_a_hot_session", HOT_RECORDS + PAGE.format(scope="true", dir="DESC", limit=2500))
+def page_of_a_hot_session(spark, sf_dir):
+    recs = hot_records(spark, sf_dir)
+    return T.page_info(recs, T.backward_page(recs, 2500))
+
+
+@area.query(
+    "turn_text_pieces",
+    BASE
+    + """SELECT session_id, turn*10 AS off, text FROM b WHERE plain
+    UNION ALL SELECT session_id, turn*10, left(text, 10) FROM b WHERE chunked AND n >= 8
+    UNION ALL SELECT session_id, turn*10 + 1, CASE WHEN n >= 8 THEN substr(text, 11) ELSE text END FROM b WHERE chunked
+    UNION ALL SELECT session_id, turn*10, text FROM b WHERE tool AND n >= 8
+    UNION ALL SELECT session_id, turn*10 + 1, CASE WHEN n >= 8 THEN '' ELSE text END FROM b WHERE tool
+    UNION ALL SELECT session_id, turn*10 + 2, '' FROM b WHERE tool AND conv_id % 3 = 0""",
+)
+def turn_text_pieces(spark, sf_dir):
+    """Merged texts that stay in pieces beyond 8 characters."""
+    return A.merge_turns(A.turn_rows(fixture_a.lines(spark, sf_dir)), 8).select("session_id", "off", "text")
+
+
 LINE_OFFSETS = """, l AS (
   SELECT session_id, turn*10 AS off FROM b UNION ALL SELECT session_id, turn*10+1 FROM b WHERE chunked OR tool
   UNION ALL SELECT session_id, turn*10+2 FROM b WHERE tool AND conv_id % 3 = 0

@@ -11,6 +11,7 @@ from skeinlog.sources import dialect_c as C
 from skeinlog.sources import dialect_d as D
 from workload import fixture_cd as fx
 from workload.registry import Area, snippet_sql
+from workload.tables import table
 
 area = Area()
 
@@ -68,6 +69,21 @@ def message_cursors(spark, sf_dir):
     return C.message_positions(fx.c_messages(spark, sf_dir)).select("session_id", "id", "position")
 
 
+@area.query(
+    "positions_of_a_hot_session",
+    """WITH m AS (SELECT CASE WHEN event_id % 3 = 0 THEN 'hot' ELSE 's' || (event_id % 41) END AS session_id, 'm' || event_id AS id, (event_id * 7919) % 40009 AS t FROM events)
+    SELECT session_id, id, row_number() OVER (PARTITION BY session_id ORDER BY t, id) - 1 AS position FROM m""",
+)
+def positions_of_a_hot_session(spark, sf_dir):
+    """One session holds a third of the messages, all within a minute."""
+    e = F.col("event_id")
+    session = F.when(e % 3 == 0, "hot").otherwise(F.concat(F.lit("s"), (e % 41).cast("string")))
+    rows = table(spark, sf_dir, "events").select(
+        F.concat(F.lit("m"), e.cast("string")).alias("id"), session.alias("session_id"), F.lit("{}").alias("data"), ((e * 7919) % 40009).alias("time_created")
+    )
+    return C.message_positions(rows, 500).select("session_id", "id", "position")
+
+
 @area.query(
     "relational_records",
     C_RECORDS
