@@ -76,6 +76,25 @@ def calls_with_hooks(records: DataFrame) -> DataFrame:
     )
 
 
+def call_hook_rows(records: DataFrame) -> DataFrame:
+    """Every hook of every call, as it stands on the call's card: those before the result, then those after it.
+
+    ``phase`` is pre or post and ``nth`` its place in the phase, from 1; a hook that repeats a label of its call and phase is left out. The places are a
+    two-level running sum over slices of the session, so a call with any number of hooks is not ordered in one task.
+    """
+    phase = F.when(F.col("content").startswith("🪝 Pre"), "pre").when(F.col("content").startswith("🪝 Post"), "post")
+    rows = records.where("record_type = 'hook' and tool_use_id is not null").select(
+        "session_id", "tool_use_id", phase.alias("phase"), F.substring_index("content", "\n", 1).alias("label"), F.struct("unit", "seq", "chunk", "content", "ts").alias("h")
+    )
+    firsts = rows.where("phase is not null").groupBy("session_id", "tool_use_id", "phase", "label").agg(F.min_by("h", F.struct("h.unit", "h.seq")).alias("h"))
+    firsts = firsts.select("session_id", "tool_use_id", "phase", "label", "h.*")
+    placed = ordered_scan(firsts, ["session_id", "tool_use_id", "phase"], ["unit", "seq"], [RunningSum("nth", F.lit(1).cast("bigint"))])
+    calls = pair_calls(records).select("session_id", "tool_use_id", "tool_name", "call_unit", "result_unit")
+    return calls.join(placed, ["session_id", "tool_use_id"]).select(
+        "session_id", "tool_use_id", "tool_name", "call_unit", "result_unit", "phase", "nth", "label", F.col("unit").alias("hook_unit"), "content", "ts"
+    )
+
+
 def parallel_batches(records: DataFrame) -> DataFrame:
     """Runs of consecutive eligible calls of one model turn, longer than one."""
     name = F.coalesce(F.col("tool_name"), F.lit(""))

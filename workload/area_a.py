@@ -10,7 +10,7 @@ from skeinlog.operators import timeline as T
 from skeinlog.schemas import USAGE_COLUMNS
 from skeinlog.session import cut_lineage
 from skeinlog.sources import dialect_a as A
-from workload import fixture_a
+from workload import fixture_a, fixture_h
 from workload.registry import Area
 from workload.tables import table
 
@@ -128,6 +128,47 @@ def hook_call_pairs(spark, sf_dir):
     )
 
 
+@area.query(
+    "call_hook_rows",
+    fixture_h.CALLS_SQL
+    + "SELECT session_id, call_id AS tool_use_id, tool_name, call_unit, result_unit, phase, nth, label, hook_unit, label || chr(10) || body AS content FROM h",
+)
+def call_hook_rows(spark, sf_dir):
+    """Hooks before and after the result of every call, of varying number; one of them is said twice."""
+    recs = cut_lineage(A.records(fixture_h.lines(spark, sf_dir)), "records")
+    return T.call_hook_rows(recs).drop("ts")
+
+
+@area.query(
+    "hook_counts_of_calls",
+    fixture_h.CALLS_SQL
+    + """SELECT b.session_id, b.call_id AS tool_use_id, b.tool_name, count(*) FILTER (phase = 'pre') AS pre_hooks, count(*) FILTER (phase = 'post') AS post_hooks
+    FROM b LEFT JOIN h ON h.call_id = b.call_id GROUP BY 1, 2, 3""",
+)
+def hook_counts_of_calls(spark, sf_dir):
+    recs = cut_lineage(A.records(fixture_h.lines(spark, sf_dir)), "records")
+    return T.calls_with_hooks(recs).select("session_id", "tool_use_id", "tool_name", "pre_hooks", "post_hooks")
+
+
+@area.query(
+    "parallel_batches_of_any_width",
+    fixture_h.CALLS_SQL
+    + "SELECT session_id, turn * 100 AS first_unit, 'm-' || conv_id || '-' || turn AS group_id, any_value(width) AS width FROM b WHERE width > 1 GROUP BY session_id, conv_id, turn",
+)
+def parallel_batches_of_any_width(spark, sf_dir):
+    return T.parallel_batches(cut_lineage(A.records(fixture_h.lines(spark, sf_dir)), "records"))
+
+
+@area.query(
+    "tool_durations",
+    fixture_h.CALLS_SQL
+    + """SELECT tool_name, count(*) AS calls, count(result_unit) AS answered, 0::BIGINT AS errors,
+    coalesce(sum(n * 3 + j) FILTER (j % 2 = 1 AND result_unit IS NOT NULL), 0)::BIGINT AS duration_ms, 0::BIGINT AS file_calls FROM b GROUP BY 1""",
+)
+def tool_durations(spark, sf_dir):
+    return T.tool_profile(T.pair_calls(cut_lineage(A.records(fixture_h.lines(spark, sf_dir)), "records")))
+
+
 @area.query(
     "parallel_batches",
     BASE

@@ -110,6 +110,20 @@ def relational_tail_page(spark, sf_dir):
     return T.page_info(recs, T.backward_page(recs, 6))
 
 
+@area.query(
+    "tool_profile_relational",
+    C_RECORDS
+    + """, c AS (SELECT session_id, tool_use_id, arg_max(tool_name, (unit, seq)) AS tool_name, arg_max(tool_input, (unit, seq)) AS tool_input FROM r WHERE tool_name IS NOT NULL GROUP BY 1, 2),
+    x AS (SELECT session_id, tool_use_id, arg_max(coalesce(result_meta, ''), (unit, seq)) AS meta FROM r WHERE record_type = 'tool_result' GROUP BY 1, 2)
+    SELECT tool_name, count(*) AS calls, count(x.meta) AS answered, count(*) FILTER (x.meta LIKE '%exit_code":1%') AS errors, 0::BIGINT AS duration_ms,
+      count(*) FILTER (tool_input LIKE '%"file_path"%') AS file_calls FROM c LEFT JOIN x USING (session_id, tool_use_id) GROUP BY 1""",
+)
+def tool_profile_relational(spark, sf_dir):
+    """Tools of which a quarter of the sessions' calls fail."""
+    _, messages, parts = _c(spark, sf_dir)
+    return T.tool_profile(T.pair_calls(cut_lineage(C.records(messages, parts), "records")))
+
+
 @area.query("session_roots", C_BASE + "SELECT session_id, root_id FROM roots")
 def session_roots(spark, sf_dir):
     return C.roots(fx.c_sessions(spark, sf_dir))
