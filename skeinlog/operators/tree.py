@@ -8,13 +8,13 @@ from pyspark.sql import functions as F
 from skeinlog.session import cut_lineage
 
 
-def next_pointers(nodes: DataFrame) -> DataFrame:
-    """(id, next) of thread nodes ``(id, parent_id, root_hint, is_subagent)``.
+def next_pointers(nodes: DataFrame, among: DataFrame | None = None) -> DataFrame:
+    """(id, next) of thread nodes ``(id, parent_id, root_hint, is_subagent)``; existing threads are those of ``among``, else the nodes themselves.
 
     A sub-agent points at its root hint when that names an existing thread that is itself no sub-agent,
     else at its parent when that exists, else nowhere. Other threads are roots.
     """
-    known = nodes.select(F.col("id").alias("known_id"), F.col("is_subagent").alias("known_sub"))
+    known = (nodes if among is None else among).select(F.col("id").alias("known_id"), F.col("is_subagent").alias("known_sub"))
     hint = known.where("not known_sub").select(F.col("known_id").alias("hint_ok"))
     parent = known.select(F.col("known_id").alias("parent_ok"))
     subs = nodes.where("is_subagent")

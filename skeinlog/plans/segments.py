@@ -10,8 +10,8 @@ Source and archive are folders, so a question about a scope opens no other file;
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from dataclasses import dataclass
+from collections.abc import Mapping, Sequence
+from dataclasses import dataclass, field
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -42,15 +42,18 @@ SCHEMAS = {
 
 @dataclass(frozen=True)
 class Store:
+    """Tables in segments below ``path``, with tombstones and commits; rows are told apart by ``session_key``."""
+
     spark: SparkSession
     path: str
+    schemas: Mapping[str, str] = field(default_factory=lambda: SCHEMAS)
 
     def table(self, name: str) -> DataFrame:
         """All rows of a table, committed or not; none before the first segment."""
         try:
-            return self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.path}/{name}")
+            return self.spark.read.schema(self.schemas[name]).parquet(f"{self.path}/{name}")
         except AnalysisException:
-            return self.spark.createDataFrame([], SCHEMAS[name])
+            return self.spark.createDataFrame([], self.schemas[name])
 
     def committed(self) -> list[int]:
         """Segments a reader may see: committed under the current schema version, and not merged into a later one."""
@@ -76,7 +79,7 @@ class Store:
         return self.live("versions").where("version is not null").select(*KEY, "version")
 
 
-def _write(store: Store, name: str, segment: int, rows: DataFrame, partitions: Sequence[str] = (), order: Sequence[str] = ()) -> None:
+def write_table(store: Store, name: str, segment: int, rows: DataFrame, partitions: Sequence[str] = (), order: Sequence[str] = ()) -> None:
     if order:
         # one shuffle, whose large partitions are split and small ones put together by their measured size
         rows = rows.hint("rebalance", *partitions).sortWithinPartitions(*partitions, *order)
@@ -90,16 +93,16 @@ def _postings(docs: DataFrame, texts: DataFrame) -> DataFrame:
     return parts.select("source", "archive_name", "session_key", "code", F.explode(F.array_distinct(tokens(F.col("text")))).alias("token")).distinct()
 
 
-def _commit(store: Store, segment: int, replaces: Sequence[int] = ()) -> None:
+def commit(store: Store, segment: int, replaces: Sequence[int] = ()) -> None:
     row = store.spark.range(1).select(F.lit(SCHEMA_VERSION).alias("schema_version"), F.array(*[F.lit(s).cast("bigint") for s in replaces]).cast("array<bigint>").alias("replaces"))
     row.write.mode("overwrite").parquet(f"{store.path}/commits/segment={segment}")
 
 
 def _tables(store: Store, segment: int, docs: DataFrame, texts: DataFrame, postings: DataFrame) -> None:
     scope = ["source", "archive_name"]
-    _write(store, "docs", segment, docs, scope, ["session_key"])
-    _write(store, "texts", segment, texts, scope, ["session_key", "member", "unit", "seq"])
-    _write(store, "postings", segment, postings, scope, ["token", "session_key"])
+    write_table(store, "docs", segment, docs, scope, ["session_key"])
+    write_table(store, "texts", segment, texts, scope, ["session_key", "member", "unit", "seq"])
+    write_table(store, "postings", segment, postings, scope, ["token", "session_key"])
 
 
 def changes(store: Store, manifest: DataFrame) -> DataFrame:
@@ -126,9 +129,9 @@ def refresh(store: Store, segment: int, changed: DataFrame, parse: Parser) -> No
     texts = cut_lineage(texts, "segment-texts")
     _tables(store, segment, docs, texts, _postings(docs, texts))
     key = F.coalesce("held_key", F.concat("source", F.lit(":"), "session_id"))
-    _write(store, "versions", segment, stale.select(*KEY, key.alias("session_key"), "version"))
-    _write(store, "tombstones", segment, stale.where("dead is not null").select(F.col("held_key").alias("session_key"), "dead"))
-    _commit(store, segment)
+    write_table(store, "versions", segment, stale.select(*KEY, key.alias("session_key"), "version"))
+    write_table(store, "tombstones", segment, stale.where("dead is not null").select(F.col("held_key").alias("session_key"), "dead"))
+    commit(store, segment)
 
 
 def merge(store: Store, segment: int) -> None:
@@ -138,9 +141,9 @@ def merge(store: Store, segment: int) -> None:
         return
     live = {name: store.live(name, segments).drop("segment") for name in ("docs", "texts", "postings", "versions")}
     _tables(store, segment, live["docs"], live["texts"], live["postings"])
-    _write(store, "versions", segment, live["versions"].where("version is not null"))
-    _write(store, "tombstones", segment, store.spark.createDataFrame([], SCHEMAS["tombstones"]).drop("segment"))
-    _commit(store, segment, segments)
+    write_table(store, "versions", segment, live["versions"].where("version is not null"))
+    write_table(store, "tombstones", segment, store.spark.createDataFrame([], store.schemas["tombstones"]).drop("segment"))
+    commit(store, segment, segments)
 
 
 def open_index(store: Store, archive_scope: str | None = "all", source: str | None = None) -> Index:

@@ -10,11 +10,13 @@ from skeinlog.functions import text as X
 from skeinlog.functions import times
 from skeinlog.functions import variants as V
 from skeinlog.functions.text import snippet
+from skeinlog.operators.models import context_arrays
 from skeinlog.operators.ordered import LastValue, ordered_scan
 from skeinlog.operators.tree import next_pointers, resolve_roots
 from skeinlog.schemas import RECORD_COLUMNS, TEXT_COLUMNS, USAGE_COLUMNS
 from skeinlog.session import cut_lineage
 from skeinlog.sources.dialect_a import visible
+from skeinlog.sources.files import group_version
 
 SOURCE = "codex"
 
@@ -165,6 +167,26 @@ def group_rollup(threads_with_usage: DataFrame, sizes: DataFrame | None = None)
     )
 
 
+def group_documents(lines: DataFrame, tree: DataFrame, files: DataFrame) -> DataFrame:
+    """One row per root thread with everything its group adds up to; ``files(session_id, path, size, version)`` are the members' file facts.
+
+    ``key`` is the root's file, ``version`` changes with any member's, ``model_contexts`` are the distinct contexts of all members in order of appearance:
+    root first, then children by start. Members are folded map-side; contexts are distinct per group before they are put in an array.
+    """
+    place = F.struct((F.col("thread_id") != F.col("root_id")).alias("is_child"), "started", "thread_id")
+    own = own_usage(lines, tree).join(files, "session_id", "left").withColumn("is_root", F.col("thread_id") == F.col("root_id"))
+    rolled = own.groupBy("root_id").agg(
+        F.min(F.when(F.col("is_root"), F.col("path"))).alias("key"),
+        group_version().alias("version"),
+        F.sum(F.coalesce("size", F.lit(0))).cast("bigint").alias("file_size_bytes"),
+        F.count(F.when(~F.col("is_root"), 1)).alias("subagent_count"),
+        *[F.coalesce(F.sum(c), F.lit(0)).cast("bigint").alias(c) for c in USAGE_COLUMNS],
+    )
+    members = tree.select("session_id", "root_id", place.alias("place"))
+    turns = model_turns(lines, tree).join(members, "session_id").withColumn("off", F.struct("place", "off"))
+    return rolled.join(context_arrays(turns, "root_id"), "root_id", "left")
+
+
 def model_turns(lines: DataFrame, ident: DataFrame) -> DataFrame:
     """Models named by turn contexts; a file without any falls back to its provider alone."""
     v = F.col("v")

@@ -65,10 +65,14 @@ def group_manifest(members: DataFrame) -> DataFrame:
     ``members(root_key, path, version)``. The version is a count and an order-free digest sum, so a group
     of any size folds map-side into one number.
     """
+    return members.groupBy(F.col("root_key").alias("key")).agg(group_version().alias("version"))
+
+
+def group_version() -> Column:
+    """Aggregate of ``path`` and ``version``: the number of members and an order-free digest sum."""
     part = F.md5(F.encode(F.concat_ws("@", "path", "version"), "UTF-8"))
     number = F.conv(F.substring(part, 1, 12), 16, 10).cast("decimal(20,0)")
-    folded = members.groupBy(F.col("root_key").alias("key")).agg(F.count("*").alias("n"), F.sum(number).alias("digest"))
-    return folded.select("key", F.concat_ws(":", F.col("n").cast("string"), F.col("digest").cast("string")).alias("version"))
+    return F.concat_ws(":", F.count("*").cast("string"), F.sum(number).cast("string"))
 
 
 def host_union(parts: list[tuple[str | None, DataFrame]], tagged: tuple[str, ...] = ("project", "key", "archive_name")) -> DataFrame:

@@ -79,7 +79,7 @@ def test_a_refresh_that_dies_before_its_commit_leaves_nothing(store, notices, as
     G.refresh(store, 0, changed(notices(("a", "1"))), parser(as_lines, {"a": ["alpha"]}))
     before = state(store)
     with monkeypatch.context() as m:
-        m.setattr(G, "_commit", lambda *a: (_ for _ in ()).throw(RuntimeError("lost")))
+        m.setattr(G, "commit", lambda *a: (_ for _ in ()).throw(RuntimeError("lost")))
         with pytest.raises(RuntimeError):
             G.refresh(store, 2, changed(notices(("a", "2"))), parser(as_lines, {"a": ["half"]}))
     assert state(store) == before

@@ -7,10 +7,14 @@ from pyspark.sql import functions as F
 
 from skeinlog.functions import text as X
 from skeinlog.operators import models
+from skeinlog.plans import forest as forests
 from skeinlog.plans import index as I
+from skeinlog.plans import segments as G
+from skeinlog.session import cut_lineage, scratch_path
 from skeinlog.sources import dialect_b as B
 from workload import fixture_b
 from workload.registry import Area, snippet_sql
+from workload.tables import exists, table
 
 area = Area()
 
@@ -46,8 +50,27 @@ def lines(spark, sf_dir) -> DataFrame:
     return fixture_b.lines(spark, sf_dir)
 
 
+_forests: dict[tuple[str, str], str] = {}
+
+
+def forest(spark: SparkSession, sf_dir: str) -> G.Store:
+    """The stored forest of the rollouts, grown in three updates of which later ones bring parents, hints and a changed header, then merged."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _forests or not exists(spark, f"{_forests[key]}/threads"):
+        path = scratch_path(spark, "forest")
+        store = forests.open_forest(spark, path)
+        ident = cut_lineage(B.identities(lines(spark, sf_dir)), "identities")
+        part = F.xxhash64("session_id") % 3
+        late = ident.where(part == 1).withColumn("parent_id", F.lit("not yet known"))
+        forests.update(store, 0, ident.where(part == 0).unionByName(late))
+        forests.update(store, 2, ident.where(part != 0))
+        forests.merge(store, 3)
+        _forests[key] = path
+    return forests.open_forest(spark, _forests[key])
+
+
 def tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return B.threads(B.identities(lines(spark, sf_dir)))
+    return forests.tree(forest(spark, sf_dir))
 
 
 @area.query(
@@ -65,7 +88,36 @@ def thread_identities(spark, sf_dir):
 
 @area.query("thread_roots", BASE + "SELECT id AS thread_id, root_id FROM roots")
 def thread_roots(spark, sf_dir):
-    return tree(spark, sf_dir).select("thread_id", "root_id")
+    """Roots resolved from nothing."""
+    return B.threads(B.identities(lines(spark, sf_dir))).select("thread_id", "root_id")
+
+
+@area.query("thread_forest", BASE + "SELECT 'rollout-' || id AS session_id, id AS thread_id, root_id FROM roots")
+def thread_forest(spark, sf_dir):
+    """Roots as the stored forest holds them after its updates."""
+    return tree(spark, sf_dir).select("session_id", "thread_id", "root_id")
+
+
+@area.query(
+    "thread_group_document",
+    BASE
+    + USAGE
+    + """, m AS (SELECT e.e, e.id, root_id, e.id <> root_id AS child, ts, '/r/rollout-' || e.id || '.jsonl' AS path, 1000 + e % 50 AS size, e % 5 AS v FROM e JOIN roots USING (id)),
+    c AS (SELECT root_id, 'openai/gpt-5.' || (4 + e % 2) || '/high' AS context, min((child, ts, id)) AS place FROM m GROUP BY 1, 2),
+    x AS (SELECT root_id, string_agg(context, ',' ORDER BY place) AS contexts FROM c GROUP BY 1)
+    SELECT root_id, '/r/rollout-' || root_id || '.jsonl' AS key, count(*) || ':' || sum(('0x' || substr(md5(path || '@v' || v), 1, 12))::BIGINT) AS version,
+      sum(size)::BIGINT AS file_size_bytes, count(*) FILTER (child) AS subagent_count, sum(input_tokens)::BIGINT AS input_tokens, sum(output_tokens)::BIGINT AS output_tokens,
+      sum(cache_tokens)::BIGINT AS cache_tokens, sum(total_tokens)::BIGINT AS total_tokens, any_value(contexts) AS contexts
+    FROM m JOIN own USING (id) JOIN x USING (root_id) GROUP BY root_id""",
+)
+def thread_group_document(spark, sf_dir):
+    e = F.col("event_id")
+    session = F.concat(F.lit("rollout-"), e.cast("string"))
+    files = table(spark, sf_dir, "events").select(
+        session.alias("session_id"), F.concat(F.lit("/r/"), session, F.lit(".jsonl")).alias("path"), (e % 50 + 1000).alias("size"), F.concat(F.lit("v"), (e % 5).cast("string")).alias("version")
+    )
+    docs = B.group_documents(lines(spark, sf_dir), tree(spark, sf_dir), files)
+    return docs.withColumn("contexts", models.context_text("model_contexts")).drop("model_contexts")
 
 
 @area.query(
