@@ -6,7 +6,7 @@ binary value, so no field costs a second JSON parse.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from skeinlog.functions import strings
@@ -16,14 +16,17 @@ def parse(line: Column | str) -> Column:
     return F.try_parse_json(line)
 
 
-def with_parsed(rows: DataFrame, column: str = "line") -> DataFrame:
+def with_parsed(rows: DataFrame, column: str = "line", counts: Observation | None = None) -> DataFrame:
     """Replace a JSON text column by its variant ``v``; rows that are not JSON drop out.
 
-    The value passes through a generator before the null test: a filter directly on the parsed value
+    ``counts`` observes in the same pass how many rows there were (``lines``) and how many dropped out (``failed``). The value passes through a generator before the null test: a filter directly on the parsed value
     would be pushed below the projection and parse every line a second time.
     """
     keep = [c for c in rows.columns if c != column]
-    return rows.select(*keep, F.explode(F.array(parse(F.col(column)))).alias("v")).where("v is not null")
+    made = rows.select(*keep, F.explode(F.array(parse(F.col(column)))).alias("v"))
+    if counts is not None:
+        made = made.observe(counts, F.count(F.lit(1)).alias("lines"), F.count_if(F.col("v").isNull()).alias("failed"))
+    return made.where("v is not null")
 
 
 def expand(rows: DataFrame, keep: list[Column | str], *entries: Column) -> DataFrame:

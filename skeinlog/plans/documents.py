@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from skeinlog.sources import dialect_a, dialect_b, dialect_c, dialect_d
@@ -54,13 +54,13 @@ def _text(source: str, rows: DataFrame, key: str, member: Column | None = None)
     return rows.select(session_key(source, sid).alias("session_key"), F.lit(source).alias("source"), archive_part(sid).alias("archive_name"), *place, "kind", "text")
 
 
-def of_messages(lines: DataFrame) -> Parsed:
+def of_messages(lines: DataFrame, counts: Observation | None = None) -> Parsed:
     source = dialect_a.SOURCE
     docs = _doc(source, dialect_a.sessions(lines), "session_id", project_path="project_path", agent_title="agent_title", first_prompt="first_prompt", modified="updated_at")
-    return Parsed(docs, _text(source, dialect_a.texts(lines), "session_id"))
+    return Parsed(docs, _text(source, dialect_a.texts(lines, counts), "session_id"))
 
 
-def of_envelopes(lines: DataFrame, tree: DataFrame) -> Parsed:
+def of_envelopes(lines: DataFrame, tree: DataFrame, counts: Observation | None = None) -> Parsed:
     """Thread groups on their root; the first prompt is the root's, else that of the earliest child that has one.
 
     ``tree`` are resolved threads (``dialect_b.threads`` or a stored forest). Only narrow columns of the files meet it, never their lines.
@@ -72,26 +72,26 @@ def of_envelopes(lines: DataFrame, tree: DataFrame) -> Parsed:
     prompted = F.when(F.col("first_prompt").isNotNull(), F.col("place"))
     groups = rows.groupBy("root_id").agg(F.min_by("first_prompt", prompted).alias("first_prompt"), F.max("updated_at").alias("modified"), F.min_by("cwd", "place").alias("cwd"))
     docs = _doc(source, groups, "root_id", project_path="cwd", first_prompt="first_prompt", modified="modified")
-    owned = dialect_b.group_texts(dialect_b.texts(lines), tree).withColumnRenamed("session_key", "root_id")
+    owned = dialect_b.group_texts(dialect_b.texts(lines, counts), tree).withColumnRenamed("session_key", "root_id")
     member = F.concat_ws(" ", F.col("member.is_child").cast("int").cast("string"), F.coalesce("member.started", F.lit("")), "member.thread_id")
     return Parsed(docs, _text(source, owned, "root_id", member))
 
 
-def of_relations(sessions: DataFrame, messages: DataFrame, parts: DataFrame, roots: DataFrame) -> Parsed:
+def of_relations(sessions: DataFrame, messages: DataFrame, parts: DataFrame, roots: DataFrame, counts: Observation | None = None) -> Parsed:
     """Root sessions that are listed, with the texts of everything below them."""
     source = dialect_c.SOURCE
     listed = dialect_c.session_list(sessions, messages).join(dialect_c.index_first_prompt(parts, roots), "session_id", "left")
     docs = _doc(source, listed, "session_id", project_path="project_path", agent_title="agent_title", first_prompt="first_prompt", modified="updated_at")
     top = sessions.where("parent_id is null").select(F.col("id").alias("root_id"))
     owners = roots.join(top, "root_id", "left_semi")
-    owned = dialect_c.texts(parts).join(owners, "session_id")
+    owned = dialect_c.texts(parts, counts).join(owners, "session_id")
     return Parsed(docs, _text(source, owned, "root_id"))
 
 
-def of_trees(lines: DataFrame) -> Parsed:
+def of_trees(lines: DataFrame, counts: Observation | None = None) -> Parsed:
     source = dialect_d.SOURCE
     docs = _doc(source, dialect_d.sessions(lines), "session_id", project_path="project_path", agent_title="agent_title", first_prompt="first_prompt", modified="updated_at")
-    return Parsed(docs, _text(source, dialect_d.texts(lines), "session_id"))
+    return Parsed(docs, _text(source, dialect_d.texts(lines, counts), "session_id"))
 
 
 def union(parts: list[Parsed]) -> Parsed:
@@ -101,6 +101,28 @@ def union(parts: list[Parsed]) -> Parsed:
     return Parsed(docs, texts)
 
 
+class LineCounts:
+    """Lines read and lines that are no JSON, per source, observed while the lines are parsed for something else.
+
+    Known once what was parsed has been written; a task that is run again may count its lines again.
+    """
+
+    def __init__(self) -> None:
+        self._seen: dict[str, Observation] = {}
+
+    def of(self, source: str) -> Observation:
+        return self._seen.setdefault(source, Observation(f"lines of {source}"))
+
+    def rows(self, spark: SparkSession) -> DataFrame:
+        """(source, lines, failed); waits for what is still being written."""
+        found = [(source, o.get["lines"], o.get["failed"]) for source, o in sorted(self._seen.items())]
+        return spark.createDataFrame(found, "source string, lines bigint, failed bigint")
+
+
+def _counted(counts: LineCounts | None, source: str) -> Observation | None:
+    return None if counts is None else counts.of(source)
+
+
 # From the keys (source, session_id) that changed to their documents and texts, freshly parsed.
 Parser = Callable[[DataFrame], Parsed]
 
@@ -109,33 +131,33 @@ def _semi(rows: DataFrame, keys: DataFrame, on: str, key: str) -> DataFrame:
     return rows.join(keys.select(F.col(key).alias(on)), on, "left_semi")
 
 
-def line_parser(lines: dict[str, DataFrame]) -> Parser:
+def line_parser(lines: dict[str, DataFrame], counts: LineCounts | None = None) -> Parser:
     """Re-parse the changed sessions of the dialects whose session is one file; only their lines pass the semi-join and reach a parser."""
     readers = {dialect_a.SOURCE: of_messages, dialect_d.SOURCE: of_trees}
 
     def parse(keys: DataFrame) -> Parsed:
-        return union([readers[s](_semi(rows, keys.where(F.col("source") == s), "session_id", "session_id")) for s, rows in lines.items()])
+        return union([readers[s](_semi(rows, keys.where(F.col("source") == s), "session_id", "session_id"), _counted(counts, s)) for s, rows in lines.items()])
 
     return parse
 
 
-def group_parser(lines: DataFrame, tree: DataFrame) -> Parser:
+def group_parser(lines: DataFrame, tree: DataFrame, counts: LineCounts | None = None) -> Parser:
     """Re-parse the thread groups whose root is named; their members' lines are read, no others."""
 
     def parse(keys: DataFrame) -> Parsed:
         members = _semi(tree, keys.where(F.col("source") == dialect_b.SOURCE), "root_id", "session_id")
-        return of_envelopes(_semi(lines, members, "session_id", "session_id"), members)
+        return of_envelopes(_semi(lines, members, "session_id", "session_id"), members, _counted(counts, dialect_b.SOURCE))
 
     return parse
 
 
-def relation_parser(sessions: DataFrame, messages: DataFrame, parts: DataFrame, roots: DataFrame) -> Parser:
+def relation_parser(sessions: DataFrame, messages: DataFrame, parts: DataFrame, roots: DataFrame, counts: LineCounts | None = None) -> Parser:
     """Re-parse the root sessions that are named, with everything below them."""
 
     def parse(keys: DataFrame) -> Parsed:
         owned = _semi(roots, keys.where(F.col("source") == dialect_c.SOURCE), "root_id", "session_id")
         below = lambda rows, on: _semi(rows, owned, on, "session_id")
-        return of_relations(below(sessions, "id"), below(messages, "session_id"), below(parts, "session_id"), owned)
+        return of_relations(below(sessions, "id"), below(messages, "session_id"), below(parts, "session_id"), owned, _counted(counts, dialect_c.SOURCE))
 
     return parse
 

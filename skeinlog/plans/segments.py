@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from skeinlog.functions import strings
 from skeinlog.functions.text import tokens
-from skeinlog.plans.documents import DOC_COLUMNS, Parsed, Parser
+from skeinlog.plans.documents import DOC_COLUMNS, Parser, archive_part
 from skeinlog.plans.incremental import manifest_diff
 from skeinlog.plans.index import Index, kind_code
 from skeinlog.plans.scope import archive_filter
@@ -146,6 +146,14 @@ def merge(store: Store, segment: int) -> None:
     commit(store, segment, segments)
 
 
+def source_failures(store: Store) -> DataFrame:
+    """(source, archive_name, docs, failed): sessions that gave a document, and sessions that were read and gave none."""
+    found = store.live("docs").select("session_key", F.lit(True).alias("found"))
+    rows = store.live("versions").where("version is not null").join(found, "session_key", "left")
+    given = F.count(F.col("found")).alias("docs")
+    return rows.groupBy("source", archive_part(F.col("session_id")).alias("archive_name")).agg(given, F.count(F.when(F.col("found").isNull(), 1)).alias("failed"))
+
+
 def open_index(store: Store, archive_scope: str | None = "all", source: str | None = None) -> Index:
     """The index of a scope; the scope is a partition filter on all three tables."""
     segments = store.committed()

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skeinlog.schemas import USAGE_COLUMNS
-from skeinlog.sources import dialect_a, dialect_b, dialect_d
+from skeinlog.sources import dialect_a, dialect_b, dialect_c, dialect_d
 
 
 class LineDialect(Protocol):
@@ -21,7 +21,7 @@ class LineDialect(Protocol):
     def texts(self, lines: DataFrame) -> DataFrame: ...
 
 
-# line dialects by source; the relational dialect takes three tables and is called directly
+# line dialects by source; the relational dialect takes tables
 LINE_DIALECTS = {m.SOURCE: m for m in (dialect_a, dialect_b, dialect_d)}
 
 
@@ -37,5 +37,7 @@ def usage_by_source(rows: DataFrame) -> DataFrame:
     return rows.groupBy("source").agg(*[F.sum(c).cast("bigint").alias(c) for c in USAGE_COLUMNS])
 
 
-def records(source: str, lines: DataFrame, min_level: str = "debug") -> DataFrame:
-    return LINE_DIALECTS[source].records(lines, min_level).withColumn("source", F.lit(source))
+def records(parts: dict[str, DataFrame | tuple[DataFrame, ...]], min_level: str = "debug") -> DataFrame:
+    """Timeline records of all sources under one schema: line dialects by their lines, the relational one by (messages, parts)."""
+    found = {s: dialect_c.records(*rows, min_level) if s == dialect_c.SOURCE else LINE_DIALECTS[s].records(rows, min_level) for s, rows in parts.items()}
+    return union_sources(found)

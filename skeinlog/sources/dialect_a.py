@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from skeinlog.functions import strings
@@ -61,10 +61,10 @@ def _content_text(c: Column) -> Column:
     )
 
 
-def parsed(lines: DataFrame) -> DataFrame:
+def parsed(lines: DataFrame, counts: Observation | None = None) -> DataFrame:
     """Parse every valid line once and name the parts the rest of the dialect works on."""
     v = F.col("v")
-    base = V.with_parsed(lines)
+    base = V.with_parsed(lines, counts=counts)
     base = base.select(
         "*",
         F.coalesce(V.get(v, "$.type"), F.lit("")).alias("rtype"),
@@ -500,8 +500,8 @@ def index_text() -> Column:
     return F.coalesce(F.when(F.col("body").startswith("<"), "").otherwise(F.col("body")), joined, F.lit(""))
 
 
-def texts(lines: DataFrame) -> DataFrame:
-    rows = parsed(lines)
+def texts(lines: DataFrame, counts: Observation | None = None) -> DataFrame:
+    rows = parsed(lines, counts)
     tur = F.col("tur")
     tool = F.coalesce(V.text(tur, "$"), *[V.text(tur, f"$.{k}") for k in RESULT_TEXT_KEYS])
     think = F.array_join(_texts_of("thinking", "thinking"), " ")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from skeinlog.functions import strings
@@ -24,9 +24,9 @@ SOURCE = "codex"
 ASK_CALLS = ["request_user_input", "ask_user_question"]
 
 
-def parsed(lines: DataFrame) -> DataFrame:
+def parsed(lines: DataFrame, counts: Observation | None = None) -> DataFrame:
     v = F.col("v")
-    base = V.with_parsed(lines)
+    base = V.with_parsed(lines, counts=counts)
     return base.select(
         "*",
         F.coalesce(V.get(v, "$.type"), F.lit("")).alias("t"),
@@ -232,9 +232,9 @@ def output_text(v: Column) -> Column:
     return V.text_or_json(v, "$.payload.output")
 
 
-def texts(lines: DataFrame) -> DataFrame:
+def texts(lines: DataFrame, counts: Observation | None = None) -> DataFrame:
     v, t, pt = F.col("v"), F.col("t"), F.col("pt")
-    rows = parsed(lines)
+    rows = parsed(lines, counts)
     item = t == "response_item"
     message = block_text(v, "$.payload.content")
     role = V.get(v, "$.payload.role")

@@ -6,7 +6,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from skeinlog.functions import strings, times
@@ -181,13 +181,13 @@ def usage(parts: DataFrame, session_roots: DataFrame) -> DataFrame:
     )
 
 
-def texts(parts: DataFrame) -> DataFrame:
+def texts(parts: DataFrame, counts: Observation | None = None) -> DataFrame:
     """Searchable texts of every session, in store order (time_created, id)."""
     v = F.col("v")
     kind = V.get(v, "$.type")
     plain = F.coalesce(V.text(v, "$.text"), F.lit(""))
     tool = F.concat(F.coalesce(V.as_json(V.sub(v, "$.state.input")), F.lit("")), F.lit(" "), _as_text(V.sub(v, "$.state.output")))
-    rows = V.with_parsed(parts.withColumn("chunk", F.floor(F.col("time_created") / DAY_MS).cast("bigint")), "data")
+    rows = V.with_parsed(parts.withColumn("chunk", F.floor(F.col("time_created") / DAY_MS).cast("bigint")), "data", counts)
     found = (
         F.when(kind == "text", F.struct(F.lit("content").alias("kind"), plain.alias("text")))
         .when(kind == "reasoning", F.struct(F.lit("reasoning").alias("kind"), plain.alias("text")))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from skeinlog.functions import strings, times
@@ -15,9 +15,9 @@ from skeinlog.sources.dialect_a import visible
 SOURCE = "pi"
 
 
-def parsed(lines: DataFrame) -> DataFrame:
+def parsed(lines: DataFrame, counts: Observation | None = None) -> DataFrame:
     v = F.col("v")
-    base = V.with_parsed(lines)
+    base = V.with_parsed(lines, counts=counts)
     millis = F.coalesce(
         V.get(v, "$.message.timestamp", "bigint"), F.unix_millis(times.instant(V.text(v, "$.timestamp")))
     )
@@ -248,7 +248,7 @@ def model_turns(lines: DataFrame) -> DataFrame:
     )
 
 
-def texts(lines: DataFrame) -> DataFrame:
+def texts(lines: DataFrame, counts: Observation | None = None) -> DataFrame:
     v, entry, role = F.col("v"), F.col("entry"), F.col("role")
     body = content_text(v, "$.message.content")
 
@@ -282,7 +282,7 @@ def texts(lines: DataFrame) -> DataFrame:
     )
     opened = headers(lines).select("session_id")
     return (
-        parsed(lines)
+        parsed(lines, counts)
         .join(opened, "session_id", "left_semi")
         .select("session_id", "chunk", F.col("off").alias("unit"), entries.alias("entries"))
         .select("session_id", "chunk", "unit", F.posexplode(F.array_compact("entries")).alias("seq", "e"))

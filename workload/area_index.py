@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skeinlog.plans import documents as D
 from skeinlog.plans import search as S
 from skeinlog.plans import segments as G
+from skeinlog.plans import unified
+from workload import area_a, area_b, area_cd, fixture_a, fixture_b, fixture_cd
 from workload import fixture_i as fx
 from workload.registry import Area
 
@@ -88,6 +91,9 @@ c_texts AS (
 """
 
 
+ROOTS_SQL = "WITH RECURSIVE " + GROUP_SQL.split("b_docs AS (")[0].rstrip().rstrip(",") + " SELECT root_id FROM g"
+
+
 def index_sql(sources: list[str], whole: str = "true", a_held: str = "true", d_held: str = "true") -> str:
     """CTEs ``docs``, ``texts`` and ``postings`` of an index over the sources."""
     ctes = LINE_SQL.format(whole=whole, a_held=a_held, d_held=d_held) + ("," + GROUP_SQL if "codex" in sources else "")
@@ -129,7 +135,7 @@ def summary(store: G.Store) -> DataFrame:
 
 @area.query("index_all_sources", index_sql(["claude", "codex", "opencode", "pi"]) + SUMMARY_SQL)
 def index_all_sources(spark, sf_dir):
-    return summary(fx.all_sources(spark, sf_dir))
+    return summary(fx.all_index(spark, sf_dir))
 
 
 @area.query(
@@ -140,10 +146,61 @@ def index_all_sources(spark, sf_dir):
 )
 def search_all_sources(spark, sf_dir):
     """Ranked search over the sessions of all sources that are in no snapshot."""
-    index = G.open_index(fx.all_sources(spark, sf_dir), None)
+    index = G.open_index(fx.all_index(spark, sf_dir), None)
     return S.token_search(index, "answer the seconds", ["content", "tool"]).select("session_key", "score")
 
 
+@area.query(
+    "source_failures",
+    """WITH k AS (
+      SELECT DISTINCT 'claude' AS source, CASE WHEN conv_id % 6 = 5 THEN 'snap' END AS archive_name, conv_id AS key, true AS ok FROM conversations
+      UNION ALL SELECT DISTINCT 'claude', 'torn', conv_id, false FROM conversations WHERE turn = 0 AND conv_id % 10 = 3
+      UNION ALL SELECT DISTINCT 'pi', CASE WHEN conv_id % 5 = 4 THEN 'old' END, conv_id, conv_id % 9 <> 8 FROM conversations
+      UNION ALL SELECT DISTINCT 'opencode', NULL, conv_id - conv_id % 20, (conv_id - conv_id % 20) % 100 <> 20 FROM conversations
+      UNION ALL SELECT 'codex', NULL, event_id, false FROM events WHERE event_id % 50 = 7
+      UNION ALL SELECT 'codex', NULL, root_id::BIGINT, true FROM (SELECT DISTINCT root_id FROM (""" + ROOTS_SQL + """)))
+    SELECT source, archive_name, count(*) FILTER (ok) AS docs, count(*) FILTER (NOT ok) AS failed FROM k GROUP BY 1, 2""",
+)
+def source_failures(spark, sf_dir):
+    """Documents and unreadable sessions per source and snapshot: torn files, files without a header, sessions whose parent is gone."""
+    return G.source_failures(fx.all_index(spark, sf_dir))
+
+
+@area.query(
+    "line_failures_by_source",
+    """WITH c AS (SELECT *, role = 'assistant' AS a, length(text) AS n FROM conversations)
+    SELECT 'claude' AS source, (sum(1 + (a AND turn % 4 = 1)::INT + (a AND turn % 4 = 3)::INT * (3 + (conv_id % 3 = 0)::INT + (conv_id % 5 <> 0)::INT)
+        + (turn = 0 AND conv_id % 7 IN (0, 3))::INT + 2 * (turn = 0 AND conv_id % 7 = 0)::INT + (turn = 0 AND conv_id % 10 = 3)::INT))::BIGINT AS lines,
+      count(*) FILTER (turn = 0 AND conv_id % 7 = 0) + count(*) FILTER (turn = 0 AND conv_id % 10 = 3) AS failed FROM c
+    UNION ALL SELECT 'pi', sum((role = 'user')::INT + a::INT + (a AND turn % 4 = 3)::INT + (a AND turn % 4 = 1)::INT + (role = 'system')::INT
+        + (turn = 0)::INT * (2 + (conv_id % 9 <> 8)::INT) + (turn = 2)::INT + (turn = 1 AND conv_id % 4 IN (0, 1))::INT)::BIGINT, 0 FROM c
+    UNION ALL SELECT 'opencode', sum(1 + (role = 'system')::INT + a::INT * (1 + (n % 3 = 0)::INT + (turn % 8 IN (1, 2, 3, 5, 7))::INT + (turn IN (1, 2))::INT + (turn % 6 = 4)::INT)
+        + (turn = 0 AND conv_id % 7 = 0)::INT)::BIGINT, count(*) FILTER (turn = 0 AND conv_id % 7 = 0) FROM c
+    UNION ALL SELECT 'codex', sum(11 + (event_id % 3 <> 0)::INT * (1 + (event_id % 7 = 0)::INT) + (event_id % 4 <> 3)::INT + 2 * (event_id % 9 = 0)::INT)::BIGINT, 0 FROM events""",
+)
+def line_failures_by_source(spark, sf_dir):
+    """Lines read and lines that are no JSON, observed while the index was built."""
+    counts = D.LineCounts()
+    fx.all_sources(spark, sf_dir, counts)
+    return counts.rows(spark)
+
+
+RECORDS_OF = {"claude": area_a.area.oracles["message_records"], "codex": area_b.area.oracles["envelope_records"], "opencode": area_cd.area.oracles["relational_records"], "pi": area_cd.area.oracles["tree_entry_records"]}
+
+
+@area.query(
+    "all_source_records",
+    "SELECT source, record_type, level, count(*) AS n, count(tool_use_id) AS named FROM ("
+    + " UNION ALL ".join(f"SELECT '{s}' AS source, record_type, level, tool_use_id FROM ({sql})" for s, sql in RECORDS_OF.items())
+    + ") GROUP BY 1, 2, 3",
+)
+def all_source_records(spark, sf_dir):
+    """The timelines of all sources in one relation."""
+    relational = (fixture_cd.c_messages(spark, sf_dir), fixture_cd.c_parts(spark, sf_dir))
+    parts = {"claude": fixture_a.lines(spark, sf_dir), "codex": fixture_b.lines(spark, sf_dir), "opencode": relational, "pi": fixture_cd.d_lines(spark, sf_dir)}
+    return unified.records(parts).groupBy("source", "record_type", "level").agg(F.count("*").alias("n"), F.count("tool_use_id").alias("named"))
+
+
 @area.query("stream_index_refresh", index_sql(["claude", "pi"], **HISTORY) + SUMMARY_SQL)
 def stream_index_refresh(spark, sf_dir):
     """Notices of new, changed, unchanged and deleted sessions in three runs of a stream; the segments are merged after the second."""

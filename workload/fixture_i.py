@@ -12,6 +12,7 @@ from skeinlog.sources import dialect_b, dialect_c
 from skeinlog.streaming import ingest, sinks
 from skeinlog.streaming.refresh import refresh_into
 from workload import fixture_a, fixture_b, fixture_cd
+from workload.tables import exists, table
 
 RUNS = 3
 
@@ -34,14 +35,29 @@ def d_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _archived(fixture_cd.d_lines(spark, sf_dir), 5, 4, "old")
 
 
-def all_sources(spark: SparkSession, sf_dir: str) -> G.Store:
+def unreadable(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Message sessions that hold no JSON, and rollouts without a header."""
+    conv, e = F.col("conv_id"), F.col("event_id")
+    zero = F.lit(0).cast("bigint")
+    bad = table(spark, sf_dir, "conversations").where("turn = 0 AND conv_id % 10 = 3")
+    bad = bad.select(F.concat(F.lit("torn/bad"), conv.cast("string")).alias("session_id"), zero.alias("chunk"), zero.alias("off"), F.lit('{"type":').alias("line"))
+    said = F.lit('{"type":"response_item","payload":{"type":"message","role":"user","content":[{"type":"input_text","text":"no header"}]}}')
+    headless = table(spark, sf_dir, "events").where("event_id % 50 = 7")
+    headless = headless.select(F.concat(F.lit("rollout-x"), e.cast("string")).alias("session_id"), zero.alias("chunk"), zero.alias("off"), said.alias("line"))
+    return bad, headless
+
+
+def all_sources(spark: SparkSession, sf_dir: str, counts: D.LineCounts | None = None) -> G.Store:
     """One segment over all four dialects, parsed by the keys of their manifests."""
-    b, a, d = fixture_b.lines(spark, sf_dir), a_lines(spark, sf_dir), d_lines(spark, sf_dir)
+    bad, headless = unreadable(spark, sf_dir)
+    b, a, d = fixture_b.lines(spark, sf_dir).unionByName(headless), a_lines(spark, sf_dir).unionByName(bad), d_lines(spark, sf_dir)
     tree = dialect_b.threads(dialect_b.identities(b))
     sessions, messages, parts = (t(spark, sf_dir) for t in (fixture_cd.c_sessions, fixture_cd.c_messages, fixture_cd.c_parts))
     roots = dialect_c.roots(sessions)
-    parse = D.any_parser(D.line_parser({"claude": a, "pi": d}), D.group_parser(b, tree), D.relation_parser(sessions, messages, parts, roots))
-    keys = [("claude", a, "session_id"), ("pi", d, "session_id"), ("codex", tree, "root_id"), ("opencode", roots, "root_id")]
+    parse = D.any_parser(D.line_parser({"claude": a, "pi": d}, counts), D.group_parser(b, tree, counts), D.relation_parser(sessions, messages, parts, roots, counts))
+    files = b.select("session_id").distinct().join(tree.select("session_id", "root_id"), "session_id", "left")
+    groups = files.select(F.coalesce("root_id", "session_id").alias("root_id"))
+    keys = [("claude", a, "session_id"), ("pi", d, "session_id"), ("codex", groups, "root_id"), ("opencode", roots, "root_id")]
     manifest = None
     for source, rows, key in keys:
         one = rows.select(F.lit(source).alias("source"), F.col(key).alias("session_id"), F.lit("1").alias("version")).distinct()
@@ -51,6 +67,17 @@ def all_sources(spark: SparkSession, sf_dir: str) -> G.Store:
     return store
 
 
+_built: dict[tuple[str, str], str] = {}
+
+
+def all_index(spark: SparkSession, sf_dir: str) -> G.Store:
+    """That index, built once per application."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _built or not exists(spark, f"{_built[key]}/commits"):
+        _built[key] = all_sources(spark, sf_dir).path
+    return G.Store(spark, _built[key])
+
+
 # --- a history of three runs: what the lines are after each, and the notices that say so ---------------
 
 
