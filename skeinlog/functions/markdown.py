@@ -47,13 +47,14 @@ def _shorten(text: Column) -> Column:
     return F.when(F.length(text) > DESCRIPTION_CHARS, F.concat(F.left(text, F.lit(DESCRIPTION_CHARS)), F.lit("…"))).otherwise(text)
 
 
-def workflow_description(content: Column) -> Column:
-    """The ``description`` field, else the first body line that is neither blank nor a heading."""
+def workflow_description(content: Column, whole: bool = False) -> Column:
+    """The ``description`` field, else the first body line that is neither blank nor a heading; shortened for lists unless ``whole``."""
     lines = F.transform(F.split(body(content), "\n"), strings.trim)
     first = F.get(F.filter(lines, lambda t: (t != "") & ~t.startswith("#")), F.lit(0))
     named = F.regexp_extract(front_matter(content), r"(?m)^[ \t]*description:(.*)$", 1)
     named = strings.trim(F.btrim(strings.trim(named), F.lit("\"'")))
-    return F.coalesce(_shorten(F.nullif(named, F.lit(""))), _shorten(first), F.lit(""))
+    text = F.coalesce(F.nullif(named, F.lit("")), first, F.lit(""))
+    return text if whole else _shorten(text)
 
 
 def rule_category(relative_dir: Column) -> Column:

@@ -22,6 +22,9 @@ TERMINAL_CONTROLS = (
     r"|\r"
 )
 
+# what a text with any of them holds
+TERMINAL_MARKS = r"[\x1b\x{9b}\r]"
+
 HAN = r"\p{IsHan}"
 WORD_RUN = r"[\p{L}\p{N}]+"
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skeinlog.functions.text import TERMINAL_MARKS, strip_terminal
 from skeinlog.operators.ordered import LastValue, RunningSum, ordered_scan
 
 # fixed values: calls that open a sub-agent, and the interactive question call
@@ -121,6 +122,23 @@ def parallel_batches(records: DataFrame) -> DataFrame:
     )
 
 
+def without_terminal_formatting(records: DataFrame) -> DataFrame:
+    """Records as a reader gets them: terminal controls are taken out of tool results and of the stderr beside them.
+
+    Other texts may quote such controls and stay as they are.
+    """
+    content, meta = F.col("content"), F.col("result_meta")
+    clean = F.when((F.col("record_type") == "tool_result") & content.rlike(TERMINAL_MARKS), strip_terminal(content)).otherwise(content)
+    stderr = F.get_json_object(meta, "$.terminal.stderr")
+
+    def quoted(text: Column) -> Column:
+        wrapped = F.to_json(F.array(text))
+        return F.concat(F.lit('"stderr":'), F.substring(wrapped, F.lit(2), F.length(wrapped) - 2))
+
+    cleaned = F.when(stderr.rlike(TERMINAL_MARKS), F.replace(meta, quoted(stderr), quoted(strip_terminal(stderr)))).otherwise(meta)
+    return records.withColumns({"content": clean, "result_meta": cleaned})
+
+
 # --- pages -----------------------------------------------------------------------------------------
 
 

@@ -5,13 +5,14 @@ Every reader takes ``files(path, scope, content)``.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skeinlog.functions import configs as C
 from skeinlog.functions import strings
 from skeinlog.functions import variants as V
 from skeinlog.operators.ordered import LastValue, ordered_scan, with_chunk
+from skeinlog.sources.files import read_whole
 
 SERVER_COLUMNS = ["path", "scope", "name", "transport", "command", "args", "env_keys", "enabled"]
 HOOK_COLUMNS = ["path", "scope", "event", "matcher", "commands"]
@@ -32,6 +33,18 @@ def _enabled(v: Column) -> Column:
     return F.coalesce(F.when(F.schema_of_variant(V.sub(v, "$.enabled")) == "BOOLEAN", V.get(v, "$.enabled", "boolean")), F.lit(True))
 
 
+def read_configs(spark: SparkSession, root: str, scope: str = "global") -> DataFrame:
+    """``files`` of every JSON, JSONC and TOML config below a root."""
+    return read_whole(spark, root).where(F.col("path").rlike(r"\.(json|jsonc|toml)$")).select("path", F.lit(scope).alias("scope"), "content")
+
+
+def servers(files: DataFrame) -> DataFrame:
+    """Servers of configs of any format, each read by its file name."""
+    of = lambda ending: files.where(F.col("path").endswith(ending))
+    parts = [json_servers(of(".json")), jsonc_servers(of(".jsonc")), toml_servers(of(".toml"))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 def json_servers(files: DataFrame) -> DataFrame:
     """Servers of a JSON config: global ones, and those of each project in it."""
     v = F.col("v")

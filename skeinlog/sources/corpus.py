@@ -7,13 +7,12 @@ from pyspark.sql import functions as F
 
 from skeinlog.functions import markdown as M
 from skeinlog.functions.text import decode_slug
+from skeinlog.sources.files import read_whole
 
 
 def read_markdown(spark: SparkSession, root: str) -> DataFrame:
-    rows = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").text(root, wholetext=True)
-    return rows.select(
-        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("size_bytes"), F.col("value").alias("content")
-    )
+    """``files`` of every Markdown file below a root."""
+    return read_whole(spark, root).where(F.col("path").endswith(".md"))
 
 
 def _file(path: Column) -> Column:
@@ -66,7 +65,12 @@ def workflows(files: DataFrame) -> DataFrame:
     kind = F.when(is_skill, "skill").otherwise(F.regexp_replace(F.regexp_extract(path, flat, 1), "s$", ""))
     name = F.when(is_skill, F.regexp_extract(path, skill, 1)).otherwise(F.regexp_extract(path, flat, 2))
     return files.where(is_skill | path.rlike(flat)).select(
-        kind.alias("kind"), name.alias("name"), "path", M.workflow_description(F.col("content")).alias("description"), "size_bytes"
+        kind.alias("kind"),
+        name.alias("name"),
+        "path",
+        M.workflow_description(F.col("content")).alias("description"),
+        M.workflow_description(F.col("content"), whole=True).alias("whole_description"),
+        "size_bytes",
     )
 
 
@@ -85,7 +89,7 @@ def matching_workflows(rows: DataFrame, kind: str | None = None, query: str = ""
         rows = rows.where(F.col("kind") == kind)
     if query.strip():
         q = F.lit(query.lower())
-        rows = rows.where(F.contains(F.lower("name"), q) | F.contains(F.lower("description"), q))
+        rows = rows.where(F.contains(F.lower("name"), q) | F.contains(F.lower("whole_description"), q))
     return rows
 
 

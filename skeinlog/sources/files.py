@@ -32,15 +32,27 @@ def scan_lines(spark: SparkSession, root: str, pattern: str = "*.jsonl") -> Data
 def session_lines(scanned: DataFrame, host: str | None = None) -> DataFrame:
     """Scanned lines in the shape the dialects read.
 
-    The session id is the file stem, behind the name of its snapshot if the file is archived, and tagged with a named host:
-    copies of a session in snapshots or on other hosts are sessions of their own.
+    The session id is the file stem, behind the folder of its project (``slug:stem``) and the name of its snapshot (``snapshot/...``), and tagged with
+    a named host: files of one name in other projects, snapshots or on other hosts are sessions of their own.
     """
-    stem = F.regexp_replace(F.substring_index("file_path", "/", -1), r"\.jsonl$", "")
-    key = F.concat_ws("/", archive_of(F.col("file_path")), stem)
+    path = logical_path(F.col("file_path"))
+    stem = F.regexp_replace(F.substring_index(path, "/", -1), r"\.jsonl$", "")
+    key = F.concat_ws("/", archive_of(path), F.concat_ws(":", project_of(path), stem))
     owner = tag_key(F.lit(host).cast("string"), F.lit(None).cast("string"), key)
     return scanned.select(owner.alias("session_id"), "chunk", "off", "line")
 
 
+def logical_path(path: Column) -> Column:
+    """The file a path stands for: a transcript may be a folder of parts, and folders may carry the name of a partition column."""
+    whole = F.regexp_replace(path, r"/part-[^/]*$", "")
+    return F.regexp_replace(whole, r"/\w+=([^/]*)", "/$1")
+
+
+def project_of(path: Column) -> Column:
+    """Folder below ``projects/`` that a transcript lies in, null elsewhere."""
+    return F.nullif(F.regexp_extract(path, r"/projects/([^/]+)/[^/]+$", 1), F.lit(""))
+
+
 def archive_of(path: Column) -> Column:
     """Snapshot name of a path below ``archives/<name>/``, null for a live one."""
     return F.nullif(F.regexp_extract(path, r"/archives/([^/]+)/", 1), F.lit(""))
@@ -53,6 +65,24 @@ def manifest(files: DataFrame) -> DataFrame:
     )
 
 
+def content_manifest(scanned: DataFrame) -> DataFrame:
+    """(key, version) that also tells an edit of equal size within the granularity of file times: ``size:microseconds:digest``.
+
+    ``scanned`` are lines of ``scan_lines``. Every task folds the lines of its splits into one sum of digests of (offset, line) per file, and the sums are
+    added up, so a file of any size is digested by many tasks.
+    """
+    mark = F.sum(F.xxhash64("off", "line").cast("decimal(20,0)"))
+    rows = scanned.groupBy("file_path").agg(F.max("file_size").alias("size"), F.max("file_mtime").alias("mtime"), mark.alias("digest"))
+    parts = [F.col("size").cast("string"), F.unix_micros("mtime").cast("string"), F.col("digest").cast("string")]
+    return rows.select(F.col("file_path").alias("key"), F.concat_ws(":", *parts).alias("version"))
+
+
+def read_whole(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
+    """(path, size_bytes, content) of every file below a root, each as one text."""
+    rows = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(root, wholetext=True)
+    return rows.select(logical_path(F.col("_metadata.file_path")).alias("path"), F.col("_metadata.file_size").alias("size_bytes"), F.col("value").alias("content"))
+
+
 def file_listing(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
     """Path, size and modification time of every file below a root; contents are not read."""
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(root)

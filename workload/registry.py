@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from skeinlog.session import tune
 
-AREAS = ["area_a", "area_b", "area_cd", "area_usage", "area_search", "area_index", "area_corpus", "area_text", "area_stream"]
+AREAS = ["area_a", "area_b", "area_cd", "area_usage", "area_search", "area_index", "area_files", "area_corpus", "area_text", "area_stream"]
 
 
 class Area:
