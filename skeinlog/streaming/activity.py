@@ -41,6 +41,19 @@ def settled(stream: DataFrame, key: str, gap: str = SETTLE, lateness: str = "0 s
     )
 
 
+def counters_into(path: str, keys: list[str], order: str):
+    """foreachBatch writer of cumulative counters that keeps no state: a batch adds one row per key, its counter at the highest position.
+
+    The log is merged on read by ``sinks.latest(log, keys, [order])`` and may be compacted, so a key that is never heard of again costs its
+    stream nothing.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.groupBy(*keys).agg(F.max(order).alias(order), F.max_by("usage", order).alias("usage")).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    return write
+
+
 def latest_counters(stream: DataFrame, keys: list[str], order: str) -> DataFrame:
     """Cumulative counters: the value at the highest position wins, whatever batch it arrives in."""
     return stream.groupBy(*keys).agg(F.max(order).alias(order), F.max_by("usage", order).alias("usage"))

@@ -30,7 +30,11 @@ def compact(spark: SparkSession, log_path: str, keys: Sequence[str], out_path: s
     latest(spark.read.parquet(log_path), keys).write.parquet(out_path)
 
 
-def drain(writer: DataStreamWriter, checkpoint: str) -> None:
-    """Process what is available now, then stop; the checkpoint lets the next run go on from there."""
+def drain(writer: DataStreamWriter, checkpoint: str) -> int:
+    """Process what is available now, then stop; the checkpoint lets the next run go on from there.
+
+    Returns how many rows the run left out because they came behind the watermark.
+    """
     query = writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
+    return sum(s.numRowsDroppedByWatermark for p in query.recentProgress for s in p.stateOperators)

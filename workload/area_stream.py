@@ -91,6 +91,46 @@ def stream_latest_counters(spark, sf_dir):
     return sinks.latest(spark.read.parquet(f"{path}/log"), ["user_id"]).select("user_id", "event_id", "usage")
 
 
+@area.query(
+    "stream_counters_without_state",
+    """WITH c AS (SELECT user_id, event_id, sum(CAST(ROUND(value*100) AS BIGINT)) OVER (PARTITION BY user_id ORDER BY event_id) AS cum FROM events)
+    SELECT user_id, max(event_id) AS event_id, arg_max(cum, event_id)::BIGINT AS usage FROM c GROUP BY 1""",
+)
+def stream_counters_without_state(spark, sf_dir):
+    """The same counters from a log of batches, the newer half first."""
+    path = scratch_path(spark, "counters")
+    events = table(spark, sf_dir, "events").withColumn("c", F.round(F.col("value") * 100).cast("bigint"))
+    cum = ordered_scan(with_chunk(events, "event_id", 1000), ["user_id"], ["event_id"], [RunningSum("usage", F.col("c"))]).select("user_id", "event_id", "usage")
+    for part in (cum.where("event_id % 2 = 1"), cum.where("event_id % 2 = 0")):
+        part.write.mode("append").parquet(f"{path}/in")
+        stream = ingest.read_deltas(spark, f"{path}/in", cum.schema)
+        sinks.drain(stream.writeStream.foreachBatch(activity.counters_into(f"{path}/log", ["user_id"], "event_id")), f"{path}/checkpoint")
+    return sinks.latest(spark.read.parquet(f"{path}/log"), ["user_id"], ["event_id"]).select("user_id", "event_id", "usage")
+
+
+@area.query(
+    "stream_turns_of_quiet_sessions",
+    A_BASE
+    + """, t AS (SELECT session_id, conv_id, turn*10 + CASE WHEN plain THEN 0 ELSE 1 END AS unit, text, chunked OR tool AS two FROM b WHERE role = 'assistant')
+    SELECT session_id, unit, text AS content FROM t WHERE NOT (two AND unit = 31)
+    UNION ALL SELECT session_id, 30, text FROM b WHERE turn = 3 AND tool""",
+)
+def stream_turns_of_quiet_sessions(spark, sf_dir):
+    """The stream stops in the middle of messages and goes on with other sessions; texts that stay open are given out, later lines stand for themselves."""
+    path = scratch_path(spark, "turns")
+    lines = fixture_a.lines(spark, sf_dir)
+    last = "2031-01-01T00:00:00Z"
+    later = lines.limit(1).select(
+        F.lit("later").alias("session_id"), F.lit(0).cast("bigint").alias("chunk"), F.lit(0).cast("bigint").alias("off"),
+        F.lit('{"type":"assistant","timestamp":"' + last + '","message":{"role":"assistant","stop_reason":"end_turn","content":[]}}').alias("line"),
+    )
+    for part in (lines.where("off <= 30"), later, lines.where("off > 30")):
+        part.write.mode("append").parquet(f"{path}/in")
+        stream = ingest.read_deltas(spark, f"{path}/in", lines.schema)
+        sinks.drain(stream.writeStream.foreachBatch(turns.merge_into(f"{path}/turns", "30 days")), f"{path}/checkpoint")
+    return turns.closed_turns(spark, f"{path}/turns").where("kind = 'text'").select("session_id", "unit", "content")
+
+
 @area.query("stream_deduplicated_lines", "SELECT user_id, count(*) AS lines, sum(event_id)::BIGINT AS id_sum FROM events GROUP BY 1")
 def stream_deduplicated_lines(spark, sf_dir):
     """Every hundredth line is delivered again in a second run and must not count twice."""
