@@ -14,6 +14,9 @@ from skeinlog.session import cut_lineage
 
 # fixed value: unit of the head row, before every record
 HEAD_UNIT = -1
+# headings, labels and classes below are fixed values of the output formats
+
+STYLE = "body{max-width:60em;margin:2em auto;font-family:sans-serif}.msg{margin:1em 0;padding:.6em 1em;border:1px solid #ccc}.role{font-weight:bold}pre{white-space:pre-wrap}"
 
 
 def title(session_title: Column | str = "agent_title") -> Column:
@@ -112,6 +115,40 @@ def export_rows(sessions: DataFrame, records: DataFrame, fmt: str, source_label:
     return heads.unionByName(rows.where("text is not null"))
 
 
+def document_rows(sessions: DataFrame, records: DataFrame, fmt: str, source_label: str) -> DataFrame:
+    """Rows (session_id, unit, seq, text) that are a whole document per session when their texts are put one below the other.
+
+    HTML gets its opening and closing, JSON becomes one object with the array ``records``. Only which record comes first is learned per session.
+    """
+    rows = export_rows(sessions, records, fmt, source_label)
+    if fmt == "md":
+        return rows
+    order = F.struct("unit", "seq")
+    end = sessions.select("session_id", F.lit(2**62).alias("unit"), F.lit(0).alias("seq"), F.lit("</body></html>" if fmt == "html" else "]}").alias("text"))
+    is_head = F.col("unit") == HEAD_UNIT
+    if fmt == "html":
+        names = sessions.select("session_id", F.concat(F.lit('<!doctype html><html><head><meta charset="utf-8"><title>'), escape_html(title()), F.lit(f"</title><style>{STYLE}</style></head><body>\n")).alias("opening"))
+        opened = rows.where(is_head).join(names, "session_id").select("session_id", "unit", "seq", F.concat("opening", "text").alias("text"))
+        return opened.unionByName(rows.where(~is_head)).unionByName(end)
+    # the head object stays open for the records
+    head = rows.where(is_head).withColumn("text", F.concat(F.expr("left(text, length(text) - 1)"), F.lit(',"records":[')))
+    body = rows.where(~is_head)
+    firsts = body.groupBy("session_id").agg(F.min(order).alias("first"))
+    body = body.join(firsts, "session_id").select("session_id", "unit", "seq", F.when(order == F.col("first"), F.col("text")).otherwise(F.concat(F.lit(","), "text")).alias("text"))
+    return head.unionByName(body).unionByName(end)
+
+
+def write_documents(rows: DataFrame, path: str, partitions: int | None = None) -> None:
+    """Plain text, a folder per session; its part files, in the order of their names, are the document.
+
+    Ranges of (session, unit) go to one task each, so a long session is several parts and no task holds it whole.
+    """
+    order = ["session_id", "unit", "seq"]
+    rows = cut_lineage(rows.select(*order, "text"), "export-rows")
+    ranged = rows.repartitionByRange(partitions, *order) if partitions else rows.repartitionByRange(*order)
+    ranged.sortWithinPartitions(*order).select("session_id", "text").write.partitionBy("session_id").text(path)
+
+
 def write_export(rows: DataFrame, path: str, partitions: int | None = None) -> None:
     """Sorted text files; within and across part files the order is (session, unit, seq).
 

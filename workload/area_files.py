@@ -8,15 +8,17 @@ from pyspark.sql import functions as F
 from skeinlog.operators import timeline as T
 from skeinlog.plans import incremental as R
 from skeinlog.session import scratch_path
-from skeinlog.sources import configs, corpus, files
+from skeinlog.sources import configs, corpus, export, files
 from skeinlog.sources import dialect_a as A
 from skeinlog.sources import dialect_b as B
 from workload import fixture_a
 from workload.area_a import BASE, SESSION_USAGE
+from workload.area_text import area as text_area
 from workload.registry import Area
 from workload.tables import table
 
 area = Area()
+EXPORTS = text_area.oracles
 
 
 def write_transcripts(lines: DataFrame, root: str) -> None:
@@ -129,6 +131,54 @@ def tool_servers_from_files(spark, sf_dir):
     )
 
 
+def _documents(spark: SparkSession, sf_dir: str, fmt: str) -> DataFrame:
+    """(session_id, document) as written to files and read again, parts put together in the order of their names."""
+    lines = fixture_a.lines(spark, sf_dir)
+    path = scratch_path(spark, "documents")
+    export.write_documents(export.document_rows(A.sessions(lines), A.records(lines, "tool"), fmt, "claude"), path, 7)
+    file = F.col("_metadata.file_path")
+    parts = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True).select(
+        F.regexp_extract(file, "session_id=([^/]+)/", 1).alias("session_id"), F.struct(F.substring_index(file, "/", -1).alias("name"), F.col("value").alias("text")).alias("part")
+    )
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list("part")), lambda p: p["text"]), "")
+    return parts.groupBy("session_id").agg(joined.alias("document"))
+
+
+@area.query(
+    "markdown_documents",
+    f"SELECT session_id, md5(string_agg(text, chr(10) ORDER BY unit, seq) || chr(10)) AS digest FROM ({EXPORTS['export_markdown']}) GROUP BY 1",
+)
+def markdown_documents(spark, sf_dir):
+    return _documents(spark, sf_dir, "md").select("session_id", F.md5(F.encode("document", "UTF-8")).alias("digest"))
+
+
+@area.query(
+    "json_documents",
+    f"""SELECT session_id, max(agent_title) AS agent_title, count(*) FILTER (unit >= 0) AS records, coalesce(sum(length(content_preview)), 0)::BIGINT AS chars,
+    arg_min(record_type, (unit, seq)) FILTER (unit >= 0) AS first_type, arg_max(record_type, (unit, seq)) FILTER (unit >= 0) AS last_type FROM ({EXPORTS['export_json']}) GROUP BY 1""",
+)
+def json_documents(spark, sf_dir):
+    """Every document is one JSON object with its records in order."""
+    kind = "struct<agent_title:string,records:array<struct<record_type:string,content_preview:string>>>"
+    rows = _documents(spark, sf_dir, "json").select("session_id", F.from_json("document", kind, {"mode": "FAILFAST"}).alias("d"))
+    r = F.col("d.records")
+    chars = F.aggregate(F.transform(r, lambda x: F.length(x["content_preview"])), F.lit(0).cast("bigint"), lambda a, n: a + n)
+    return rows.select(
+        "session_id", "d.agent_title", F.size(r).cast("bigint").alias("records"), chars.alias("chars"), F.get(r, F.lit(0))["record_type"].alias("first_type"), F.element_at(r, -1)["record_type"].alias("last_type")
+    )
+
+
+@area.query(
+    "html_documents",
+    f"""SELECT session_id, 1 AS opened, 1 AS closed, count(*) FILTER (unit >= 0) AS cards FROM ({EXPORTS['export_html']}) GROUP BY 1""",
+)
+def html_documents(spark, sf_dir):
+    doc = F.col("document")
+    opened, closed = doc.rlike(r"(?s)\A<!doctype html><html><head>.*</head><body>\n<h1>"), doc.rlike(r"</body></html>\n\z")
+    cards = F.regexp_count(doc, F.lit('(?m)^<div class="msg ')).cast("bigint")
+    return _documents(spark, sf_dir, "html").select("session_id", opened.cast("int").alias("opened"), closed.cast("int").alias("closed"), cards.alias("cards"))
+
+
 @area.query(
     "workflow_words_behind_the_short_form",
     """SELECT 'w' || doc_id AS name FROM (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda t: trim(t)), lambda t: t <> '' AND NOT starts_with(t, '#'))[1] AS l FROM documents)
