@@ -1,5 +1,7 @@
 import json
+import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from skeinlog.operators import timeline as T
@@ -30,29 +32,53 @@ def shown(df):
     return [(r.unit, r.record_type, r.content, r.tool_use_id) for r in df.orderBy("session_id", "unit", "seq").collect()]
 
 
-def test_streamed_chunks_become_one_record(as_lines):
-    lines = as_lines({"s": [assistant("Hello "), assistant("wor"), assistant("ld!", stop="end_turn")]}, 1)
-    assert shown(A.records(lines)) == [(2, "assistant", "Hello world!", None)]
-
-
-def test_lead_text_then_call(as_lines):
-    lines = as_lines({"s": [assistant("Let me look"), assistant(call="c1", stop="tool_use")]}, 1)
-    assert shown(A.records(lines)) == [(1, "assistant", "Let me look", None), (1, "assistant", "", "c1")]
-
-
-def test_other_lines_do_not_close_an_open_text(as_lines):
-    lines = as_lines({"s": [assistant("a"), user("x"), assistant("b", stop="end_turn")]}, 1)
-    assert shown(A.records(lines)) == [(1, "user", "x", None), (2, "assistant", "ab", None)]
-
-
-def test_open_text_is_kept_at_the_end(as_lines):
-    lines = as_lines({"s": [assistant("cut "), assistant("off"), user("later")], "t": [assistant("only")]}, 1)
-    assert shown(A.records(lines)) == [(2, "user", "later", None), (2, "assistant", "cut off", None), (0, "assistant", "only", None)]
-
-
-def test_thinking_comes_before_text(as_lines):
-    lines = as_lines({"s": [assistant("answer", stop="end_turn", think="why")]})
-    assert shown(A.records(lines)) == [(0, "thinking", "why", None), (0, "assistant", "answer", None)]
+def session(rng, turns):
+    """A session made up at random: (lines, records it must give). Texts are cut anywhere, other lines come between the cuts."""
+    lines, want, said = [], [], ""
+
+    def chatter():
+        if rng.random() < 0.3:
+            lines.append(user(f"note {len(lines)}"))
+            want.append((len(lines) - 1, "user", f"note {len(lines) - 1}", None))
+
+    for turn in range(turns):
+        text = "".join(rng.choice("ab é中\n<&") for _ in range(rng.randrange(12)))
+        cuts = sorted(rng.randrange(len(text) + 1) for _ in range(rng.randrange(4)))
+        parts = [text[i:j] for i, j in zip([0, *cuts], [*cuts, len(text)])]
+        how = "open" if turn == turns - 1 else rng.choice(["stop", "call", "both"])
+        for k, part in enumerate(parts):
+            ends = k == len(parts) - 1 and how != "open"
+            think = f"thought {turn}.{k}" if rng.random() < 0.25 else None
+            call = f"call {turn}" if ends and how != "stop" else None
+            # a call may come with the last part or on a line of its own
+            apart = call is not None and rng.random() < 0.5
+            lines.append(assistant(part, "end_turn" if ends and not apart else None, None if apart else call, think))
+            if think:
+                want.append((len(lines) - 1, "thinking", think, None))
+            if apart:
+                chatter()
+                lines.append(assistant(None, "tool_use", call))
+            said += part
+            if ends:
+                want += [(len(lines) - 1, "assistant", said, None)] * (said != "")
+                want += [(len(lines) - 1, "assistant", "", call)] * (call is not None)
+                said = ""
+            chatter()
+    if said:
+        want.append((len(lines) - 1, "assistant", said, None))
+    return lines, want
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_records_do_not_depend_on_how_texts_were_cut(as_lines, seed):
+    """Whatever the cuts, the lines between them and the width of the chunks: texts come whole at the line that ends them, thinking before text before call."""
+    rng = random.Random(seed)
+    made = {f"s{i}": session(rng, rng.randrange(1, 9)) for i in range(6)}
+    rows = A.records(as_lines({k: lines for k, (lines, _) in made.items()}, rng.randrange(1, 9))).orderBy("unit", "seq").collect()
+    rank = {"user": 0, "thinking": 0, "assistant": 1}
+    for key, (_, want) in made.items():
+        got = [(r.unit, r.record_type, r.content, r.tool_use_id) for r in rows if r.session_id == key]
+        assert got == sorted(want, key=lambda r: (r[0], rank[r[1]], r[3] is not None))
 
 
 def test_content_view_is_the_filtered_tool_view(as_lines):
@@ -72,9 +98,18 @@ def test_bad_lines_are_skipped_and_counted(as_lines):
     assert [(r.lines, r.failed) for r in A.bad_lines(lines).collect()] == [(3, 1)]
 
 
-def test_tool_result_keeps_id_and_text(as_lines):
-    line = json.dumps({"type": "user", "message": {"content": [{"type": "tool_result", "tool_use_id": "t1", "content": [{"type": "text", "text": "out"}]}]}, "toolUseResult": {"stdout": "x"}})
-    assert shown(A.records(as_lines({"s": [line]}))) == [(0, "tool_result", "out", "t1")]
+def test_results_of_any_content_shape_keep_their_call(as_lines):
+    """A result's text is that of its blocks, one per line, or the plain string; its call id stays with it."""
+    rng = random.Random(5)
+    lines, want = [], []
+    for i in range(30):
+        parts = [f"part {i}.{k}" for k in range(rng.randrange(1, 4))]
+        plain = rng.random() < 0.4
+        content = parts[0] if plain else [{"type": "text", "text": p} for p in parts]
+        block = {"type": "tool_result", "tool_use_id": f"id {i % 7}", "content": content}
+        lines.append(json.dumps({"type": "user", "message": {"content": [block]}, "toolUseResult": {"stdout": "elsewhere"}}))
+        want.append((i, "tool_result", parts[0] if plain else "\n".join(parts), f"id {i % 7}"))
+    assert shown(A.records(as_lines({"s": lines}, 4))) == want
 
 
 def test_levels(as_lines):
