@@ -8,8 +8,10 @@ other names of the same gender and script. A distributed check over all distinct
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -32,6 +34,8 @@ TITLES = "Mr Mrs Ms Miss Dr Prof Herr Frau Mme Mlle Monsieur Madame Señor Seño
 # Alphabets whose letters stand for each other; in names, vowels and consonants keep apart.
 VOWELS = ("aeiou", "AEIOU", "аеиоуыэюя", "АЕИОУЫЭЮЯ", "αεηιουω", "ΑΕΗΙΟΥΩ")
 ALPHABETS = ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "абвгдежзийклмнопрстуфхцчшщъыьэюя", "АБВГДЕЖЗИЙКЛМНОПРСТУФХЦЧШЩЪЫЬЭЮЯ", "αβγδεζηθικλμνξοπρστυφχψω", "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ")
+# Letters of further scripts, first and last: their words have no case and stand for each other letter by letter.
+BLOCKS = ("\u05d0\u05ea", "\u0621\u063a", "\u0641\u064a", "\u0904\u0939", "\u0e01\u0e2e", "\u3041\u3096", "\u30a1\u30fa", "\u4e00\u9fa5", "\uac00\ud7a3")
 ROUNDS = 10
 
 _NAMES = "|".join(sorted((n for names in GIVEN.values() for n in names), key=len, reverse=True))
@@ -65,9 +69,18 @@ def shuffled(symbols: list[int], sizes: list[int], key: bytes, tweak: str) -> li
     return s
 
 
+@functools.cache
+def _letters(block: str) -> str:
+    return "".join(map(chr, range(ord(block[0]), ord(block[1]) + 1)))
+
+
+def _block(c: str) -> str:
+    return next((_letters(b) for b in BLOCKS if b[0] <= c <= b[1]), "")
+
+
 def same_shape(text: str, alphabets: tuple[str, ...], key: bytes, kind: str) -> str:
     """``text`` with every character of an alphabet replaced by one of the same alphabet; the rest stays."""
-    where = [next((a for a in alphabets if c in a), "") for c in text]
+    where = [next((a for a in alphabets if c in a), "") or (_block(c) if kind.startswith("name") else "") for c in text]
     mask = "".join("\0" if a else c for c, a in zip(text, where, strict=True)) + "|" + ",".join(a[:1] for a in where)
     at = [i for i, a in enumerate(where) if a]
     new = shuffled([where[i].index(text[i]) for i in at], [len(where[i]) for i in at], key, f"{kind}|{mask}")
@@ -78,12 +91,13 @@ def same_shape(text: str, alphabets: tuple[str, ...], key: bytes, kind: str) ->
 
 
 def _refill(text: str, digits: str) -> str:
+    """``text`` with its digits, of whatever script, replaced by these in the same script."""
     left = iter(digits)
-    return "".join(next(left) if c.isdecimal() and c.isascii() else c for c in text)
+    return "".join(chr(ord(c) - unicodedata.decimal(c) + int(next(left))) if c.isdecimal() else c for c in text)
 
 
 def _digits(text: str) -> str:
-    return "".join(c for c in text if c.isdecimal() and c.isascii())
+    return "".join(str(unicodedata.decimal(c)) for c in text if c.isdecimal())
 
 
 def _check_digit(digits: str) -> int:

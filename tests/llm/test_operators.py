@@ -109,6 +109,28 @@ def test_surrogates_keep_type_and_distinctness(odd, none):
     assert surrogates.replace_personal_data(none, KEY).count() == 0 and surrogates.colliding(odd, KEY).count() == 0
 
 
+@pytest.mark.parametrize(
+    "text, kept",
+    [
+        ("call +٤٤ ٢٠ ٧٩٤٦ ٠٩٥٨ now", r"call \+٤٤ [٠-٩]{2} [٠-٩]{4} [٠-٩]{4} now"),
+        ("card １２３４５６７８９０１２３４５６７ end", r"card [０-９]{17} end"),
+        ("id १२३-४५-६७८९.", r"id [०-९]{3}-[०-९]{2}-[०-९]{4}\."),
+        ("Mr 王小明 came", r"Mr [\u4e00-\u9fa5]{2}明 came"),
+        ("Dr محمد and Mr יעקב", r"Dr \S{4} and Mr \S{4}"),
+    ],
+)
+def test_surrogates_of_other_scripts_keep_the_script(spark, text, kept):
+    import re
+
+    row = surrogates.replace_personal_data(spark.createDataFrame([(1, text)], "doc_id long, text string"), KEY).first()
+    assert row.n_entities >= 1 and row.text != text and re.fullmatch(kept, row.text)
+
+
+def test_numbers_in_other_digits_are_the_same_number():
+    ascii_, arabic = surrogates.surrogate("phone", "+44 20 7946 0958", KEY), surrogates.surrogate("phone", "+٤٤ ٢٠ ٧٩٤٦ ٠٩٥٨", KEY)
+    assert surrogates._digits(ascii_) == surrogates._digits(arabic) and surrogates.canonical("phone", "+٤٤ ٢٠") == "+4420"
+
+
 def test_decontamination_finds_exact_and_edited_items_only(spark, odd, none):
     item = "the quick brown fox jumps over one lazy dog while seven clever cats watch from a warm red roof"
     edited = item.replace("brown", "dark").replace("clever", "very clever").replace("warm ", "")
