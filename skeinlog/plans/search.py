@@ -128,3 +128,10 @@ def text_hits(texts: DataFrame, query: str, kinds: Sequence[str] | None = None)
     q = query.strip().lower()
     rows = texts if kinds is None else texts.where(kind_code("kind").isin(scope_codes(kinds)))
     return rows.where(_has("text", q)).select("session_key", "unit", "seq", X.snippet(F.col("text"), q).alias("snippet"))
+
+
+def indexed_hits(index: Index, query: str, kinds: Sequence[str] | None = None) -> DataFrame:
+    """Hits over the whole texts of an index; one that was opened for a scope reads only that scope's files."""
+    q = query.strip().lower()
+    rows = index.texts if kinds is None else index.texts.where(F.col("code").isin(scope_codes(kinds)))
+    return rows.where(_has("text", q)).select("session_key", "unit", "seq", X.snippet(F.col("text"), q).alias("snippet"))

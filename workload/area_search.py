@@ -63,6 +63,23 @@ def index_quality(spark, sf_dir):
     return I.violations(fx.index(spark, sf_dir))
 
 
+@area.query(
+    "index_quality_of_a_damaged_index",
+    TOKENS
+    + """, bad AS (SELECT '--' AS token, 'd' || (doc_id // 40) AS session_key FROM documents WHERE doc_id % 10 = 0
+      UNION ALL SELECT 'word', 'ghost' || doc_id FROM documents WHERE doc_id % 7 = 3), held AS (SELECT token, session_key FROM postings UNION ALL SELECT * FROM bad)
+    SELECT 'token_form' AS "bound", count(*) FILTER (NOT regexp_matches(token, '[\\p{L}\\p{N}]')) AS broken, count(*) AS checked FROM held
+    UNION ALL SELECT 'known_session', count(DISTINCT session_key) FILTER (starts_with(session_key, 'ghost')), count(DISTINCT session_key) FROM held""",
+)
+def index_quality_of_a_damaged_index(spark, sf_dir):
+    """The checks find postings without a letter or digit, and sessions that no document has."""
+    index, doc = fx.index(spark, sf_dir), F.col("doc_id")
+    rows = table(spark, sf_dir, "documents")
+    empty = rows.where(doc % 10 == 0).select(F.lit("--").alias("token"), F.lit(0).alias("code"), F.concat(F.lit("d"), F.floor(doc / 40).cast("string")).alias("session_key"))
+    ghosts = rows.where(doc % 7 == 3).select(F.lit("word").alias("token"), F.lit(0).alias("code"), F.concat(F.lit("ghost"), doc.cast("string")).alias("session_key"))
+    return I.violations(I.Index(index.docs, index.texts, index.postings.unionByName(empty).unionByName(ghosts)))
+
+
 def _token_search_sql(tokens: list[str], query: str, codes: str, scope: str, limit: str = "") -> str:
     words = ", ".join(f"'{t}'" for t in tokens)
     return (
