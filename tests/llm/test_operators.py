@@ -4,6 +4,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from skeinlog.llm import chosen_path, debruijn, decontamination, language_id, packing, quality, queries, spotsigs, suffixes, surrogates, token_counts
@@ -277,3 +278,18 @@ def test_pipeline_equals_its_stages(spark, odd):
     assert ids == {r.doc_id for r in kept.select("doc_id").collect()} and len(ids) > 150
     for _, stage in corpus_pipeline.STAGES:
         stage(spark, odd.select(docs.columns), SMALL).count()
+
+
+def test_pipeline_carries_columns_with_clashing_names(spark):
+    import corpus_pipeline
+
+    names = ["score", "cosine", "entities", "n_entities", "lang_pred", "row", "key", "_row", "_id", "_k0", "_ref", "a b"]
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("*", *[F.concat(F.lit(f"{n} "), F.col("doc_id").cast("string")).alias(n) for n in names])
+    kept = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        if name != "near duplicates":
+            kept = written(stage(spark, kept, SMALL), "stage")
+            assert kept.columns == docs.columns
+    rows = kept.collect()
+    assert len(rows) > 150 and all(r[n] == f"{n} {r.doc_id}" for r in rows for n in names)
+    assert corpus_pipeline.STAGES[1][1](spark, docs, SMALL).columns == docs.columns
