@@ -36,7 +36,7 @@ def identified_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one row of each group of near duplicates, that with the least id; texts of fewer than five words are like their equals alone."""
+    """Keep one row of each group of near duplicates, that with the least id (null ids last; of equal ids the first row read); a null text counts as empty."""
     return chosen_path.one_of_each(docs)
 
 
