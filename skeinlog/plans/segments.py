@@ -146,6 +146,18 @@ def merge(store: Store, segment: int) -> None:
     commit(store, segment, segments)
 
 
+def vacuum(store: Store) -> list[int]:
+    """Delete the rows of segments that were merged into a later one, once no reader can still be on them; their commits stay, so replays are known."""
+    seen = store.table("commits").select(F.explode("replaces").alias("segment")).distinct().collect()
+    gone = sorted({r.segment for r in seen} - set(store.committed()))
+    jvm, conf = store.spark._jvm, store.spark._jsc.hadoopConfiguration()
+    for name in store.schemas:
+        for segment in gone if name != "commits" else []:
+            path = jvm.org.apache.hadoop.fs.Path(f"{store.path}/{name}/segment={segment}")
+            path.getFileSystem(conf).delete(path, True)
+    return gone
+
+
 def source_failures(store: Store) -> DataFrame:
     """(source, archive_name, docs, failed): sessions that gave a document, and sessions that were read and gave none."""
     found = store.live("docs").select("session_key", F.lit(True).alias("found"))

@@ -94,6 +94,8 @@ def test_merging_keeps_the_live_rows(store, notices, as_lines):
     G.merge(store, 3)
     assert store.committed() == [3] and state(store) == before
     assert store.visible("tombstones").count() == 0
+    assert G.vacuum(store) == [0, 2] and state(store) == before
+    assert {r.segment for name in ("docs", "texts", "postings", "versions") for r in store.table(name).select("segment").distinct().collect()} == {3}
     G.merge(store, 3)
     G.refresh(store, 4, changed(notices(("a", "2"), ("c", "1"))), parser(as_lines, {"c": ["third"]}))
     assert state(store)[1] == [("claude:a", "second"), ("claude:c", "third")]
