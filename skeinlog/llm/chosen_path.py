@@ -4,6 +4,9 @@ Each run splits the sets recursively on sampled shared tokens: a set stays toget
 and it chooses 1 / threshold tokens on average at every step, by a hash that depends on the path alone. Small buckets are compared by brute force;
 only larger ones are split again. Runs are repeated until the chance to miss a pair at the threshold is below 1 - recall.
 
+Splits don't separate near copies. So every set of a large bucket is first compared with a few pivots of the bucket: a set that is similar to one of them is
+settled there, since whatever is similar to the set is similar enough to that pivot to be connected with it. Only the others are split.
+
 Buckets are compared by small sketches first, which connects sets that may reach the threshold; the connected sets are then compared
 whole with each other, by 40-bit shingle hashes in blocks, so that a large group is spread over many tasks and only counts and one link per set leave them.
 """
@@ -18,7 +21,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, gram_hashes, map_batches, mix, numbered, release, written
+from .common import WordHashes, map_batches, mix, numbered, release, run_hashes, written
 
 THRESHOLD = 0.8
 SHINGLE = 5
@@ -27,6 +30,7 @@ DEPTH = 4
 BUCKET = 200
 SKETCH = 32
 BLOCK = 256
+PIVOTS = 16
 
 
 def runs_needed(threshold: float, recall: float, depth: int) -> int:
@@ -43,12 +47,12 @@ def runs_needed(threshold: float, recall: float, depth: int) -> int:
 
 def shingles(words: np.ndarray, n: int) -> np.ndarray:
     """Sorted distinct shingle hashes; a shorter text is one shingle, one without words none."""
-    return np.unique(gram_hashes(words, min(n, len(words)))) if len(words) else np.zeros(0, np.uint64)
+    return np.unique(run_hashes(words, min(n, len(words)))) if len(words) else np.zeros(0, np.uint64)
 
 
-def chosen(tokens: np.ndarray, path: int, threshold: float) -> np.ndarray:
-    """The paths that continue ``path`` with the tokens a set chooses there."""
-    h = mix(tokens ^ mix(np.array([path], np.uint64))[0])
+def chosen(tokens: np.ndarray, paths: np.ndarray, threshold: float) -> np.ndarray:
+    """The paths that continue each of ``paths`` with the tokens a set chooses there."""
+    h = mix(tokens ^ mix(paths)[:, None])
     share = 1 / (threshold * max(1, len(tokens)))
     return mix(h[h <= np.uint64(min(share, 1.0) * (2**64 - 2**12))])
 
@@ -78,6 +82,19 @@ def may_reach(a: np.ndarray, b: np.ndarray, threshold: float) -> bool:
     return both >= (threshold - 4 * np.sqrt(threshold * (1 - threshold) / max(1, union))) * union
 
 
+def likeness(sketches: list[bytes], pivot: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """For every sketch: its common hashes with that of a pivot, and the hashes of both, up to the place that both reach."""
+    size = np.array([len(s) // 4 for s in sketches])
+    data = np.full((len(sketches), SKETCH), 2**33, np.int64)
+    data[np.arange(SKETCH) < size[:, None]] = np.frombuffer(b"".join(sketches), "<u4")
+    of = np.frombuffer(pivot, "<u4").astype(np.int64)
+    ends = np.where(size == SKETCH, data[:, -1], 2**32 - 1)
+    top = np.minimum(ends, of[-1] if len(of) == SKETCH else 2**32 - 1)
+    seen = data <= top[:, None]
+    both = (np.isin(data, of) & seen).sum(1)
+    return both, seen.sum(1) + np.searchsorted(of, top, "right") - both
+
+
 class Links:
     """Union-find over a few members."""
 
@@ -152,6 +169,50 @@ def components(edges: DataFrame, label: str) -> DataFrame:
             return labels.withColumnRenamed("a", "k")
 
 
+def settled(hot: DataFrame, sketches: DataFrame, threshold: float) -> DataFrame:
+    """(path, a, b) from the members (path, ref) of large buckets: a connection of a and b, or a set a that stays in its bucket, where b is null.
+
+    A set stays unless it is a pivot or its sketch says that it is similar to one. It is connected with all pivots that may be similar to it, so a set that leaves
+    loses none of its links: J(y, p) >= J(y, a) + J(a, p) - 1. Connections that follow from others of the same batch are left out.
+    """
+    dealt = hot.select("path", "ref", F.pmod(F.xxhash64("path", "ref"), F.lit(PIVOTS)).alias("slot"))
+    pivots = dealt.groupBy("path", "slot").agg(F.min("ref").alias("ref")).join(sketches, "ref")
+    pivots = pivots.groupBy("path").agg(F.sort_array(F.collect_list(F.struct("ref", "sketch"))).alias("pivots"))
+    # a copy of the pivots for every slot, so that the members of one bucket are read by several tasks
+    pivots = pivots.withColumn("slot", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(PIVOTS - 1).cast("bigint"))))
+    rows = dealt.join(sketches, "ref").join(pivots, ["path", "slot"]).select("path", "ref", "sketch", "pivots")
+
+    def compare(batch: pa.RecordBatch) -> dict:
+        path, ref, sketch = batch.column("path").to_numpy(), batch.column("ref").to_numpy(), batch.column("sketch").to_pylist()
+        numbers: dict[int, int] = {}
+        stay, pairs = [], []
+        order = np.argsort(path, kind="stable")
+        for at in np.split(order, np.flatnonzero(np.diff(path[order])) + 1):
+            some, leaves = [sketch[i] for i in at], np.zeros(len(at), bool)
+            for pivot in batch.column("pivots")[int(at[0])].as_py():
+                both, union = likeness(some, pivot["sketch"])
+                leaves |= (both >= threshold * union) | (ref[at] == pivot["ref"])
+                may = both >= (threshold - 4 * np.sqrt(threshold * (1 - threshold) / np.maximum(1, union))) * union
+                pairs += [(int(a), pivot["ref"]) for a in ref[at[may]] if a != pivot["ref"]]
+            stay.append(at[~leaves])
+        for pair in pairs:
+            for x in pair:
+                numbers.setdefault(x, len(numbers))
+        links, kept = Links(len(numbers)), []
+        for a, b in pairs:
+            if links.root(numbers[a]) != links.root(numbers[b]):
+                links.join(numbers[a], numbers[b])
+                kept.append((a, b))
+        open_rows = np.concatenate(stay)
+        return {
+            "path": [*path[open_rows].tolist(), *[None] * len(kept)],
+            "a": [*ref[open_rows].tolist(), *[a for a, _ in kept]],
+            "b": [*[None] * len(open_rows), *[b for _, b in kept]],
+        }
+
+    return map_batches(rows, "path long, a long, b long", lambda: compare)
+
+
 def overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
     """Numbers of common tokens of each set of a and each of b."""
     tokens, at = np.unique(np.concatenate(a + b), return_inverse=True)
@@ -171,27 +232,34 @@ def overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
 def joined(source: DataFrame, threshold: float = THRESHOLD, shingle: int = SHINGLE, recall: float = RECALL, bucket: int = BUCKET, depth: int = DEPTH) -> DataFrame:
     """(_ref, id, k, group, n_links): one row per row of ``source``, a table (_ref, _id, _text) of numbered rows; k is the text's digest.
     """
-    seeds = [int(x) for x in mix(np.arange(1, runs_needed(threshold, recall, depth) + 1).astype(np.uint64))]
+    seeds = mix(np.arange(1, runs_needed(threshold, recall, depth) + 1).astype(np.uint64))
     keyed = source.withColumn("k", F.unhex(F.md5("_text")))
 
     def first():
         hashes = WordHashes()
 
         def split(batch: pa.RecordBatch) -> dict:
-            paths = []
+            paths, sketches = [], []
             for text in batch.column("_text").to_pylist():
                 tokens = shingles(hashes.of(text.split()), shingle)
-                paths.append(np.unique(np.concatenate([chosen(tokens, seed, threshold) for seed in seeds])).view(np.int64))
-            return {"k": batch.column("k"), "ref": batch.column("_ref"), "paths": paths}
+                paths.append(np.unique(chosen(tokens, seeds, threshold)).view(np.int64))
+                sketches.append(sketch(tokens))
+            return {"k": batch.column("k"), "ref": batch.column("_ref"), "paths": paths, "sketch": sketches}
 
         return split
 
     # one row per text: equal texts choose equal paths, and the least of their rows stands for them from here on
-    unique = written(map_batches(keyed.select("k", "_ref", "_text"), "k binary, ref long, paths array<long>", first).groupBy("k").agg(F.min("ref").alias("ref"), F.first("paths").alias("paths")), "paths-1")
+    unique = written(map_batches(keyed.select("k", "_ref", "_text"), "k binary, ref long, paths array<long>, sketch binary", first).groupBy("k").agg(F.min("ref").alias("ref"), F.first("paths").alias("paths"), F.first("sketch").alias("sketch")), "paths-1")
+    sketches = unique.select("ref", "sketch")
     nodes = unique.select(F.explode("paths").alias("path"), "ref")
     shared = written(nodes.join(nodes.groupBy("path").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "path"), "shared-1")
+    pivoted = written(settled(shared.where(F.col("n") > bucket), sketches, threshold), "pivoted")
+    stay = pivoted.where("b IS NULL").select("path", F.col("a").alias("ref"))
+    left = stay.join(stay.groupBy("path").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "path")
+    left = written(shared.where(F.col("n") <= bucket).select("path", "ref", "n").unionByName(left), "left-1")
     # a set has few paths, so the list of those that are split again is short
-    active = shared.groupBy("ref").agg(F.collect_list(F.when(F.col("n") > bucket, F.col("path"))).alias("large"))
+    again = left.where(F.col("n") > bucket).groupBy("ref").agg(F.collect_list("path").alias("large"))
+    active = shared.select("ref").distinct().join(again, "ref", "left").withColumn("large", F.coalesce("large", F.array().cast("array<long>")))
 
     def shrink():
         press = zstandard.ZstdCompressor(level=3).compress
@@ -201,32 +269,31 @@ def joined(source: DataFrame, threshold: float = THRESHOLD, shingle: int = SHING
         hashes, unpress = WordHashes(), zstandard.ZstdDecompressor().decompress
 
         def made(batch: pa.RecordBatch) -> dict:
-            tokens, sketches, deeper = [], [], []
+            tokens, deeper = [], []
             for data, large in zip(batch.column("_text").to_pylist(), batch.column("large").to_pylist(), strict=True):
                 found = shingles(hashes.of(unpress(data).decode().split()), shingle)
                 tokens.append(narrow(found))
-                sketches.append(sketch(found))
                 paths, rows = large, []
                 for level in range(2, depth + 1):
-                    split = [(p, q) for p in paths for q in chosen(found, p & (2**64 - 1), threshold).view(np.int64).tolist()]
+                    split = [(p, q) for p in paths for q in chosen(found, np.array([p]).view(np.uint64), threshold).view(np.int64).tolist()]
                     rows += [{"level": level, "parent": p, "path": q} for p, q in split]
                     paths = [q for _, q in split]
                 deeper.append(rows)
-            return {"ref": batch.column("_ref"), "tokens": tokens, "sketch": sketches, "deeper": deeper}
+            return {"ref": batch.column("_ref"), "tokens": tokens, "deeper": deeper}
 
         return made
 
     # joined in the same way at every size: what is broadcast on small tables would not be on large ones
     pressed = map_batches(source.select("_ref", "_text"), "_ref long, _text binary", shrink)
     texts = pressed.join(active.withColumnRenamed("ref", "_ref").hint("merge"), "_ref").select("_ref", "_text", "large")
-    sets = written(map_batches(texts, "ref long, tokens binary, sketch binary, deeper array<struct<level: int, parent: long, path: long>>", sets_of), "sets")
+    sets = written(map_batches(texts, "ref long, tokens binary, deeper array<struct<level: int, parent: long, path: long>>", sets_of), "sets")
     del nodes, pressed, texts, active
     release(source.sparkSession)
 
     # the paths of all deeper splits were made while the tokens were at hand; a level counts where its parent is still large
     splits = sets.select("ref", F.explode("deeper").alias("d")).select("d.level", "d.parent", "d.path", "ref")
-    leaves = shared.where(F.col("n") <= bucket).select("path", "ref")
-    large = shared.where(F.col("n") > bucket).select("path", "ref")
+    leaves = left.where(F.col("n") <= bucket).select("path", "ref")
+    large = left.where(F.col("n") > bucket).select("path", "ref")
     for level in range(2, depth + 1):
         nodes = splits.where(F.col("level") == level).join(large.select(F.col("path").alias("parent")).distinct(), "parent", "left_semi").select("path", "ref")
         shared = written(nodes.join(nodes.groupBy("path").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "path"), f"shared-{level}")
@@ -241,10 +308,10 @@ def joined(source: DataFrame, threshold: float = THRESHOLD, shingle: int = SHING
                     links.join(i, j)
         return ((r[1], rows[links.root(i)][1]) for i, r in enumerate(rows) if links.root(i) != i)
 
-    maybe = groups(leaves.join(sets.select("ref", "sketch"), "ref").select("path", "ref", "sketch"), ["path"], "a long, b long", connect)
+    maybe = groups(leaves.join(sketches, "ref").select("path", "ref", "sketch"), ["path"], "a long, b long", connect)
     # what still is large after the last split is compared exactly as a whole, in blocks
     rest = large.join(large.groupBy("path").agg(F.min("ref").alias("b")), "path").where("ref <> b").select(F.col("ref").alias("a"), "b")
-    near = components(maybe.unionByName(rest).distinct(), "maybe").withColumnRenamed("k", "ref")
+    near = components(maybe.unionByName(rest).unionByName(pivoted.where("b IS NOT NULL").select("a", "b")).distinct(), "maybe").withColumnRenamed("k", "ref")
     release(source.sparkSession)
 
     blocks = near.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).cast("int").alias("blocks"))

@@ -89,6 +89,22 @@ def gram_hashes(words: np.ndarray, n: int, seed: int = 0) -> np.ndarray:
     return out
 
 
+def run_hashes(words: np.ndarray, n: int, seed: int = 0) -> np.ndarray:
+    """Hash of every run of n consecutive word hashes, put together from those of runs of 1, 2, 4, ... words."""
+    m = len(words) - n + 1
+    if m <= 0:
+        return np.zeros(0, np.uint64)
+    power, length, out, done = mix(words ^ np.uint64(0x9E3779B97F4A7C15 + seed)), 1, None, 0
+    while True:
+        if n & length:
+            out = power[:m] if out is None else mix(out * np.uint64(3) + power[done : done + m])
+            done += length
+        if 2 * length > n:
+            return out
+        power = mix(power[:-length] * np.uint64(3) + power[length:])
+        length *= 2
+
+
 def signed(x: np.ndarray) -> np.ndarray:
     """64-bit hashes as Spark's signed longs."""
     return x.view(np.int64)
