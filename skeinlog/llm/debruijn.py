@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WordHashes, gram_hashes, map_batches, mix, numbered, release, written
+from .common import WordHashes, map_batches, mix, numbered, release, run_hashes, written
 from .suffixes import covered
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -33,12 +33,12 @@ def paths(words: np.ndarray, k: int, gram: int) -> tuple[np.ndarray, np.ndarray,
     n = len(words) - k + 1
     if n <= 0:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    grams = gram_hashes(words, gram)
+    grams = run_hashes(words, gram)
     width = k - gram + 1
     at = np.lib.stride_tricks.sliding_window_view(grams, width).argmin(1) + np.arange(n)
     first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
     count = np.diff(np.append(first, n))
-    mers = gram_hashes(words, k, seed=1)
+    mers = run_hashes(words, k, seed=1)
     digest = mix(mers[first] * np.uint64(3) + mers[first + count - 1]) + count.astype(np.uint64)
     return grams[at[first]], first, count, digest
 
@@ -59,15 +59,14 @@ def repeated_words(docs: DataFrame, k: int = K, gram: int = GRAM, id_col: str =
         hashes = WordHashes()
 
         def compacted(batch: pa.RecordBatch) -> dict:
-            refs, ids, names, digests, places = [], [], [], [], []
-            for ref, doc, text in zip(batch.column("_ref").to_pylist(), batch.column("_id").to_pylist(), batch.column("_text").to_pylist(), strict=True):
+            names, digests, places = [], [], []
+            for text in batch.column("_text").to_pylist():
                 name, first, count, digest = paths(hashes.of(split_words(text)), k, gram)
                 names.append(name)
                 digests.append(digest)
                 places.append((first << 8) | count)
-                refs.append(np.full(len(name), ref))
-                ids += [doc] * len(name)
-            return {"_ref": np.concatenate(refs), "_id": ids, "name": np.concatenate(names).view(np.int64), "path": np.concatenate(digests).view(np.int64), "place": np.concatenate(places)}
+            row = np.repeat(np.arange(batch.num_rows), [len(x) for x in names])
+            return {"_ref": batch.column("_ref").take(row), "_id": batch.column("_id").take(row), "name": np.concatenate(names).view(np.int64), "path": np.concatenate(digests).view(np.int64), "place": np.concatenate(places)}
 
         return compacted
 
@@ -84,23 +83,23 @@ def repeated_words(docs: DataFrame, k: int = K, gram: int = GRAM, id_col: str =
     del joined, edges
     release(spark)
 
-    texts = source.repartition("_ref")
+    # the filter, which an inner join would add by itself, makes both joins read the same exchange
+    texts = source.where("_ref IS NOT NULL").repartition("_ref")
     branches = found.where("branched AND NOT repeated").groupBy("_ref").agg(F.collect_list("place").alias("places"))
 
     def reopen():
         hashes = WordHashes()
 
         def opened(batch: pa.RecordBatch) -> dict:
-            refs, ids, x, y, starts = [], [], [], [], []
-            for ref, doc, text, places in zip(*(batch.column(c).to_pylist() for c in ("_ref", "_id", "_text", "places")), strict=True):
+            x, y, starts = [], [], []
+            for text, places in zip(batch.column("_text").to_pylist(), batch.column("places").to_pylist(), strict=True):
                 words = hashes.of(split_words(text))
                 at = np.flatnonzero(covered(len(words) - k + 1, [(p >> 8, (p >> 8) + (p & 255)) for p in places]))
-                x.append(gram_hashes(words, k, seed=1)[at])
-                y.append(gram_hashes(words, k, seed=2)[at])
+                x.append(run_hashes(words, k, seed=1)[at])
+                y.append(run_hashes(words, k, seed=2)[at])
                 starts.append(at)
-                refs.append(np.full(len(at), ref))
-                ids += [doc] * len(at)
-            return {"_ref": np.concatenate(refs), "_id": ids, "x": np.concatenate(x).view(np.int64), "y": np.concatenate(y).view(np.int64), "start": np.concatenate(starts)}
+            row = np.repeat(np.arange(batch.num_rows), [len(s) for s in starts])
+            return {"_ref": batch.column("_ref").take(row), "_id": batch.column("_id").take(row), "x": np.concatenate(x).view(np.int64), "y": np.concatenate(y).view(np.int64), "start": np.concatenate(starts)}
 
         return opened
 
