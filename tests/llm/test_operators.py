@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from skeinlog.llm import chosen_path, debruijn, decontamination, language_id, packing, quality, queries, spotsigs, suffixes, surrogates, token_counts
-from skeinlog.llm.common import written
+from skeinlog.llm.common import mix, run_hashes, written
 
 SMALL = "/root/testdata/sf0.001"
 KEY = b"test"
@@ -247,6 +247,29 @@ def test_join_equals_brute_force_with_large_groups(spark):
     assert chosen_path.one_of_each(docs, bucket=40).where("doc_id >= 300").count() == 60
 
 
+def test_likeness_to_a_pivot_equals_sets():
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 60, n).astype(np.uint64)) for n in (1, 5, 20, 60, 90, 200)]
+    sketches = [chosen_path.sketch(s) for s in sets]
+    for pivot in sketches:
+        p = np.frombuffer(pivot, "<u4")
+        both, union = chosen_path.likeness(sketches, pivot)
+        for i, s in enumerate(sketches):
+            x = np.frombuffer(s, "<u4")
+            top = min([v[-1] for v in (x, p) if len(v) == chosen_path.SKETCH], default=2**32 - 1)
+            a, b = set(x[x <= top].tolist()), set(p[p <= top].tolist())
+            assert (both[i], union[i]) == (len(a & b), len(a | b))
+
+
+def test_run_hashes_depend_on_the_run_alone():
+    words = mix(np.arange(40).astype(np.uint64))
+    for n in (1, 2, 3, 5, 8, 13):
+        whole = run_hashes(words, n)
+        assert len(whole) == 41 - n == len(set(whole.tolist())) and not set(whole.tolist()) & set(run_hashes(words, n, seed=1).tolist())
+        assert all(run_hashes(words[i : i + n], n)[0] == whole[i] for i in range(41 - n))
+    assert len(run_hashes(words[:4], 5)) == 0
+
+
 def test_join_on_odd_rows(odd, none):
     got = chosen_path.near_duplicates(odd).collect()
     assert len(got) == 12 and {r.class_id for r in got if r.doc_id in (5, 6, 7)} == {5} and {r.n_links for r in got if r.doc_id in (5, 6, 7)} == {1}
