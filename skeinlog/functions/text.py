@@ -140,11 +140,16 @@ def highlight(text: Column, query: str) -> Column:
 
 
 def human_bytes(n: Column) -> Column:
+    """Size in the largest unit it reaches; ties of the one decimal go to the even digit."""
     kb, mb, gb = 1024.0, 1024.0**2, 1024.0**3
+
+    def shown(unit: float) -> Column:
+        return F.bround(n / F.lit(unit), 1)
+
     return (
-        F.when(n >= gb, F.format_string("%.1f GB", n / F.lit(gb)))
-        .when(n >= mb, F.format_string("%.1f MB", n / F.lit(mb)))
-        .when(n >= kb, F.format_string("%.1f KB", n / F.lit(kb)))
+        F.when(n >= gb, F.format_string("%.1f GB", shown(gb)))
+        .when(n >= mb, F.format_string("%.1f MB", shown(mb)))
+        .when(n >= kb, F.format_string("%.1f KB", shown(kb)))
         .otherwise(F.concat(n.cast("string"), F.lit(" B")))
     )
 

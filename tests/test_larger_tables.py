@@ -1,5 +1,9 @@
 """Registered queries on tables that the small copies do not show: late sessions, long first lines, sizes over a gigabyte."""
 
+from pyspark.sql import functions as F
+
+from skeinlog.functions import text as X
+from workload import area_corpus
 from workload.compare import compare
 from workload.registry import oracles, queries
 
@@ -30,3 +34,20 @@ def test_a_workflow_is_found_by_a_word_behind_the_shown_description(spark, tmp_p
     assert got == {"x4", "x124"}
     _, problems = differences(spark, connected(tmp_path, "documents"), "workflow_filter", str(tmp_path))
     assert not problems, problems
+
+
+def test_sizes_over_a_gigabyte_are_shown_as_such(spark, monkeypatch):
+    import duckdb
+
+    docs = spark.range(1200).select(F.col("id").alias("doc_id"), F.repeat(F.lit("x"), F.lit(1_500_000)).alias("text"))
+    monkeypatch.setattr(area_corpus, "table", lambda *_: docs)
+    con = duckdb.connect()
+    con.execute("CREATE VIEW documents AS SELECT range AS doc_id, repeat('x', 1500000) AS text FROM range(1200)")
+    rows, problems = differences(spark, con, "storage_stats", "unused")
+    assert rows == 4 and not problems, problems
+
+
+def test_ties_of_the_shown_decimal_go_to_the_even_digit(spark):
+    sizes = [1023, 1280, 1792, 1024 * 1024 + 256 * 1024, 5 * 2**28]
+    rows = spark.createDataFrame([(n,) for n in sizes], "n bigint").select(X.human_bytes(F.col("n")).alias("s")).collect()
+    assert [r.s for r in rows] == ["1023 B", "1.2 KB", "1.8 KB", "1.2 MB", "1.2 GB"]

@@ -271,7 +271,8 @@ def archive_tags(spark, sf_dir):
 @area.query(
     "storage_stats",
     LISTING
-    + """SELECT tree, count(*) AS files, sum(size)::BIGINT AS bytes, CASE WHEN sum(size) >= 1048576 THEN printf('%.1f MB', sum(size) / 1048576.0)
+    + """SELECT tree, count(*) AS files, sum(size)::BIGINT AS bytes, CASE WHEN sum(size) >= 1073741824 THEN printf('%.1f GB', sum(size) / 1073741824.0)
+      WHEN sum(size) >= 1048576 THEN printf('%.1f MB', sum(size) / 1048576.0)
       WHEN sum(size) >= 1024 THEN printf('%.1f KB', sum(size) / 1024.0) ELSE sum(size) || ' B' END AS size_human
     FROM (SELECT coalesce(archive, 'live') AS tree, size, path FROM l) WHERE NOT starts_with(path, '/h/live/projects/-w-p3/') GROUP BY 1""",
 )
