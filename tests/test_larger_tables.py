@@ -51,3 +51,10 @@ def test_ties_of_the_shown_decimal_go_to_the_even_digit(spark):
     sizes = [1023, 1280, 1792, 1024 * 1024 + 256 * 1024, 5 * 2**28]
     rows = spark.createDataFrame([(n,) for n in sizes], "n bigint").select(X.human_bytes(F.col("n")).alias("s")).collect()
     assert [r.s for r in rows] == ["1023 B", "1.2 KB", "1.8 KB", "1.2 MB", "1.2 GB"]
+
+
+def test_open_texts_of_late_sessions_are_given_out(spark, tmp_path):
+    small = spark.read.parquet("/root/testdata/sf0.001/conversations.parquet")
+    written(small.withColumn("conv_id", F.col("conv_id") + 60_000), "conversations", tmp_path)
+    _, problems = differences(spark, connected(tmp_path, "conversations"), "stream_turns_of_quiet_sessions", str(tmp_path))
+    assert not problems, problems

@@ -119,10 +119,12 @@ def stream_turns_of_quiet_sessions(spark, sf_dir):
     """The stream stops in the middle of messages and goes on with other sessions; texts that stay open are given out, later lines stand for themselves."""
     path = scratch_path(spark, "turns")
     lines = fixture_a.lines(spark, sf_dir)
-    last = "2031-01-01T00:00:00Z"
-    later = lines.limit(1).select(
+    # two quiet intervals after the newest line, whatever the number of conversations; an empty table has no later session
+    newest = table(spark, sf_dir, "conversations").agg(F.max(fixture_a.stamp(F.col("conv_id"), F.col("turn"))).alias("ts")).where("ts is not null")
+    last = F.date_format(F.to_timestamp("ts") + F.expr("interval 60 days"), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    later = newest.select(
         F.lit("later").alias("session_id"), F.lit(0).cast("bigint").alias("chunk"), F.lit(0).cast("bigint").alias("off"),
-        F.lit('{"type":"assistant","timestamp":"' + last + '","message":{"role":"assistant","stop_reason":"end_turn","content":[]}}').alias("line"),
+        F.concat(F.lit('{"type":"assistant","timestamp":"'), last, F.lit('","message":{"role":"assistant","stop_reason":"end_turn","content":[]}}')).alias("line"),
     )
     for part in (lines.where("off <= 30"), later, lines.where("off > 30")):
         part.write.mode("append").parquet(f"{path}/in")
