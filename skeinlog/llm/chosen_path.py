@@ -154,19 +154,34 @@ def groups(df: DataFrame, key: list[str], schema: str, f) -> DataFrame:
 
 
 def components(edges: DataFrame, label: str) -> DataFrame:
-    """(k, root): the least member that each end of the edges is connected with. Labels spread to neighbours and jump to their label's label."""
-    both = written(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), f"{label}-edges")
-    labels = written(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("root")), f"{label}-0")
-    step = 0
-    while True:
+    """(k, root): the least member that each end of the edges is connected with.
+
+    Every member takes the least of its neighbours, follows their choices to the end, and each set of members that end at one becomes that one. Only edges between
+    different ones are kept, so a round reads what the last one left open.
+    """
+    edges = written(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct(), f"{label}-edges")
+    roots, step = None, 0
+    while not edges.isEmpty():
         step += 1
-        near = both.join(labels.select(F.col("a").alias("b"), F.col("root")), "b").groupBy("a").agg(F.min("root").alias("near"))
-        spread = labels.join(near, "a").select("a", F.least("root", "near").alias("next"), "root")
-        jump = spread.join(labels.select(F.col("a").alias("next"), F.col("root").alias("over")), "next", "left")
-        new = written(jump.select("a", F.least("next", F.coalesce("over", "next")).alias("root"), (F.least("next", F.coalesce("over", "next")) != F.col("root")).alias("moved")), f"{label}-{step}")
-        labels = new.select("a", "root")
-        if not new.where("moved").limit(1).count():
-            return labels.withColumnRenamed("a", "k")
+        ends = edges.select(F.col("b").alias("k"), F.col("a").alias("root")).unionByName(edges.select(F.col("a").alias("k"), F.col("a").alias("root")))
+        ends = ends.unionByName(edges.select(F.col("a").alias("k"), F.col("b").alias("root"))).groupBy("k").agg(F.min("root").alias("root"))
+        found, jump = written(ends, f"{label}-{step}"), 0
+        while True:
+            jump += 1
+            over = found.select(F.col("k").alias("root"), F.col("root").alias("over"))
+            new = written(found.join(over, "root").select("k", F.col("over").alias("root"), (F.col("over") != F.col("root")).alias("moved")), f"{label}-{step}-{jump}")
+            found = new.select("k", "root")
+            if not new.where("moved").limit(1).count():
+                break
+        if roots is None:
+            roots = found
+        else:
+            later = found.select(F.col("k").alias("root"), F.col("root").alias("over"))
+            roots = written(roots.join(later, "root", "left").select("k", F.coalesce("over", "root").alias("root")), f"{label}-roots-{step}")
+        low, high = found.select(F.col("k").alias("a"), F.col("root").alias("x")), found.select(F.col("k").alias("b"), F.col("root").alias("y"))
+        open_edges = edges.join(low, "a").join(high, "b").where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+        edges = written(open_edges.distinct(), f"{label}-edges-{step}")
+    return edges.select(F.col("a").alias("k"), F.col("b").alias("root")) if roots is None else roots
 
 
 def settled(hot: DataFrame, sketches: DataFrame, threshold: float) -> DataFrame:
@@ -290,15 +305,20 @@ def joined(source: DataFrame, threshold: float = THRESHOLD, shingle: int = SHING
     del nodes, pressed, texts, active
     release(source.sparkSession)
 
-    # the paths of all deeper splits were made while the tokens were at hand; a level counts where its parent is still large
+    # the paths of all deeper splits were made while the tokens were at hand; a level counts where its parent is still large. That is settled by one row per
+    # path, so the members of large buckets are not read again at every level
     splits = sets.select("ref", F.explode("deeper").alias("d")).select("d.level", "d.parent", "d.path", "ref")
+    sizes = written(splits.groupBy("level", "parent", "path").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "sizes")
     leaves = left.where(F.col("n") <= bucket).select("path", "ref")
     large = left.where(F.col("n") > bucket).select("path", "ref")
-    for level in range(2, depth + 1):
-        nodes = splits.where(F.col("level") == level).join(large.select(F.col("path").alias("parent")).distinct(), "parent", "left_semi").select("path", "ref")
-        shared = written(nodes.join(nodes.groupBy("path").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "path"), f"shared-{level}")
-        leaves = leaves.unionByName(shared.where(F.col("n") <= bucket).select("path", "ref"))
-        large = shared.where(F.col("n") > bucket).select("path", "ref")
+    if depth > 1:
+        # a bucket holds all sets of the buckets it is split into, so where it is large, those above it are as well
+        above = sizes.where(F.col("n") > bucket).select((F.col("level") + 1).alias("level"), F.col("path").alias("parent"))
+        few = sizes.where(F.col("n") <= bucket)
+        few = few.where("level = 2").unionByName(few.where("level > 2").join(above, ["level", "parent"], "left_semi")).select("level", "path")
+        leaves = leaves.unionByName(splits.join(few, ["level", "path"]).select("path", "ref"))
+        last = sizes.where((F.col("n") > bucket) & (F.col("level") == depth)).select("level", "path")
+        large = splits.join(last, ["level", "path"]).select("path", "ref")
 
     def connect(rows: list[tuple]) -> Iterator[tuple]:
         sketches, links = [np.frombuffer(r[2], "<u4") for r in rows], Links(len(rows))

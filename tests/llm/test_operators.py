@@ -247,6 +247,21 @@ def test_join_equals_brute_force_with_large_groups(spark):
     assert chosen_path.one_of_each(docs, bucket=40).where("doc_id >= 300").count() == 60
 
 
+def test_components_equal_union_find_and_drop_joined_edges(spark, monkeypatch):
+    rng = np.random.default_rng(11)
+    pairs = [(1, i) for i in range(2, 60)] + [(i, i + 1) for i in range(100, 160)] + [(i + 1, i) for i in range(200, 230)]
+    pairs += [tuple(p) for p in rng.integers(300, 420, (90, 2)).tolist()] + [(7, 7), (900, 900)]
+    links = chosen_path.Links(1000)
+    for a, b in pairs:
+        links.join(a, b)
+    sizes, plain = {}, chosen_path.written
+    monkeypatch.setattr(chosen_path, "written", lambda df, label: sizes.__setitem__(label, (made := plain(df, label)).count()) or made)
+    got = {r.k: r.root for r in chosen_path.components(spark.createDataFrame(pairs, "a long, b long"), "c").collect()}
+    assert got == {k: links.root(k) for k in {x for a, b in pairs if a != b for x in (a, b)}}
+    # edges within what is joined already are not read again
+    assert sizes["c-edges-1"] < sizes["c-edges"] / 5
+
+
 def test_likeness_to_a_pivot_equals_sets():
     rng = np.random.default_rng(3)
     sets = [np.unique(rng.integers(0, 60, n).astype(np.uint64)) for n in (1, 5, 20, 60, 90, 200)]
