@@ -17,6 +17,9 @@ from pyspark.sql import functions as F
 from skeinlog.session import cut_lineage
 
 CHUNK_ROWS = 65_536
+# slices of one key at most: their bounds are searched for every row, so they must not grow with the key
+SLICES = 1024
+BLOCK = 32
 
 
 def with_chunk(df: DataFrame, position: str, width: int = CHUNK_ROWS) -> DataFrame:
@@ -132,7 +135,7 @@ def row_position(df: DataFrame, keys: Sequence[str], order: Sequence[str], out:
 
 
 def equal_depth_chunk(df: DataFrame, keys: Sequence[str], position: str, rows: int = CHUNK_ROWS, label: str = "depth") -> DataFrame:
-    """Add ``chunk``: slices of about ``rows`` rows in the order of the number ``position``; a key with fewer rows is one slice.
+    """Add ``chunk``: slices of about ``rows`` rows in the order of the number ``position``; a key with fewer rows is one slice, the longest key has ``SLICES`` larger ones.
 
     Slices of equal width follow the values, not the rows: a session with all rows on one day would be one slice. Here the bounds are quantiles
     of the key's own positions, from sketches that every task builds and Spark merges. A sketch may be merged in any order and the bounds
@@ -144,14 +147,22 @@ def equal_depth_chunk(df: DataFrame, keys: Sequence[str], position: str, rows: i
     if most <= rows:
         return df.withColumn("chunk", F.lit(0).cast("bigint"))
     hot = cut_lineage(counts.where(F.col("__n") > rows), f"{label}-counts")
-    slices = int(-(-most // rows))
+    slices = min(int(-(-most // rows)), SLICES)
     marks = [k / slices for k in range(1, slices)]
     some = df.select(*keys, position).join(hot.select(*keys), keys, "left_semi")
-    sketches = some.groupBy(*keys).agg(F.percentile_approx(position, marks, max(10_000, 20 * slices)).alias("__bounds"))
-    bounds = cut_lineage(sketches.join(hot, keys).select(*keys, F.array_distinct("__bounds").alias("__bounds")), f"{label}-bounds")
-    below = F.size(F.filter("__bounds", lambda b: b < F.col(position)))
-    chunk = F.when(F.col("__bounds").isNotNull(), below).otherwise(0).cast("bigint")
-    return df.join(bounds, keys, "left").withColumn("chunk", chunk).drop("__bounds")
+    sketches = some.groupBy(*keys).agg(F.percentile_approx(position, marks, max(10_000, 20 * slices)).alias("__all"))
+    # in blocks: the one a row falls into is found by their first bounds
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size("__all") - 1) / BLOCK).cast("int")), lambda k: F.slice("__all", k * BLOCK + 1, BLOCK))
+    bounds = sketches.join(hot, keys).select(*keys, F.array_distinct("__all").alias("__all")).select(*keys, blocks.alias("__bounds"))
+    bounds = cut_lineage(bounds.withColumn("__first", F.transform("__bounds", lambda b: b[0])), f"{label}-bounds")
+
+    def below(sorted_bounds: Column) -> Column:
+        return F.size(F.filter(sorted_bounds, lambda b: b < F.col(position)))
+
+    marked = df.join(bounds, keys, "left").withColumn("__block", below(F.col("__first")) - 1)
+    found = F.col("__block") * BLOCK + below(F.get("__bounds", F.col("__block")))
+    chunk = F.when(F.col("__block") >= 0, found).otherwise(0).cast("bigint")
+    return marked.withColumn("chunk", chunk).drop("__bounds", "__first", "__block")
 
 
 def first_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], n: int, rank: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from skeinlog.functions import text as X
+from skeinlog.operators import ordered
 from workload import area_corpus
 from workload.compare import compare
 from workload.registry import oracles, queries
@@ -58,3 +59,15 @@ def test_open_texts_of_late_sessions_are_given_out(spark, tmp_path):
     written(small.withColumn("conv_id", F.col("conv_id") + 60_000), "conversations", tmp_path)
     _, problems = differences(spark, connected(tmp_path, "conversations"), "stream_turns_of_quiet_sessions", str(tmp_path))
     assert not problems, problems
+
+
+def test_bounds_of_a_long_session_do_not_grow_with_it(spark, monkeypatch):
+    monkeypatch.setattr(ordered, "SLICES", 100, raising=False)
+    rows = spark.range(30_000).select(F.when(F.col("id") % 3 == 0, "few").otherwise("hot").alias("k"), F.expr("id * 7919 % 20011").alias("t"), F.lit("x").alias("o"))
+    cut = ordered.equal_depth_chunk(rows.where("k = 'hot' OR t < 3"), ["k"], "t", 10).collect()
+    slices = sorted((r.t, r.chunk) for r in cut if r.k == "hot")
+    assert all(x[1] <= y[1] for x, y in zip(slices, slices[1:], strict=False))
+    assert 90 <= len({c for _, c in slices}) <= 100
+    depth = [sum(c == s for _, c in slices) for s in {c for _, c in slices}]
+    assert max(depth) < 5 * len(slices) / 100
+    assert len(cut) == rows.where("k = 'hot' OR t < 3").count() and {r.chunk for r in cut if r.k == "few"} == {0}
