@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from skeinlog.functions import configs as C
 from skeinlog.functions import strings
 from skeinlog.functions import variants as V
-from skeinlog.operators.ordered import LastValue, ordered_scan, with_chunk
 from skeinlog.sources.files import read_whole
 
 SERVER_COLUMNS = ["path", "scope", "name", "transport", "command", "args", "env_keys", "enabled"]
@@ -105,19 +104,27 @@ def jsonc_servers(files: DataFrame) -> DataFrame:
 
 
 def _toml_lines(files: DataFrame) -> DataFrame:
-    """Key/value lines with the section they stand in, carried forward over the file."""
-    rows = files.select("path", "scope", F.posexplode(F.split("content", r"\r?\n")).alias("line_no", "raw"))
-    line = strings.trim(C.strip_toml_comment(F.col("raw")))
-    rows = with_chunk(rows.withColumn("line", line), "line_no")
-    is_section = F.col("line").startswith("[") & F.col("line").endswith("]")
-    section = F.when(is_section, strings.trim(F.regexp_extract("line", r"^\[(.*)\]$", 1)))
-    scanned = ordered_scan(rows, ["path"], ["line_no"], [LastValue("section", section)])
-    pairs = scanned.where(~is_section & F.col("line").contains("="))
+    """Key/value lines with the section they stand in. A file is one row, so it is cut at its section lines where it is read; no line is shuffled."""
+    lines = F.transform(F.split("content", r"\r?\n"), lambda raw: strings.trim(C.strip_toml_comment(raw)))
+    rows = files.where("content is not null").select("path", "scope", lines.alias("lines"))
+    numbers = F.sequence(F.lit(0), F.size("lines") - 1)
+    heads = F.filter(numbers, lambda i: F.get("lines", i).startswith("[") & F.get("lines", i).endswith("]"))
+    rows = rows.withColumn("heads", F.concat(F.array(F.lit(-1)), heads))
+
+    def part(head: Column, nth: Column) -> Column:
+        end = F.coalesce(F.get("heads", nth + 1), F.size("lines"))
+        name = F.when(head >= 0, strings.trim(F.regexp_extract(F.get("lines", head), r"^\[(.*)\]$", 1))).otherwise("")
+        return F.struct((head + 1).alias("at"), name.alias("section"), F.slice("lines", head + 2, end - head - 1).alias("body"))
+
+    # the outer forms, because Spark evaluates what the others explode a second time, to skip empty arrays early
+    parts = rows.select("path", "scope", F.explode_outer(F.transform("heads", part)).alias("p"))
+    scanned = parts.select("path", "scope", F.col("p.at").alias("at"), F.col("p.section").alias("section"), F.posexplode_outer("p.body").alias("nth", "line"))
+    pairs = scanned.where(F.col("line").contains("=")).withColumn("line_no", F.col("at") + F.col("nth"))
     return pairs.select(
         "path",
         "scope",
         "line_no",
-        F.coalesce("section", F.lit("")).alias("section"),
+        "section",
         F.btrim(strings.trim(F.substring_index("line", "=", 1)), F.lit("\"'")).alias("key"),
         strings.trim(F.regexp_extract("line", r"^[^=]*=(.*)$", 1)).alias("value"),
     )

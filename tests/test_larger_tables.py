@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from skeinlog.functions import text as X
 from skeinlog.operators import ordered
+from skeinlog.sources import configs
 from workload import area_corpus
 from workload.compare import compare
 from workload.registry import oracles, queries
@@ -71,3 +72,12 @@ def test_bounds_of_a_long_session_do_not_grow_with_it(spark, monkeypatch):
     depth = [sum(c == s for _, c in slices) for s in {c for _, c in slices}]
     assert max(depth) < 5 * len(slices) / 100
     assert len(cut) == rows.where("k = 'hot' OR t < 3").count() and {r.chunk for r in cut if r.k == "few"} == {0}
+
+
+def test_sections_of_config_files_need_no_shuffle(spark):
+    content = "a = 1 # [x]\r\n[ s1 ]\nb=2\n\n[s2] # note\n[]\nc = \"[x]\"\nd\n['s 3']\ne = 5\n[s4]"
+    files = spark.createDataFrame([("/f", "g", content), ("/f", "other", "x = 1"), ("/none", "g", None), ("/empty", "g", "")], "path string, scope string, content string")
+    rows = configs._toml_lines(files)
+    got = sorted((r.path, r.scope, r.line_no, r.section, r.key, r.value) for r in rows.collect())
+    assert got == [("/f", "g", 0, "", "a", "1"), ("/f", "g", 2, "s1", "b", "2"), ("/f", "g", 6, "", "c", '"[x]"'), ("/f", "g", 9, "'s 3'", "e", "5"), ("/f", "other", 0, "", "x", "1")]
+    assert "Exchange" not in rows._jdf.queryExecution().executedPlan().toString()
