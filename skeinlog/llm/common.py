@@ -21,10 +21,11 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def map_batches(df: DataFrame, schema: str, start: Callable[[], Callable[[pa.RecordBatch], dict]], finish: bool = False) -> DataFrame:
+def map_batches(df: DataFrame, schema: str, start: Callable[[], Callable[[pa.RecordBatch], dict]], finish: bool = False, rows: int | None = None) -> DataFrame:
     """Apply ``start()``, called once per task, to every Arrow batch; it returns the columns of ``schema`` by name.
 
-    With ``finish`` the function is called once more, with None, after the last batch of the task.
+    With ``finish`` the function is called once more, with None, after the last batch of the task. ``rows`` cuts batches into slices of so many, for functions that
+    return many rows for one.
     """
     struct = T._parse_datatype_string(schema)
     arrow = to_arrow_schema(struct)
@@ -36,8 +37,9 @@ def map_batches(df: DataFrame, schema: str, start: Callable[[], Callable[[pa.Rec
             return pa.RecordBatch.from_arrays([pa.array(columns[x.name], x.type) for x in arrow], schema=arrow)
 
         for batch in batches:
-            if batch.num_rows:
-                yield made(f(batch))
+            step = rows or max(1, batch.num_rows)
+            for at in range(0, batch.num_rows, step):
+                yield made(f(batch.slice(at, step)))
         if finish:
             yield made(f(None))
 

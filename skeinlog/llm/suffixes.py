@@ -26,6 +26,8 @@ PERIOD = 133
 MIN_LENGTH = 200
 # parts of a period whose strings are named by what all of them hold, before any string is named as a whole
 PARTS = 4
+# texts whose samples are held at once
+SLICE = 500
 SAMPLE = "_ref long, name long, around long, place int"
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
@@ -153,7 +155,7 @@ def repeated_spans(docs: DataFrame, min_length: int = MIN_LENGTH, period: int =
     source = numbered(docs, F.col(id_col).alias("_id"), F.coalesce(text_col, F.lit("")).alias("_text"))
     reach, inner = period - 1, -(-period // PARTS) - 1
 
-    found = written(named(map_batches(source.select("_ref", "_text"), SAMPLE, lambda: sampler(prefix, min_length, lambda n, _: cover_places(n, period, cover)))), "samples")
+    found = written(named(map_batches(source.select("_ref", "_text"), SAMPLE, lambda: sampler(prefix, min_length, lambda n, _: cover_places(n, period, cover)), rows=SLICE)), "samples")
     release(spark)
 
     def texts_at(places: DataFrame) -> DataFrame:
@@ -164,7 +166,7 @@ def repeated_spans(docs: DataFrame, min_length: int = MIN_LENGTH, period: int =
     def narrower(n: int, places: np.ndarray) -> np.ndarray:
         return np.unique(places[:, None] - (inner + 1) * np.arange(PARTS))
 
-    cores = map_batches(texts_at(found.where("open")), SAMPLE, lambda: sampler(min_length - inner, min_length, narrower))
+    cores = map_batches(texts_at(found.where("open")), SAMPLE, lambda: sampler(min_length - inner, min_length, narrower), rows=SLICE)
     closer = written(named(cores), "cores")
     del cores
     release(spark)
@@ -184,7 +186,7 @@ def repeated_spans(docs: DataFrame, min_length: int = MIN_LENGTH, period: int =
 
         return merged
 
-    substrings = map_batches(texts_at(closer.where("open")), "_ref long, x long, place long", merge)
+    substrings = map_batches(texts_at(closer.where("open")), "_ref long, x long, place long", merge, rows=SLICE)
     equal = Window.partitionBy("x", F.col("place").bitwiseAND(F.lit(0xFFFFFFFF)))
     repeated = substrings.repartition("x").withColumn("n", F.count(F.lit(1)).over(equal)).where("n > 1").select("_ref", F.shiftright("place", 32).alias("place"))
     # a mark is a place times three, plus the position of its reach to the left in this list

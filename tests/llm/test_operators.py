@@ -201,6 +201,16 @@ def test_repeated_words_equal_brute_force(spark, small):
     assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in got} == want
 
 
+def test_texts_with_many_samples_are_taken_in_slices(spark):
+    from skeinlog.llm.common import map_batches
+
+    rows = spark.range(0, 1203, 1, 1)
+    lengths = lambda: lambda batch: {"n": [batch.num_rows], "least": [batch.column("id")[0].as_py()]}
+    got = map_batches(rows, "n long, least long", lengths, rows=suffixes.SLICE).collect()
+    assert [(r.n, r.least) for r in got] == [(500, 0), (500, 500), (203, 1000)]
+    assert [r.n for r in map_batches(rows, "n long, least long", lengths).collect()] == [1203]
+
+
 def test_repeats_on_odd_rows(odd, none):
     by_bytes = suffixes.repeated_spans(odd).collect()
     assert sorted(r.n_bytes - r.n_removed for r in by_bytes if r.n_bytes > 300)[:4] == [0, 0, 0, 0]
