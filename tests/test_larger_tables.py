@@ -81,3 +81,11 @@ def test_sections_of_config_files_need_no_shuffle(spark):
     got = sorted((r.path, r.scope, r.line_no, r.section, r.key, r.value) for r in rows.collect())
     assert got == [("/f", "g", 0, "", "a", "1"), ("/f", "g", 2, "s1", "b", "2"), ("/f", "g", 6, "", "c", '"[x]"'), ("/f", "g", 9, "'s 3'", "e", "5"), ("/f", "other", 0, "", "x", "1")]
     assert "Exchange" not in rows._jdf.queryExecution().executedPlan().toString()
+
+
+def test_files_are_written_by_many_tasks(spark):
+    from workload.area_files import spread
+
+    rows = spark.range(200).select(F.col("id").cast("string").alias("home"), F.lit("n").alias("name"))
+    tasks = spread(rows, "home", "name").select(F.spark_partition_id().alias("p")).distinct().count()
+    assert tasks == int(spark.conf.get("spark.sql.shuffle.partitions"))

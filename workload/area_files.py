@@ -21,12 +21,17 @@ area = Area()
 EXPORTS = text_area.oracles
 
 
+def spread(rows: DataFrame, *columns: str) -> DataFrame:
+    """Rows dealt by their file over all shuffle partitions. Without the number Spark puts small partitions together by their bytes, and one task writes every file."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *columns)
+
+
 def write_transcripts(lines: DataFrame, root: str) -> None:
     """Every session as a file below ``projects/<slug>/`` or, a part of them, ``archives/<snapshot>/projects/<slug>/``; file names repeat across projects."""
     n = F.regexp_extract("session_id", r"(\d+)$", 1).cast("bigint")
     rows = lines.select((n % 7 == 6).alias("old"), F.concat(F.lit("-w-p"), (n % 5).cast("string")).alias("slug"), F.concat(F.lit("c"), F.floor(n / 5).cast("string"), F.lit(".jsonl")).alias("file"), "off", "line")
     for old, home in ((False, root), (True, f"{root}/archives/snap")):
-        one = rows.where("old" if old else "not old").repartition("slug", "file").sortWithinPartitions("slug", "file", "off")
+        one = spread(rows.where("old" if old else "not old"), "slug", "file").sortWithinPartitions("slug", "file", "off")
         one.select("slug", "file", "line").write.partitionBy("slug", "file").text(f"{home}/projects")
 
 
@@ -72,7 +77,7 @@ def content_manifest_diff(spark, sf_dir):
 
 def write_whole(rows: DataFrame, root: str) -> None:
     """``rows(home, name, content)`` as one file each."""
-    rows.repartition("home", "name").write.partitionBy("home", "name").text(root)
+    spread(rows, "home", "name").write.partitionBy("home", "name").text(root)
 
 
 @area.query(
@@ -89,7 +94,7 @@ def memories_from_files(spark, sf_dir):
         F.concat(F.lit("-work-p"), k).alias("home"), F.concat(F.lit("m"), k, F.lit(".md")).alias("name"), F.when(F.col("s_suppkey") % 2 == 0, headed).otherwise(body).alias("content")
     )
     root = scratch_path(spark, "memories")
-    rows.repartition("home", "name").withColumn("below", F.lit("memory")).write.partitionBy("home", "below", "name").text(f"{root}/projects")
+    spread(rows, "home", "name").withColumn("below", F.lit("memory")).write.partitionBy("home", "below", "name").text(f"{root}/projects")
     found = corpus.memories(corpus.read_markdown(spark, root))
     return found.select("project", "filename", "name", "description", F.regexp_replace("body", r"\n\z", "").alias("body"))
 
