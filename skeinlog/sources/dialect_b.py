@@ -549,10 +549,11 @@ def subagent_links(lines: DataFrame, tree: DataFrame) -> DataFrame:
     )
 
 
-def child_timeline(records_df: DataFrame, tree: DataFrame) -> DataFrame:
-    """Sub-agent records readable under their resolved root, at tool level."""
+def child_timeline(records_df: DataFrame, tree: DataFrame, *folded: Column) -> DataFrame:
+    """Sub-agent records readable under their resolved root, at tool level; ``folded`` aggregates give one row per file instead, folded before the join."""
     scope = tree.where("is_subagent and thread_id <> root_id").select("session_id", "root_id", "thread_id")
-    return records_df.where("level <> 'debug'").join(scope, "session_id")
+    shown = records_df.where("level <> 'debug'")
+    return (shown.groupBy("session_id").agg(*folded) if folded else shown).join(scope, "session_id")
 
 
 def search_hits(lines: DataFrame, query: str) -> DataFrame:

@@ -1,11 +1,12 @@
 """Registered queries on tables that the small copies do not show: late sessions, long first lines, sizes over a gigabyte."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from skeinlog.functions import text as X
 from skeinlog.operators import ordered
-from skeinlog.sources import configs
-from workload import area_corpus
+from skeinlog.sources import configs, dialect_b
+from workload import area_corpus, fixture_a, fixture_b, fixture_cd, fixture_h
 from workload.compare import compare
 from workload.registry import oracles, queries
 
@@ -89,3 +90,20 @@ def test_files_are_written_by_many_tasks(spark):
     rows = spark.range(200).select(F.col("id").cast("string").alias("home"), F.lit("n").alias("name"))
     tasks = spread(rows, "home", "name").select(F.spark_partition_id().alias("p")).distinct().count()
     assert tasks == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+@pytest.mark.parametrize("build", [fixture_a.lines, fixture_b.lines, fixture_cd.c_messages, fixture_cd.c_parts, fixture_cd.d_lines, fixture_h.lines])
+def test_lines_made_of_one_row_group_are_in_many_files(spark, build):
+    """One row group is one task, and the lines it makes would be one row group again."""
+    files = build(spark, "/root/testdata/sf0.001").select("_metadata.file_path").distinct().count()
+    assert files == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_records_folded_per_file_are_the_child_timeline(spark):
+    sf = "/root/testdata/sf0.001"
+    lines = fixture_b.lines(spark, sf)
+    recs, tree = dialect_b.records(lines), dialect_b.threads(dialect_b.identities(lines))
+    plain = dialect_b.child_timeline(recs, tree).groupBy("session_id", "root_id", "thread_id").agg(F.count("*").alias("n"))
+    folded = dialect_b.child_timeline(recs, tree, F.count("*").alias("n")).select(*plain.columns)
+    rows = sorted(folded.collect())
+    assert rows == sorted(plain.collect()) and len(rows) > 300

@@ -206,10 +206,10 @@ def envelope_records(spark, sf_dir):
     FROM r JOIN roots USING (id) JOIN e USING (id) WHERE level <> 'debug' AND sub AND id <> root_id GROUP BY 1, 2""",
 )
 def subagent_timelines(spark, sf_dir):
-    child = B.child_timeline(B.records(lines(spark, sf_dir)), tree(spark, sf_dir))
-    return child.groupBy("root_id", "thread_id").agg(
-        F.count("*").alias("records"), F.count(F.when(F.col("record_type") == "tool_result", 1)).alias("results")
-    )
+    """Records are counted per file before they meet the tree: a row per file is dealt out, not every record."""
+    recs = B.records(lines(spark, sf_dir)).withColumn("result", F.when(F.col("record_type") == "tool_result", 1))
+    child = B.child_timeline(recs, tree(spark, sf_dir), F.count("*").alias("records"), F.count("result").alias("results"))
+    return child.groupBy("root_id", "thread_id").agg(F.sum("records").alias("records"), F.sum("results").alias("results"))
 
 
 @area.query(

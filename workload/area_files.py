@@ -15,17 +15,12 @@ from workload import fixture_a
 from workload.area_a import BASE, SESSION_USAGE
 from workload.area_text import area as text_area
 from workload.registry import Area
-from workload.tables import table
+from workload.tables import spread, table
 
 area = Area()
 EXPORTS = text_area.oracles
 
 
-def spread(rows: DataFrame, *columns: str) -> DataFrame:
-    """Rows dealt by their file over all shuffle partitions. Without the number Spark puts small partitions together by their bytes, and one task writes every file."""
-    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *columns)
-
-
 def write_transcripts(lines: DataFrame, root: str) -> None:
     """Every session as a file below ``projects/<slug>/`` or, a part of them, ``archives/<snapshot>/projects/<slug>/``; file names repeat across projects."""
     n = F.regexp_extract("session_id", r"(\d+)$", 1).cast("bigint")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from workload.tables import stored, table
+from workload.tables import spread, stored, table
 
 CHUNK_WIDTH = 40
 EPOCH_2026 = 1_767_225_600
@@ -133,7 +133,7 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     entries = F.array(*[F.struct(F.lit(k).alias("k"), F.when(cond, line).alias("line")) for k, cond, line in cases])
     off = turn * 10 + F.col("e.k")
     return (
-        table(spark, sf_dir, "conversations")
+        spread(table(spark, sf_dir, "conversations"), "conv_id", "turn")
         .withColumn("prompt", prompt)
         .withColumn("e", F.explode(F.filter(entries, lambda e: e["line"].isNotNull())))
         .select(

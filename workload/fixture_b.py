@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from workload.tables import stored, table
+from workload.tables import spread, stored, table
 
 CHUNK_WIDTH = 4
 
@@ -91,7 +91,7 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     ]
     entries = F.array(*[F.struct(F.lit(k).cast("bigint").alias("off"), F.when(cond, text).alias("line")) for k, cond, text in cases])
     return (
-        table(spark, sf_dir, "events")
+        spread(table(spark, sf_dir, "events").select("event_id", "value"), "event_id")
         .select("event_id", "value", F.explode(F.filter(entries, lambda x: x["line"].isNotNull())).alias("x"))
         .select(
             F.concat(F.lit("rollout-"), es).alias("session_id"),

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from workload.fixture_a import EPOCH_2026, stamp
-from workload.tables import stored, table
+from workload.tables import spread, stored, table
 
 CHUNK_WIDTH = 5
 
@@ -42,7 +42,7 @@ def _time() -> Column:
 @stored
 def c_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     conv, turn = F.col("conv_id"), F.col("turn")
-    rows = table(spark, sf_dir, "conversations")
+    rows = spread(table(spark, sf_dir, "conversations"), "conv_id", "turn")
     return rows.select(
         F.concat_ws("-", F.lit("m"), conv.cast("string"), turn.cast("string")).alias("id"),
         F.concat(F.lit("o"), conv.cast("string")).alias("session_id"),
@@ -87,7 +87,7 @@ def c_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     ]
     entries = F.array(*[F.struct(F.lit(k).alias("k"), F.when(cond, body).alias("data")) for k, cond, body in cases])
     return (
-        table(spark, sf_dir, "conversations")
+        spread(table(spark, sf_dir, "conversations"), "conv_id", "turn")
         .select("*", F.explode(F.filter(entries, lambda x: x["data"].isNotNull())).alias("x"))
         .select(
             F.concat(F.lit("p-"), tag, F.lit("-"), F.col("x.k").cast("string")).alias("id"),
@@ -145,7 +145,7 @@ def d_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     entries = F.array(*[F.struct(F.lit(k).alias("k"), F.when(cond, body).alias("line")) for k, cond, body in cases])
     off = turn * 10 + F.col("x.k")
     return (
-        table(spark, sf_dir, "conversations")
+        spread(table(spark, sf_dir, "conversations"), "conv_id", "turn")
         .select("*", F.explode(F.filter(entries, lambda x: x["line"].isNotNull())).alias("x"))
         .select(sid.alias("session_id"), F.floor(off / CHUNK_WIDTH).cast("bigint").alias("chunk"), off.cast("bigint").alias("off"), F.col("x.line").alias("line"))
     )

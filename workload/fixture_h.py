@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from workload.fixture_a import stamp
-from workload.tables import stored, table
+from workload.tables import spread, stored, table
 
 STEP = 100
 
@@ -57,7 +57,7 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         (60 + j * 4 + i, i < (turn + j) % 4, post),
     ]
     entries = F.array(*[F.struct((turn * STEP + k).alias("off"), F.when(cond, line).alias("line")) for k, cond, line in cases])
-    rows = table(spark, sf_dir, "conversations").where("role = 'assistant'")
+    rows = spread(table(spark, sf_dir, "conversations").where("role = 'assistant'"), "conv_id", "turn")
     rows = rows.withColumn("j", F.explode(F.sequence(F.lit(0), ((conv + turn) % 4).cast("int")))).withColumn("i", F.explode(F.array(*[F.lit(k) for k in range(3)])))
     rows = rows.withColumn("x", F.explode(F.filter(entries, lambda e: e["line"].isNotNull())))
     return rows.select(text("h", conv).alias("session_id"), F.floor(F.col("x.off") / 50).cast("bigint").alias("chunk"), F.col("x.off").cast("bigint").alias("off"), "x.line")

@@ -15,6 +15,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame, *columns: str) -> DataFrame:
+    """Rows dealt by some columns over all shuffle partitions. Without the number Spark puts small partitions together by their bytes.
+
+    For narrow rows that become many long ones: what a row group of the given tables holds is read by one task, which would then make and write all of
+    them, and as they pack well into one row group again, every later scan would be one task as well.
+    """
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *columns)
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     """Whether a written table is still there; scratch folders may be cleared between queries."""
     try:
