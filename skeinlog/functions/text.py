@@ -85,8 +85,12 @@ def raw_tokens(text: Column) -> Column:
         pairs = F.transform(places, lambda i: F.substring(run, i, F.lit(2)))
         return F.when(run.rlike(HAN), F.concat(chars, F.filter(pairs, lambda p: F.length(p) == 2))).otherwise(F.array(run))
 
+    def runs(t: Column) -> Column:
+        return F.regexp_extract_all(t, F.lit(WORD_RUN), F.lit(0))
+
     apart = F.regexp_replace(text, f"({HAN}+)", " $1 ")
-    return F.flatten(F.transform(F.regexp_extract_all(apart, F.lit(WORD_RUN), F.lit(0)), expand))
+    # one look at the text spares most texts a look at every word
+    return F.when(text.rlike(HAN), F.flatten(F.transform(runs(apart), expand))).otherwise(runs(text))
 
 
 def tokens(text: Column) -> Column:

@@ -5,10 +5,12 @@ from pyspark.sql import functions as F
 
 from skeinlog.functions import text as X
 from skeinlog.operators import ordered
+from skeinlog.plans import index
 from skeinlog.sources import configs, dialect_b
 from workload import area_corpus, fixture_a, fixture_b, fixture_cd, fixture_h
 from workload.compare import compare
 from workload.registry import oracles, queries
+from workload.tables import exists
 
 QUERIES, ORACLES = queries(), oracles()
 
@@ -107,3 +109,24 @@ def test_records_folded_per_file_are_the_child_timeline(spark):
     folded = dialect_b.child_timeline(recs, tree, F.count("*").alias("n")).select(*plain.columns)
     rows = sorted(folded.collect())
     assert rows == sorted(plain.collect()) and len(rows) > 300
+
+
+def test_postings_are_shuffled_once_and_distinct(spark):
+    docs = spark.createDataFrame([("k", "id", "/p", "one two", None)], "session_key string, session_id string, project_path string, first_prompt string, agent_title string")
+    texts = spark.createDataFrame([("k", 0, "Two three 修复 three"), ("k", 0, "three Four"), ("k", 1, "four 修"), ("j", 0, None)], "session_key string, code int, text string")
+    rows = index.index_tokens(docs, texts).sortWithinPartitions("token", "session_key")
+    content = ["id", "p", "one", "two", "three", "four", "修", "复", "修复"]
+    assert sorted(map(tuple, rows.collect())) == sorted([(t, 0, "k") for t in content] + [("four", 1, "k"), ("修", 1, "k")])
+    plan = rows._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+    assert plan.count("Exchange") == 1 and plan.count("Sort [") == 1 and "HashAggregate" not in plan
+
+
+def test_texts_are_stored_without_postings(spark, tmp_path):
+    from workload import fixture_x
+
+    small = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(90)
+    written(small, "documents", tmp_path)
+    assert QUERIES["session_texts"](spark, str(tmp_path)).count() > 90
+    path = fixture_x._built[spark.sparkContext.applicationId, str(tmp_path)]
+    assert not exists(spark, f"{path}/postings")
+    assert fixture_x.index(spark, str(tmp_path)).postings.count() > 90 and fixture_x._built[spark.sparkContext.applicationId, str(tmp_path)] == path
