@@ -7,7 +7,7 @@ from skeinlog.functions import text as X
 from skeinlog.operators import ordered
 from skeinlog.plans import index
 from skeinlog.sources import configs, dialect_b
-from workload import area_corpus, fixture_a, fixture_b, fixture_cd, fixture_h
+from workload import area_corpus, fixture_a, fixture_b, fixture_cd, fixture_h, fixture_i
 from workload.compare import compare
 from workload.registry import oracles, queries
 from workload.tables import exists
@@ -130,3 +130,18 @@ def test_texts_are_stored_without_postings(spark, tmp_path):
     path = fixture_x._built[spark.sparkContext.applicationId, str(tmp_path)]
     assert not exists(spark, f"{path}/postings")
     assert fixture_x.index(spark, str(tmp_path)).postings.count() > 90 and fixture_x._built[spark.sparkContext.applicationId, str(tmp_path)] == path
+
+
+def test_a_source_is_searched_before_the_others_are_indexed(spark, tmp_path):
+    for name in ("conversations", "events"):
+        written(spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet").where("event_id < 60" if name == "events" else "true"), name, tmp_path)
+    sf = str(tmp_path)
+    alone = sorted(QUERIES["search_deep_all_sources"](spark, sf).collect())
+    store = fixture_i.all_index(spark, sf, ["pi"])
+    assert {r.source for r in store.versions().select("source").distinct().collect()} == {"pi"}
+    every = fixture_i.all_index(spark, sf)
+    assert every.path == store.path and {r.source for r in every.versions().select("source").distinct().collect()} == set(fixture_i.SOURCES)
+    assert alone and sorted(QUERIES["search_deep_all_sources"](spark, sf).collect()) == alone
+    # two segments hold what one over all sources does
+    docs = lambda s: sorted((r.session_key, r.modified) for r in s.live("docs").collect())
+    assert docs(every) == docs(fixture_i.all_sources(spark, sf))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,35 +49,60 @@ def unreadable(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return bad, headless
 
 
-def all_sources(spark: SparkSession, sf_dir: str, counts: D.LineCounts | None = None) -> G.Store:
-    """One segment over all four dialects, parsed by the keys of their manifests."""
-    bad, headless = unreadable(spark, sf_dir)
-    b, a, d = fixture_b.lines(spark, sf_dir).unionByName(headless), a_lines(spark, sf_dir).unionByName(bad), d_lines(spark, sf_dir)
-    tree = dialect_b.threads(dialect_b.identities(b))
+SOURCES = ("claude", "pi", "codex", "opencode")
+
+
+def _source(spark: SparkSession, sf_dir: str, source: str, counts: D.LineCounts | None) -> tuple[D.Parser, DataFrame]:
+    """Parser of a source, and the keys of its manifest."""
+    if source == "claude":
+        lines = a_lines(spark, sf_dir).unionByName(unreadable(spark, sf_dir)[0])
+        return D.line_parser({source: lines}, counts), lines.select("session_id")
+    if source == "pi":
+        lines = d_lines(spark, sf_dir)
+        return D.line_parser({source: lines}, counts), lines.select("session_id")
+    if source == "codex":
+        lines = fixture_b.lines(spark, sf_dir).unionByName(unreadable(spark, sf_dir)[1])
+        tree = dialect_b.threads(dialect_b.identities(lines))
+        files = lines.select("session_id").distinct().join(tree.select("session_id", "root_id"), "session_id", "left")
+        return D.group_parser(lines, tree, counts), files.select(F.coalesce("root_id", "session_id").alias("session_id"))
     sessions, messages, parts = (t(spark, sf_dir) for t in (fixture_cd.c_sessions, fixture_cd.c_messages, fixture_cd.c_parts))
     roots = dialect_c.roots(sessions)
-    parse = D.any_parser(D.line_parser({"claude": a, "pi": d}, counts), D.group_parser(b, tree, counts), D.relation_parser(sessions, messages, parts, roots, counts))
-    files = b.select("session_id").distinct().join(tree.select("session_id", "root_id"), "session_id", "left")
-    groups = files.select(F.coalesce("root_id", "session_id").alias("root_id"))
-    keys = [("claude", a, "session_id"), ("pi", d, "session_id"), ("codex", groups, "root_id"), ("opencode", roots, "root_id")]
-    manifest = None
-    for source, rows, key in keys:
-        one = rows.select(F.lit(source).alias("source"), F.col(key).alias("session_id"), F.lit("1").alias("version")).distinct()
+    return D.relation_parser(sessions, messages, parts, roots, counts), roots.select(F.col("root_id").alias("session_id"))
+
+
+def add_sources(spark: SparkSession, sf_dir: str, store: G.Store, sources: Sequence[str], counts: D.LineCounts | None = None) -> None:
+    """One segment over some sources, parsed by the keys of their manifests."""
+    parsers, manifest = [], None
+    for source in sources:
+        parse, keys = _source(spark, sf_dir, source, counts)
+        parsers.append(parse)
+        one = keys.select(F.lit(source).alias("source"), "session_id", F.lit("1").alias("version")).distinct()
         manifest = one if manifest is None else manifest.unionByName(one)
+    G.refresh(store, len(store.committed()), manifest, D.any_parser(*parsers))
+
+
+def all_sources(spark: SparkSession, sf_dir: str, counts: D.LineCounts | None = None) -> G.Store:
+    """One segment over all four dialects."""
     store = G.Store(spark, scratch_path(spark, "segments"))
-    G.refresh(store, 0, manifest, parse)
+    add_sources(spark, sf_dir, store, SOURCES, counts)
     return store
 
 
-_built: dict[tuple[str, str], str] = {}
+_built: dict[tuple[str, str], tuple[str, set[str]]] = {}
 
 
-def all_index(spark: SparkSession, sf_dir: str) -> G.Store:
-    """That index, built once per application."""
+def all_index(spark: SparkSession, sf_dir: str, sources: Sequence[str] = SOURCES) -> G.Store:
+    """The index of the sources that a question is about, built once per application; others come in later segments, when they are asked for."""
     key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _built or not exists(spark, f"{_built[key]}/commits"):
-        _built[key] = all_sources(spark, sf_dir).path
-    return G.Store(spark, _built[key])
+    if key not in _built or not exists(spark, f"{_built[key][0]}/commits"):
+        _built[key] = (scratch_path(spark, "segments"), set())
+    path, held = _built[key]
+    store = G.Store(spark, path)
+    missing = [s for s in sources if s not in held]
+    if missing:
+        add_sources(spark, sf_dir, store, missing)
+        held.update(missing)
+    return store
 
 
 # --- a history of three runs: what the lines are after each, and the notices that say so ---------------
