@@ -17,6 +17,8 @@ RECOMMENDED_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     # lines and texts grow many times their stored size once they are parsed or cut into words
     "spark.sql.files.maxPartitionBytes": "32m",
+    # as many small files a task as with Spark's own sizes
+    "spark.sql.files.openCostInBytes": "1m",
     # the JVM does not compile methods beyond 8000 bytes; wide CASE projections then run faster split up
     "spark.sql.codegen.hugeMethodLimit": "8000",
 }

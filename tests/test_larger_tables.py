@@ -145,3 +145,18 @@ def test_a_source_is_searched_before_the_others_are_indexed(spark, tmp_path):
     # two segments hold what one over all sources does
     docs = lambda s: sorted((r.session_key, r.modified) for r in s.live("docs").collect())
     assert docs(every) == docs(fixture_i.all_sources(spark, sf))
+
+
+def test_documents_are_written_by_all_shuffle_partitions(spark, monkeypatch):
+    from workload import area_files
+
+    asked = []
+    plain = area_files.export.write_documents
+    monkeypatch.setattr(area_files.export, "write_documents", lambda rows, path, n: (asked.append(n), plain(rows, path, n)))
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "23")
+    try:
+        assert area_files._documents(spark, "/root/testdata/sf0.001", "json").where("not endswith(document, ']}\n')").count() == 0
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    assert asked == [23]

@@ -135,7 +135,9 @@ def _documents(spark: SparkSession, sf_dir: str, fmt: str) -> DataFrame:
     """(session_id, document) as written to files and read again, parts put together in the order of their names."""
     lines = fixture_a.lines(spark, sf_dir)
     path = scratch_path(spark, "documents")
-    export.write_documents(export.document_rows(A.sessions(lines), A.records(lines, "tool"), fmt, "claude"), path, 7)
+    # a file per session: many tasks make them, at least so many that long sessions are cut
+    tasks = max(7, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    export.write_documents(export.document_rows(A.sessions(lines), A.records(lines, "tool"), fmt, "claude"), path, tasks)
     file = F.col("_metadata.file_path")
     parts = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True).select(
         F.regexp_extract(file, "session_id=([^/]+)/", 1).alias("session_id"), F.struct(F.substring_index(file, "/", -1).alias("name"), F.col("value").alias("text")).alias("part")
