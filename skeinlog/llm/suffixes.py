@@ -9,11 +9,15 @@ one repeats with different bytes around it, every place of the run is named by i
 
 With period 3 the cover is that of the triples of the classic construction; a perfect cover of period 133 samples 12 of 133 places
 instead of two of three. Names are 64-bit digests, with 64 bits of surroundings; whole substrings have 96 bits.
+
+The names are dealt into shares that are shuffled one after the other, and each step is written before the next one shuffles: the disk holds
+the shuffles of one step, and the tables, at a time.
 """
 
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +30,11 @@ PERIOD = 133
 MIN_LENGTH = 200
 # parts of a period whose strings are named by what all of them hold, before any string is named as a whole
 PARTS = 4
-# texts whose samples are held at once
+# texts whose samples are held at once, and bytes that are digested at once (a longer text by itself)
 SLICE = 500
+BLOCK = 1 << 17
+# shares of the names that are shuffled one after the other, so that the disk holds the samples of one
+PASSES = 2
 SAMPLE = "_ref long, name long, around long, place int"
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
@@ -95,15 +102,28 @@ def cover_places(n: int, period: int, cover: np.ndarray) -> np.ndarray:
     return (np.arange(0, n, period)[:, None] + cover).ravel()
 
 
-def sampler(length: int, min_length: int, places_of):
-    """Names and surroundings of the substrings of ``length`` bytes at chosen places of every text.
+def sampler(length: int, min_length: int, places_of, part: int = 0, parts: int = 1, block: int = BLOCK):
+    """Names and surroundings of the substrings of ``length`` bytes at chosen places of every text, of the names whose remainder is ``part`` of ``parts``.
 
-    A string of ``min_length`` bytes that holds such a substring reaches ``min_length - length`` bytes to the left of its place.
+    A string of ``min_length`` bytes that holds such a substring reaches ``min_length - length`` bytes to the left of its place. Texts are digested
+    together until they have ``block`` bytes.
     """
     reach = min_length - length
 
+    def of_block(refs: list[int], texts: list[bytes], places: list[np.ndarray]) -> tuple[np.ndarray, ...]:
+        sizes, counts = np.array([len(t) for t in texts]), [len(p) for p in places]
+        digests, p = Digests(b"".join(texts), BASES[0]), np.concatenate(places)
+        ref, start, n = (np.repeat(x, counts) for x in (np.array(refs), np.cumsum(sizes) - sizes, sizes))
+        name = digests.of(start + p, length)
+        if parts > 1:
+            mine = np.flatnonzero(name % np.uint64(parts) == part)
+            ref, start, n, p, name = ref[mine], start[mine], n[mine], p[mine], name[mine]
+        low, high = np.maximum(p - reach, 0), np.minimum(p + min_length, n)
+        return ref, name.view(np.int64), (digests.of(start + low, high - low) ^ mix((p - low).astype(np.uint64))).view(np.int64), p
+
     def sampled(batch: pa.RecordBatch) -> dict:
-        refs, names, around, at = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+        none = np.zeros(0, np.int64)
+        blocks, open_block, size = [(none,) * 4], ([], [], []), 0
         given = batch.column("places").to_pylist() if "places" in batch.schema.names else [()] * batch.num_rows
         for ref, text, places in zip(batch.column("_ref").to_pylist(), batch.column("_text").to_pylist(), given, strict=True):
             data = text.encode()
@@ -111,14 +131,15 @@ def sampler(length: int, min_length: int, places_of):
             if n < min_length:
                 continue
             p = places_of(n, np.array(places, np.int64))
-            p = p[(p >= 0) & (p <= n - length)]
-            digests = Digests(data, BASES[0])
-            low, high = np.maximum(p - reach, 0), np.minimum(p + min_length, n)
-            names.append(digests.of(p, length))
-            around.append(digests.of(low, high - low) ^ mix((p - low).astype(np.uint64)))
-            at.append(p)
-            refs.append(np.full(len(p), ref))
-        return {"_ref": np.concatenate(refs), "name": np.concatenate(names).view(np.int64), "around": np.concatenate(around).view(np.int64), "place": np.concatenate(at)}
+            for rows, value in zip(open_block, (ref, data, p[(p >= 0) & (p <= n - length)]), strict=True):
+                rows.append(value)
+            size += n
+            if size >= block:
+                blocks.append(of_block(*open_block))
+                open_block, size = ([], [], []), 0
+        if size:
+            blocks.append(of_block(*open_block))
+        return {c: np.concatenate(x) for c, x in zip(("_ref", "name", "around", "place"), zip(*blocks, strict=True), strict=True)}
 
     return sampled
 
@@ -128,11 +149,14 @@ def named(samples: DataFrame) -> DataFrame:
 
     Settled ones have the same surroundings as another; where a name has different surroundings, one sample of each kind is open.
     """
-    sides, same = Window.partitionBy("name", "around"), Window.partitionBy("name")
+    same, sides = Window.partitionBy("name"), Window.partitionBy("name", "around").orderBy("_ref", "place")
+    whole = sides.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     return (
         samples.repartition("name")
-        .withColumns({"alike": F.count(F.lit(1)).over(sides), "nth": F.row_number().over(sides.orderBy("_ref", "place"))})
-        .withColumns({"low": F.min("around").over(same), "high": F.max("around").over(same)})
+        # most names occur once and go before the longer order is made
+        .withColumns({"n": F.count(F.lit(1)).over(same), "low": F.min("around").over(same), "high": F.max("around").over(same)})
+        .where("n > 1")
+        .withColumns({"alike": F.count(F.lit(1)).over(whole), "nth": F.row_number().over(sides)})
         .select("_ref", "place", (F.col("alike") > 1).alias("settled"), ((F.col("low") != F.col("high")) & (F.col("nth") == 1)).alias("open"))
         .where("settled OR open")
     )
@@ -155,8 +179,15 @@ def repeated_spans(docs: DataFrame, min_length: int = MIN_LENGTH, period: int =
     source = numbered(docs, F.col(id_col).alias("_id"), F.coalesce(text_col, F.lit("")).alias("_text"))
     reach, inner = period - 1, -(-period // PARTS) - 1
 
-    found = written(named(map_batches(source.select("_ref", "_text"), SAMPLE, lambda: sampler(prefix, min_length, lambda n, _: cover_places(n, period, cover)), rows=SLICE)), "samples")
-    release(spark)
+    def sampled_in(part: int) -> DataFrame:
+        samples = map_batches(source.select("_ref", "_text"), SAMPLE, lambda: sampler(prefix, min_length, lambda n, _: cover_places(n, period, cover), part, PASSES), rows=SLICE)
+        return written(named(samples), "samples")
+
+    shares = []
+    for part in range(PASSES):
+        shares.append(sampled_in(part))
+        release(spark)
+    found = reduce(DataFrame.unionByName, shares)
 
     def texts_at(places: DataFrame) -> DataFrame:
         # joined in the same way at every size: what is broadcast on small tables would not be on large ones
@@ -188,7 +219,10 @@ def repeated_spans(docs: DataFrame, min_length: int = MIN_LENGTH, period: int =
 
     substrings = map_batches(texts_at(closer.where("open")), "_ref long, x long, place long", merge, rows=SLICE)
     equal = Window.partitionBy("x", F.col("place").bitwiseAND(F.lit(0xFFFFFFFF)))
-    repeated = substrings.repartition("x").withColumn("n", F.count(F.lit(1)).over(equal)).where("n > 1").select("_ref", F.shiftright("place", 32).alias("place"))
+    # written, so that the shuffles of its texts and substrings are gone before the texts are shuffled for the cut
+    repeated = written(substrings.repartition("x").withColumn("n", F.count(F.lit(1)).over(equal)).where("n > 1").select("_ref", F.shiftright("place", 32).alias("place")), "repeats")
+    del substrings
+    release(spark)
     # a mark is a place times three, plus the position of its reach to the left in this list
     reaches = (reach, inner, 0)
     whole = [found.where("settled"), closer.where("settled"), repeated]

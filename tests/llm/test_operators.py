@@ -211,6 +211,42 @@ def test_texts_with_many_samples_are_taken_in_slices(spark):
     assert [r.n for r in map_batches(rows, "n long, least long", lengths).collect()] == [1203]
 
 
+def test_samples_are_shuffled_in_shares(spark, monkeypatch):
+    steps, named = [], suffixes.named
+    monkeypatch.setattr(suffixes, "named", lambda samples: steps.append(written(samples, "share")) or named(steps[-1]))
+    last = suffixes.repeated_spans(queries.documents(spark, SMALL))
+    *shares, _ = steps
+    names = [{r.name for r in x.select("name").distinct().collect()} for x in shares]
+    every, sizes = set().union(*names), [x.count() for x in shares]
+    # a share is about a half of the names, none is in two, and all places of the cover are there
+    assert max(sizes) < 0.6 * sum(sizes) and sum(map(len, names)) == len(every)
+    cover = np.array(suffixes.difference_cover(suffixes.PERIOD))
+    lengths = [len((r.text or "").encode()) for r in queries.documents(spark, SMALL).select("text").collect()]
+    assert sum(sizes) == sum(int((suffixes.cover_places(n, suffixes.PERIOD, cover) <= n - 68).sum()) for n in lengths if n >= 200)
+    # the last step shuffles texts for the cut alone
+    assert last._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+
+
+def test_samples_do_not_depend_on_blocks():
+    import pyarrow as pa
+
+    texts = ["", "ab" * 150, LONG[:199], LONG, "é" * 400, LONG[5:] + "x", "q" * 1000]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(10, 17), pa.int64()), pa.array(texts)], names=["_ref", "_text"])
+    cover = np.array(suffixes.difference_cover(133))
+
+    def rows(part=0, parts=1, block=1 << 17):
+        found = suffixes.sampler(68, 200, lambda n, _: suffixes.cover_places(n, 133, cover), part, parts, block)(batch)
+        return list(zip(*(found[c].tolist() for c in ("_ref", "name", "around", "place")), strict=True))
+
+    every = rows()
+    assert rows(block=1) == rows(block=2000) == every and sorted(rows(0, 2) + rows(1, 2)) == sorted(every)
+    bytes_of, kinds = {10 + i: t.encode() for i, t in enumerate(texts)}, defaultdict(set)
+    for ref, name, around, p in every:
+        kinds[bytes_of[ref][p : p + 68]].add(name)
+        kinds[bytes_of[ref][max(p - 132, 0) : p + 200], min(p, 132)].add((name, around))
+    assert all(len(x) == 1 for x in kinds.values()) and len({r[1] for r in every}) == sum(isinstance(k, bytes) for k in kinds)
+
+
 def test_repeats_on_odd_rows(odd, none):
     by_bytes = suffixes.repeated_spans(odd).collect()
     assert sorted(r.n_bytes - r.n_removed for r in by_bytes if r.n_bytes > 300)[:4] == [0, 0, 0, 0]
