@@ -19,6 +19,8 @@ RECOMMENDED_CONF = {
     "spark.sql.files.maxPartitionBytes": "32m",
     # as many small files a task as with Spark's own sizes
     "spark.sql.files.openCostInBytes": "1m",
+    # folders are listed many to a task; by default every folder of a tree is a task, which costs more than its listing
+    "spark.sql.sources.parallelPartitionDiscovery.parallelism": "64",
     # the JVM does not compile methods beyond 8000 bytes; wide CASE projections then run faster split up
     "spark.sql.codegen.hugeMethodLimit": "8000",
 }

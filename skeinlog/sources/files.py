@@ -2,31 +2,46 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skeinlog.functions.text import tag_key
 from skeinlog.operators.ordered import RunningSum, ordered_scan
 
 
+def _never_cut(spark: SparkSession) -> int:
+    """Bytes of a file that Spark reads in one split, however many files there are."""
+    conf = spark._jsparkSession.sessionState().conf()
+    return min(conf.filesMaxPartitionBytes(), conf.filesOpenCostInBytes())
+
+
 def scan_lines(spark: SparkSession, root: str, pattern: str = "*.jsonl") -> DataFrame:
     """Every line with its file, split and exact byte offset.
 
     Lines of one split stay in order inside a task; the offset is a running sum inside the split plus the
     total of the earlier splits, so a file of any size is read by many tasks. The split is the chunk of
     all later ordered operators, which keeps them on the same partitioning.
+
+    Files too small to be cut have no earlier splits, so they are read once; the sizes are known from the listing, and either branch opens its own files only.
     """
     raw = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(root, lineSep="\n")
-    rows = raw.select(
-        F.col("_metadata.file_path").alias("file_path"),
-        F.col("_metadata.file_size").alias("file_size"),
-        F.col("_metadata.file_modification_time").alias("file_mtime"),
-        F.col("_metadata.file_block_start").alias("chunk"),
-        F.monotonically_increasing_id().alias("row"),
-        F.col("value").alias("line"),
-    )
+    size, limit = F.col("_metadata.file_size"), _never_cut(spark)
     width = (F.octet_length("line") + 1).cast("bigint")
-    return ordered_scan(rows, ["file_path"], ["row"], [RunningSum("off", width, inclusive=False)]).drop("row")
+
+    def rows(kept: Column) -> DataFrame:
+        return raw.where(kept).select(
+            F.col("_metadata.file_path").alias("file_path"),
+            size.alias("file_size"),
+            F.col("_metadata.file_modification_time").alias("file_mtime"),
+            F.col("_metadata.file_block_start").alias("chunk"),
+            F.monotonically_increasing_id().alias("row"),
+            F.col("value").alias("line"),
+        )
+
+    before = Window.partitionBy("file_path").orderBy("row").rowsBetween(Window.unboundedPreceding, -1)
+    whole = rows(size <= limit).withColumn("off", F.coalesce(F.sum(width).over(before), F.lit(0).cast("bigint")))
+    cut = ordered_scan(rows(size > limit), ["file_path"], ["row"], [RunningSum("off", width, inclusive=False)])
+    return whole.unionByName(cut).drop("row")
 
 
 def session_lines(scanned: DataFrame, host: str | None = None) -> DataFrame:

@@ -160,3 +160,37 @@ def test_documents_are_written_by_all_shuffle_partitions(spark, monkeypatch):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", old)
     assert asked == [23]
+
+
+def test_small_files_are_read_once_and_listed_many_to_a_task(spark, tmp_path):
+    """A file of one split needs no totals of earlier splits; a larger one beside it still does."""
+    from skeinlog.session import tune
+    from skeinlog.sources import files
+
+    tune(spark)
+    for i in range(70):
+        (tmp_path / "t" / f"d{i}").mkdir(parents=True)
+        (tmp_path / "t" / f"d{i}" / "s.jsonl").write_text(f"é{i}\n\nlast")
+    sc = spark.sparkContext
+    sc.setJobGroup("listing", "listing")
+    old = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.files.maxPartitionBytes")}
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        rows = files.scan_lines(spark, str(tmp_path / "t"))
+        tasks = [sc.statusTracker().getStageInfo(s).numTasks for j in sc.statusTracker().getJobIdsForGroup("listing") for s in sc.statusTracker().getJobInfo(j).stageIds]
+        assert tasks and max(tasks) <= 64
+        got = sorted((r.off, r.chunk, r.line) for r in rows.collect())
+        assert got == sorted(x for i in range(70) for x in ((0, 0, f"é{i}"), (len(f"é{i}".encode()) + 1, 0, ""), (len(f"é{i}".encode()) + 2, 0, "last")))
+        leaves = rows._jdf.queryExecution().executedPlan().collectLeaves()
+        assert sum(leaves.apply(k).metrics().apply("numOutputRows").value() for k in range(leaves.size())) == 210
+        # 4,000 bytes a split: the larger file is cut, the small ones stay whole
+        (tmp_path / "t" / "d0" / "s.jsonl").write_text("".join(f"{i:06d}\n" for i in range(2000)))
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "4000")
+        rows = files.scan_lines(spark, str(tmp_path / "t"))
+        cut = [(r.off, r.line) for r in rows.where("file_size > 4000").orderBy("off").collect()]
+        assert cut == [(7 * i, f"{i:06d}") for i in range(2000)] and rows.where("file_size > 4000").select("chunk").distinct().count() > 2
+        assert rows.where("file_size <= 4000").count() == 69 * 3
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in old.items():
+            spark.conf.set(k, v)

@@ -15,7 +15,7 @@ from workload import fixture_a
 from workload.area_a import BASE, SESSION_USAGE
 from workload.area_text import area as text_area
 from workload.registry import Area
-from workload.tables import spread, table
+from workload.tables import WITHOUT_CHECKSUMS, spread, table
 
 area = Area()
 EXPORTS = text_area.oracles
@@ -27,7 +27,7 @@ def write_transcripts(lines: DataFrame, root: str) -> None:
     rows = lines.select((n % 7 == 6).alias("old"), F.concat(F.lit("-w-p"), (n % 5).cast("string")).alias("slug"), F.concat(F.lit("c"), F.floor(n / 5).cast("string"), F.lit(".jsonl")).alias("file"), "off", "line")
     for old, home in ((False, root), (True, f"{root}/archives/snap")):
         one = spread(rows.where("old" if old else "not old"), "slug", "file").sortWithinPartitions("slug", "file", "off")
-        one.select("slug", "file", "line").write.partitionBy("slug", "file").text(f"{home}/projects")
+        one.select("slug", "file", "line").write.options(**WITHOUT_CHECKSUMS).partitionBy("slug", "file").text(f"{home}/projects")
 
 
 FILE_KEY = "CASE WHEN conv_id % 7 = 6 THEN 'snap/' ELSE '' END || '-w-p' || (conv_id % 5) || ':c' || (conv_id // 5)"

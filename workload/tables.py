@@ -24,6 +24,11 @@ def spread(rows: DataFrame, *columns: str) -> DataFrame:
     return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *columns)
 
 
+# For many small files: a local file system else puts a checksum file beside every one, and where Hadoop's native library is missing it starts a process
+# for the permissions of either, which takes longer than writing. Other file systems do not look at it.
+WITHOUT_CHECKSUMS = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     """Whether a written table is still there; scratch folders may be cleared between queries."""
     try:
