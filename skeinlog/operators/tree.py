@@ -31,12 +31,14 @@ def resolve_roots(pointers: DataFrame, label: str = "roots") -> DataFrame:
     """(id, root_id) for pointers ``(id, next)`` that name existing rows.
 
     Each round doubles the distance a row has jumped, so a chain of depth d takes log2(d) rounds. Rows
-    that reached a root leave the working set; each round is written to the shared folder, which cuts the
-    lineage and survives executor loss. A round that resolves nothing leaves only rows that run into a
+    that reached a root leave the working set; the pointers and each round are written to the shared folder, which
+    cuts the lineage and survives executor loss. A round that resolves nothing leaves only rows that run into a
     cycle, and those stand for themselves.
     """
+    # roots as well: every round and every reader of the result needs them
+    pointers = cut_lineage(pointers, f"{label}-0")
     done = [pointers.where("next is null").select("id", F.col("id").alias("root_id"))]
-    frontier = cut_lineage(pointers.where("next is not null"), f"{label}-0")
+    frontier = pointers.where("next is not null")
     remaining = frontier.count()
     round_no = 0
     while remaining:

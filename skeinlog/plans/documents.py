@@ -13,6 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from skeinlog.session import cut_lineage
 from skeinlog.sources import dialect_a, dialect_b, dialect_c, dialect_d
 
 DOC_COLUMNS = ["session_key", "source", "session_id", "archive_name", "project", "project_path", "agent_title", "first_prompt", "modified"]
@@ -66,13 +67,15 @@ def of_envelopes(lines: DataFrame, tree: DataFrame, counts: Observation | None =
     ``tree`` are resolved threads (``dialect_b.threads`` or a stored forest). Only narrow columns of the files meet it, never their lines.
     """
     source = dialect_b.SOURCE
+    # parsed once, for the documents and the texts
+    entries = cut_lineage(dialect_b.entries(lines, counts), "envelope-entries")
     place = F.struct((F.col("thread_id") != F.col("root_id")).alias("is_child"), "started", "thread_id")
     members = tree.select("session_id", "root_id", place.alias("place"), F.when(F.col("thread_id") == F.col("root_id"), F.col("cwd")).alias("cwd"))
-    rows = members.join(dialect_b.session_facts(lines), "session_id", "left")
+    rows = members.join(dialect_b.session_facts(entries), "session_id", "left")
     prompted = F.when(F.col("first_prompt").isNotNull(), F.col("place"))
     groups = rows.groupBy("root_id").agg(F.min_by("first_prompt", prompted).alias("first_prompt"), F.max("updated_at").alias("modified"), F.min_by("cwd", "place").alias("cwd"))
     docs = _doc(source, groups, "root_id", project_path="cwd", first_prompt="first_prompt", modified="modified")
-    owned = dialect_b.group_texts(dialect_b.texts(lines, counts), tree).withColumnRenamed("session_key", "root_id")
+    owned = dialect_b.group_texts(entries.where("text is not null"), tree).withColumnRenamed("session_key", "root_id")
     member = F.concat_ws(" ", F.col("member.is_child").cast("int").cast("string"), F.coalesce("member.started", F.lit("")), "member.thread_id")
     return Parsed(docs, _text(source, owned, "root_id", member))
 
@@ -142,11 +145,17 @@ def line_parser(lines: dict[str, DataFrame], counts: LineCounts | None = None) -
 
 
 def group_parser(lines: DataFrame, tree: DataFrame, counts: LineCounts | None = None) -> Parser:
-    """Re-parse the thread groups whose root is named; their members' lines are read, no others."""
+    """Re-parse the thread groups whose root is named; their members' lines are read, no others.
+
+    If most files are named, as when an index is built, no line is shuffled to drop the others: all are parsed where they lie, and only what they give
+    meets the members. Lines that are counted are those of members only.
+    """
 
     def parse(keys: DataFrame) -> Parsed:
-        members = _semi(tree, keys.where(F.col("source") == dialect_b.SOURCE), "root_id", "session_id")
-        return of_envelopes(_semi(lines, members, "session_id", "session_id"), members, _counted(counts, dialect_b.SOURCE))
+        members = cut_lineage(_semi(tree, keys.where(F.col("source") == dialect_b.SOURCE), "root_id", "session_id"), "group-members")
+        most = counts is None and 2 * members.count() >= tree.count()
+        named = lines if most else _semi(lines, members, "session_id", "session_id")
+        return of_envelopes(named, members, _counted(counts, dialect_b.SOURCE))
 
     return parse
 

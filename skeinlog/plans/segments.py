@@ -14,7 +14,7 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skeinlog.functions import strings
@@ -79,18 +79,28 @@ class Store:
         return self.live("versions").where("version is not null").select(*KEY, "version")
 
 
-def write_table(store: Store, name: str, segment: int, rows: DataFrame, partitions: Sequence[str] = (), order: Sequence[str] = ()) -> None:
+def write_table(store: Store, name: str, segment: int, rows: DataFrame, partitions: Sequence[str] = (), order: Sequence[str] = (), dealt: bool = False) -> None:
+    """``dealt`` rows lie in the partitions they are to be written from."""
     if order:
         # one shuffle, whose large partitions are split and small ones put together by their measured size
-        rows = rows.hint("rebalance", *partitions).sortWithinPartitions(*partitions, *order)
+        rows = (rows if dealt else rows.hint("rebalance", *partitions)).sortWithinPartitions(*partitions, *order)
     rows.write.mode("overwrite").partitionBy(*partitions).parquet(f"{store.path}/{name}/segment={segment}")
 
 
+SCOPE = ["source", "archive_name"]
+
+
 def _postings(docs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Distinct (token, code, session); path, id, prompt and title count as content."""
+    """Distinct (token, code, session), in partitions sorted by scope, token and session; path, id, prompt and title count as content.
+
+    As in ``index.index_tokens`` few tokens come again within a task, so nothing is aggregated before the one shuffle, and the sort that the stored rows need
+    puts equal ones side by side. Dealt by token and session, neither a common token nor a long session is one task.
+    """
     named = F.explode(F.array("project_path", "session_id", "first_prompt", "agent_title")).alias("text")
-    parts = docs.select("source", "archive_name", "session_key", F.lit(0).alias("code"), named).unionByName(texts.select("source", "archive_name", "session_key", "code", "text"))
-    return parts.select("source", "archive_name", "session_key", "code", F.explode(F.array_distinct(tokens(F.col("text")))).alias("token")).distinct()
+    parts = docs.select(*SCOPE, "session_key", F.lit(0).alias("code"), named).unionByName(texts.select(*SCOPE, "session_key", "code", "text"))
+    rows = parts.select(*SCOPE, "session_key", "code", F.explode(F.array_distinct(tokens(F.col("text")))).alias("token")).repartition("token", "session_key")
+    nth = F.row_number().over(Window.partitionBy(*SCOPE, "token", "session_key", "code").orderBy("code"))
+    return rows.withColumn("__nth", nth).where("__nth = 1").drop("__nth")
 
 
 def commit(store: Store, segment: int, replaces: Sequence[int] = ()) -> None:
@@ -98,11 +108,7 @@ def commit(store: Store, segment: int, replaces: Sequence[int] = ()) -> None:
     row.write.mode("overwrite").parquet(f"{store.path}/commits/segment={segment}")
 
 
-def _tables(store: Store, segment: int, docs: DataFrame, texts: DataFrame, postings: DataFrame) -> None:
-    scope = ["source", "archive_name"]
-    write_table(store, "docs", segment, docs, scope, ["session_key"])
-    write_table(store, "texts", segment, texts, scope, ["session_key", "member", "unit", "seq"])
-    write_table(store, "postings", segment, postings, scope, ["token", "session_key"])
+TABLE_ORDER = {"docs": ["session_key"], "texts": ["session_key", "member", "unit", "seq"], "postings": ["token", "session_key"]}
 
 
 def changes(store: Store, manifest: DataFrame) -> DataFrame:
@@ -123,11 +129,12 @@ def refresh(store: Store, segment: int, changed: DataFrame, parse: Parser) -> No
     rows = changed.join(held, KEY, "left").where(~F.col("version").eqNullSafe(F.col("held")))
     stale = cut_lineage(rows.select(*KEY, "version", "held_key", "dead"), "stale")
     parsed = parse(stale.where("version is not null").select(*KEY))
+    write_table(store, "docs", segment, parsed.docs.select(*DOC_COLUMNS), SCOPE, TABLE_ORDER["docs"])
+    texts = parsed.texts.where(strings.trim("text") != "").select("session_key", *SCOPE, "member", "unit", "seq", kind_code("kind").alias("code"), "text")
+    write_table(store, "texts", segment, texts, SCOPE, TABLE_ORDER["texts"])
     # parsed once: the documents and texts that the segment keeps are read again for its postings
-    docs = cut_lineage(parsed.docs.select(*DOC_COLUMNS), "segment-docs")
-    texts = parsed.texts.where(strings.trim("text") != "").select("session_key", "source", "archive_name", "member", "unit", "seq", kind_code("kind").alias("code"), "text")
-    texts = cut_lineage(texts, "segment-texts")
-    _tables(store, segment, docs, texts, _postings(docs, texts))
+    kept = [store.visible(name, [segment]).drop("segment") for name in ("docs", "texts")]
+    write_table(store, "postings", segment, _postings(*kept), SCOPE, TABLE_ORDER["postings"], dealt=True)
     key = F.coalesce("held_key", F.concat("source", F.lit(":"), "session_id"))
     write_table(store, "versions", segment, stale.select(*KEY, key.alias("session_key"), "version"))
     write_table(store, "tombstones", segment, stale.where("dead is not null").select(F.col("held_key").alias("session_key"), "dead"))
@@ -139,9 +146,9 @@ def merge(store: Store, segment: int) -> None:
     segments = store.committed()
     if store.answered(segment) or len(segments) < 2:
         return
-    live = {name: store.live(name, segments).drop("segment") for name in ("docs", "texts", "postings", "versions")}
-    _tables(store, segment, live["docs"], live["texts"], live["postings"])
-    write_table(store, "versions", segment, live["versions"].where("version is not null"))
+    for name, order in TABLE_ORDER.items():
+        write_table(store, name, segment, store.live(name, segments).drop("segment"), SCOPE, order)
+    write_table(store, "versions", segment, store.live("versions", segments).drop("segment").where("version is not null"))
     write_table(store, "tombstones", segment, store.spark.createDataFrame([], store.schemas["tombstones"]).drop("segment"))
     commit(store, segment, segments)
 

@@ -52,28 +52,46 @@ def effort(v: Column) -> Column:
 def identities(lines: DataFrame) -> DataFrame:
     """One row per file from its first header; later headers are inherited history and do not count."""
     v = F.col("v")
-    rows = parsed(lines.where(F.col("line").contains('"session_meta"'))).where("t = 'session_meta'")
+    rows = V.with_parsed(lines.where(F.col("line").contains('"session_meta"'))).where(V.get(v, "$.type") == "session_meta")
     spawn = "$.payload.source.subagent.thread_spawn"
-    logical = _clean(v, "$.payload.session_id")
-    thread = F.coalesce(_clean(v, "$.payload.id"), logical)
-    parent = _clean(v, "$.payload.parent_thread_id", f"{spawn}.parent_thread_id")
+    places = {
+        "id": "$.payload.id",
+        "session": "$.payload.session_id",
+        "parent": "$.payload.parent_thread_id",
+        "spawn_parent": f"{spawn}.parent_thread_id",
+        "origin": "$.payload.thread_source",
+        "forked": "$.payload.forked_from_id",
+        "cwd": "$.payload.cwd",
+        "path": "$.payload.agent_path",
+        "spawn_path": f"{spawn}.agent_path",
+        "nickname": "$.payload.agent_nickname",
+        "spawn_nickname": f"{spawn}.agent_nickname",
+        "role": "$.payload.agent_role",
+        "spawn_role": f"{spawn}.agent_role",
+    }
+    # every field is looked up once: an expression that is named twice is computed twice
+    as_is = {"provider": V.text(v, "$.payload.model_provider"), "at": V.text(v, "$.payload.timestamp"), "line_at": V.text(v, "$.timestamp")}
+    found = [c.alias(n) for n, c in ({n: V.text(v, p) for n, p in places.items()} | as_is).items()]
+    rows = rows.select("session_id", "off", *found, V.sub(v, "$.payload.source.subagent").isNotNull().alias("spawned"))
+    rows = rows.select("session_id", "off", "provider", "spawned", F.coalesce("at", "line_at").alias("at"), *[V.blank_to_null(F.col(n)).alias(n) for n in places])
+    thread, parent = F.coalesce("id", "session"), F.coalesce("parent", "spawn_parent")
     is_sub = (
-        F.coalesce(_clean(v, "$.payload.thread_source") == "subagent", F.lit(False))
-        | V.sub(v, "$.payload.source.subagent").isNotNull()
+        F.coalesce(F.col("origin") == "subagent", F.lit(False))
+        | F.col("spawned")
         | parent.isNotNull()
-        | F.coalesce(logical != thread, F.lit(False))
+        | F.coalesce(F.col("session") != thread, F.lit(False))
     )
     fields = F.struct(
         thread.alias("thread_id"),
-        logical.alias("root_hint"),
-        F.when(is_sub, F.coalesce(parent, _clean(v, "$.payload.forked_from_id"))).alias("parent_id"),
+        F.col("session").alias("root_hint"),
+        F.when(is_sub, F.coalesce(parent, "forked")).alias("parent_id"),
         is_sub.alias("is_subagent"),
-        F.coalesce(_clean(v, "$.payload.cwd"), F.lit("")).alias("cwd"),
-        times.local_text(F.coalesce(V.text(v, "$.payload.timestamp"), V.text(v, "$.timestamp"))).alias("started"),
-        V.text(v, "$.payload.model_provider").alias("provider"),
-        _clean(v, "$.payload.agent_path", f"{spawn}.agent_path").alias("agent_path"),
-        _clean(v, "$.payload.agent_nickname", f"{spawn}.agent_nickname").alias("agent_nickname"),
-        _clean(v, "$.payload.agent_role", f"{spawn}.agent_role").alias("agent_role"),
+        F.coalesce("cwd", F.lit("")).alias("cwd"),
+        times.local_text(F.col("at")).alias("started"),
+        F.col("provider").alias("provider"),
+        F.coalesce("path", "spawn_path").alias("agent_path"),
+        F.coalesce("nickname", "spawn_nickname").alias("agent_nickname"),
+        F.coalesce("role", "spawn_role").alias("agent_role"),
     )
     firsts = rows.select("session_id", "off", fields.alias("m")).groupBy("session_id").agg(F.min_by("m", "off").alias("m"))
     return firsts.select("session_id", "m.*").where("thread_id is not null")
@@ -215,17 +233,15 @@ def activity(lines: DataFrame) -> DataFrame:
     return rows.groupBy("session_id").agg(F.max_by("ts", F.when(F.col("ts").isNotNull(), F.col("off"))).alias("updated_at"))
 
 
-def session_facts(lines: DataFrame) -> DataFrame:
-    """(session_id, first_prompt, updated_at): what ``first_prompts`` and ``activity`` say, from one parse and one fold."""
-    text = block_text(F.col("v"), "$.payload.content")
-    rows = parsed(lines.where(F.col("line").contains('message"'))).where("t = 'response_item' and pt in ('message', 'agent_message')")
-    asked = (F.col("pt") == "message") & (V.get(F.col("v"), "$.payload.role") == "user") & (strings.trim(text) != "") & ~strings.ltrim(text).startswith("<")
-    rows = rows.select("session_id", "off", "ts", F.when(asked, text).alias("prompt"))
+def session_facts(entries_df: DataFrame) -> DataFrame:
+    """(session_id, first_prompt, updated_at) of ``entries``: what ``first_prompts`` and ``activity`` say of the lines."""
 
-    def at(c: str) -> Column:
-        return F.when(F.col(c).isNotNull(), F.col("off"))
+    def at(known: Column) -> Column:
+        return F.when(known, F.col("unit"))
 
-    return rows.groupBy("session_id").agg(F.min_by("prompt", at("prompt")).alias("first_prompt"), F.max_by("ts", at("ts")).alias("updated_at"))
+    asked, dated = F.col("asked"), F.col("ts").isNotNull()
+    rows = entries_df.where(asked | dated).select("session_id", "unit", "asked", "ts", F.when(asked, F.col("text")).alias("prompt"))
+    return rows.groupBy("session_id").agg(F.min_by("prompt", at(asked)).alias("first_prompt"), F.max_by("ts", at(dated)).alias("updated_at"))
 
 
 def output_text(v: Column) -> Column:
@@ -233,29 +249,45 @@ def output_text(v: Column) -> Column:
 
 
 def texts(lines: DataFrame, counts: Observation | None = None) -> DataFrame:
-    v, t, pt = F.col("v"), F.col("t"), F.col("pt")
-    rows = parsed(lines, counts)
-    item = t == "response_item"
-    message = block_text(v, "$.payload.content")
-    role = V.get(v, "$.payload.role")
-    command = V.text(V.parse(V.text(v, "$.payload.arguments")), "$.command")
-    shown = item & (pt == "message") & role.isin("user", "assistant") & ~((role == "user") & strings.ltrim(message).startswith("<"))
+    return entries(lines, counts).where("text is not null").select(*TEXT_COLUMNS)
 
-    def entry(kind: str, text: Column) -> Column:
-        return F.struct(F.lit(kind).alias("kind"), text.alias("text"))
 
-    found = (
-        F.when(shown, entry("content", message))
-        .when(item & (pt == "function_call"), entry("tool", command))
-        .when(item & pt.isin("function_call_output", "custom_tool_call_output"), entry("tool", output_text(v)))
-        .when(item & (pt == "custom_tool_call"), entry("tool", V.text(v, "$.payload.input")))
-        .when((t == "event_msg") & (pt == "agent_reasoning"), entry("reasoning", V.text(v, "$.payload.text")))
-    )
-    return (
-        V.expand(rows, ["session_id", "chunk", F.col("off").alias("unit"), F.lit(0).alias("seq")], found)
-        .where(strings.trim("text") != "")
-        .select(*TEXT_COLUMNS)
-    )
+def entries(lines: DataFrame, counts: Observation | None = None) -> DataFrame:
+    """(session_id, chunk, unit, seq, ts, asked, kind, text): the texts to be searched, and the messages that ``session_facts`` folds, from one parse.
+
+    ``ts`` is the time of a message, null elsewhere; ``asked`` marks what the user said; a message that is no text to be searched has none. Lines of
+    other types are not parsed, unless they are to be counted.
+    """
+    v, pt, role = F.col("v"), F.col("pt"), F.col("role")
+    line = F.col("line")
+    gate = line.contains('"response_item"') | line.contains('"agent_reasoning"') | line.contains("\\u")
+    rows = V.with_parsed(lines if counts is not None else lines.where(gate), counts=counts)
+    place = ["session_id", "chunk", F.col("off").alias("unit"), F.lit(0).alias("seq")]
+    t = V.get(v, "$.type")
+    # a payload type of another line type stands for nothing here
+    rows = rows.select(*place, "v", F.when((t == "response_item") | (t == "event_msg"), F.concat_ws(" ", t, V.get(v, "$.payload.type"))).alias("pt"))
+    is_message = pt == "response_item message"
+    is_output = pt.isin("response_item function_call_output", "response_item custom_tool_call_output")
+    # one step after the other: an expression that is named twice is computed twice
+    rows = rows.select(
+        *["session_id", "chunk", "unit", "seq", "pt"],
+        F.when(is_message | (pt == "response_item agent_message"), V.text(v, "$.timestamp")).alias("at"),
+        F.when(is_message, V.get(v, "$.payload.role")).alias("role"),
+        F.when(is_message, block_text(v, "$.payload.content")).alias("message"),
+        F.when(pt == "response_item function_call", V.parse(V.text(v, "$.payload.arguments"))).alias("arguments"),
+        F.when(is_output, output_text(v))
+        .when(pt == "response_item custom_tool_call", V.text(v, "$.payload.input"))
+        .when(pt == "event_msg agent_reasoning", V.text(v, "$.payload.text"))
+        .alias("other"),
+    )
+    shown = role.isin("user", "assistant") & ~((role == "user") & strings.ltrim("message").startswith("<"))
+    text = F.when(is_message, F.when(shown, F.col("message"))).when(pt == "response_item function_call", V.text(F.col("arguments"), "$.command")).otherwise(F.col("other"))
+    rows = rows.select("session_id", "chunk", "unit", "seq", "pt", "role", times.local_text(F.col("at")).alias("ts"), text.alias("text"))
+    kind = F.when(is_message, "content").when(pt == "event_msg agent_reasoning", "reasoning").otherwise("tool")
+    rows = rows.select("session_id", "chunk", "unit", "seq", "ts", "role", kind.alias("kind"), F.when(strings.trim("text") != "", F.col("text")).alias("text"))
+    asked = F.coalesce(role == "user", F.lit(False)) & F.col("text").isNotNull()
+    some = F.col("text").isNotNull() | F.col("ts").isNotNull()
+    return V.expand(rows, ["session_id", "chunk", "unit", "seq"], F.when(some, F.struct("ts", asked.alias("asked"), "kind", "text")))
 
 
 def group_texts(texts_df: DataFrame, tree: DataFrame) -> DataFrame:

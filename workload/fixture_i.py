@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from skeinlog.plans import documents as D
 from skeinlog.plans import segments as G
-from skeinlog.session import scratch_path
+from skeinlog.session import cut_lineage, scratch_path
 from skeinlog.sources import dialect_b, dialect_c
 from skeinlog.streaming import ingest, sinks
 from skeinlog.streaming.refresh import refresh_into
@@ -62,7 +62,8 @@ def _source(spark: SparkSession, sf_dir: str, source: str, counts: D.LineCounts
         return D.line_parser({source: lines}, counts), lines.select("session_id")
     if source == "codex":
         lines = fixture_b.lines(spark, sf_dir).unionByName(unreadable(spark, sf_dir)[1])
-        tree = dialect_b.threads(dialect_b.identities(lines))
+        # written once: the manifest, the members of the groups and their counts are read from it
+        tree = cut_lineage(dialect_b.threads(dialect_b.identities(lines)), "forest")
         files = lines.select("session_id").distinct().join(tree.select("session_id", "root_id"), "session_id", "left")
         return D.group_parser(lines, tree, counts), files.select(F.coalesce("root_id", "session_id").alias("session_id"))
     sessions, messages, parts = (t(spark, sf_dir) for t in (fixture_cd.c_sessions, fixture_cd.c_messages, fixture_cd.c_parts))
