@@ -14,7 +14,7 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skeinlog.functions import strings
@@ -91,16 +91,14 @@ SCOPE = ["source", "archive_name"]
 
 
 def _postings(docs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Distinct (token, code, session), in partitions sorted by scope, token and session; path, id, prompt and title count as content.
+    """Distinct (token, code, session); path, id, prompt and title count as content.
 
-    As in ``index.index_tokens`` few tokens come again within a task, so nothing is aggregated before the one shuffle, and the sort that the stored rows need
-    puts equal ones side by side. Dealt by token and session, neither a common token nor a long session is one task.
+    Stored texts lie by session, so tokens that come again in one (as in the threads of a group) mostly go before the one shuffle. It deals rows by all
+    columns: neither a common token nor a long session is one task.
     """
     named = F.explode(F.array("project_path", "session_id", "first_prompt", "agent_title")).alias("text")
     parts = docs.select(*SCOPE, "session_key", F.lit(0).alias("code"), named).unionByName(texts.select(*SCOPE, "session_key", "code", "text"))
-    rows = parts.select(*SCOPE, "session_key", "code", F.explode(F.array_distinct(tokens(F.col("text")))).alias("token")).repartition("token", "session_key")
-    nth = F.row_number().over(Window.partitionBy(*SCOPE, "token", "session_key", "code").orderBy("code"))
-    return rows.withColumn("__nth", nth).where("__nth = 1").drop("__nth")
+    return parts.select(*SCOPE, "session_key", "code", F.explode(F.array_distinct(tokens(F.col("text")))).alias("token")).distinct()
 
 
 def commit(store: Store, segment: int, replaces: Sequence[int] = ()) -> None:
